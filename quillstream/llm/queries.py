@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, mixing, nearest, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.exp("__entropy").alias("perplexity"), F.exp("__threshold").alias("threshold"), F.col("__kept").alias("kept"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE: dict[str, str] = {
