@@ -73,3 +73,20 @@ def plan(docs: DataFrame, id_col: str = "doc_id", share: float = 1.5, weights: t
     before = F.col("within") + F.col("start")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return placed.select("id", "source", "key", "size", "source_size", "target", "budget", before.alias("before"), (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each document once per epoch that takes it whole, and the last one of a source cut to the words its budget has left.
+
+    Rows that repeat a doc_id must be the same document here (their places are joined by id).
+    """
+    took = plan(docs, id_col, text_col=text_col, **options).filter("taken > 0")
+    took = settle(took.groupBy("id").agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"), F.count(F.lit(1)).alias("__rows")))
+    rows = docs.join(took.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")))
+    own = F.expr("__taken div __rows")
+    rows = rows.withColumn("__words", F.explode(F.when(F.col("__size") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.expr("greatest(0, (__taken div __rows - 1) div __size)")), lambda k: F.least(F.col("__size"), own - k * F.col("__size"))))))
+    # Pieces that end with a word, separators before it included.
+    pieces = F.split(body(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.lit(1), F.col("__words")).cast("int")), "")
+    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
