@@ -18,14 +18,15 @@ def plain(texts):
     return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_remembered_pieces_give_the_ids_of_whole_texts():
+def test_ids_are_those_of_tokenizers():
+    assert packing.Encoder(PATH).fast is not None
     texts = ["", " ", "a", " a b", "a  b", "a b ", "don't we're 12 34x, (y)\n\nz \n q", "x\ty z w é中文 \U0001f600 ok", "<|endoftext|> a <|endoftext|>b", "a\n b", "It's  it 's", "\nfoo bar", "tab \tb c"] * 2
-    assert packing.WordTokenizer(PATH).encode(texts) == plain(texts)
+    assert packing.Encoder(PATH).encode(texts) == plain(texts)
 
 
 def test_whole_texts_of_the_table(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
-    assert packing.WordTokenizer(PATH).encode(texts) == plain(texts)
+    assert packing.Encoder(PATH).encode(texts) == plain(texts)
 
 
 def test_cut_keeps_full_pieces_behind_a_short_first():
