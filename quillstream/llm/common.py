@@ -48,7 +48,7 @@ def shards_for(df: DataFrame, bytes_each: int) -> int:
     """Shards such that each holds about ``bytes_each`` of the input, and no fewer than the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    return max(least, -(-size // bytes_each) if size < 1 << 60 else 1)
+    return max(least, -(-size // bytes_each) if size < 1 << 56 else 1)
 
 
 def body(text: str = "text") -> Column:

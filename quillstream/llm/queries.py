@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, nearest, packing, quality, simhash, suffixes, surrogates, toxicity
+from . import exact_dedup, mixing, nearest, ngram_trie, packing, quality, simhash, suffixes, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(_table(spark, sf_dir, "documents"), "production key 1").select("doc_id", "text", "pii_count", "pii_kinds")
 
 
+def op2_ngram_trie_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixes.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -59,6 +63,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_ngram_trie_score": op2_ngram_trie_score,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
