@@ -1 +1,8 @@
+"""The query catalogue: each query with its SQL oracle."""
 
+from . import reads, texts
+
+QUERIES, ORACLE = {}, {}
+for part in (reads, texts):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
