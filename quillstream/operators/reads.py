@@ -111,7 +111,7 @@ def resolve_keys(asked: DataFrame, current: DataFrame, history: DataFrame, least
     by_base = asked.join(based, F.regexp_replace("asked", "-[0-9a-f]{6}$", "") == F.col("base")).filter(F.length("base") >= least_base).select("asked", "key", "at", F.lit(2).alias("order"))
     found = by_history.unionByName(by_base).filter("asked <> key")
     best = found.groupBy("asked").agg(F.min_by(F.struct("key", "order"), F.struct("order", -F.unix_micros(F.col("at").cast("timestamp")), "key")).alias("x"))
-    return asked.join(best, "asked", "left").select("asked", F.col("x.key").alias("key"), F.coalesce(F.element_at(F.array(F.lit("history"), F.lit("base")), F.col("x.order")), F.lit("none")).alias("how"))
+    return asked.join(best, "asked", "left").select("asked", F.col("x.key").alias("key"), F.when(F.col("x.order") == 1, "history").when(F.col("x.order") == 2, "base").otherwise("none").alias("how"))
 
 
 def category_label(tab: Column, tags: Column, generic: list[str], geographic: str) -> Column:

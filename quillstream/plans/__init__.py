@@ -1,8 +1,8 @@
 """The query catalogue: each query with its SQL oracle."""
 
-from . import reads, texts
+from . import reads, texts, traffic
 
 QUERIES, ORACLE = {}, {}
-for part in (reads, texts):
+for part in (reads, texts, traffic):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
