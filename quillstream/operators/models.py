@@ -12,6 +12,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class TextModel(Protocol):
@@ -36,7 +37,7 @@ def ask(rows: DataFrame, prompt: str, answer: str, model: TextModel, batch: int
     A call that fails is tried again; a reply that is too short leaves the rest unanswered, and one that is
     too long is cut. Rows with a null prompt are not sent.
     """
-    schema = rows.schema.add(answer, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType())])
 
     def call(prompts: list[str]) -> list[str | None]:
         for turn in range(tries):

@@ -1,8 +1,8 @@
 """The query catalogue: each query with its SQL oracle."""
 
-from . import reads, texts, traffic
+from . import more, reads, texts, traffic
 
 QUERIES, ORACLE = {}, {}
-for part in (reads, texts, traffic):
+for part in (reads, texts, traffic, more):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
