@@ -36,10 +36,10 @@ from .common import body, settle, shards_for
 
 LENGTH, TOKEN, PART = 200, 64, 50
 #: Bits of the filter of repeated anchors; sampled anchors for the splitters; input bytes that a bucket stands for.
-FILTER_BITS, SAMPLE, BUCKET_BYTES = 1 << 26, 20_000, 4 << 20
+FILTER_BITS, SAMPLE, BUCKET_BYTES = 1 << 26, 20_000, 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _AT = np.uint64(_SLICE * 2 - 1)
 
 
@@ -134,6 +134,21 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield data, origin[part[first]], (ends - sizes)[part[first]], first, count, tokens[where], lead
 
 
+def _few(batches: Iterator[pa.RecordBatch], bytes_each: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The texts of the first column, a few megabytes at a time, so that what a task derives from them stays small."""
+    held, size = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            for t in batch.column(0).slice(i, 256).to_pylist():
+                held.append(t or b"")
+                size += len(held[-1])
+            if size >= bytes_each:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
@@ -142,8 +157,8 @@ def count_anchors(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(hash, lead, places) per anchor and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(h, lead) for *_, h, lead in anchors([t or b"" for t in batch.column(0).to_pylist()])]
+        for texts in _few(batches):
+            found = [(h, lead) for *_, h, lead in anchors(texts)]
             if not found:
                 continue
             h, lead = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -189,8 +204,7 @@ def cut_pieces(docs: DataFrame, held: np.ndarray, splitters: np.ndarray, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, splitters = context.value
         bits = len(held) << 6
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
+        for texts in _few(batches):
             names: dict[int, bytes] = {}
             merged: dict[bytes, list] = {}
             for data, origin, base, first, count, h, lead in anchors(texts):
