@@ -1,7 +1,7 @@
 """PII surrogates (op 1): detected entities get keyed, type-consistent replacements. DataFrame operations only.
 
 Entities: e-mail addresses, phone, card, social-security and account numbers (IBAN), IPv4 addresses,
-hexadecimal and other secrets, given names and surnames. A replacement is drawn from a keyed hash of the
+hexadecimal and other secrets, street addresses, IPv6 addresses, given names and surnames. A replacement is drawn from a keyed hash of the
 entity's canonical form and keeps type, script, letter case, punctuation and length class; cards that
 pass the Luhn check, IBANs and octets stay valid; given names keep their gender; a mail domain is replaced
 alike in all its addresses. Since the canonical form decides, an entity has one replacement in the whole
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-# Given names by script and gender, titles, syllables of composed surnames.
+# Given names by script and gender, titles, kinds of streets, syllables of composed surnames.
 GIVEN = {
     ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Amy Angela Sophie Camille Juliette Chloé Manon Céline Aurélie Ingrid Heike Sabine Ursula Monika Katrin Lucía Carmen Sofía Pilar Dolores Valentina Gabriela Isabel".split(),
     ("latin", "m"): "James Robert John Michael David William Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua Kenneth Kevin Brian George Timothy Ronald Jason Edward Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Pierre Jacques Guillaume Mathieu Klaus Jürgen Wolfgang Stefan Uwe Carlos José Miguel Alejandro Javier Diego Pablo".split(),
@@ -33,6 +33,7 @@ GIVEN = {
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Владимир Павел Виктор Борис Григорий".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Sr Sra".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square Terrace".split()
 SYLLABLES = {
     "latin": "bal bor cal car dal den dor fal far gal gor hal har jal kel kor lan lor mal mar nel nor pal per quin ral ros sal sor tal tor val ver wal wen yor zel zan bri cle dun fen gil hol".split(),
     "cyrillic": "бал бор вал вер гал гор дал дор жал зел кал кор лан лор мал мар нел нор пал пер рал рос сал сор".split(),
@@ -48,9 +49,11 @@ PATTERNS = {
     "hex": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ip6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
+    "street": rf"(?<![\d.,])\d{{1,5}}[ ](?:\p{{Lu}}\p{{Ll}}{{1,30}}[ ]){{1,3}}(?:{'|'.join(STREETS)})(?![\p{{L}}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{2,4}[ .-]?\d{2,4}(?:[.-]\d{2,4})?(?!\d)|(?<!\d)\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,5}(?!\d|\.\d)|(?<!\d)\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "given": rf"{_EDGE}(?=\p{{Lu}})(?:{_NAMES})(?=[ ]{_WORD})",
     "surname": rf"(?<={_EDGE}(?:{_TITLES})\.?[ ]){_WORD}|(?<={_EDGE}(?:{_NAMES})[ ]){_WORD}",
 }
@@ -63,7 +66,7 @@ def _kind(match: Column) -> Column:
     """The kind of a match, from the match alone; given names also tell gender and script."""
     whole = lambda k: match.rlike(rf"^(?:{PATTERNS[k]})$")
     out = F.when(match.contains("@"), "email")
-    for k in ("hex", "iban", "ip", "ssn"):
+    for k in ("hex", "iban", "ip", "ip6", "street", "ssn"):
         out = out.when(whole(k), k)
     out = out.when(match.rlike(r"^(?:AKIA|sk[-_]|pk[-_]|ghp[-_]|xox)"), "secret").when(match.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card").when(match.rlike(r"^[+(\d][\d .()+-]+$"), "phone")
     for (script, gender), names in GIVEN.items():
@@ -136,18 +139,22 @@ def _replacement(kind: Column, form: Column, attempt: Column, key: str) -> Colum
     card = F.when(_luhn_sum(form) % 10 == 0, F.concat(front, check.cast("string"))).otherwise(kept_first)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (draw.byte(i) % 254 + 1).cast("string")), ".")
     hexed = F.array_join(F.transform(_chars(form), lambda x: _letters("0123456789abcdef", draw.byte(x["i"]))), "")
+    groups = F.array_join(F.transform(_chars(form), lambda x: F.when(x["c"] == ":", ":").otherwise(_letters("0123456789abcdef", draw.byte(x["i"])))), "")
     ssn = F.concat((draw.byte(F.lit(60)) % 8 + 1).cast("string"), F.substr(swapped, F.lit(2)))
     body, country = F.substr(swapped, F.lit(5)), F.substring(form, 1, 2)
     value = lambda x: F.when(x["c"].rlike("[0-9]"), x["c"]).otherwise((F.ascii(x["c"]) - 55).cast("string"))
     rest = F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0).cast("long"), lambda a, x: (a * F.when(x["c"].rlike("[0-9]"), 10).otherwise(100) + value(x).cast("long")) % 97)
     iban = F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
-    out = F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "phone", kept_first)
+    out = F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "ip6", groups).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "phone", kept_first)
     composed = {}
     for script, syllables in SYLLABLES.items():
         part = lambda i, s=syllables: F.element_at(_pool(s), (draw.number(i) % len(s) + 1).cast("int"))
         more = [F.when(attempt >= 3 * k, part(2 + k)).otherwise("") for k in (1, 2)]
         composed[script] = F.concat(part(0), part(1), part(2), *more)
         out = out.when(kind == f"surname_{script}", composed[script])
+    number = F.substr(swapped, F.lit(1), F.length(F.substring_index(form, " ", 1)))
+    house = F.concat((draw.byte(F.lit(61)) % 9 + 1).cast("string"), F.substr(number, F.lit(2)))
+    out = out.when(kind == "street", F.concat_ws(" ", house, composed["latin"], F.substring_index(form, " ", -1)))
     for (script, gender), names in GIVEN.items():
         pick = F.lower(F.element_at(_pool(names), (draw.number(0) % len(names) + 1).cast("int")))
         # A list that is used up is gone on with by composed names.
@@ -161,7 +168,7 @@ def _render(match: Column, kind: Column, new: Column) -> Column:
     spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(match)))
     filled = F.array_join(F.transform(spots, lambda i: F.when(F.substr(match, i, F.lit(1)).rlike("[0-9A-Za-z]"), F.substr(new, at(i), F.lit(1))).otherwise(F.substr(match, i, F.lit(1)))), "")
     cased = F.array_join(F.transform(spots, lambda i: F.when(F.substr(match, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(new, i, F.lit(1)))).otherwise(F.substr(new, i, F.lit(1)))), "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), filled).when(kind.isin("email", "hex"), cased).when(kind.startswith("given") | kind.startswith("surname"), F.when(F.upper(match) == match, F.upper(new)).otherwise(F.initcap(new))).otherwise(new)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), filled).when(kind.isin("email", "hex"), cased).when(kind.startswith("given") | kind.startswith("surname") | (kind == "street"), F.when(F.upper(match) == match, F.upper(new)).otherwise(F.initcap(new))).otherwise(new)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

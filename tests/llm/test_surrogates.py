@@ -21,6 +21,7 @@ TEXTS = {
     6: "Clean text, with 1234 numbers 3.14 and 10:30.",
     7: None,
     8: "",
+    10: "at 221 Baker Hill Street or +33 1 23 45 67 89, host 2001:0db8:85a3:0000:0000:8a2e:0370:7334.",
     9: "Анна Петрова пришла",
 }
 
@@ -31,7 +32,7 @@ def out(spark):
     got = surrogates.replace(docs, "secret key")
     assert got.columns == ["doc_id", "text", "kind", "pii_count", "pii_kinds"]
     rows = got.collect()
-    assert len(rows) == 10
+    assert len(rows) == 11
     assert len({r["text"] for r in rows if r["doc_id"] == 2}) == 1
     return {r["doc_id"]: r for r in rows}
 
@@ -59,6 +60,11 @@ def test_numbers_keep_form_and_validity(out):
     assert int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 and s != "DE89370400440532013000"
 
 
+def test_places_and_hosts(out):
+    m = re.fullmatch(r"at (\d{3}) ([A-Z][a-z]+) Street or (\+3\d \d \d\d \d\d \d\d \d\d), host ([0-9a-f]{4}(?::[0-9a-f]{4}){7})\.", out[10]["text"])
+    assert m and m[3] != "+33 1 23 45 67 89" and "db8" not in m[4]
+
+
 def test_names_keep_gender_script_and_coreference(out):
     m = re.fullmatch(r"(\w+) (\w+) met Dr\. (\w+)\. (\w+) left; MARY stayed with (\w+) (\w+)\.", out[4]["text"])
     assert m[1] in surrogates.GIVEN["latin", "f"] and m[5] in surrogates.GIVEN["latin", "m"]
