@@ -45,7 +45,7 @@ _TITLES = "|".join(TITLES)
 _EDGE, _WORD = r"(?<![\p{L}\p{N}_])", r"\p{Lu}[\p{Ll}\p{M}'’-]{1,40}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,127}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,128})(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,128}",
+    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,128})(?![0-9A-Za-z])|(?<=[=:\"']|[=:][ ])(?<=(?:password|passwd|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,128}",
     "hex": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -55,7 +55,7 @@ PATTERNS = {
     "card": r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,5}(?!\d|\.\d)|(?<!\d)\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "given": rf"{_EDGE}(?=\p{{Lu}})(?:{_NAMES})(?=[ ]{_WORD})",
-    "surname": rf"(?<={_EDGE}(?:{_TITLES})\.?[ ]){_WORD}|(?<={_EDGE}(?:{_NAMES})[ ]){_WORD}",
+    "surname": rf"(?=\p{{Lu}})(?<=[\p{{L}}.][ ])(?:(?<={_EDGE}(?:{_TITLES})\.?[ ]){_WORD}|(?<={_EDGE}(?:{_NAMES})[ ]){_WORD})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick first look: only texts with one of these are searched.
@@ -188,24 +188,27 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text's entities replaced and the columns pii_count and pii_kinds (sorted) behind."""
     text = F.col(text_col)
-    # Evaluated once per row: a text that the first look passes is searched, others have no matches.
-    found = F.when(text.rlike(_LOOK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    seen = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    clean = seen.filter(F.size("__found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("pii_count"), F.array().cast("array<string>").alias("pii_kinds"))
-    touched = seen.filter(F.size("__found") > 0).withColumn("__ref", F.sha2(text, 256))
-    spots = touched.select("__ref", "__found").dropDuplicates(["__ref"]).select("__ref", F.posexplode("__found").alias("at", "match"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    none = [F.lit(0).alias("pii_count"), F.array().cast("array<string>").alias("pii_kinds")]
+    # Texts that the first look clears are done; only the others are searched and joined.
+    look = F.coalesce(text.rlike(_LOOK), F.lit(False))
+    clean = docs.filter(~look).select(*columns, *none)
+    ref = F.sha2(text, 256)
+    spots = docs.filter(look).select(ref.alias("__ref"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "match")).distinct()
     spots = spots.withColumn("kind", _kind(F.col("match")))
     spots = settle(spots.withColumn("form", _canonical(F.col("kind"), F.col("match"))))
     new = assign(spots, key)
     placed = spots.join(new, ["kind", "form"]).select("__ref", F.struct("at", _render(F.col("match"), F.col("kind"), F.col("new")).alias("new"), "match", F.split("kind", "_")[0].alias("kind")).alias("x"))
     per_text = settle(placed.groupBy("__ref").agg(F.array_sort(F.collect_list("x")).alias("__new")))
-    rows = touched.join(per_text, "__ref")
+    rows = docs.filter(look).withColumn("__ref", ref).join(per_text, "__ref", "left")
     between = F.split(text, PATTERN, -1)
     put = F.concat(F.array_join(F.transform("__new", lambda x: F.concat(F.get(between, x["at"]), x["new"])), ""), F.get(between, F.size("__new")))
     surnames = F.array_distinct(F.transform(F.filter("__new", lambda x: x["kind"] == "surname"), lambda x: F.struct(x["match"].alias("old"), x["new"].alias("new"))))
     # A surname that was found is the same person where it stands alone in the text.
     put = F.aggregate(surnames, put, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), s["old"], F.lit(r"\E(?![\p{L}\p{N}_])")), s["new"]))
     kinds = F.array_sort(F.array_distinct(F.transform("__new", lambda x: x["kind"])))
-    done = rows.withColumn("__put", put)
-    done = done.select(*[F.col("__put").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.size("__new").alias("pii_count"), kinds.alias("pii_kinds"))
+    hit = F.col("__new").isNotNull()
+    put, count = F.when(hit, put).otherwise(text), F.coalesce(F.when(hit, F.size("__new")), F.lit(0))
+    kinds = F.coalesce(kinds, F.array().cast("array<string>"))
+    done = rows.select(*[put.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], count.alias("pii_count"), kinds.alias("pii_kinds"))
     return clean.unionByName(done)
