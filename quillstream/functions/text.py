@@ -101,7 +101,7 @@ def cap_words(c: Column | str, words: int = 15) -> Column:
 
 def wrap_paragraphs(c: Column | str) -> Column:
     """Blocks between blank lines become paragraphs."""
-    blocks = F.filter(F.transform(F.split(col(c), r"\n\s*\n"), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(col(c), r"\n\s*\n"), lambda b: F.trim(b)), lambda b: b != "")
     return F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("<p>"), b, F.lit("</p>"))), "\n")
 
 

@@ -175,7 +175,8 @@ def test_readers(spark, tmp_path):
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     from quillstream.streaming import events as S
 
-    path = "/root/testdata/sf0.001/events.parquet"
+    path = str(tmp_path / "in")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(path)
     S.run_available(S.first_seen(S.read(spark, path), ["event_id"]), "seen", str(tmp_path / "c1"))
     assert spark.table("seen").count() == spark.read.parquet(path).select("event_id").distinct().count()
     S.run_available(S.daily_counts(S.read(spark, path)), "daily", str(tmp_path / "c2"))
