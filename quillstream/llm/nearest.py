@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Random directions; window half-width as a share of the distance; growth of the distance from step to step; how many standard deviations under the expected collisions a vector at that distance is still verified.
-PROJECTIONS, WIDTH, GROWTH, SLACK = 64, 0.9, 1.08, 1.2
+PROJECTIONS, WIDTH, GROWTH, SLACK = 64, 0.8, 1.06, 0.8
 #: Vectors of a block and queries of a chunk; their product bounds a task.
-BLOCK_ROWS, CHUNK_ROWS = 4_096, 512
+BLOCK_ROWS, CHUNK_ROWS = 16_384, 512
 #: Distances of the steps, up to the largest that two vectors of the scaled space can have.
 REACHES = 0.7 * GROWTH ** np.arange(1 + int(np.ceil(np.log(2 / 0.7) / np.log(GROWTH))))
 
@@ -64,9 +64,15 @@ class Block:
         # Ends of every window: projection by step by query.
         low = np.stack([np.searchsorted(row, at[:, p] - spans) for p, row in enumerate(self.sorted)])
         high = np.stack([np.searchsorted(row, at[:, p] + spans, "right") for p, row in enumerate(self.sorted)])
-        return [self._one(int(own[q]), queries[q], lengths[q] * self.largest, low[:, :, q].T.tolist(), high[:, :, q].T.tolist(), k) for q in range(len(own))]
-
-    def _one(self, own: int, query: np.ndarray, scale: float, low: list[list[int]], high: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        out, begin = [], 0
+        for q in range(len(own)):
+            # Steps that did not do for the query before are passed over; windows only open wider for it.
+            *found, ended = self._one(int(own[q]), queries[q], lengths[q] * self.largest, low[:, :, q].T.tolist(), high[:, :, q].T.tolist(), k, begin)
+            out.append(tuple(found))
+            begin = max(0, ended - 1)
+        return out
+
+    def _one(self, own: int, query: np.ndarray, scale: float, low: list[list[int]], high: list[list[int]], k: int, begin: int) -> tuple[np.ndarray, np.ndarray, int]:
         n = len(self.ids)
         counts, seen = np.zeros(n, dtype=np.int64), self.ids == own
         found, score, verified, worst = [], [], 0, -np.inf
@@ -84,7 +90,8 @@ class Block:
                 worst = np.partition(best, verified - k)[verified - k]
 
         inner_low = inner_high = None
-        for step, reach in enumerate(REACHES):
+        for step in range(begin, len(REACHES)):
+            reach = REACHES[step]
             if inner_low is None:
                 parts = [row[a:b] for row, a, b in zip(self.order, low[step], high[step], strict=True)]
             else:
@@ -99,10 +106,10 @@ class Block:
             # The windows stand for the largest distance there is: what is left is verified without them.
             verify(np.flatnonzero(~seen))
         if not found:
-            return self.ids[:0], np.empty(0)
+            return self.ids[:0], np.empty(0), step
         which, value = np.concatenate(found), np.concatenate(score)
         top = np.lexsort((self.ids[which], -value))[:k]
-        return self.ids[which[top]], value[top]
+        return self.ids[which[top]], value[top], step
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
