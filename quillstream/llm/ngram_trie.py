@@ -574,7 +574,7 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray)
             count[at[own]] = c[own].astype(np.int64)
     rows.clear()
     unigram = (count + 1.0) / ((total + 1.0 * types) + 1.0)
-    log_unigram, base = np.log10(unigram), np.log10((count + 1.0) / (float(total + 1) * float(types + 1)))
+    log_unigram = np.log10(unigram)
     n = len(word)
     trie = Trie(v[train].astype(np.int64), u[train].astype(np.int64), w[train].astype(np.int64), unigram).mapped()
     pair, in_pair = np.unique(v.astype(np.int64) * n + w, return_inverse=True)
@@ -593,7 +593,7 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray)
     for chunk, size in chunks:
         own = slice(at, at + size)
         who, number = np.unique(text[own], return_inverse=True)
-        sums = [np.bincount(number, x, len(who)) for x in (found[in_triple[own]], base[w[own]], (count > 0)[w[own]])]
+        sums = [np.bincount(number, x, len(who)) for x in (found[in_triple[own]], log_unigram[w[own]], (count > 0)[w[own]])]
         yield chunk, who, sums[0], sums[1], sums[2].astype(np.uint32)
         at += size
 

@@ -96,6 +96,14 @@ def test_scores(spark, shards):
             assert abs(r["score"] - want) < 0.02 * abs(want) + 0.05, i
 
 
+@pytest.mark.parametrize("shards", [1, 5])
+def test_base_is_the_add_one_unigram(spark, shards):
+    rows = make()
+    toks, c, n, v, *_ = brute(rows)
+    for r in nt.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=shards).collect():
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[r["id"]])) < 1e-6 * max(1, abs(r["base_score"]))
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     got = nt.score(docs).collect()
