@@ -39,6 +39,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def read_again(df: DataFrame) -> DataFrame:
+    """The same rows on one execution of the plan: what several actions read of it is shuffled once, and made anew if lost."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a plan reads; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

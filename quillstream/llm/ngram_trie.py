@@ -9,9 +9,11 @@ Words are lower-cased (A-Z) and known by 64-bit fingerprints; a text ends with o
    counts (interpolated absolute discounting over the add-one unigram model), writes them as a trie, maps
    it into memory, and asks it for every distinct n-gram of the texts. Sums per text come back.
 
-Contexts of a frequent word are dealt to several shards by the word before it. A longer context stays whole;
-the shorter one is then estimated within its part, which is a proper model of its own (the part is a class
-of the word before). So no shard holds more than its share, however frequent a word is.
+Contexts of a frequent word are dealt to several shards by the word before it, so no shard holds more than
+its share, however frequent a word is. A longer context stays whole; of the shorter one, the first scan also
+counts the successors over all parts, and answers each part the whole counts of the pairs that it holds. The
+second scan's shards are read twice: the discounts come from the counts of all shards, then each is scored.
+So the model is the same wherever contexts are kept; only the quantisation goes by the shard's values.
 
 The trie: a context word points to its successors and to the words before it; such a longer context points
 to its successors, given as ranks among the successors of the shorter one. Pointers and, shifted to be
@@ -35,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, settle
+from .common import input_bytes, read_again, settle
 from .suffixes import _POWERS, _mixed, _prefix
 
 #: Input bytes that a shard stands for; bytes of text that a task turns into n-grams in one go; bits of a quantised value.
@@ -200,28 +202,46 @@ class Quantised:
         return self.table[self.codes[i]]
 
 
+def _ones_twos(counts: np.ndarray) -> list[int]:
+    return [int((counts == 1).sum()), int((counts == 2).sum())]
+
+
 def _discount(counts: np.ndarray) -> float:
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return _discount_of(*_ones_twos(counts))
+
+
+def _discount_of(one: int, two: int) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
+#: Whether each word is parted; sorted pairs v * words + w of parted words v and their counts over all parts; total and kinds of successors of each word.
+Whole = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 class Trie:
     """Smoothed bigrams and trigrams of a shard's contexts."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, unigram: np.ndarray):
-        """Training n-grams (u before v before w) as word numbers; unigram: probability of each word number."""
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, unigram: np.ndarray, discounts: tuple[float, float], whole: Whole):
+        """Training n-grams (u before v before w) as word numbers; unigram: probability of each word number; discounts of bigrams and trigrams; whole: counts of the parted words."""
         words = len(unigram)
         vw, vu = v * words + w, v * words + u
         del u, w
         bi, n2 = np.unique(vw, return_counts=True)
+        # Of parted words the counts over all parts stand for those of this part.
+        parted, pair, pair_n, whole_total, whole_kinds = whole
+        own = ~parted[bi // words]
+        bi, n2 = np.concatenate([bi[own], pair]), np.concatenate([n2[own], pair_n])
+        order = np.argsort(bi)
+        bi, n2 = bi[order], n2[order]
+        del own, order
         bv, bw = bi // words, bi % words
         rank = np.searchsorted(bi, vw).astype(np.int32)
         relative = rank - np.searchsorted(bv, np.arange(words)).astype(np.int32)[v]
         del vw, bi, v
         self.successors = Children(bv, bw, words)
-        d = _discount(n2)
-        total = np.bincount(bv, n2, words)
-        kinds = np.bincount(bv, minlength=words)
+        d = discounts[0]
+        total = np.where(parted, whole_total, np.bincount(bv, n2, words))
+        kinds = np.where(parted, whole_kinds, np.bincount(bv, minlength=words))
         weight = d * kinds / np.maximum(total, 1)
         p2 = (n2 - d) / total[bv] + weight[bv] * unigram[bw]
         self.p2 = Quantised(np.log10(p2))
@@ -240,7 +260,7 @@ class Trie:
         del context, rank, first, p2
         tc = tri // span
         self.longer = Children(tc, tri % span, len(longer))
-        d = _discount(n3)
+        d = discounts[1]
         total, kinds = np.bincount(tc, n3, len(longer)), np.bincount(tc, minlength=len(longer))
         weight = d * kinds / np.maximum(total, 1)
         self.p3 = Quantised(np.log10((n3 - d) / np.maximum(total[tc], 1) + weight[tc] * lower) if len(tri) else np.empty(0))
@@ -347,7 +367,7 @@ def _context_shard(v: np.ndarray, u: np.ndarray, shards: int, hot: Hot) -> np.nd
 def frequent_words(texts: DataFrame, shards: int, one_in: int = 32) -> tuple[Hot, np.ndarray]:
     """((fingerprints of words on more than a quarter of a shard's share of the tokens, parts each is dealt to), fingerprints of the COMMON most frequent words).
 
-    Counted on the texts whose id's hash picks them. It only decides where contexts are kept and how words
+    Counted on the texts whose id's hash picks them. This only decides where contexts are kept and how words
     are written on the way, at most MOST_HOT and COMMON words come out, and both scans use the same ones.
     """
 
@@ -419,7 +439,7 @@ def _sums(steps: np.ndarray) -> np.ndarray:
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, begin, end) of the runs of a sorted array."""
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-    for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
+    for a, b in zip(cut, [*cut[1:], len(keys)][: len(cut)], strict=True):
         yield int(keys[a]), int(a), int(b)
 
 
@@ -444,43 +464,117 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def word_counts(texts: DataFrame, shards: int, held_out: Callable[[int | None], bool], hot: Hot) -> DataFrame:
-    """(shard, blob): for each n-gram shard the fingerprints and training counts of the words it needs; rows of shard -1 hold (tokens, types) of the training texts."""
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "kind", "blob"])
+
+
+def _hot_places(v: np.ndarray, hot: Hot) -> np.ndarray:
+    """Place of each word among the parted ones, or -1."""
+    if not len(hot[0]):
+        return np.full(len(v), -1, np.int64)
+    at = np.minimum(np.searchsorted(hot[0], v), len(hot[0]) - 1)
+    return np.where(hot[0][at] == v, at, -1)
+
+
+def _pair_blob(place: np.ndarray, w: np.ndarray, word: np.ndarray, common: np.ndarray, *more: np.ndarray) -> bytes:
+    """Pairs (place of a parted word, number w of a word) with further arrays; words are told once, common ones by their number."""
+    used, w = np.unique(w, return_inverse=True)
+    number, told = _numbers(word[used], common)
+    return _blob(_steps(word[used][~told]), _steps(number[told]), _steps(place.astype(np.int32)), w.astype(np.int32), *more)
+
+
+def _pairs_of(blob: bytes, common: np.ndarray, *kinds: str) -> list[np.ndarray]:
+    """(place, fingerprint of w, further arrays) of a ``_pair_blob``."""
+    steps, told, place, w, *more = _unblob(blob, "<u8", "<u4", "<i4", "<i4", *kinds)
+    return [_sums(place), np.sort(np.concatenate([_sums(steps), common[_sums(told)]]))[w], *more]
+
+
+def word_counts(texts: DataFrame, shards: int, held_out: Callable[[int | None], bool], hot: Hot, common: np.ndarray) -> DataFrame:
+    """(shard, kind, blob): for each n-gram shard the training counts of what it needs, of words (kind 0) and of pairs of a parted word and its successor (kind 2).
+
+    Rows of shard -1 hold (tokens, types) of the training texts, those of shard -2 per parted word (place, total and
+    kinds of its successors), those of shard -3 the numbers of pairs of parted words seen once and twice.
+    """
+
+    def deal(key: np.ndarray, of: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of askers of each key, the askers key by key) for tokens of keys 0, 1, ..."""
+        asked = np.unique(of * np.int64(shards) + asks)
+        return np.bincount(asked // shards, minlength=key), asked % shards
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, own in _chunks(batches):
             hashes, text = tokens(own)
             train = ~np.array([held_out(n) for n in names])[text]
-            asks = _context_shard(_before(hashes, text, 1), _before(hashes, text, 2), shards, hot).astype(np.int64)
+            before = _before(hashes, text, 1)
+            asks = _context_shard(before, _before(hashes, text, 2), shards, hot)
+            del text
+            place = _hot_places(before, hot)
+            del before
             word, number = np.unique(hashes, return_inverse=True)
+            del hashes
             count = np.bincount(number, train, len(word)).astype(np.int64)
-            pairs = np.unique(number * shards + asks)
-            first = np.searchsorted(pairs // shards, np.arange(len(word) + 1))
-            home = _shard(word, shards)
-            order = np.argsort(home, kind="stable")
-            out = []
-            for shard, a, b in _runs(home[order]):
-                mine = order[a:b]
-                n = first[mine + 1] - first[mine]
-                which = np.repeat(first[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((shard, _blob(_steps(word[mine]), count[mine].astype(np.uint32), n.astype(np.uint32), (pairs[which] % shards).astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "blob"])
+            n, askers = deal(len(word), number, asks)
+            out = [(shard, 0, _blob(_steps(word[mine]), count[mine].astype(np.uint32), n[mine].astype(np.uint32), which.astype(np.uint32))) for shard, mine, which in _homes(_shard(word, shards), n, askers)]
+            mine = np.flatnonzero(place >= 0)
+            pair, number = np.unique(place[mine] * len(word) + number[mine], return_inverse=True)
+            count = np.bincount(number, train[mine], len(pair)).astype(np.int64)
+            n, askers = deal(len(pair), number, asks[mine])
+            at, w = pair // len(word), pair % len(word)
+            home = _shard(word[w] + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), shards)
+            del pair, number, asks, train, place
+            for shard, mine, which in _homes(home, n, askers):
+                out.append((shard, 2, _pair_blob(at[mine], w[mine], word, common, count[mine].astype(np.uint32), n[mine].astype(np.uint32), which.astype(np.uint32))))
+            yield _rows(out)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
-            parts = [_unblob(b, "<u8", "<u4", "<u4", "<u4") for (b,) in rows]
-            word, number = np.unique(np.concatenate([_sums(p[0]) for p in parts]), return_inverse=True)
-            count = np.bincount(number, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
-            of = np.repeat(number, np.concatenate([p[2] for p in parts]))
-            pairs = np.unique(np.concatenate([p[3] for p in parts]).astype(np.int64) * len(word) + of)
-            out = [(-1, np.array([count.sum(), (count > 0).sum()], np.int64).tobytes())]
-            for shard, a, b in _runs(pairs // len(word)):
-                mine = pairs[a:b] % len(word)
-                out.append((shard, _blob(_steps(word[mine]), count[mine].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "blob"])
-
-    sent = texts.mapInArrow(scan, "shard int, blob binary")
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, blob binary")
+            out = []
+            parts = [_unblob(b, "<u8", "<u4", "<u4", "<u4") for kind, b in rows if kind == 0]
+            if parts:
+                word, number = np.unique(np.concatenate([_sums(p[0]) for p in parts]), return_inverse=True)
+                count = np.bincount(number, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
+                pairs = _asked(number, [p[2:] for p in parts], len(word))
+                out.append((-1, 0, np.array([count.sum(), (count > 0).sum()], np.int64).tobytes()))
+                for shard, a, b in _runs(pairs // len(word)):
+                    mine = pairs[a:b] % len(word)
+                    out.append((shard, 0, _blob(_steps(word[mine]), count[mine].astype(np.uint64))))
+            parts = [_pairs_of(b, common, "<u4", "<u4", "<u4") for kind, b in rows if kind == 2]
+            rows.clear()
+            if parts:
+                word, w = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+                pair, number = np.unique(np.concatenate([p[0] for p in parts]).astype(np.int64) * len(word) + w, return_inverse=True)
+                count = np.bincount(number, np.concatenate([p[2] for p in parts]), len(pair)).astype(np.int64)
+                asked = _asked(number, [p[3:] for p in parts], len(pair))
+                del parts, number
+                at, w = pair // len(word), pair % len(word)
+                own, n = np.unique(at[count > 0], return_counts=True)
+                total = np.bincount(at, count).astype(np.int64)[own]
+                out += [(-2, 0, np.stack([own, total, n], axis=1).astype(np.int64).tobytes()), (-3, 0, np.array(_ones_twos(count), np.int64).tobytes())]
+                # A pair without a training count is no bigram of the model.
+                asked = asked[count[asked % len(pair)] > 0]
+                for shard, a, b in _runs(asked // len(pair)):
+                    mine = asked[a:b] % len(pair)
+                    out.append((shard, 2, _pair_blob(at[mine], w[mine], word, common, count[mine].astype(np.uint64))))
+            yield _rows(out)
+
+    sent = texts.mapInArrow(scan, "shard int, kind int, blob binary")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(add, "shard int, kind int, blob binary")
+
+
+def _homes(home: np.ndarray, n: np.ndarray, askers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its keys in their order, their askers), of n askers a key."""
+    first = np.cumsum(n) - n
+    order = np.argsort(home, kind="stable")
+    for shard, a, b in _runs(home[order]):
+        mine = order[a:b]
+        own = n[mine]
+        yield shard, mine, askers[np.repeat(first[mine], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+
+
+def _asked(number: np.ndarray, parts: list[list[np.ndarray]], keys: int) -> np.ndarray:
+    """Sorted distinct asker * keys + key, from the keys' numbers and (askers of each, the askers) of every part."""
+    of = np.repeat(number, np.concatenate([p[0] for p in parts]))
+    return np.unique(np.concatenate([p[1] for p in parts]).astype(np.int64) * keys + of)
 
 
 def _numbers(word: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -542,8 +636,8 @@ def _in_blocks(find: Callable, *arrays: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk, texts, score, base score, known tokens) sums of a shard, from its answered words and n-grams."""
+def _ngrams_of(rows: list[tuple], common: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, list[np.ndarray]]:
+    """((chunk, tokens) of a shard, its sorted words, [u, v, w, text, train] of its tokens)."""
     chunks, dictionaries, columns = [], [], []
     for kind, chunk, blob in rows:
         if kind == 1:
@@ -556,13 +650,37 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray)
             dictionaries.append(np.sort(np.concatenate([_sums(steps), common[_sums(told)]])))
             columns.append([u, v, w, text, ~np.unpackbits(flags).astype(bool)[text]])
     if not chunks:
-        return
+        return [], np.empty(0, np.uint64), []
     word = np.unique(np.concatenate(dictionaries))
     for own, held in zip(dictionaries, columns, strict=True):
         place = np.searchsorted(word, own).astype(np.int32)
         held[:3] = (place[x] for x in held[:3])
-    del dictionaries
-    u, v, w, text, train = (np.concatenate([c[i] for c in columns]) for i in range(5))
+    return chunks, word, [np.concatenate([c[i] for c in columns]) for i in range(5)]
+
+
+def _count_shard(rows: list[tuple], common: np.ndarray, hot: Hot) -> list[int]:
+    """Numbers of bigrams seen once and twice, but for those of parted words, and of trigrams, in a shard."""
+    chunks, word, columns = _ngrams_of([r for r in rows if r[0] == 1], common)
+    rows.clear()
+    if not chunks:
+        return [0] * 4
+    u, v, w, _, train = columns
+    del columns
+    n = len(word)
+    u, vw = u[train], v[train].astype(np.int64) * n + w[train]
+    del v, w, train
+    bi, rank, n2 = np.unique(vw, return_inverse=True, return_counts=True)
+    del vw
+    _, n3 = np.unique(rank * np.int64(n) + u, return_counts=True)
+    return _ones_twos(n2[_hot_places(word, hot)[bi // n] < 0]) + _ones_twos(n3)
+
+
+def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray, hot: Hot, hot_sums: np.ndarray, discounts: tuple[float, float]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chunk, texts, score, base score, known tokens) sums of a shard, from its answered counts and n-grams; hot_sums: total and kinds of successors of each parted word."""
+    chunks, word, columns = _ngrams_of(rows, common)
+    if not chunks:
+        return
+    u, v, w, text, train = columns
     del columns
     count = np.zeros(len(word), np.int64)
     for kind, _, blob in rows:
@@ -572,11 +690,22 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray)
             at = np.minimum(np.searchsorted(word, h), len(word) - 1)
             own = word[at] == h
             count[at[own]] = c[own].astype(np.int64)
+    n = len(word)
+    pairs, pair_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for kind, _, blob in rows:
+        if kind == 2:
+            place, h, c = _pairs_of(blob, common, "<u8")
+            pairs.append(np.searchsorted(word, hot[0][place]) * np.int64(n) + np.searchsorted(word, h))
+            pair_n.append(c.astype(np.int64))
     rows.clear()
+    place = _hot_places(word, hot)
+    whole_total, whole_kinds = np.where(place >= 0, hot_sums[:, place] if hot_sums.size else 0, 0)
+    whole = (place >= 0, np.concatenate(pairs), np.concatenate(pair_n), whole_total, whole_kinds)
+    del pairs, pair_n
     unigram = (count + 1.0) / ((total + 1.0 * types) + 1.0)
     log_unigram = np.log10(unigram)
-    n = len(word)
-    trie = Trie(v[train].astype(np.int64), u[train].astype(np.int64), w[train].astype(np.int64), unigram).mapped()
+    trie = Trie(v[train].astype(np.int64), u[train].astype(np.int64), w[train].astype(np.int64), unigram, discounts, whole).mapped()
+    del whole
     pair, in_pair = np.unique(v.astype(np.int64) * n + w, return_inverse=True)
     in_pair = in_pair.astype(np.int32)
     lower, rank, there = _in_blocks(lambda p: trie.bigrams(p // n, p % n, log_unigram), pair)
@@ -605,9 +734,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     shards = shards or (max(8, -(-size // SHARD_BYTES)) if size < 1 << 56 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = _texts(docs, id_col, text_col)
     hot, common = frequent_words(texts, shards)
-    answers = settle(word_counts(texts, shards, held_out, hot))
+    answers = settle(word_counts(texts, shards, held_out, hot, common))
     first = answers.filter("shard = -1").select("blob").mapInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, types = first["n"] or 0, first["v"] or 0
+    hot_sums = np.zeros((2, max(1, len(hot[0]))), np.int64)
+    # At most MOST_HOT rows.
+    per_word = answers.filter("shard = -2").select("blob").mapInArrow(_triples, "place long, n long, k long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toArrow()
+    hot_sums[:, per_word.column("place").to_numpy()] = per_word.column("n").to_numpy(), per_word.column("k").to_numpy()
+    seen = answers.filter("shard = -3").select("blob").mapInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches):
+            if shard >= 0:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _count_shard(rows, common, hot)], names=["a", "b", "c", "d"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches):
@@ -615,7 +754,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             if shard == -1:
                 out = [(chunk, 0, blob) for _, chunk, blob in rows]
             else:
-                for chunk, who, s, b, k in _score_shard(rows, total, types, common):
+                for chunk, who, s, b, k in _score_shard(rows, total, types, common, hot, hot_sums, discounts):
                     out.append((chunk, 1, _blob(_steps(who.astype(np.uint32)), s.astype(np.float32), b, k)))
             for i in range(0, len(out), 64):
                 part = out[i : i + 64]
@@ -636,15 +775,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    asked = answers.filter("shard >= 0").select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "blob")
+    asked = answers.filter("shard >= 0").select("shard", "kind", F.lit(0).cast("long").alias("chunk"), "blob")
     found = ngrams(texts, shards, held_out, hot, common).select("shard", F.lit(1).alias("kind"), "chunk", "blob")
     # Texts of chunks travel beside the n-grams, spread by their chunk.
     spread = F.when(F.col("shard") >= 0, F.col("shard").cast("long")).otherwise(-1 - F.col("chunk"))
-    met = asked.unionByName(found).repartition(shards, spread).sortWithinPartitions("shard", "kind", "chunk")
+    # The shards are shuffled once and read twice, for the discounts and then for the scores.
+    met = read_again(asked.unionByName(found).repartition(shards, spread).sortWithinPartitions("shard", "kind", "chunk"))
+    ones = met.mapInArrow(count, "a long, b long, c long, d long").agg(*(F.sum(c).alias(c) for c in "abcd")).first()
+    ones = [x or 0 for x in ones]
+    discounts = _discount_of(ones[0] + (seen["n"] or 0), ones[1] + (seen["v"] or 0)), _discount_of(*ones[2:])
     sums = met.mapInArrow(resolve, "chunk long, kind int, blob binary")
     return sums.repartition(shards, "chunk").sortWithinPartitions("chunk", "kind").select("chunk", "kind", "blob").mapInArrow(gather, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            own = np.frombuffer(blob, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, i].copy()) for i in range(3)], names=["place", "n", "k"])
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = np.array([np.frombuffer(b, np.int64) for b in batch.column(0).to_pylist()], np.int64).reshape(-1, 2)

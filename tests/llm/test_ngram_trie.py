@@ -104,6 +104,49 @@ def test_base_is_the_add_one_unigram(spark, shards):
         assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[r["id"]])) < 1e-6 * max(1, abs(r["base_score"]))
 
 
+def by_definition(rows):
+    """Scores by dictionaries: one model, discounts over all n-grams."""
+    toks, c, n, v, *_ = brute(rows)
+    two, three, s2, s3 = Counter(), Counter(), defaultdict(list), defaultdict(list)
+    for i in toks:
+        if not nt.held_out_by_id(i):
+            t = [b"<s>", b"<s>", *toks[i]]
+            two.update(zip(t[1:], t[2:]))
+            three.update(zip(t, t[1:], t[2:]))
+    d2, d3 = (nt._discount(np.array(list(x.values()))) for x in (two, three))
+    for (b, _), k in two.items():
+        s2[b].append(k)
+    for (a, b, _), k in three.items():
+        s3[a, b].append(k)
+
+    def p(a, b, w):
+        low = (c[w] + 1) / (n + v + 1)
+        for counts, d, own, key in ((two, d2, s2.get(b), (b, w)), (three, d3, s3.get((a, b)), (a, b, w))):
+            if own:
+                low = max(counts[key] - d, 0) / sum(own) + d * len(own) / sum(own) * low
+        return low
+
+    out = {}
+    for i in toks:
+        t = [b"<s>", b"<s>", *toks[i]]
+        out[i] = sum(math.log10(p(*x)) for x in zip(t, t[1:], t[2:]))
+    return out
+
+
+@pytest.mark.parametrize(("shards", "parts"), [(1, 0), (5, 0), (5, 4), (40, 30)])
+def test_placement_does_not_alter_the_model(spark, shards, parts, monkeypatch):
+    words = np.sort(np.concatenate([nt.tokens([b"w0 w1 w2 w3 w4"])[0]]))
+    common = np.sort(nt.tokens([b"w1 w7 w9"])[0])
+    hot = (words, np.full(len(words), parts, np.uint64)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    monkeypatch.setattr(nt, "frequent_words", lambda *_: (hot, common))
+    rows = make()
+    want = by_definition(rows)
+    got = {r["id"]: r["score"] for r in nt.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=shards).collect()}
+    assert set(got) == set(want)
+    for i, x in got.items():  # what is left is quantisation
+        assert abs(x - want[i]) < 0.02 * abs(want[i]) + 0.05, i
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     got = nt.score(docs).collect()
