@@ -1,12 +1,9 @@
 """Hierarchical best-fit packing of token sequences (op 6).
 
-Level 0: each task tokenizes its documents, cuts those over the capacity into full pieces behind one
-shorter first piece, and packs the pieces best-fit in decreasing order. Bins that are full or nearly so
-are final; the others travel as items to the next level, where groups of tasks merge (``FAN_IN`` to one)
-and pack them again, until one task is left, whose bins are final too. No piece is ever left out.
-
-A task carries at most ``CARRY`` underfull bins to the next level; where it has more (pieces that cannot
-be joined, such as all of 600 of 1024 tokens), its fullest ones become final where they are.
+Each task tokenizes its documents, cuts those over the capacity into full pieces behind one shorter first
+piece, and packs the pieces best-fit in decreasing order. Bins that are full or nearly so are final. The
+pieces of all others, however many, are packed over all tasks: only the numbers of pieces of each length are
+needed to tell best-fit bins (``plan_bins``), then pieces, numbered within their length, meet by bin.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat a doc_id are pieces of
 their own; a null doc_id is carried; an empty table gives an empty result; further columns are ignored.
@@ -27,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 CAPACITY, END_ID = 1024, 2
-#: Free tokens at or under which a bin is final before the last level; tasks that merge into one; most bins carried on; pieces packed in one go.
-NEARLY_FULL, FAN_IN, CARRY, PACK_ROWS = 4, 8, 20_000, 50_000
+#: Free tokens at or under which a task's bin is final; carried pieces that a task of the last level stands for; pieces packed in one go.
+NEARLY_FULL, CARRY, PACK_ROWS = 4, 20_000, 50_000
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 BIN = pa.schema([("size", pa.int32()), ("final", pa.bool_()), ("pieces", pa.list_(PIECE))])
@@ -140,13 +137,45 @@ def _batch(bins: list[tuple[int, list]], final: list[bool]) -> Iterator[pa.Recor
         )
 
 
-def _emit(bins: list[tuple[int, list]], capacity: int, last: bool) -> Iterator[pa.RecordBatch]:
-    final = [last or capacity - size <= NEARLY_FULL for size, _ in bins]
-    open_ = [i for i, f in enumerate(final) if not f]
-    if len(open_) > CARRY:
-        for i in sorted(open_, key=lambda i: -bins[i][0])[: len(open_) - CARRY]:
-            final[i] = True
-    yield from _batch(bins, final)
+def _emit(bins: list[tuple[int, list]], capacity: int) -> Iterator[pa.RecordBatch]:
+    """Bins that are nearly full, as final ones; the pieces of the others one by one."""
+    full = [b for b in bins if capacity - b[0] <= NEARLY_FULL]
+    yield from _batch(full, [True] * len(full))
+    rest = [(p["length"], [p]) for size, pieces in bins if capacity - size > NEARLY_FULL for p in pieces]
+    yield from _batch(rest, [False] * len(rest))
+
+
+def plan_bins(counts: list[int], capacity: int) -> np.ndarray:
+    """Rows (length, first rank, pieces a bin, first bin): where best fit puts counts[n] pieces of each length n, the longest first.
+
+    Bins of equal free space are kept as ranges, so the work goes by the capacity and not by the pieces.
+    """
+    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    rows, bins = [], 0
+    for size in range(capacity, 0, -1):
+        left, rank = int(counts[size]), 0
+        for free in range(size, capacity + 1):
+            each = free // size
+            while left and (room[free] or free == capacity):
+                if free == capacity:
+                    at, n = bins, -(-left // each)
+                    bins += n
+                else:
+                    at, n = room[free].pop()
+                rows.append((size, rank, each, at))
+                whole = min(n, left // each)
+                if whole and free > each * size:
+                    room[free - each * size].append((at, whole))
+                left, rank = left - whole * each, rank + whole * each
+                if whole < n and left:
+                    if free > left * size:
+                        room[free - left * size].append((at + whole, 1))
+                    left, whole = 0, whole + 1
+                if whole < n:
+                    room[free].append((at + whole, n - whole))
+            if not left:
+                break
+    return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -165,28 +194,48 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         (full if n == capacity else items).append((n, [row]))
                 yield from _batch(full, [True] * len(full))
                 if len(items) >= PACK_ROWS:
-                    yield from _emit(best_fit(items, capacity), capacity, False)
+                    yield from _emit(best_fit(items, capacity), capacity)
                     items = []
-        yield from _emit(best_fit(items, capacity), capacity, False)
+        yield from _emit(best_fit(items, capacity), capacity)
 
-    def again(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = [(size, pieces) for batch in batches for size, pieces in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield from _emit(best_fit(items, capacity), capacity, last)
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        return run
+        n = sum((np.bincount(batch.column(0).to_numpy(), minlength=capacity + 1) for batch in batches), np.zeros(capacity + 1, np.int64))
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n.astype("<i8").tobytes()])], names=["task", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level = settle(rows.mapInArrow(first, BIN_DDL))
-    done = level.filter("final")
-    tasks = level.rdd.getNumPartitions()
-    while True:
-        tasks = max(1, -(-tasks // FAN_IN))
-        # Neighbouring tasks of the level below merge into one.
-        level = settle(level.filter("not final").coalesce(tasks).mapInArrow(again(tasks == 1), BIN_DDL))
-        done = done.unionAll(level.filter("final"))
-        if tasks == 1:
-            break
+    spark, open_ = docs.sparkSession, level.filter("not final")
+    # One row of capacity numbers a task; the checkpoint gives the same rows in the same order again.
+    counted = sorted((r["task"], np.frombuffer(r["n"], "<i8")) for r in open_.mapInArrow(lengths, "task int, n binary").collect())
+    counts = sum((n for _, n in counted), np.zeros(capacity + 1, np.int64))
+    ahead = np.cumsum([n for _, n in counted], axis=0) - [n for _, n in counted] if counted else None
+    told = spark.sparkContext.broadcast(({task: ahead[i] for i, (task, _) in enumerate(counted)}, plan_bins(counts, capacity)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        starts, runs = told.value
+        next_ = starts.get(TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)).copy()
+        span = int(counts.max()) + 1
+        key = runs[:, 0] * span + runs[:, 1]
+        for batch in batches:
+            size = batch.column(0).to_numpy().astype(np.int64)
+            order = np.argsort(size, kind="stable")
+            n = np.bincount(size, minlength=capacity + 1)
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) - (np.cumsum(n) - n)[size[order]]
+            rank += next_[size]
+            next_ += n
+            run = runs[np.searchsorted(key, size * span + rank, "right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(run[:, 3] + (rank - run[:, 1]) // run[:, 2]), batch.column(2)], names=["bin", "pieces"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // CARRY))
+    met = open_.mapInArrow(place, BIN_DDL.replace("size int, final boolean", "bin long")).repartition(parts, "bin").groupBy("bin").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
+    # Numbers of sequences are told by place, so the rows behind them are fixed first.
+    done = level.filter("final").select("pieces").unionAll(settle(met.select("pieces")))
     bins = done.select(F.monotonically_increasing_id().alias("sequence_id"), "pieces")
     sizes = F.transform("pieces", lambda p: p["length"])
     placed = bins.select("sequence_id", F.posexplode("pieces").alias("at", "p"), sizes.alias("sizes"))

@@ -61,3 +61,26 @@ def test_pack_round_trip(spark, carry, monkeypatch):
     if carry > 3:
         assert len(places) <= 1.1 * total / 50  # small tasks of 15 pieces; large ones come within a thousandth
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_plan_equals_best_fit():
+    rng = np.random.default_rng(3)
+    for top in (8, 25, 50):
+        sizes = rng.integers(1, top + 1, 400)
+        counts = np.bincount(sizes, minlength=51)
+        runs, fill = packing.plan_bins(counts, 50), defaultdict(int)
+        for size in range(1, 51):
+            own = runs[runs[:, 0] == size]
+            for rank in range(counts[size]):
+                _, first, each, at = own[np.searchsorted(own[:, 1], rank, "right") - 1]
+                fill[at + (rank - first) // each] += size
+        want = [b[0] for b in packing.best_fit([(int(n), []) for n in sizes], 50)]
+        assert sorted(fill.values()) == sorted(want)
+
+
+def test_blocks_in_different_tasks_fill_each_other(spark):
+    n = 21_000
+    low, high = (spark.range(a, a + n, 1, 1).selectExpr("id as doc_id", f"repeat(' word', {k - 1}) as text") for a, k in ((0, 6), (n, 4)))
+    got = packing.pack(low.unionAll(high), PATH, capacity=10, with_ids=False)
+    fills = got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert fills.sum() == 10 * n and len(fills) == n and (fills == 10).all()
