@@ -2,53 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
+
 TOKENS = r"[^\p{L}\p{N}]+"
 
 
+def _per_text(rows: DataFrame, id_col: str, text_col: str, width: int, make: Callable[[Column], Column], name: str) -> DataFrame:
+    """(id, name): ``make`` of each text's array of windows, structs of ``width`` neighbouring words.
+
+    The words are bound as a lambda's variable and the result passes an explode, so that a text is split
+    once: no optimizer rule repeats the expression for a filter or for every window.
+    """
+    words = F.filter(F.split(F.lower(text_col), TOKENS), lambda w: w != "")
+
+    def windows(w: Column) -> Column:
+        n = F.greatest(F.lit(0), F.size(w) - (width - 1))
+        return F.arrays_zip(*(F.slice(w, F.lit(i + 1), n).alias(f"w{i}") for i in range(width)))
+
+    return rows.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(words), lambda w: make(windows(w)))).alias(name))
+
+
+def _fields(x: Column, width: int) -> list[Column]:
+    return [x[f"w{i}"] for i in range(width)]
+
+
 def shingles(rows: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """(id, shingle): the distinct word shingles of each text. Words are made in a step of their own, so that they are split once."""
-    words = rows.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(text_col), TOKENS), lambda w: w != "").alias("w"))
-    n = F.size("w") - (width - 1)
-    made = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.array_join(F.slice(F.col("w"), i, width), " "))).otherwise(F.array().cast("array<string>"))
-    return words.select("id", F.explode(F.array_distinct(made)).alias("shingle"))
+    """(id, shingle): the distinct word shingles of each text."""
+    made = _per_text(rows, id_col, text_col, width, lambda x: F.array_distinct(F.transform(x, lambda y: F.concat_ws(" ", *_fields(y, width)))), "s")
+    return made.select("id", F.explode("s").alias("shingle"))
+
+
+def _sets(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, class_key, n, s): each text's distinct shingles as sorted 64-bit hashes; texts without any are left out.
+
+    ``class_key`` is a 256-bit digest of the set, so that equal sets meet under one key and others do not.
+    """
+    sets = _per_text(rows, id_col, text_col, width, lambda x: F.sort_array(F.array_distinct(F.transform(x, lambda y: F.xxhash64(*_fields(y, width))))), "s")
+    key = F.sha2(F.array_join(F.col("s").cast("array<string>"), " "), 256)
+    return sets.filter(F.size("s") > 0).select("id", key.alias("class_key"), F.size("s").alias("n"), "s")
 
 
-def near_pairs(rows: DataFrame, id_col: str = "id", text_col: str = "body", width: int = 5, threshold: float = 0.8, hours: int | None = None, time_col: str = "published_at") -> DataFrame:
-    """(a, b, similarity): one row per pair a < b of texts whose Jaccard similarity of shingles reaches the threshold, within ``hours`` of each other where given.
+def _class_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) for classes a < b of (rep, n, s) whose sets reach the threshold.
 
-    Prefix filter: shingles are ordered from rare to frequent, and a pair over the threshold shares one of
-    the first (1 - threshold) * n + 1 of either text. Only those are joined on, then each candidate pair is
-    verified on whole sets, so no pair is lost and frequent shingles are hardly ever join keys. Equal sets
-    are joined once per distinct set.
+    Prefix filter: shingles are ordered from rare to frequent, and two sets over the threshold share one of
+    the first (1 - threshold) * n + 1 of either. Only class numbers, sizes and places travel through that
+    join; the place of a shared shingle bounds what two sets can share at most, and what is left is made
+    distinct before both sets are fetched, once for a pair.
     """
-    posts = shingles(rows, id_col, text_col, width)
-    freq = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    sets = posts.join(freq, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    sets = sets.select("id", F.transform("s", lambda x: x["shingle"]).alias("s"))
-    sets = sets.withColumn("set_id", F.xxhash64(F.array_join("s", "|")))
-    distinct = sets.groupBy("set_id").agg(F.first("s").alias("s"))
-    first = F.slice("s", F.lit(1), (F.size("s") - F.ceil(threshold * F.size("s")) + 1).cast("int"))
-    keys = distinct.select("set_id", "s", F.explode(first).alias("shingle"))
-    other = keys.select(F.col("set_id").alias("set_b"), F.col("s").alias("s_b"), "shingle")
+    posts = classes.select("rep", "n", F.explode("s").alias("h"))
+    freq = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    order = posts.join(freq, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"), F.count(F.lit(1)).alias("m"))
+    # Shingles of one set alone come first in the order and join with nothing: they only move the places.
+    alone = (F.col("n") - F.col("m")).cast("int")
+    reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
+    keys = order.select("rep", "n", F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), reach - alone))).alias("i", "x"), alone.alias("alone"))
+    keys = keys.select("rep", "n", (F.col("i") + F.col("alone")).alias("i"), F.col("x.h").alias("h"))
+    other = keys.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), "h")
+    # The first shared place of a pair: at most that one and all behind it are shared.
+    most = F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b"))
+    first = keys.join(other, "h").filter("rep < rep_b AND n >= {0} * n_b AND n_b >= {0} * n".format(threshold))
+    first = first.groupBy("rep", "rep_b", "n", "n_b").agg(F.max(most).alias("most")).filter(F.col("most") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
+    pairs = first.select("rep", "rep_b").join(classes.select("rep", "s"), "rep").join(classes.select(F.col("rep").alias("rep_b"), F.col("s").alias("s_b")), "rep_b")
     both = F.size(F.array_intersect("s", "s_b"))
     share = both / (F.size("s") + F.size("s_b") - both)
-    sized = (F.size("s") >= threshold * F.size("s_b")) & (F.size("s_b") >= threshold * F.size("s"))
-    pairs = keys.join(other, "shingle").filter((F.col("set_id") < F.col("set_b")) & sized).dropDuplicates(["set_id", "set_b"]).select("set_id", "set_b", share.alias("similarity")).filter(F.col("similarity") >= threshold)
-    member = sets.select("id", "set_id")
-    if hours is not None:
-        member = member.join(rows.select(F.col(id_col).alias("id"), F.col(time_col).alias("at")), "id")
-    columns = ["id", *(["at"] if hours is not None else [])]
-    a, b = (member.select("set_id", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
-    linked = pairs.join(a, "set_id").join(b.withColumnRenamed("set_id", "set_b"), "set_b").select("id_a", "id_b", "similarity", *([] if hours is None else ["at_a", "at_b"]))
-    same = a.join(b, "set_id").filter("id_a < id_b").withColumn("similarity", F.lit(1.0)).select(linked.columns)
-    out = linked.unionByName(same)
-    if hours is not None:
-        span = F.abs(F.unix_micros(F.col("at_a").cast("timestamp")) - F.unix_micros(F.col("at_b").cast("timestamp")))
-        out = out.filter(span <= hours * 3_600_000_000)
-    return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+    return pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), share.alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def near_classes(rows: DataFrame, id_col: str = "id", text_col: str = "body", width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members (id, rep), links (a, b, similarity) between representatives a < b).
+
+    Texts with equal sets of shingles form a class, named by its smallest id; links are found once for a
+    class, so copies are never expanded into pairs and no link between different sets is lost.
+    """
+    sets = settle(_sets(rows, id_col, text_col, width))
+    reps = sets.groupBy("class_key").agg(F.min("id").alias("rep"))
+    members = settle(sets.select("id", "class_key").join(reps, "class_key").select("id", "rep"))
+    classes = sets.join(members.filter("id = rep"), "id", "left_semi").select(F.col("id").alias("rep"), "n", "s")
+    return members, _class_links(classes, threshold)
+
+
+def near_pairs(rows: DataFrame, id_col: str = "id", text_col: str = "body", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(a, b, similarity): links between the representatives of classes, and (representative, member, 1) for the rest of each class."""
+    members, links = near_classes(rows, id_col, text_col, width, threshold)
+    own = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return links.unionByName(own)
+
+
+def near_before(rows: DataFrame, hours: int, id_col: str = "id", text_col: str = "body", time_col: str = "published_at", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, earlier_id, similarity): for each row with a near duplicate in the ``hours`` before it, the latest such (ties: the larger id).
+
+    Rows look into the timelines of the classes linked to their own, cut into spans of ``hours``; members
+    stand in their own span and the next one, so a look-back never leaves a span and no timeline is whole
+    in one task.
+    """
+    members, links = near_classes(rows, id_col, text_col, width, threshold)
+    at = rows.select(F.col(id_col).alias("id"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("at")).filter("at is not null")
+    member = members.join(at, "id")
+    back = hours * 3_600_000_000
+    both = links.unionAll(links.select("b", "a", "similarity")).select(F.col("a").alias("rep"), F.col("b").alias("line"), "similarity")
+    asks = member.join(both, "rep").select("line", "id", "at", "similarity").unionByName(member.select(F.col("rep").alias("line"), "id", "at", F.lit(1.0).alias("similarity")))
+    span = F.floor(F.col("at") / F.lit(back)).cast("long")
+    asks = asks.select("line", span.alias("span"), "at", "id", F.lit(0).alias("kind"), "similarity")
+    held = member.select(F.col("rep").alias("line"), F.explode(F.array(span, span + 1)).alias("span"), "at", "id", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("similarity"))
+    before = Window.partitionBy("line", "span").orderBy("at", "id", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == 1, F.struct("at", "id")), ignorenulls=True).over(before)
+    seen = asks.unionByName(held).withColumn("last", last).filter((F.col("kind") == 0) & (F.col("last.at") >= F.col("at") - back))
+    best = seen.groupBy("id").agg(F.max(F.struct(F.col("last.at").alias("at"), F.col("last.id").alias("id"), "similarity")).alias("x"))
+    return best.select("id", F.col("x.id").alias("earlier_id"), F.col("x.similarity").alias("similarity"))
 
 
 def overlap(rows: DataFrame, targets: DataFrame, id_col: str, text_col: str, target_id: str, target_text: str, width: int = 5) -> DataFrame:

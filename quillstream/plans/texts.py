@@ -65,7 +65,7 @@ def exact_dedup_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_window(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.near_pairs(articles(spark, d), hours=48).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.near_before(articles(spark, d), 48).select("id", "earlier_id", F.round("similarity", 6).alias("similarity"))
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -172,10 +172,10 @@ _JUDGED = f"""{_WITH}, j AS (SELECT *, CASE WHEN id <> min(id) OVER (PARTITION B
 _COUNTS = "count(*) AS scraped, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS dropped_{r}" for r in REASONS) + ", count(*) FILTER (reason IS NULL) AS published, round(avg(score) FILTER (reason IS NULL), 1) AS avg_score"
 _SH = """{n} AS (SELECT {id} AS id, {extra} list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {src}),
     {n}s AS (SELECT id, {extra} list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM {n} WHERE len(w) >= 5)"""
-_PAIRS = f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', extra='published_at,')},
-    p AS (SELECT id, published_at, unnest(s) AS g FROM xs), f AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM p a JOIN p b USING (g) WHERE a.id < b.id GROUP BY 1, 2)
-    SELECT a, b, round(n::DOUBLE / (len(u.s) + len(v.s) - n), 6) AS similarity FROM f JOIN xs u ON u.id = a JOIN xs v ON v.id = b
-    WHERE n::DOUBLE / (len(u.s) + len(v.s) - n) >= 0.8"""
+_SIMILAR = f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', extra='published_at,')},
+    c AS (SELECT *, min(id) OVER (PARTITION BY list_sort(s)) AS rep FROM xs),
+    p AS (SELECT id, unnest(s) AS g FROM c WHERE id = rep), f AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM p a JOIN p b USING (g) WHERE a.id < b.id GROUP BY 1, 2),
+    l AS (SELECT a, b, n::DOUBLE / (len(u.s) + len(v.s) - n) AS similarity FROM f JOIN c u ON u.id = a JOIN c v ON v.id = b WHERE n::DOUBLE / (len(u.s) + len(v.s) - n) >= 0.8)"""
 
 ORACLE = {
     "slug_base": f"SELECT doc_id, {_SLUG.format(f=_FOLD)} AS slug FROM documents",
@@ -187,8 +187,10 @@ ORACLE = {
     "funnel_totals": f"{_JUDGED}, s AS (SELECT source, {_COUNTS} FROM j GROUP BY source) SELECT * FROM s UNION ALL SELECT 'total', {', '.join(f'sum({c})::BIGINT' for c in ['scraped', *(f'dropped_{r}' for r in REASONS), 'published'])}, NULL FROM s",
     "yield_alerts": f"{_JUDGED} SELECT source || '/' || lang AS source, count(*) AS scraped FROM j GROUP BY 1 HAVING count(*) > 3 AND count(*) FILTER (reason IS NULL) = 0",
     "exact_dedup_status": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'duplicate' ELSE 'update' END AS status FROM documents",
-    "near_dup_window": _PAIRS + " AND abs(epoch(u.published_at) - epoch(v.published_at)) <= 48 * 3600",
-    "near_duplicates": _PAIRS,
+    "near_dup_window": f"""{_SIMILAR}, e AS (SELECT a, b, similarity FROM l UNION ALL SELECT b, a, similarity FROM l UNION ALL SELECT DISTINCT rep, rep, 1.0 FROM c)
+        SELECT u.id, arg_max(v.id, (v.published_at, v.id)) AS earlier_id, round(arg_max(similarity, (v.published_at, v.id)), 6) AS similarity FROM e JOIN c u ON u.rep = a JOIN c v ON v.rep = b
+        WHERE (v.published_at, v.id) < (u.published_at, u.id) AND v.published_at >= u.published_at - INTERVAL 48 HOUR GROUP BY u.id""",
+    "near_duplicates": f"{_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM l UNION ALL SELECT rep, id, 1.0 FROM c WHERE id <> rep",
     "benchmark_overlap": f"WITH {_SH.format(n='x', id='doc_id', t='text', src='documents', extra='')}, {_SH.format(n='y', id='item_id', t='text', src='benchmark', extra='')}, a AS (SELECT id, unnest(s) AS g FROM xs), b AS (SELECT id AS target, unnest(s) AS g FROM ys) SELECT id AS doc_id, target, count(*) AS shared FROM a JOIN b USING (g) GROUP BY 1, 2",
     "hash_bucket_assign": f"SELECT doc_id, md5(text) AS content_hash, {sql_md5_mod('doc_id::VARCHAR', 7)} AS bucket, {sql_md5_mod('doc_id::VARCHAR', 1000003)} AS wide FROM documents",
     "rule_assignment": f"{_WITH} SELECT id, CASE WHEN tab = 'tab1' THEN 'desk' WHEN tab = 'tab2' AND len(tags) >= 8 THEN 'tagged' WHEN source IN ('src0', 'src1') THEN 'house-' || source ELSE {AUTHORS!r}[{sql_md5_mod('id::VARCHAR', 7)} + 1] END AS author FROM articles",
