@@ -45,7 +45,7 @@ def brute(rows):
     train = [i for i, _ in rows if not nt.held_out_by_id(i)]
     c = Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
-    base = {i: sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in toks[i]) for i in toks}
+    base = {i: sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in toks[i]) for i in toks}
     known = {i: sum(c[w] > 0 for w in toks[i]) for i in toks}
     return toks, c, n, v, base, known
 
