@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Every white-space byte of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..storage import settle, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+__all__ = ["WORD", "body", "free_names", "input_bytes", "read_again", "settle", "shards_for", "shared_folder", "table_path"]
 
-    Only where the session names none (tests, one machine) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or tempfile.mkdtemp(prefix="quillstream-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+#: Every white-space byte of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at exactly these.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -33,10 +20,12 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a prefix that no column of ``df`` begins with, so that helper columns never clash."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def read_again(df: DataFrame) -> DataFrame:

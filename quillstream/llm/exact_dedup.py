@@ -3,14 +3,20 @@
 * Memtable and flush: each task sorts the digests of its rows and flushes them as one sorted run, a
   Parquet file with a Bloom filter on the digest, into level 0.
 * Compaction: runs of a level merge into the next; a digest keeps its smallest and largest identifier
-  and its row count.
-* Hits (digests seen more than once) receive byte verification: their rows are grouped by digest *and*
-  text, so that texts which share a digest without being equal fall apart again.
+  and its row count. Copies meet in their task before they are shuffled.
+* The merged level tells the hits (digests seen more than once). Their filter, one bit a digest in a table
+  of at most ``FILTER_BITS`` / 64 words, is sent to the tasks that read texts: what it clears is never
+  shuffled, and a false hit costs only its own shuffle.
+* Hits receive byte verification: rows are grouped by digest *and* text, copies of a task first, so a text
+  moves once a task however many copies there are. Texts that share a digest without being equal fall
+  apart again.
+* Decisions go back to the rows by digest. Digests of more than a ``HOT_SHARE``-th of all rows, fewer than
+  ``HOT_SHARE`` by count, are sent to every task, so that no task receives all rows of a digest.
 
 Defined cases: a null text is the empty text; a null doc_id sorts below all others; rows that repeat a
-doc_id count one by one in group_size and share ``kept``, ``drop_copies`` returns one of them; an empty
-table gives an empty result; columns beside the id and the text are carried through ``drop_copies`` and
-otherwise ignored, whatever their names.
+doc_id count one by one in group_size and share ``kept``, ``drop_copies`` returns one of them; very long
+texts are texts as any other; an empty table gives an empty result; columns beside the id and the text are
+carried through ``drop_copies`` and otherwise ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, settle, table_path
+from .common import body, free_names, settle, table_path
+
+#: Bits of the filter of hits; digests with more than this share of the rows are broadcast.
+FILTER_BITS, HOT_SHARE = 1 << 24, 10_000
 
 
 def sha256(text: Column) -> Column:
@@ -47,33 +56,72 @@ def compact(spark: SparkSession, runs: list[str], path: str, levelled: bool = Fa
     _write_run(merged, path)
 
 
-def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest=sha256) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(level 0 as (id, digest), groups (digest, keep_id, group_size) of digests with one text and more than one row, collided groups with their text or None)."""
-    spark = docs.sparkSession
-    level0, level1 = table_path(spark, "runs-0"), table_path(spark, "runs-1")
-    flush(docs, level0, id_col, text_col, digest)
-    compact(spark, [level0], level1)
-    keys = spark.read.parquet(level0)
-    hits = spark.read.parquet(level1).filter("rows > 1").select("digest")
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
-    pick = F.max("id") if keep == "largest" else F.min("id")
-    groups = settle(
-        rows.join(hits, "digest", "left_semi").groupBy("digest", "body").agg(pick.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    collided = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
-    if collided.isEmpty():
-        return keys, groups.select("digest", "keep_id", "group_size"), None
-    return keys, groups.join(collided, "digest", "left_anti").select("digest", "keep_id", "group_size"), groups.join(collided, "digest", "left_semi")
+def _bit(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS).cast("long"))
+
+
+def hit_filter(hits: DataFrame) -> DataFrame:
+    """(word, mask): the Bloom filter of the digests, at most ``FILTER_BITS`` / 64 rows."""
+    at = _bit(F.col("digest"))
+    bits = hits.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
+    return bits.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+class Index:
+    """The merged index of a table: ``keys`` (id, digest) of every row, ``groups`` (digest, keep_id,
+    group_size) of copies, and ``collided`` (digest, body, keep_id, group_size) of texts that share a digest
+    without being equal, None where there are none."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest=sha256):
+        spark = docs.sparkSession
+        level0, level1 = table_path(spark, "runs-0"), table_path(spark, "runs-1")
+        flush(docs, level0, id_col, text_col, digest)
+        compact(spark, [level0], level1)
+        self.keys = spark.read.parquet(level0)
+        self._words = settle(hit_filter(spark.read.parquet(level1).filter("rows > 1").select("digest")))
+        self._hot_rows = self.keys.count() // HOT_SHARE + 1
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), body(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
+        pick = F.max("id") if keep == "largest" else F.min("id")
+        texts = self.probed(rows, "digest", "hit").filter("hit").groupBy("digest", "body").agg(pick.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        per_digest = texts.select("digest", "keep_id", "group_size").groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        verified = settle(per_digest.filter("group_size > 1"))
+        self.groups = verified.filter("texts = 1").drop("texts")
+        clashing = verified.filter("texts > 1").select("digest")
+        self.collided = None if clashing.isEmpty() else settle(texts.join(clashing, "digest", "left_semi"))
+
+    def probed(self, rows: DataFrame, digest: str, name: str) -> DataFrame:
+        """``rows`` with the column ``name``: whether the filter lets the digest pass. No shuffle; the filter's size is bounded."""
+        word, mask = free_names(rows, "word", "mask")
+        words = F.broadcast(self._words.select(F.col("word").alias(word), F.col("mask").alias(mask)))
+        at = _bit(F.col(digest))
+        set_ = F.call_function("shiftrightunsigned", F.col(mask), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return rows.withColumn(word, F.shiftright(at, 6)).join(words, word, "left").withColumn(name, F.coalesce(set_, F.lit(False))).drop(word, mask)
+
+    def told(self, rows: DataFrame, digest: str, keep_id: str, group_size: str) -> DataFrame:
+        """``rows`` with the id that stays and the size of their group; null where a row is alone. Hot digests meet by broadcast: at most ``HOT_SHARE`` of them."""
+        known = self.groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep_id), F.col("group_size").alias(group_size))
+        hot = known.filter(F.col(group_size) > self._hot_rows)
+        cold = known.filter(F.col(group_size) <= self._hot_rows)
+        rest = rows.join(F.broadcast(hot.select(digest)), digest, "left_anti").join(cold, digest, "left")
+        return rest.unionByName(rows.join(F.broadcast(hot), digest))
+
+    def parted(self, rows: DataFrame, digest: str, text: str, keep_id: str, group_size: str) -> DataFrame:
+        """As ``told``, and with the text for digests that different texts share."""
+        if self.collided is None:
+            return self.told(rows, digest, keep_id, group_size)
+        wide = self.collided.select(F.col("digest").alias(digest), F.col("body").alias(text), F.col("keep_id").alias(keep_id), F.col("group_size").alias(group_size))
+        own = self.told(rows.join(wide.select(digest).distinct(), digest, "left_anti"), digest, keep_id, group_size)
+        return own.unionByName(rows.join(wide, [digest, text]))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest=sha256) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, kept."""
-    keys, groups, collided = verified_groups(docs, id_col, text_col, keep, digest)
-    own = keys if collided is None else keys.join(collided.select("digest").distinct(), "digest", "left_anti")
-    out = own.join(groups, "digest", "left").select("id", "digest", "keep_id", "group_size")
-    if collided is not None:
-        rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
-        out = out.unionByName(rows.join(collided, ["digest", "body"]).select("id", "digest", "keep_id", "group_size"))
+    index = Index(docs, id_col, text_col, keep, digest)
+    if index.collided is None:
+        out = index.told(index.keys, "digest", "keep_id", "group_size")
+    else:
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), body(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
+        out = index.parted(rows, "digest", "body", "keep_id", "group_size")
     alone = F.col("group_size").isNull()
     return out.select(
         "id",
@@ -85,20 +133,15 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest=sha256) -> DataFrame:
-    """``docs`` without the copies: of equal texts the row with the largest (or smallest) id stays, once."""
-    keys, groups, collided = verified_groups(docs, id_col, text_col, keep, digest)
-    d, b, k, n = "__digest", "__body", "__keep", "__size"
-    rows = docs.withColumns({b: body(text_col)}).withColumn(d, digest(F.col(b)))
-    groups = groups.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("group_size").alias(n))
-    own = rows
-    if collided is not None:
-        wide = collided.select(F.col("digest").alias(d), F.col("body").alias(b), F.col("keep_id").alias(k), F.col("group_size").alias(n))
-        own = rows.join(wide.select(d).distinct(), d, "left_anti")
-    out = own.join(groups, d, "left")
-    if collided is not None:
-        out = out.unionByName(rows.join(wide, [d, b]))
-    kept = out.filter(F.col(n).isNull() | F.col(id_col).eqNullSafe(F.col(k)))
-    repeated = keys.join(groups.select(F.col(d).alias("digest"), k), "digest").filter(F.col("id").eqNullSafe(F.col(k))).groupBy("digest").count().filter("count > 1")
-    if not repeated.isEmpty():
+    """``docs`` without the copies: of equal texts the row with the largest (or smallest) id stays, once. Texts that the filter clears are not shuffled."""
+    index = Index(docs, id_col, text_col, keep, digest)
+    d, b, k, n, hit = free_names(docs, "digest", "body", "keep", "size", "hit")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = index.probed(docs.withColumn(b, body(text_col)).withColumn(d, digest(F.col(b))), d, hit)
+    told = index.parted(rows.filter(hit), d, b, k, n)
+    kept = told.filter(F.col(n).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(k)))
+    # Rows that repeat the id that stays: only then one of them is picked.
+    repeated = index.told(index.keys, "digest", "keep", "size").filter("size is not null and id <=> keep").groupBy("digest").count().filter("count > 1")
+    if index.collided is not None or not repeated.isEmpty():
         kept = kept.dropDuplicates([d, b])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.filter(~F.col(hit)).select(*columns).unionByName(kept.select(*columns))

@@ -7,7 +7,9 @@ A query counts collisions: around its own projection a window opens in each arra
 (virtual rehashing); a vector that lies in enough windows is verified with its exact inner product in
 double precision. Widening ends once the k-th best verified vector is nearer than the distance that the
 windows stand for. Every query visits every block, and block results are merged, so no row is left out;
-only a block's index and one batch of queries are in memory at once.
+only a block's index and one batch of queries are in memory at once. A block is built once and the queries
+stream through it; it is dealt to several tasks only to keep all cores busy while blocks are few, and once
+more for every ``TASK_QUERIES`` queries, which bounds what a lost task costs.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do such of another
 length than the most usual one. Ties go to the smaller id; with fewer candidates than k, all are returned;
@@ -26,9 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Random directions; window half-width as a share of the distance; growth of the distance from step to step; how many standard deviations under the expected collisions a vector at that distance is still verified.
-PROJECTIONS, WIDTH, GROWTH, SLACK = 64, 0.8, 1.06, 0.8
-#: Vectors of a block and queries of a chunk; their product bounds a task.
-BLOCK_ROWS, CHUNK_ROWS = 16_384, 512
+PROJECTIONS, WIDTH, GROWTH, SLACK = 64, 0.8, 1.06, 1.3
+#: Vectors of a block, queries that are searched at once, and the most queries of a task; block and task bound the work of one.
+BLOCK_ROWS, CHUNK_ROWS, TASK_QUERIES = 16_384, 512, 65_536
 #: Distances of the steps, up to the largest that two vectors of the scaled space can have.
 REACHES = 0.7 * GROWTH ** np.arange(1 + int(np.ceil(np.log(2 / 0.7) / np.log(GROWTH))))
 
@@ -112,6 +114,12 @@ class Block:
         return self.ids[which[top]], value[top], step
 
 
+def _tasks(table: DataFrame) -> int:
+    """Two tasks a core of the session, or its shuffle partitions where these are more."""
+    spark = table.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` holds on the columns id and v."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -122,7 +130,10 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = rows.filter(F.size("v") == length["n"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     largest = rows.agg(F.max(norm).alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks, chunks, longest = -(-largest["n"] // BLOCK_ROWS), max(1, -(-largest["q"] // CHUNK_ROWS)), float(largest["m"])
+    blocks, longest = -(-largest["n"] // BLOCK_ROWS), float(largest["m"])
+    # Tasks that use all cores while blocks are few; no more of them than there are chunks of queries.
+    wanted = min(-(-_tasks(table) // blocks), -(-largest["q"] // CHUNK_ROWS))
+    chunks = max(1, wanted, -(-largest["q"] // TASK_QUERIES))
     spread = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("id", "v", spread(1, blocks).alias("block"), F.lit(0).alias("kind")).select("*", every(chunks).alias("chunk"))
@@ -149,8 +160,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     continue
                 if block is None and ids:
                     block = Block(np.concatenate(ids), np.concatenate(vectors), longest)
-                if block is not None:
-                    answer += [(int(q), *got) for q, got in zip(own[a:b], block.search(own[a:b], flat[a:b], k), strict=True)]
+                for at in range(a, b if block is not None else a, CHUNK_ROWS):
+                    some = slice(at, min(b, at + CHUNK_ROWS))
+                    answer += [(int(q), *got) for q, got in zip(own[some], block.search(own[some], flat[some], k), strict=True)]
             if answer:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in answer]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in answer]), pa.int64()), pa.array(np.concatenate([s for *_, s in answer]), pa.float64())],

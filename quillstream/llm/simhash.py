@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_names, settle
 from .components import components
 
 SEED = 42
@@ -193,5 +193,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 3) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
-    gone = near_copies(docs, id_col, text_col, width, threshold).filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(settle(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    (gone,) = free_names(docs, "gone")
+    drop = near_copies(docs, id_col, text_col, width, threshold).filter("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    return docs.join(settle(drop), F.col(f"`{id_col}`") == F.col(gone), "left_anti")

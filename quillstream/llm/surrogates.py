@@ -5,15 +5,17 @@ hexadecimal and other secrets, street addresses, IPv6 addresses, given names and
 entity's canonical form and keeps type, script, letter case, punctuation and length class; cards that
 pass the Luhn check, IBANs and octets stay valid; given names keep their gender; a mail domain is replaced
 alike in all its addresses. Since the canonical form decides, an entity has one replacement in the whole
-corpus however it is written (coreference), and a surname found once in a text is also replaced where it
-stands alone in that text.
+corpus however it is written (coreference), and a name found once in a text is also replaced where it
+stands alone, written alike, in that text.
 
 Collision check: over the table of distinct entities, a replacement that two entities of a kind share, or
 that is itself an entity of the corpus, goes to the one that comes first; the others draw again, until all
 are distinct.
 
 Defined cases: a null text stays null, an empty or clean text stays as it is; rows that repeat a doc_id or
-a text get the same result; an empty table gives an empty result; further columns are carried.
+a text get the same result; very long texts are searched whole, in one pass; of entities that tie for a
+replacement the first in order keeps it; an empty table gives an empty result; further columns are carried,
+whatever their names, except pii_count and pii_kinds, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_names, settle
 
 # Given names by script and gender, titles, kinds of streets, syllables of composed surnames.
 GIVEN = {
@@ -38,6 +40,7 @@ SYLLABLES = {
     "latin": "bal bor cal car dal den dor fal far gal gor hal har jal kel kor lan lor mal mar nel nor pal per quin ral ros sal sor tal tor val ver wal wen yor zel zan bri cle dun fen gil hol".split(),
     "cyrillic": "бал бор вал вер гал гор дал дор жал зел кал кор лан лор мал мар нел нор пал пер рал рос сал сор".split(),
 }
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "", ("cyrillic", "f"): "а", ("cyrillic", "m"): ""}
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _NAMES = "|".join(sorted((n for names in GIVEN.values() for n in names), key=lambda n: (-len(n), n)))
@@ -45,8 +48,8 @@ _TITLES = "|".join(TITLES)
 _EDGE, _WORD = r"(?<![\p{L}\p{N}_])", r"\p{Lu}[\p{Ll}\p{M}'’-]{1,40}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,127}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,128})(?![0-9A-Za-z])|(?<=[=:\"']|[=:][ ])(?<=(?:password|passwd|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,128}",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,})(?![0-9A-Za-z])|(?<=[=:\"']|[=:][ ])(?<=(?:password|passwd|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,}",
+    "hex": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ip6": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
@@ -158,7 +161,7 @@ def _replacement(kind: Column, form: Column, attempt: Column, key: str) -> Colum
     for (script, gender), names in GIVEN.items():
         pick = F.lower(F.element_at(_pool(names), (draw.number(0) % len(names) + 1).cast("int")))
         # A list that is used up is gone on with by composed names.
-        out = out.when(kind == f"given_{gender}_{script}", F.when(attempt < 6, pick).otherwise(F.concat(composed[script], F.lit({"f": "a", "m": ""}[gender] if script == "latin" else ""))))
+        out = out.when(kind == f"given_{gender}_{script}", F.when(attempt < 6, pick).otherwise(F.concat(composed[script], F.lit(ENDINGS[script, gender]))))
     return out.otherwise(swapped)
 
 
@@ -173,7 +176,9 @@ def _render(match: Column, kind: Column, new: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, new) for distinct (kind, form): distinct replacements, none of them an entity itself."""
-    rows = settle(entities.select("kind", "form").distinct().withColumn("attempt", F.lit(0)))
+    # A fixed number of partitions: drawing is costly per row and small in bytes, so adaptive merging would leave it to one task.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(entities.select("kind", "form").distinct().withColumn("attempt", F.lit(0)).repartition(parts, "kind", "form"))
     while True:
         drawn = settle(rows.withColumn("new", _replacement(F.col("kind"), F.col("form"), F.col("attempt"), key)))
         first = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "new", F.col("first.form").alias("owner"))
@@ -182,33 +187,35 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         judged = settle(joined.select("kind", "form", "attempt", "new", (F.coalesce(F.col("owner") != F.col("form"), F.lit(False)) | F.coalesce("real", F.lit(False))).alias("again")))
         if judged.filter("again").isEmpty():
             return judged.select("kind", "form", "new")
-        rows = judged.select("kind", "form", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        rows = judged.select("kind", "form", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")).repartition(parts, "kind", "form")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text's entities replaced and the columns pii_count and pii_kinds (sorted) behind."""
-    text = F.col(text_col)
+    """``docs`` with the text's entities replaced and the columns pii_count and pii_kinds (sorted) behind; columns of these names are replaced."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("pii_count", "pii_kinds")])
+    ref_name, new_name = free_names(docs, "ref", "new")
+    text = F.col(f"`{text_col}`")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     none = [F.lit(0).alias("pii_count"), F.array().cast("array<string>").alias("pii_kinds")]
     # Texts that the first look clears are done; only the others are searched and joined.
     look = F.coalesce(text.rlike(_LOOK), F.lit(False))
     clean = docs.filter(~look).select(*columns, *none)
     ref = F.sha2(text, 256)
-    spots = docs.filter(look).select(ref.alias("__ref"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "match")).distinct()
+    spots = docs.filter(look).select(ref.alias("ref"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "match")).distinct()
     spots = spots.withColumn("kind", _kind(F.col("match")))
     spots = settle(spots.withColumn("form", _canonical(F.col("kind"), F.col("match"))))
     new = assign(spots, key)
-    placed = spots.join(new, ["kind", "form"]).select("__ref", F.struct("at", _render(F.col("match"), F.col("kind"), F.col("new")).alias("new"), "match", F.split("kind", "_")[0].alias("kind")).alias("x"))
-    per_text = settle(placed.groupBy("__ref").agg(F.array_sort(F.collect_list("x")).alias("__new")))
-    rows = docs.filter(look).withColumn("__ref", ref).join(per_text, "__ref", "left")
-    between = F.split(text, PATTERN, -1)
-    put = F.concat(F.array_join(F.transform("__new", lambda x: F.concat(F.get(between, x["at"]), x["new"])), ""), F.get(between, F.size("__new")))
-    surnames = F.array_distinct(F.transform(F.filter("__new", lambda x: x["kind"] == "surname"), lambda x: F.struct(x["match"].alias("old"), x["new"].alias("new"))))
-    # A surname that was found is the same person where it stands alone in the text.
-    put = F.aggregate(surnames, put, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), s["old"], F.lit(r"\E(?![\p{L}\p{N}_])")), s["new"]))
-    kinds = F.array_sort(F.array_distinct(F.transform("__new", lambda x: x["kind"])))
-    hit = F.col("__new").isNotNull()
-    put, count = F.when(hit, put).otherwise(text), F.coalesce(F.when(hit, F.size("__new")), F.lit(0))
+    placed = spots.join(new, ["kind", "form"]).select("ref", F.struct("at", _render(F.col("match"), F.col("kind"), F.col("new")).alias("new"), "match", F.split("kind", "_")[0].alias("kind")).alias("x"))
+    per_text = settle(placed.groupBy(F.col("ref").alias(ref_name)).agg(F.array_sort(F.collect_list("x")).alias(new_name)))
+    rows = docs.filter(look).withColumn(ref_name, ref).join(per_text, ref_name, "left")
+    between, found = F.split(text, PATTERN, -1), F.col(new_name)
+    put = F.concat(F.array_join(F.transform(found, lambda x: F.concat(F.get(between, x["at"]), x["new"])), ""), F.get(between, F.size(found)))
+    names = F.array_distinct(F.transform(F.filter(found, lambda x: x["kind"].isin("given", "surname")), lambda x: F.struct(x["match"].alias("old"), x["new"].alias("new"))))
+    # A name that was found is the same person where it stands alone in the text; a replacement is never replaced again, since none is a name of the corpus.
+    put = F.aggregate(names, put, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), s["old"], F.lit(r"\E(?![\p{L}\p{N}_])")), s["new"]))
+    kinds = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["kind"])))
+    hit = found.isNotNull()
+    put, count = F.when(hit, put).otherwise(text), F.coalesce(F.when(hit, F.size(found)), F.lit(0))
     kinds = F.coalesce(kinds, F.array().cast("array<string>"))
     done = rows.select(*[put.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], count.alias("pii_count"), kinds.alias("pii_kinds"))
     return clean.unionByName(done)

@@ -58,3 +58,15 @@ def test_compaction_merges_levels(spark, tmp_path):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.copies(docs).count() == 0 and exact_dedup.drop_copies(docs).count() == 0
+
+
+@pytest.mark.parametrize("share", [1, 10_000])
+def test_hot_digests_and_repeated_ids(spark, monkeypatch, share):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+    rows = [(i, "copied text" if i % 3 else f"own {i}", "x") for i in range(300)] + [(299, "copied text", "again")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = exact_dedup.copies(docs).collect()
+    size = sum(t == "copied text" for _, t, _ in rows)
+    assert len(got) == 301 and sum(r["group_size"] == size for r in got) == size and sum(r["kept"] for r in got if r["group_size"] > 1) == 2
+    left = exact_dedup.drop_copies(docs).collect()
+    assert len(left) == 101 and len({r["text"] for r in left}) == 101

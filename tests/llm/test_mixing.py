@@ -65,3 +65,26 @@ def test_mix_holds_what_the_plan_takes(spark):
     want = {r["id"]: r["taken"] for r in mixing.plan(docs).filter("taken > 0").collect()}
     assert got == want
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    words = lambda w, n: " ".join([w] * n)
+    docs = spark.createDataFrame([(1, words("a", 10), "s", 1), (1, words("b", 100), "s", 2), (2, words("c", 50), "s", 3), (None, words("d", 7), None, 4), (3, words("e", 9), "s", 5), (3, words("e", 9), "s", 6)], "doc_id long, text string, source string, extra int")
+    plan = mixing.plan(docs).collect()
+    out = mixing.mix(docs).collect()
+    held = defaultdict(int)
+    for r in out:
+        held[r["text"][0]] += len(r["text"].split())
+    want = defaultdict(int)
+    for r in plan:
+        want[{10: "a", 100: "b", 50: "c", 7: "d", 9: "e"}[r["size"]]] += r["taken"]
+    assert held == {k: n for k, n in want.items() if n} and sum(held.values()) == sum(r["taken"] for r in plan)
+
+
+def test_sizes_and_targets_against_sql(spark):
+    import duckdb
+
+    got = mixing.plan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("id", "size", "source_size").toPandas()
+    want = duckdb.sql("""WITH s AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '/root/testdata/sf0.001/documents.parquet')
+        SELECT id, size, sum(size) OVER (PARTITION BY source)::BIGINT AS source_size FROM s""").df()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
