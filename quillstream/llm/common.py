@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import settle, shared_folder
+from ..storage import settle, shared_folder, table_path
 
 __all__ = ["WORD", "body", "free_names", "input_bytes", "read_again", "settle", "shards_for", "shared_folder", "table_path"]
 
@@ -15,11 +13,6 @@ __all__ = ["WORD", "body", "free_names", "input_bytes", "read_again", "settle",
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names`` with a prefix that no column of ``df`` begins with, so that helper columns never clash."""
     mark = "__"
