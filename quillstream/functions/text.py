@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,12 +30,37 @@ def fold(c: Column | str) -> Column:
     return F.translate(col(c), ACCENTED, PLAIN)
 
 
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """What the compatibility decomposition leaves of each non-ASCII sign of the basic plane in ASCII: (signs, the one sign each leaves, signs that leave several)."""
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        left = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if not 0xD800 <= code < 0xE000 else ""
+        if left:
+            (one if len(left) == 1 else several)[chr(code)] = left
+    return "".join(one), "".join(one.values()), several
+
+
+_SIGNS, _LEFT, _SEVERAL = _decomposed()
+_SEVERAL_CLASS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in _SEVERAL) + "]"
+
+
+def to_ascii(c: Column | str) -> Column:
+    """Dotless and dotted i as Turkish has them, every other sign by its decomposition, what has none goes.
+
+    Signs that leave several letters (ligatures, fractions) are rare: only texts that hold one are taken apart.
+    """
+    s = F.translate(col(c), "çşığöüÇŞİĞÖÜ", "csigoucsigou")
+    table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    apart = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    s = F.when(s.rlike(_SEVERAL_CLASS), apart).otherwise(s)
+    return F.regexp_replace(F.translate(s, _SIGNS, _LEFT), r"[^\x00-\x7F]", "")
+
+
 def slug(c: Column | str, cut: int = 80, default: str | None = None) -> Column:
-    """URL key: fold, drop other non-ASCII, lower, runs of blanks to '-', no dash at the ends, before and after the cut."""
-    s = F.lower(F.regexp_replace(fold(c), r"[^\x00-\x7F]", ""))
-    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9_\s-]", ""), r"[\s_]+", "-")
-    s = F.regexp_replace(F.regexp_replace(s, "-+", "-"), "^-+|-+$", "")
-    s = F.regexp_replace(F.substring(s, 1, cut), "-+$", "")
+    """URL key: ASCII, lower, other signs than letters, digits, '_', '-' and blanks go, runs of blanks and '_' to '-' (dashes of the text stay), no dash at the ends, before and after the cut."""
+    s = F.lower(to_ascii(c))
+    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9_\s\x1c-\x1f-]", ""), r"[\s\x1c-\x1f_]+", "-")
+    s = F.regexp_replace(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, cut), "-+$", "")
     return s if default is None else F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
@@ -59,6 +85,21 @@ def dashes_to_commas(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"\s*(?:—|–|--)\s*", ", ")
 
 
+def dashes_to_commas_strict(c: Column | str) -> Column:
+    """The same for a text that keeps runs of three or more hyphens."""
+    return F.regexp_replace(col(c), r"\s*(?:—|–|(?<!-)--(?!-))\s*", ", ")
+
+
+def strip_caption_credit(c: Column | str) -> Column:
+    """A credit at the end of a caption goes: in brackets, or behind a bar or 'Photo:'."""
+    return F.trim(F.regexp_replace(col(c), r"(?i)\s*(?:\([^()]*(?:photo|image|credit|getty|reuters|afp|source)[^()]*\)|\|[^|]*|(?:photo|image|credit|source)s?\s*[:/].*)$", ""))
+
+
+def rewrite_image(url: Column | str, pattern: Column, to: Column) -> Column:
+    """The rewrite rule of a source, given as columns; a source without a rule keeps its URL."""
+    return F.when(pattern.isNull(), col(url)).otherwise(F.regexp_replace(col(url), pattern, F.coalesce(to, F.lit(""))))
+
+
 def strip_dateline(c: Column | str) -> Column:
     """'LONDON (Agency) — ' at the start of a text goes."""
     return F.regexp_replace(col(c), r"^\p{Lu}[\p{Lu} .,'-]{1,40}(?:\([^)]{1,40}\))?\s*[—–-]\s+", "")
@@ -176,8 +217,10 @@ def image_stem(c: Column | str) -> Column:
 
 def noise_image(c: Column | str, least: int = 400) -> Column:
     """Icons, trackers and pictures whose name tells a small size."""
+    # Sizes of advertisements.
+    sizes = "(?:300x250|728x90|160x600|320x50|970x250|336x280|468x60|300x600|970x90|250x250)"
     w, h = (F.expr(f"try_cast(nullif(regexp_extract(`{c}`, '-([0-9]+)x([0-9]+)[.][A-Za-z]+', {i}), '') as int)") for i in (1, 2))
-    return F.lower(col(c)).rlike(r"(?:logo|icon|avatar|pixel|sprite|banner|/ads?/)") | F.coalesce(F.least(w, h) < least, F.lit(False))
+    return F.lower(col(c)).rlike(r"(?:logo|icon|avatar|pixel|sprite|banner|/ads?/)") | col(c).rlike(rf"-{sizes}[.]") | F.coalesce(F.least(w, h) < least, F.lit(False))
 
 
 def variant_widths(width: Column | str, ladder: tuple[int, ...] = (400, 800, 1200)) -> Column:

@@ -112,6 +112,12 @@ def hamming_hex(a: Column | str, b: Column | str, digits: int = 64) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(1, digits, 8)))
 
 
+def budget_simple(text: Column | str) -> Column:
+    """An amount with an optional 'million', no currency: null where there is none."""
+    amount = F.regexp_replace(F.regexp_extract(col(text), r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "")
+    return F.nullif(amount, F.lit("")).try_cast("double") * F.when(F.lower(col(text)).contains("million"), 1_000_000.0).otherwise(1.0)
+
+
 def remap(tags: Column | str, changes: dict[str, str | None]) -> Column:
     """Distinct sorted array after a mapping; what maps to None goes, an empty array stays empty."""
     pairs = [x for k, v in changes.items() for x in (F.lit(k), F.lit(v))]

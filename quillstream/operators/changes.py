@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,11 @@ def toggle(saved: DataFrame, clicks: DataFrame, keys: list[str]) -> DataFrame:
     return saved.select(*keys).join(odd, keys, "left_anti").unionByName(odd.join(saved.select(*keys), keys, "left_anti"))
 
 
+def reserved(live: DataFrame, retired: DataFrame, key: str) -> DataFrame:
+    """Keys that no new row may take: those in use and those that were."""
+    return live.select(key).unionByName(retired.select(key)).distinct()
+
+
 def purge(rows: DataFrame, deadline: str, now: Column) -> DataFrame:
     """Rows whose deadline has passed go; an unknown deadline stays."""
     return rows.filter(F.col(deadline).isNull() | (F.col(deadline) >= now))
@@ -77,13 +84,32 @@ def write_if_changed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return made.filter(differs).select(*(F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def unreferenced(objects: DataFrame, path: str, texts: DataFrame, text: str, root: str) -> DataFrame:
-    """Objects that no text mentions: an anti-join on extracted paths, then a raw search for the few that are left."""
+def _cutter(c: str, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.substr(F.col(c), i, F.lit(n))
+
+
+def unreferenced(objects: DataFrame, path: str, texts: DataFrame, text: str, root: str, window: int = 8) -> DataFrame:
+    """Objects that no text mentions: an anti-join on extracted paths, then on raw mentions anywhere in a run of path signs.
+
+    A path that stands in a run begins at one of its places, so runs are joined on all their windows of
+    ``window`` signs with the path's first ones, and the few that meet are compared whole. No text is
+    compared with every path. Paths shorter than a window are met by windows of their own length.
+    """
     from ..functions.text import object_paths
 
     named = texts.select(F.explode(object_paths(text, root)).alias(path)).distinct()
-    left = objects.join(named, path, "left_anti")
-    return left.join(texts.select(F.col(text).alias("__t")), F.contains(F.col("__t"), F.col(path)), "left_anti")
+    left = objects.join(named, path, "left_anti").withColumn("__n", F.least(F.length(path), F.lit(window)))
+    sizes = sorted(r[0] for r in left.select("__n").distinct().collect())  # at most ``window`` of them
+    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}/_.%~+@-]+"), F.lit(0)))).alias("__run")).distinct()
+    found = None
+    for n in sizes:
+        spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__run") - n + 1))
+        posts = runs.filter(F.length("__run") >= n).select("__run", F.explode(F.array_distinct(F.transform(spots, _cutter("__run", n)))).alias("__head"))
+        heads = left.filter(F.col("__n") == n).select(path, F.substring(path, 1, n).alias("__head"))
+        own = heads.join(posts, "__head").filter(F.contains("__run", F.col(path))).select(path)
+        found = own if found is None else found.unionByName(own)
+    left = left.drop("__n")
+    return left if found is None else left.join(found.distinct(), path, "left_anti")
 
 
 def registry_drift(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -99,23 +125,21 @@ def registry_drift(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> D
 
 
 def allocate_keys(rows: DataFrame, base: str, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
-    """Unique keys: a base's first row gets it bare, the next ones '-2', '-3', ..., past those taken.
+    """Unique keys: a base's rows get, in order, the bare base and then '-2', '-3', ..., the first ones that are free.
 
-    A made key may be the literal base of another row ('x-2'); such rows move behind the largest number of
-    their base in a second pass over the clashes only.
+    Not free are the keys of ``taken`` and the literal bases of other rows ('x-2'), which keep their bare
+    form. The k-th row takes the k-th free number: the taken numbers t of a base, in order, move it on while
+    t - (its place among them) is at most k.
     """
-    if taken is None:
-        taken = rows.sparkSession.createDataFrame([], "key string")
-    number = F.coalesce(F.expr("try_cast(nullif(regexp_extract(key, '-([0-9]{1,9})$', 1), '') as long)"), F.lit(1))
-    used = taken.select(F.regexp_replace("key", "-[0-9]{1,9}$", "").alias("__stem"), number.alias("__m"), "key")
-    bare = taken.select(F.col("key").alias("__stem"), F.lit(1).cast("long").alias("__m"))
-    most = used.select("__stem", "__m").unionByName(bare).groupBy("__stem").agg(F.max("__m").alias("__most"))
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    numbered = rows.withColumn("__n", n).join(most, F.col(base) == F.col("__stem"), "left").withColumn("__n", (F.col("__n") + F.coalesce("__most", F.lit(0))).cast("long")).drop("__stem", "__most")
-    made = numbered.withColumn("key", F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("__n").cast("string"))))
-    # The bare row keeps a key that two bases lead to; the numbered one moves on.
-    clash = made.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("key", "__c")
-    last = made.groupBy(base).agg(F.max("__n").alias("__last"))
-    again = made.join(clash, "key", "left").join(last, base)
-    moved = F.col("__c").isNotNull() & (F.col("__n") > 1)
-    return again.withColumn("key", F.when(moved, F.concat(F.col(base), F.lit("-"), (F.col("__last") + F.col("__n")).cast("string"), F.lit("x"))).otherwise(F.col("key"))).drop("__n", "__c", "__last")
+    literal = rows.select(F.col(base).alias("key")).distinct().filter(F.col("key").rlike("-[1-9][0-9]{0,8}$"))
+    numbered = literal if taken is None else literal.unionByName(taken.select("key"))
+    number = F.expr("try_cast(nullif(regexp_extract(key, '-([1-9][0-9]{0,8})$', 1), '') as long)")
+    used = numbered.select(F.regexp_replace("key", "-[0-9]{1,9}$", "").alias("__stem"), number.alias("__m")).filter("__m >= 2")
+    if taken is not None:
+        used = used.unionByName(taken.select(F.col("key").alias("__stem"), F.lit(1).cast("long").alias("__m")))
+    gaps = used.distinct().groupBy("__stem").agg(F.sort_array(F.collect_list("__m")).alias("__t"))
+    gaps = gaps.select("__stem", F.transform("__t", lambda t, i: t - i).alias("__t"))
+    n = F.row_number().over(Window.partitionBy(base).orderBy(*order)).cast("long")
+    placed = rows.withColumn("__k", n).join(gaps, F.col(base) == F.col("__stem"), "left")
+    at = F.col("__k") + F.coalesce(F.size(F.filter("__t", lambda t: t <= F.col("__k"))), F.lit(0))
+    return placed.withColumn("key", F.when(at == 1, F.col(base)).otherwise(F.concat_ws("-", base, at.cast("string")))).drop("__k", "__stem", "__t")

@@ -75,9 +75,13 @@ def gains(new_words: Column, old_words: Column) -> Column:
 
 def keeps_tags(before: str, after: str, tags: tuple[str, ...] = ("p", "h2", "h3", "ul", "li", "table", "img", "a")) -> Column:
     """No tag of these became rarer."""
+    return keeps_tags_columns(F.col(before), F.col(after), tags)
+
+
+def keeps_tags_columns(before: Column, after: Column, tags: tuple[str, ...] = ("p", "h2", "h3", "ul", "li", "table", "img", "a")) -> Column:
     out = F.lit(True)
     for t in tags:
-        out &= F.regexp_count(F.col(after), F.lit(f"(?i)<{t}[ >]")) >= F.regexp_count(F.col(before), F.lit(f"(?i)<{t}[ >]"))
+        out &= F.regexp_count(after, F.lit(f"(?i)<{t}[ >]")) >= F.regexp_count(before, F.lit(f"(?i)<{t}[ >]"))
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,29 +81,41 @@ def latest_per_group(rows: DataFrame, group: str, order: list[Column], n: int =
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def similar(rows: DataFrame, k: int = 5, tag_weight: int = 2, tab_weight: int = 1, most_sharing: int = 200) -> DataFrame:
-    """(id, other_id, weight, rank): rows that share tags, with a bonus for the same tab, best first.
+def _scored(weights: tuple[int, int, int], tags: Column, sectors: Column, tab: Column) -> Column:
+    """What a candidate (columns tags, sectors, tab) shares with an item; a tag that the candidate repeats counts each time."""
+    count = lambda own, theirs: F.size(F.filter(theirs, lambda t: F.array_contains(own, t)))
+    return weights[0] * count(tags, F.col("tags")) + weights[1] * count(sectors, F.col("sectors")) + weights[2] * F.coalesce((F.col("tab") == tab).cast("int"), F.lit(0))
+
+
+def similar(rows: DataFrame, now: Column, k: int = 5, newest: int = 50, days: int = 60, weights: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:
+    """(id, other_id, weight, rank): recommendations for every row, by shared tags, sectors and tab.
 
-    Pairs come from an equi-join on tags. Tags on more than ``most_sharing`` rows tell little and are not
-    matched on; the bound is part of the measure and keeps the join linear.
+    Candidates of a row are the ``newest`` of the last ``days`` in its tab or with one of its sectors. The
+    newest of a union lie among the newest of each part, so each tab and each sector keeps its ``newest`` + 1
+    rows, and a row meets only those: the work is linear whatever the size of a tab.
     """
-    tags = rows.select("id", "tab", "published_at", F.explode("tags").alias("tag"))
-    few = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most_sharing)).select("tag")
-    tags = tags.join(few, "tag")
-    a, b = tags.select("tag", F.col("id"), F.col("tab").alias("own_tab")), tags.select("tag", F.col("id").alias("other_id"), "tab", "published_at")
-    scored = a.join(b, "tag").filter("id <> other_id").groupBy("id", "other_id").agg(
-        (tag_weight * F.count(F.lit(1)) + F.max(F.when(F.col("own_tab") == F.col("tab"), tab_weight).otherwise(0))).alias("weight"), F.max("published_at").alias("at")
-    )
+    fresh = rows.filter(F.col("published_at") >= now - F.expr(f"interval {days} days")).select("id", "published_at", "tab", "sectors", "tags")
+    spots = lambda r: F.explode(F.array_distinct(F.concat(F.when(r["tab"].isNotNull(), F.array(F.concat(F.lit("tab "), r["tab"]))).otherwise(F.array().cast("array<string>")), F.transform(r["sectors"], lambda x: F.concat(F.lit("sector "), x)))))
+    posts = fresh.select(spots(fresh).alias("spot"), "id", "published_at")
+    lists = posts.withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy(*newest_first()))).filter(F.col("n") <= newest + 1).select("spot", F.col("id").alias("other_id"), F.col("published_at").alias("at"))
+    pairs = rows.select(spots(rows).alias("spot"), "id").join(lists, "spot").filter("id <> other_id").select("id", "other_id", "at").distinct()
+    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), F.desc("other_id")))).filter(F.col("n") <= newest)
+    own = rows.select("id", *(F.col(c).alias(f"own_{c}") for c in ("tab", "sectors", "tags")))
+    other = rows.select(F.col("id").alias("other_id"), "tab", "sectors", "tags")
+    scored = near.join(own, "id").join(other, "other_id").withColumn("weight", _scored(weights, F.col("own_tags"), F.col("own_sectors"), F.col("own_tab"))).filter("weight > 0")
     best = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("at"), F.desc("other_id"))
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "other_id", "weight", "rank")
 
 
-def similar_to(rows: DataFrame, tab: str, tags: list[str], own: int, k: int = 5, newest: int = 50) -> DataFrame:
-    """Recommendation for one item: the newest candidates of its tab or with its tags, scored by what they share."""
-    wanted = F.array(*map(F.lit, tags)).cast("array<string>")
-    near = rows.filter((F.col("id") != own) & ((F.col("tab") == tab) | F.arrays_overlap("tags", wanted))).orderBy(*newest_first()).limit(newest)
-    weight = 2 * F.size(F.filter("tags", lambda t: F.array_contains(wanted, t))) + F.when(F.col("tab") == tab, 1).otherwise(0)
-    return near.withColumn("weight", weight).filter("weight > 0").orderBy(F.desc("weight"), *newest_first()).limit(k)
+def similar_to(rows: DataFrame, now: Column, tab: str | None, sectors: list[str], tags: list[str], own: int, k: int = 5, newest: int = 50, days: int = 60, weights: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:
+    """Recommendations for one item: as ``similar``; an item without tab and sectors meets the newest of all."""
+    text = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    near = rows.filter((F.col("id") != own) & (F.col("published_at") >= now - F.expr(f"interval {days} days")))
+    parts = [*([F.col("tab") == tab] if tab else []), *([F.arrays_overlap("sectors", text(sectors))] if sectors else [])]
+    if parts:
+        near = near.filter(reduce(lambda a, b: a | b, parts))
+    near = near.orderBy(*newest_first()).limit(newest).withColumn("weight", _scored(weights, text(tags), text(sectors), F.lit(tab)))
+    return near.filter("weight > 0").orderBy(F.desc("weight"), *newest_first()).limit(k)
 
 
 def resolve_keys(asked: DataFrame, current: DataFrame, history: DataFrame, least_base: int = 8) -> DataFrame:
@@ -118,3 +132,10 @@ def category_label(tab: Column, tags: Column, generic: list[str], geographic: st
     """The tab's own label; generic tabs show the first tag that does not match ``geographic``, else their own label."""
     topic = F.get(F.filter(tags, lambda t: ~t.rlike(geographic)), F.lit(0))
     return F.when(tab.isin(generic), F.coalesce(topic, tab)).otherwise(tab)
+
+
+def sector_label(tab: Column, sectors: Column, tags: Column, generic: list[str], default_tab: str, geographic: str, generic_sectors: list[str]) -> Column:
+    """As ``category_label`` with sectors: a generic tab, or none, shows the first sector that is not generic, then (in ``default_tab``) its own label, then the first topic tag."""
+    sector = F.get(F.filter(sectors, lambda s: ~s.isin(generic_sectors)), F.lit(0))
+    topic = F.get(F.filter(tags, lambda t: ~t.rlike(geographic)), F.lit(0))
+    return F.when(tab.isNull() | tab.isin(generic), F.coalesce(sector, F.when(tab == default_tab, tab), topic, tab)).otherwise(tab)

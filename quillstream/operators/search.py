@@ -76,6 +76,35 @@ def word_similarity(query: str, text: str) -> Column:
     return F.coalesce(F.array_max(share), F.lit(0.0))
 
 
+def plain(raw: str) -> list[list[str]]:
+    """Every word must match as it is: no synonyms."""
+    return [[w] for w in re.sub(r"[^\w\s-]", " ", lower_tr(raw)).split()]
+
+
+def groups_of(compiled: str, raw: str) -> list[list[str]]:
+    """OR-groups of a compiled query 'a & (b | c)'; one that is not of that form falls back to the plain words of the raw query."""
+    word = r"[\w-]+"
+    if not re.fullmatch(rf"\s*(?:{word}|\(\s*{word}(?:\s*\|\s*{word})*\s*\))(?:\s*&\s*(?:{word}|\(\s*{word}(?:\s*\|\s*{word})*\s*\)))*\s*", compiled):
+        return plain(raw)
+    return [[lower_tr(w) for w in re.findall(word, part)] for part in compiled.split("&")]
+
+
+def rank_by_frequency(groups: list[list[str]], fields: list[tuple[str | Column, float]]) -> Column:
+    """Over the fields, weight times tf / (tf + 1), where tf is how often the query's terms stand in the field."""
+    terms = F.array(*map(F.lit, sorted({t for g in groups for t in g})))
+
+    def part(field: str | Column, weight: float) -> Column:
+        tf = F.size(F.filter(F.split(turkish_lower(field), TOKENS), lambda t: F.array_contains(terms, t)))
+        return weight * tf / (tf + 1)
+
+    return reduce(lambda a, b: a + b, (part(*f) for f in fields))
+
+
+def count(rows: DataFrame, groups: list[list[str]], *fields: str) -> DataFrame:
+    """One row: how many rows match, without paging."""
+    return rows.filter(matches(tokens(*fields), groups)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def search(rows: DataFrame, raw: str, synonyms: dict[str, list[str]], tab: str | None = None, since: Column | None = None, fuzzy_from: int = 4, threshold: float = 0.3) -> DataFrame:
     """Matching rows with their rank: boolean match over title and body, or a title like the query. Under 2 signs nothing is found."""
     if len(raw.strip()) < 2:
@@ -93,7 +122,7 @@ def search(rows: DataFrame, raw: str, synonyms: dict[str, list[str]], tab: str |
 
 
 def suggest(blocks: list[tuple[str, DataFrame, str, list[Column], int]], query: str) -> DataFrame:
-    """(type, label, block, position): for each (type, rows, label column, order, k) the first k distinct labels that hold the query."""
+    """(type, label, block, position): for each (type, rows with distinct labels, label column, order, k) the first k labels that hold the query."""
     out = None
     for number, (kind, rows, label, order, k) in enumerate(blocks):
         if len(query) < 2:

@@ -19,7 +19,7 @@ def _now():
 
 def news_sitemap(spark: SparkSession, d: str) -> DataFrame:
     rows = reads.published(articles(spark, d)).filter(F.col("published_at") >= _now() - F.expr("interval 48 hours"))
-    return reads.page(rows, 1, 1000).select("id", F.substring(T.escape_xml("title"), 1, 110).alias("title"), stamp("published_at").alias("published_at"))
+    return reads.page(rows, 1, 1000).select("id", T.escape_xml(F.substring("title", 1, 110)).alias("title"), stamp("published_at").alias("published_at"))
 
 
 def display_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def untranslated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patched_orders(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderkey < 2000").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("before").alias("updated_at"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("before").alias("updated_at"))
     patches = rows.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "Z").alias("o_orderstatus"), F.lit("never").alias("o_orderpriority"))
     return changes.patch(rows, patches, "o_orderkey", ["o_orderstatus"], ["o_orderstatus"], F.lit("after"))
 
@@ -104,7 +104,7 @@ _BLANK = "len(regexp_extract_all({}, '\\S+'))"
 _CUT = "(right(rtrim(regexp_replace(rtrim(text), '\\n+(?:Source|Kaynak)[^\\n]*$', '')), 1) NOT IN (" + ", ".join("'" + c + "'" for c in gates.ENDINGS) + "))"
 
 ORACLE = {
-    "news_sitemap": f"{_WITH} SELECT id, substr({_XML.format('title')}, 1, 110) AS title, {sql_stamp('published_at')} AS published_at FROM (SELECT * FROM p WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR ORDER BY published_at DESC, id DESC LIMIT 1000)",
+    "news_sitemap": f"{_WITH} SELECT id, {_XML.format('substr(title, 1, 110)')} AS title, {sql_stamp('published_at')} AS published_at FROM (SELECT * FROM p WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR ORDER BY published_at DESC, id DESC LIMIT 1000)",
     "display_dates": f"SELECT o_orderkey, day(o_orderdate) || ' ' || {V.MONTHS!r}[month(o_orderdate)] || ' ' || year(o_orderdate) AS shown, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS rfc FROM orders",
     "progress_bands": "WITH s AS (SELECT o_orderkey, greatest(0.0, least(100.0, 100.0 * (epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate)) / 86400000.0))::DOUBLE AS p FROM orders) SELECT o_orderkey, round(p, 6) AS percent, CASE WHEN p >= 85 THEN 'late' WHEN p >= 60 THEN 'middle' ELSE 'early' END AS band FROM s",
     "author_distribution": f"{_WITH} SELECT {AUTHORS!r}[{sql_md5_mod('id::VARCHAR', 7)} + 1] AS author, count(*) AS n, count(score) AS scored FROM articles GROUP BY 1",
@@ -114,7 +114,7 @@ ORACLE = {
     "dimension_order": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_regionkey, n_name LIMIT 7",
     "search_articles": f"{_WITH} SELECT id, tab FROM p WHERE tab = 'tab3' AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY AND {_any([['er']], _TOK.format(chr(39).join(['title || ', ' ', ' || body'])))}",
     "untranslated": "SELECT p_partkey FROM part WHERE p_partkey % 4 <> 2",
-    "patched_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 6 = 0 THEN 'after' ELSE 'before' END AS updated_at FROM orders WHERE o_orderkey < 2000",
+    "patched_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 6 = 0 THEN 'after' ELSE 'before' END AS updated_at FROM orders",
     "changed_only": "SELECT p_partkey, 'tiny ' || substr(p_name, 7) AS p_name, p_brand FROM part WHERE prefix(p_name, 'small ')",
     "contradictions": "SELECT a.p_partkey FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1 WHERE " + " OR ".join(f"(contains(a.p_name, '{x}') AND contains(b.p_name, '{y}'))" for p, q in (("small", "large"), ("old", "new"), ("red", "blue")) for x, y in ((p, q), (q, p))),
     "model_scores": "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') THEN 1 WHEN contains(lower(text), 'the') THEN 8 WHEN contains(lower(text), 'de') THEN 7 ELSE 5 END AS score FROM documents",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import md5_mod
 from ..operators import metrics, reads, search
-from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_stamp, stamp, table
+from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_md5_mod, sql_stamp, stamp, table
 
 LIST_SQL = f"id, source, title, score, tab, {sql_stamp('published_at')} AS published_at"
 
@@ -73,14 +74,20 @@ def latest_per_group(spark: SparkSession, d: str) -> DataFrame:
     return reads.latest_per_group(rows, "o_custkey", order, 3, 400).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
+def _with_sectors(rows: DataFrame) -> DataFrame:
+    key = F.col("id").cast("string")
+    return rows.withColumn("sectors", F.array(*(F.concat(F.lit("sector"), md5_mod(F.concat(F.lit(salt), key), n).cast("string")) for salt, n in (("a", 9), ("b", 23)))))
+
+
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
-    out = reads.similar(_published(spark, d))
+    out = reads.similar(_with_sectors(_published(spark, d)), F.lit(NOW).cast("timestamp_ntz"), days=20)
     return out.select("id", "other_id", F.col("weight").cast("long").alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 def similar_to_one(spark: SparkSession, d: str) -> DataFrame:
     tags = ["andanandre", "anandanti", "ananeaing", "anandthat"]
-    return _list(reads.similar_to(_published(spark, d), "tab2", tags, 40), "weight").withColumn("weight", F.col("weight").cast("long"))
+    out = reads.similar_to(_with_sectors(_published(spark, d)), F.lit(NOW).cast("timestamp_ntz"), "tab2", ["sector1", "sector20"], tags, 40, days=20)
+    return _list(out, "weight").withColumn("weight", F.col("weight").cast("long"))
 
 
 def tag_counts_min3(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +164,8 @@ _NEWEST = "published_at DESC NULLS LAST, id DESC"
 _TOP = """({p} SELECT *, false AS fallback FROM (SELECT * FROM {w} ORDER BY {o} LIMIT 5) WHERE (SELECT count(*) FROM {w}) >= 5
            UNION ALL SELECT *, true FROM (SELECT * FROM {e} ORDER BY {fo} LIMIT 5) WHERE (SELECT count(*) FROM {w}) < 5)"""
 
+_SECTORS = f"{_WITH}, s AS (SELECT *, ['sector' || ({sql_md5_mod("'a' || id::VARCHAR", 9)}), 'sector' || ({sql_md5_mod("'b' || id::VARCHAR", 23)})] AS sectors FROM p)"
+
 ORACLE = {
     "published_listing_page": f"{_WITH} SELECT {LIST_SQL}, (SELECT count(*) FROM p) AS total FROM p ORDER BY {_NEWEST.replace('published_at', 'p.published_at')} LIMIT 12",
     "listing_by_tab_page2": f"{_WITH} SELECT {LIST_SQL} FROM p WHERE tab = 'tab3' ORDER BY {_NEWEST.replace('published_at', 'p.published_at')} LIMIT 12 OFFSET 12",
@@ -172,14 +181,15 @@ ORACLE = {
         SELECT {LIST_SQL}, views, fallback FROM x""",
     "next_item": f"{_WITH} SELECT id, lead(id) OVER (ORDER BY {_NEWEST}) AS next_id FROM p WHERE id % 17 <> 0",
     "latest_per_group": "WITH n AS (SELECT * FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 400) SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rank FROM n QUALIFY rank <= 3",
-    "similar_items": f"""{_WITH}, t AS (SELECT id, tab, published_at, unnest(tags) AS tag FROM p), f AS (SELECT tag FROM t GROUP BY tag HAVING count(*) BETWEEN 2 AND 200),
-        s AS (SELECT a.id, b.id AS other_id, (2 * count(*) + max((a.tab = b.tab)::INTEGER))::BIGINT AS weight, max(b.published_at) AS latest
-              FROM t a JOIN t b USING (tag) WHERE a.id <> b.id AND tag IN (SELECT tag FROM f) GROUP BY 1, 2)
-        SELECT id, other_id, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, latest DESC, other_id DESC) AS rank FROM s QUALIFY rank <= 5""",
-    "similar_to_one": f"""{_WITH}, g AS (SELECT ['andanandre', 'anandanti', 'ananeaing', 'anandthat'] AS wanted),
-        c AS (SELECT p.*, wanted FROM p, g WHERE id <> 40 AND (tab = 'tab2' OR list_has_any(tags, wanted)) ORDER BY {_NEWEST} LIMIT 50),
-        s AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(wanted, t))) + (tab = 'tab2')::INTEGER)::BIGINT AS weight FROM c)
-        SELECT {LIST_SQL}, weight FROM (SELECT * FROM s WHERE weight > 0 ORDER BY weight DESC, {_NEWEST} LIMIT 5)""",
+    "similar_items": f"""{_SECTORS}, c AS (SELECT a.id, b.id AS other_id, b.published_at, a.tags AS own_tags, a.sectors AS own_sectors, a.tab AS own_tab, b.tags, b.sectors, b.tab
+            FROM s a JOIN s b ON a.id <> b.id AND (a.tab = b.tab OR list_has_any(a.sectors, b.sectors)) AND b.published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY
+            QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.published_at DESC, b.id DESC) <= 50),
+        w AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(own_tags, t))) + 3 * len(list_filter(sectors, lambda t: list_contains(own_sectors, t))) + (tab = own_tab)::INTEGER)::BIGINT AS weight FROM c)
+        SELECT id, other_id, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, published_at DESC, other_id DESC) AS rank FROM w WHERE weight > 0 QUALIFY rank <= 5""",
+    "similar_to_one": f"""{_SECTORS}, g AS (SELECT ['andanandre', 'anandanti', 'ananeaing', 'anandthat'] AS wanted, ['sector1', 'sector20'] AS own),
+        c AS (SELECT s.*, wanted, own FROM s, g WHERE id <> 40 AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY AND (tab = 'tab2' OR list_has_any(sectors, own)) ORDER BY {_NEWEST} LIMIT 50),
+        w AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(wanted, t))) + 3 * len(list_filter(sectors, lambda t: list_contains(own, t))) + (tab = 'tab2')::INTEGER)::BIGINT AS weight FROM c)
+        SELECT {LIST_SQL}, weight FROM (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, {_NEWEST} LIMIT 5)""",
     "tag_counts_min3": f"{_WITH} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM p) GROUP BY tag HAVING count(*) >= 3",
     "sitemap_union": f"""{_WITH}, t AS (SELECT unnest(tags) AS tag FROM p)
         SELECT '/region/' || lower(r_name) AS url, 0 AS block FROM region UNION ALL SELECT '/country/' || replace(lower(n_name), ' ', '-'), 1 FROM nation

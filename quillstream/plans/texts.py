@@ -19,7 +19,9 @@ def slug_base(spark: SparkSession, d: str) -> DataFrame:
 
 def slug_unique_allocation(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", T.slug("p_name").alias("base"))
-    return changes.allocate_keys(parts, "base", [F.col("p_partkey")]).select("p_partkey", "key")
+    turn = F.col("p_partkey") % 15
+    taken = parts.filter("p_partkey % 5 = 0").select(F.when(turn == 0, F.col("base")).when(turn == 5, F.concat("base", F.lit("-3"))).otherwise(F.concat("base", F.lit("-4"))).alias("key")).distinct()
+    return changes.allocate_keys(parts, "base", [F.col("p_partkey")], taken).select("p_partkey", "key")
 
 
 def word_count_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +125,11 @@ def date_parse_multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reading_time(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", V.reading_minutes("text").alias("minutes"), T.meta_band(F.substring("text", 1, 150)).alias("band"), T.cap_words("text", 5).alias("head"))
+    return table(spark, d, "documents").select("doc_id", V.reading_minutes("text").alias("minutes"), T.meta_band("text").alias("band"), T.cap_words("text", 5).alias("head"))
 
 
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(F.lit("LONDON (Agency) — "), F.substring("text", 1, 80), F.lit(" -- done – now"), F.lit(" & <b>\"x\"</b> summary: y"))
+    made = F.concat(F.lit("LONDON (Agency) — "), F.col("text"), F.lit(" -- done – now"), F.lit(" & <b>\"x\"</b> summary: y"))
     rows = table(spark, d, "documents").withColumn("made", made)
     return rows.select("doc_id", T.dashes_to_commas(T.strip_dateline("made")).alias("dashes"), T.escape_xml("made").alias("escaped"), T.excerpt("made", 40).alias("excerpt"), T.strip_label("made").alias("unlabelled"))
 
@@ -141,7 +143,7 @@ def image_variants(spark: SparkSession, d: str) -> DataFrame:
 def image_distance(spark: SparkSession, d: str) -> DataFrame:
     bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "f").otherwise("0")), "")
     rows = table(spark, d, "embeddings").select("vec_id", bits.alias("h"))
-    a, b = rows.filter("vec_id % 50 = 0"), rows.select(F.col("vec_id").alias("other"), F.col("h").alias("h2"))
+    a, b = rows, rows.select(F.col("vec_id").alias("other"), F.col("h").alias("h2"))
     near = a.join(b, F.col("other") == F.col("vec_id") + 1)
     return near.select("vec_id", "other", V.hamming_hex("h", "h2").cast("long").alias("bits"))
 
@@ -149,8 +151,7 @@ def image_distance(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (slug_base, slug_unique_allocation, word_count_gate, language_gate, truncation_gate, gate_funnel, funnel_totals, yield_alerts, exact_dedup_status, near_dup_window, near_duplicates, benchmark_overlap, hash_bucket_assign, rule_assignment, array_remap, category_label, keyword_category, budget_extract, date_parse_multi, reading_time, text_cleaning, image_variants, image_distance)}
 
 _WITH = f"WITH {ARTICLES_SQL}"
-_FOLD = f"translate(text, '{T.ACCENTED}', '{T.PLAIN}')"
-_SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({f}, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
+_SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(translate({t}, 'çşığöüÇŞİĞÖÜ', 'csigoucsigou')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s\\x1c-\\x1f-]', '', 'g'), '[\\s\\x1c-\\x1f_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
 _RUNS = "len(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+'))"
 _PLAIN = "regexp_replace({t}, '<[^>]+>', ' ', 'g')"
 
@@ -178,8 +179,11 @@ _SIMILAR = f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', ex
     l AS (SELECT a, b, n::DOUBLE / (len(u.s) + len(v.s) - n) AS similarity FROM f JOIN c u ON u.id = a JOIN c v ON v.id = b WHERE n::DOUBLE / (len(u.s) + len(v.s) - n) >= 0.8)"""
 
 ORACLE = {
-    "slug_base": f"SELECT doc_id, {_SLUG.format(f=_FOLD)} AS slug FROM documents",
-    "slug_unique_allocation": f"WITH b AS (SELECT p_partkey, {_SLUG.format(f=_FOLD.replace('text', 'p_name', 1))} AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b) SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS key FROM n",
+    "slug_base": f"SELECT doc_id, {_SLUG.format(t='text')} AS slug FROM documents",
+    "slug_unique_allocation": f"""WITH b AS (SELECT p_partkey, {_SLUG.format(t="p_name")} AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM b),
+        t AS (SELECT DISTINCT CASE p_partkey % 15 WHEN 0 THEN base WHEN 5 THEN base || '-3' ELSE base || '-4' END AS key FROM b WHERE p_partkey % 5 = 0),
+        c AS (SELECT base, i, CASE WHEN i = 1 THEN base ELSE base || '-' || i END AS key FROM (SELECT base, unnest(range(1, (count(*) + 10)::BIGINT)) AS i FROM b GROUP BY base)),
+        f AS (SELECT base, key, row_number() OVER (PARTITION BY base ORDER BY i) AS k FROM c WHERE key NOT IN (SELECT key FROM t)) SELECT p_partkey, key FROM n JOIN f USING (base, k)""",
     "word_count_gate": f"SELECT doc_id, {_RUNS.format(t='text')} AS words, len(regexp_extract_all(text, '\\S+')) AS blank_words, {_RUNS.format(t=_PLAIN.format(t='text'))} < 100 AS dropped FROM documents",
     "language_gate": f"SELECT doc_id, round({_ratio('text', gates.ENGLISH)}, 6) AS ratio, {_not_english('text')} AS not_english, ({_RUNS.format(t='text')} >= 50 AND len(regexp_extract_all(text, '[éèêçà]'))::DOUBLE / greatest(1, length(text)) <= 0.05 AND {_ratio('text', ['le', 'la', 'de', 'et', 'des'])} <= 0.04) AS not_french FROM documents",
     "truncation_gate": f"SELECT doc_id, {_truncated('text')} AS truncated FROM documents",
@@ -200,12 +204,12 @@ ORACLE = {
     "keyword_category": "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_name || ' ' || p_type), '\\b(?:{w})\\b') THEN '{n}'" for n, w in KEYWORDS) + " ELSE 'other' END AS category FROM part",
     "budget_extract": "WITH p AS (SELECT o_orderkey, o_totalprice::DECIMAL(12,2)::DOUBLE AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN round(v, 2) WHEN 1 THEN CASE WHEN v * 1080000.0 <= 1e12 THEN round(v * 1080000.0, 2) END WHEN 2 THEN round(round_even(v * 1.27, 2), 2) WHEN 3 THEN CASE WHEN v * 1.12e9 <= 1e12 THEN round(v * 1.12e9, 2) ELSE round(round_even(v * 1.12, 2), 2) END END AS usd FROM p",
     "date_parse_multi": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
-    "reading_time": "SELECT doc_id, greatest(1, length(text) // 1500)::INTEGER AS minutes, CASE WHEN length(substr(text, 1, 150)) BETWEEN 135 AND 160 THEN 'ideal' WHEN length(substr(text, 1, 150)) BETWEEN 105 AND 170 THEN 'safe' ELSE 'out' END AS band, CASE WHEN len(string_split_regex(trim(text), '\\s+')) > 5 THEN array_to_string(string_split_regex(trim(text), '\\s+')[1:5], ' ') ELSE text END AS head FROM documents",
-    "text_cleaning": """WITH m AS (SELECT doc_id, 'LONDON (Agency) — ' || substr(text, 1, 80) || ' -- done – now & <b>"x"</b> summary: y' AS made FROM documents)
+    "reading_time": "SELECT doc_id, greatest(1, length(text) // 1500)::INTEGER AS minutes, CASE WHEN length(text) BETWEEN 135 AND 160 THEN 'ideal' WHEN length(text) BETWEEN 105 AND 170 THEN 'safe' ELSE 'out' END AS band, CASE WHEN len(string_split_regex(trim(text), '\\s+')) > 5 THEN array_to_string(string_split_regex(trim(text), '\\s+')[1:5], ' ') ELSE text END AS head FROM documents",
+    "text_cleaning": """WITH m AS (SELECT doc_id, 'LONDON (Agency) — ' || text || ' -- done – now & <b>"x"</b> summary: y' AS made FROM documents)
         SELECT doc_id, regexp_replace(substr(made, 19), '\\s*(?:—|–|--)\\s*', ', ', 'g') AS dashes,
         replace(replace(replace(replace(replace(made, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
         trim(substr(regexp_replace(made, '<[^>]+>', '', 'g'), 1, 40)) AS excerpt, regexp_replace(made, '(?i)\\b(?:summary|özet|résumé|resumo)\\s*:\\s*', '', 'g') AS unlabelled FROM m""",
     "image_variants": """WITH w AS (SELECT p_partkey, p_size * 40 AS width, p_name FROM part)
         SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append(list_filter([400, 800, 1200], lambda x: x < width), least(width, 1200)))), ',') AS widths, lower(replace(p_name, ' ', '_')) AS stem, true AS noise FROM w""",
-    "image_distance": "SELECT a.vec_id, b.vec_id AS other, (4 * len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0))))::BIGINT AS bits FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0",
+    "image_distance": "SELECT a.vec_id, b.vec_id AS other, (4 * len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0))))::BIGINT AS bits FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }

@@ -26,7 +26,7 @@ def legacy_key_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slug_history_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderkey < 3000")
+    rows = table(spark, d, "orders")
     name = lambda c: F.concat_ws("-", F.lower(c), F.col("o_orderkey").cast("string"))
     old = rows.select("o_orderkey", name("o_orderstatus").alias("key"))
     new = rows.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, name("o_orderpriority")).when(F.col("o_orderkey") % 50 == 1, F.concat(F.lit("was-"), (F.col("o_orderkey") + 1).cast("string"))).otherwise(name("o_orderstatus")).alias("key"))
@@ -35,7 +35,7 @@ def slug_history_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_restricted(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderkey < 4000").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("slug"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority").alias("slug"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
     current = rows.filter("o_orderkey % 5 <> 0")
     batch = rows.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice", F.lit("new").alias("slug"))
     return changes.upsert(current, batch, "o_orderkey", ["slug"], F.lit("2024-01-31"))
@@ -178,10 +178,10 @@ ORACLE = {
         f AS (SELECT asked, key, 1 AS o, at_time FROM a JOIN c ON asked = 'old-' || item WHERE item % 10 = 0 UNION ALL SELECT asked, key, 2, at_time FROM a JOIN c ON regexp_replace(asked, '-[0-9a-f]{{6}}$', '') = regexp_replace(key, '-[0-9a-f]{{6}}$', '') WHERE length(regexp_replace(key, '-[0-9a-f]{{6}}$', '')) >= 8),
         b AS (SELECT * FROM f WHERE asked <> key QUALIFY row_number() OVER (PARTITION BY asked ORDER BY o, at_time DESC, key) = 1)
         SELECT a.asked, key, coalesce(['history', 'base'][o], 'none') AS how FROM a LEFT JOIN b ON a.asked = b.asked""",
-    "slug_history_merge": """WITH r AS (SELECT o_orderkey, lower(o_orderstatus) || '-' || o_orderkey AS old, CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderpriority) || '-' || o_orderkey WHEN o_orderkey % 50 = 1 THEN 'was-' || (o_orderkey + 1) ELSE lower(o_orderstatus) || '-' || o_orderkey END AS new FROM orders WHERE o_orderkey < 3000),
+    "slug_history_merge": """WITH r AS (SELECT o_orderkey, lower(o_orderstatus) || '-' || o_orderkey AS old, CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderpriority) || '-' || o_orderkey WHEN o_orderkey % 50 = 1 THEN 'was-' || (o_orderkey + 1) ELSE lower(o_orderstatus) || '-' || o_orderkey END AS new FROM orders),
         e AS (SELECT 'was-' || o_orderkey AS old_key, o_orderkey, 0 AS turn FROM r WHERE o_orderkey % 5 = 2 UNION ALL SELECT old, o_orderkey, 1 FROM r WHERE old <> new)
         SELECT old_key, o_orderkey FROM e WHERE old_key NOT IN (SELECT new FROM r) QUALIFY row_number() OVER (PARTITION BY old_key ORDER BY turn DESC, o_orderkey DESC) = 1""",
-    "upsert_restricted": """WITH r AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority AS slug, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE o_orderkey < 4000)
+    "upsert_restricted": """WITH r AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority AS slug, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders)
         SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE slug END AS slug,
         CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 6 = 0 THEN '2024-01-31' ELSE updated_at END AS updated_at FROM r WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0""",
     "stats_upsert": f"SELECT strftime(ts, '%Y-%m-%d') AS run_date, event_type, {_SLOT} AS run_slot, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY 1, event_type, strftime(ts, '%Y-%m-%d'), {_SLOT} ORDER BY event_id DESC) = 1",

@@ -31,8 +31,9 @@ def recent_entries(entries: DataFrame, cutoff: Column, keep_undated: bool = True
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(loc, published_at) of url entries; compressed files are read as they are."""
-    raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, publication_date string").load(path)
-    return raw.select(F.trim("loc").alias("loc"), F.coalesce(parse_date("publication_date"), parse_date("lastmod")).alias("published_at"))
+    raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, publication_date string, `news:news` struct<`news:publication_date`: string>").load(path)
+    raw = raw.withColumn("news_date", F.col("`news:news`.`news:publication_date`"))
+    return raw.select(F.trim("loc").alias("loc"), F.coalesce(parse_date("news_date"), parse_date("publication_date"), parse_date("lastmod")).alias("published_at"))
 
 
 def last_children(index: DataFrame, k: int, position: str = "position") -> DataFrame:
@@ -70,14 +71,18 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Delimited rows with a header; rows blank in every column go, repeated rows once."""
+    """Delimited rows with a header; ':XX:' flags and rows blank in every column go, repeated rows once, by (id, version) where both are there."""
     rows = spark.read.csv(path, sep=sep, header=True)
+    rows = rows.select(*(F.trim(F.regexp_replace(F.col(f"`{c}`"), ":[A-Z]{2}:", "")).alias(c) for c in rows.columns))
     filled = F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns)).isNotNull()
-    return rows.filter(filled).dropDuplicates()
+    return rows.filter(filled).dropDuplicates(["id", "version"] if {"id", "version"} <= set(rows.columns) else None)
 
 
-def html_table(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """One row: an HTML table of all rows, for embedded data sets (small by nature); none under 2 rows."""
+def html_table(rows: DataFrame, order: list[Column], most: int = 10_000) -> DataFrame:
+    """One row: an HTML table of all rows, for embedded data sets; none under 2 rows, an error over ``most``, since a table is one value."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a table holds at most {most} rows")
     cells = F.concat_ws("", *(F.concat(F.lit("<td>"), F.coalesce(escape_xml(F.col(f"`{c}`").cast("string")), F.lit("")), F.lit("</td>")) for c in rows.columns))
     numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("n"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("tr"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "tr"))), lambda x: x["tr"]), "")
@@ -91,6 +96,32 @@ def feed_items(rows: DataFrame, base: str) -> DataFrame:
     return rows.select("id", item.alias("item"))
 
 
+def feed_channel(rows: DataFrame, title: str, base: str, most: int = 50) -> DataFrame:
+    """One row: an RSS channel of the newest ``most`` rows, which bound it."""
+    from ..operators.reads import newest_first
+
+    newest = rows.orderBy(*newest_first()).limit(most)
+    items = feed_items(newest, base).join(newest.select("id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at")), "id")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "id", "item")), asc=False), lambda x: x["item"]), "")
+    head = F.concat(F.lit('<rss version="2.0"><channel><title>'), escape_xml(F.lit(title)), F.lit(f"</title><link>{base}</link>"))
+    return items.agg(F.concat(head, body, F.lit("</channel></rss>")).alias("xml"))
+
+
+def write_manifest(objects: DataFrame, path: str) -> None:
+    """(path, bytes) of objects as CSV with a header."""
+    objects.select("path", "bytes").write.csv(path, header=True)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("path string, bytes long").csv(path, header=True)
+
+
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(loc, position) of a site-map index; ``last_children`` picks those to follow."""
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<sitemap>\s*.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("position", "loc"))
+    return raw.select("loc", "position")
+
+
 def structured_data(rows: DataFrame) -> DataFrame:
     """(id, json): nested structured data; null keys are left out, trail positions are renumbered."""
     trail = F.transform(F.filter(F.array("tab", "source"), lambda x: x.isNotNull()), lambda x, i: F.struct((i + 1).alias("position"), x.alias("name")))
