@@ -41,7 +41,20 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 
 
 _SIGNS, _LEFT, _SEVERAL = _decomposed()
-_SEVERAL_CLASS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in _SEVERAL) + "]"
+
+
+def _ranges(signs: list[str], gap: int) -> str:
+    """A pattern of few ranges that hold all the signs (and, with a gap, some others)."""
+    codes, out = sorted(map(ord, signs)), []
+    for code in codes:
+        if out and code - out[-1][1] <= gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_SEVERAL_ABOUT, _SEVERAL_CLASS = _ranges(list(_SEVERAL), 24), _ranges(list(_SEVERAL), 1)
 
 
 def to_ascii(c: Column | str) -> Column:
@@ -51,8 +64,8 @@ def to_ascii(c: Column | str) -> Column:
     """
     s = F.translate(col(c), "çşığöüÇŞİĞÖÜ", "csigoucsigou")
     table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
-    apart = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    s = F.when(s.rlike(_SEVERAL_CLASS), apart).otherwise(s)
+    found = F.array_distinct(F.regexp_extract_all(s, F.lit(f"({_SEVERAL_CLASS})")))
+    s = F.when(s.rlike(_SEVERAL_ABOUT), F.aggregate(found, s, lambda t, x: F.replace(t, x, F.try_element_at(table, x)))).otherwise(s)
     return F.regexp_replace(F.translate(s, _SIGNS, _LEFT), r"[^\x00-\x7F]", "")
 
 
