@@ -140,7 +140,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     asked = rows.filter(is_query).select("id", "v", spread(2, chunks).alias("chunk"), F.lit(1).alias("kind")).select("*", every(blocks).alias("block"))
     cells = data.unionByName(asked).withColumn("cell", F.col("block").cast("long") * chunks + F.col("chunk"))
     parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * chunks)
-    dealt = cells.select("cell", "kind", "id", "v").repartition(parts, "cell").sortWithinPartitions("cell", "kind", "id")
+    # A cell is a partition: hashing would put several into one task and leave others idle.
+    dealt = cells.select("cell", "kind", "id", "v").repartitionById(parts, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, vectors, block = None, [], [], None
