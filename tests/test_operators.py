@@ -110,8 +110,21 @@ def test_near_pairs_equal_brute_force(spark):
     texts += ["", "a b", texts[0], texts[0]]
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
-    got = similarity.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, body string")).collect()
-    assert {(x["a"], x["b"]) for x in got} == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    members, links = similarity.near_classes(rows)
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    assert set(rep) == {i for i, x in enumerate(sets) if x} and all(rep[i] == min(j for j in rep if sets[j] == sets[i]) for i in rep)
+    linked = {(r["a"], r["b"]) for r in links.collect()}
+    # Written out, links between representatives and equal sets are exactly the pairs.
+    assert {(i, j) for i in rep for j in rep if i < j and (rep[i] == rep[j] or (min(rep[i], rep[j]), max(rep[i], rep[j])) in linked)} == want
+    assert {(x["a"], x["b"]) for x in similarity.near_pairs(rows).collect()} == linked | {(rep[i], i) for i in rep if rep[i] != i}
+    from datetime import datetime, timedelta
+
+    at = [datetime(2024, 1, 1) + timedelta(hours=(i * 13) % 90) for i in range(len(texts))]
+    timed = spark.createDataFrame([(i, t, at[i]) for i, t in enumerate(texts)], "id long, body string, published_at timestamp_ntz")
+    both = want | {(j, i) for i, j in want}
+    before = {i: max(((at[j], j) for k, j in both if k == i and (at[j], j) < (at[i], i) and at[i] - at[j] <= timedelta(hours=48)), default=None) for i in rep}
+    assert {r["id"]: r["earlier_id"] for r in similarity.near_before(timed, 48).collect()} == {i: x[1] for i, x in before.items() if x}
 
 
 def test_patch_and_histograms(spark):
@@ -207,3 +220,47 @@ def test_models(spark):
     assert [r["y"] for r in texts.select(M.accept_rewrite(F.col("o"), F.col("r")).alias("y")).collect()] == ["short", "long original", "long original"]
     tries = spark.createDataFrame([(1, ["a"], 1), (1, ["b", "c"], 2), (1, ["d", "e"], 3)], "k int, v array<string>, n int")
     assert M.best_attempt(tries, "k", "v", "n").first()["v"] == ["b", "c"]
+
+
+def test_slugs_follow_the_decomposition(spark):
+    import re
+    import unicodedata
+
+    def want(t, cut=80):
+        t = t.translate(str.maketrans("çşığöüÇŞİĞÖÜ", "csigoucsigou"))
+        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+        return re.sub(r"[\s_]+", "-", re.sub(r"[^\w\s-]", "", t)).strip("-")[:cut].strip("-")
+
+    texts = ["a - b", "Ærø ﬁeld ½ naïve™ ǅ", "Ştraße  __x", "—dash— ok…", "Ñandú Žižek Đorđe Łódź", "", "---", "x" * 79 + " y", "ﬀ①㎏ № ℡", "tab\tand\x1cmore", "日本 ｆｕｌｌ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.slug("t").alias("s")).collect()
+    assert {r["i"]: r["s"] for r in rows} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_keys_take_the_first_free_number(spark):
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(["x", "x", "x", "x-2", "y", "y", "x-9", "z"])], "i int, base string")
+    taken = spark.createDataFrame([("x",), ("x-5",), ("y-2",), ("y-3",), ("w",)], "key string")
+    got = {r["i"]: r["key"] for r in changes.allocate_keys(rows, "base", [F.col("i")], taken).collect()}
+    assert got == {0: "x-3", 1: "x-4", 2: "x-6", 3: "x-2", 4: "y", 5: "y-4", 6: "x-9", 7: "z"}
+
+
+def test_unreferenced_finds_raw_mentions(spark):
+    objects = spark.createDataFrame([(p,) for p in ("a/b.jpg", "img/long-name.jpg", "z.p", "img/gone.png", "q")], "path string")
+    texts = spark.createDataFrame([("see store/a/b.jpg",), ("xximg/long-name.jpgyy",), ("a z.png b",), (None,), ("",)], "body string")
+    left = changes.unreferenced(objects, "path", texts, "body", "store")
+    assert sorted(r["path"] for r in left.collect()) == ["img/gone.png", "q"]
+    assert changes.unreferenced(objects, "path", texts.limit(0), "body", "store").count() == 5
+
+
+def test_upkeep(spark):
+    from quillstream.functions import urls
+    from quillstream.operators import search, upkeep
+
+    assert search.groups_of("a & (b | C)", "raw words") == [["a"], ["b", "c"]] and search.groups_of("a & (b", "Raw words!") == [["raw"], ["words"]]
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(urls.page_param(F.lit("7"))) == 7 and one(urls.page_param(F.lit("-3"))) == 1 and one(urls.page_param(F.lit(None).cast("string"))) == 1
+    assert one(urls.canonical(F.lit("https://h/x/?page=2&b=1&a=2#f"), ["a", "b"])) == "/x/page/2?a=2&b=1"
+    assert one(urls.assistant(F.lit("/x"), F.lit("https://chat.openai.com/c"))) == "chat.openai.com"
+    rows = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 10), (2, 2, 12), (3, 1, 13)], "page int, position int, id int")
+    assert sorted(r["id"] for r in upkeep.until_few_new(rows, 2).collect()) == [10, 11, 12]
+    assert upkeep.until_few_new(rows.limit(0), 2).count() == 0
+    assert one(upkeep.or_original(F.lit("  "), F.lit("o"))) == "o"
