@@ -127,7 +127,7 @@ def html_strip_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_sanitise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.clean_column("html").alias("html"), html.headings_column("html").alias("headed"))
+    return table(spark, d, "pages").select("page_id", html.clean_column("html").alias("html"))
 
 
 def html_links(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,22 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def main_content(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.main_text_column("html").alias("text"), html.ends_cut_column("html").alias("cut"), F.size(html.images_column("html")).alias("images"))
+    return table(spark, d, "pages").select("page_id", html.content_column("html").alias("c")).select("page_id", "c.text", "c.cut")
+
+
+def page_headings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.headings_column(F.concat("html", F.lit("<h3> </h3><h4>last</h4>"))).alias("html"))
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    made = F.concat("html", F.lit('<img data-src="https://img.example/'), n, F.lit('.jpg" src="data:image/gif;base64,AAAA"><img src="a.gif"><IMG alt="x" srcset="https://img.example/s'), n, F.lit('.jpg 400w, https://img.example/l.jpg 800w" src="https://img.example/src.jpg">'))
+    return table(spark, d, "pages").select("page_id", F.array_join(html.images_column(made), " ").alias("images"))
+
+
+def page_tables(spark: SparkSession, d: str) -> DataFrame:
+    made = F.concat("html", F.lit('<table><tr class="a"><th>Name</th><td> x <i>y</i></td></tr><tr><td>'), F.col("page_id").cast("string"), F.lit("</td></tr></table>"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.transform(html.tables_column(made), lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 
 
 def feed_items(spark: SparkSession, d: str) -> DataFrame:
@@ -166,13 +181,24 @@ def bookmark_toggle(spark: SparkSession, d: str) -> DataFrame:
     return changes.toggle(saved, rows.filter("event_type = 'click'").select("user_id", "id"), ["user_id", "id"])
 
 
-QUERIES = {f.__name__: f for f in (legacy_key_resolution, slug_history_merge, upsert_restricted, stats_upsert, run_slot, modified_date, tender_status, fk_validate_default, bookmark_join, anti_join_known, orphan_detection, registry_drift, tombstone_conflicts, event_overview, event_daily_active, event_top_keys, referrer_class, html_strip_text, html_sanitise, html_links, main_content, feed_items, structured_data, conversation_turns, headcounts, bookmark_toggle)}
+QUERIES = {f.__name__: f for f in (legacy_key_resolution, slug_history_merge, upsert_restricted, stats_upsert, run_slot, modified_date, tender_status, fk_validate_default, bookmark_join, anti_join_known, orphan_detection, registry_drift, tombstone_conflicts, event_overview, event_daily_active, event_top_keys, referrer_class, html_strip_text, html_sanitise, html_links, main_content, page_headings, page_images, page_tables, feed_items, structured_data, conversation_turns, headcounts, bookmark_toggle)}
 
 _WITH = f"WITH {ARTICLES_SQL}, p AS (SELECT * FROM articles WHERE {PUBLISHED_SQL})"
 _SLOT = "CASE WHEN hour(ts + INTERVAL 3 HOUR) < 12 THEN 'sabah' ELSE 'oglen' END"
 _XML = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
+_HEADED = "html || '<h3> </h3><h4>last</h4>'"
+_STRIP = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SOURCE = "coalesce(" + ", ".join(f"list_filter([split_part(trim(split_part(regexp_extract(t, '(?i)[\\s\"]{n}\\s*=\\s*\"([^\"]*)\"', 1), ',', 1)), ' ', 1)], lambda v: length(v) > 10 AND NOT prefix(v, 'data:'))[1]" for n in html.LAZY) + ")"
+
 ORACLE = {
+    "page_headings": f"""WITH h AS (SELECT page_id, {_HEADED} AS html FROM pages), e AS (SELECT page_id, {"regexp_replace(" * 6}html{"".join(f", '(?is)<h{k}\\b[^>]*>(?:\\s|<(?:[^/h>][^>]*|/[^h>][^>]*|/?h[^1-6>][^>]*)>)*</h{k}\\s*>', '', 'g')" for k in range(1, 7))} AS html, list_min(list_transform(regexp_extract_all(html, '(?i)<h([1-6])\\b', 1), lambda x: x::INTEGER)) AS top FROM h)
+        SELECT page_id, replace({"regexp_replace(" * 6}html{"".join(f", '(?is)<h{k}\\b[^>]*>(.*?)</h{k}\\s*>', CASE WHEN top = {k} THEN '^h2>\\1^/h2>' ELSE '^h3>\\1^/h3>' END, 'g')" for k in range(1, 7))}, '^', '<') AS html FROM e""",
+    "page_images": f"""WITH m AS (SELECT page_id, html || '<img data-src="https://img.example/' || page_id || '.jpg" src="data:image/gif;base64,AAAA"><img src="a.gif"><IMG alt="x" srcset="https://img.example/s' || page_id || '.jpg 400w, https://img.example/l.jpg 800w" src="https://img.example/src.jpg">' AS html FROM pages),
+        t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<img\\b[^>]*>')) AS t, unnest(range(len(regexp_extract_all(html, '(?is)<img\\b[^>]*>')))) AS spot FROM m), s AS (SELECT page_id, {_SOURCE} AS url, spot FROM t), f AS (SELECT page_id, url, min(spot) AS spot FROM s WHERE url IS NOT NULL GROUP BY 1, 2)
+        SELECT page_id, CASE WHEN count(*) > 6 THEN '' ELSE string_agg(url, ' ' ORDER BY spot) END AS images FROM f GROUP BY page_id""",
+    "page_tables": f"""WITH m AS (SELECT page_id, html || '<table><tr class="a"><th>Name</th><td> x <i>y</i></td></tr><tr><td>' || page_id || '</td></tr></table>' AS html FROM pages)
+        SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>', 1), lambda c: {_STRIP.format('c')}), '|')), chr(10)) AS cells FROM m""",
     "legacy_key_resolution": f"""WITH c AS (SELECT p_partkey AS item, replace(p_name, ' ', '-') || '-' || lower(p_type) AS base, base || '-' || substr(md5(p_partkey::VARCHAR), 1, 6) AS key, TIMESTAMP '{NOW}' - to_hours(p_partkey::INTEGER) AS at_time FROM part),
         a AS (SELECT 'old-' || item AS asked FROM c WHERE item % 10 = 0 UNION ALL SELECT DISTINCT base FROM c WHERE item % 100 = 7 UNION ALL SELECT 'nothing-here'),
         f AS (SELECT asked, key, 1 AS o, at_time FROM a JOIN c ON asked = 'old-' || item WHERE item % 10 = 0 UNION ALL SELECT asked, key, 2, at_time FROM a JOIN c ON regexp_replace(asked, '-[0-9a-f]{{6}}$', '') = regexp_replace(key, '-[0-9a-f]{{6}}$', '') WHERE length(regexp_replace(key, '-[0-9a-f]{{6}}$', '')) >= 8),

@@ -135,50 +135,22 @@ def blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
     return parser.blocks
 
 
-def main_text(html: str | None, least: int = 200) -> str:
+Blocks = list[tuple[str, str, int, bool]]
+
+
+def main_text(html: str | Blocks | None, least: int = 200) -> str:
     """Blocks outside page furniture with more text than links; the whole text where that leaves under ``least`` signs."""
-    found = blocks(html)
+    found = html if isinstance(html, list) else blocks(html)
     body = "\n".join(t for tag, t, linked, furniture in found if not furniture and linked * 2 < len(t))
     return body if len(body) >= least else "\n".join(t for _, t, _, _ in found)
 
 
-def ends_cut(html: str | None) -> bool:
+def ends_cut(html: str | Blocks | None) -> bool:
     """The last block is running text that ends without a closing sign; tables, lists and captions never count as cut."""
-    found = [b for b in blocks(html) if not b[3]]
+    found = [b for b in (html if isinstance(html, list) else blocks(html)) if not b[3]]
     return bool(found) and found[-1][0] not in ("td", "tr", "li", "figcaption") and found[-1][1][-1] not in '.!?"”»)]…:'
 
 
-def normalise_headings(html: str | None) -> str | None:
-    """The highest heading level becomes h2, all lower ones h3; empty headings go."""
-    if html is None:
-        return None
-    levels = [int(m) for m in re.findall(r"(?i)<h([1-6])\b", html)]
-    if not levels:
-        return html
-    to = lambda m: "" if not re.sub(r"<[^>]+>|\s", "", m[2]) else f"<h{2 if int(m[1]) == min(levels) else 3}>{m[2]}</h{2 if int(m[1]) == min(levels) else 3}>"
-    return re.sub(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", to, html)
-
-
-def images(html: str | None) -> list[str]:
-    """Sources of the images, lazy attributes first, without data: URIs; none where more than 6 (a gallery)."""
-    found = []
-    for tag in re.findall(r"(?is)<img\b[^>]*>", html or ""):
-        own = {k.lower(): v for k, v in re.findall(r'([\w-]+)\s*=\s*"([^"]*)"', tag)}
-        for name in ("data-src", "data-lazy-src", "data-original", "srcset", "data-srcset", "src"):
-            url = own.get(name, "").split(",")[0].strip().split(" ")[0]
-            if len(url) > 10 and not url.startswith("data:"):
-                found.append(url)
-                break
-    found = list(dict.fromkeys(found))
-    return [] if len(found) > 6 else found
-
-
-def tables(html: str | None) -> list[list[str]]:
-    """Cells of every table row."""
-    strip = lambda c: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", c)).strip()
-    return [[strip(c) for c in re.findall(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", row)] for row in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", html or "")]
-
-
 def _over(function, kind: str):
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
@@ -191,21 +163,49 @@ def clean_column(html: Column | str) -> Column:
     return _over(clean, "string")(html)
 
 
-def main_text_column(html: Column | str) -> Column:
-    return _over(main_text, "string")(html)
+def content_column(html: Column | str) -> Column:
+    """(text, cut): the main text and whether it ends cut off, from one pass of the parser."""
 
+    @F.pandas_udf("text string, cut boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [blocks(t) for t in texts]
+        return pd.DataFrame({"text": [main_text(b) for b in found], "cut": [ends_cut(b) for b in found]})
 
-def ends_cut_column(html: Column | str) -> Column:
-    return _over(ends_cut, "boolean")(html)
+    return run(html)
 
 
 def headings_column(html: Column | str) -> Column:
-    return _over(normalise_headings, "string")(html)
+    """The highest heading level becomes h2, all lower ones h3; empty headings go."""
+    html = F.col(html) if isinstance(html, str) else html
+    filled = F.regexp_replace(html, r"(?is)<h([1-6])\b[^>]*>(?:\s|<(?!/?h[1-6])[^>]*>)*</h\1\s*>", "")
+    highest = F.array_min(F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])\b"), F.lit(1)), lambda x: x.cast("int")))
+    out = filled
+    for level in range(1, 7):
+        # A sign that no page has keeps a heading that is done from being taken again.
+        to = F.when(highest == level, "\x01h2>").otherwise("\x01h3>")
+        out = F.regexp_replace(out, F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"), F.concat(to, F.lit("$1\x01/"), F.substring(to, 2, 3)))
+    return F.when(highest.isNull(), html).otherwise(F.replace(out, F.lit("\x01"), F.lit("<")))
+
+
+#: Attributes that name a picture's source, lazy ones first.
+LAZY = ("data-src", "data-lazy-src", "data-original", "srcset", "data-srcset", "src")
 
 
 def images_column(html: Column | str) -> Column:
-    return _over(images, "array<string>")(html)
+    """Sources of the images, lazy attributes first, without data: URIs; none where more than 6 (a gallery)."""
+    html = F.col(html) if isinstance(html, str) else html
+
+    def source(tag: Column) -> Column:
+        values = [F.substring_index(F.trim(F.substring_index(F.regexp_extract(tag, rf'(?i)[\s"]{name}\s*=\s*"([^"]*)"', 1), ",", 1)), " ", 1) for name in LAZY]
+        return F.coalesce(*(F.when((F.length(v) > 10) & ~v.startswith("data:"), v) for v in values))
+
+    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), source), lambda x: x.isNotNull()))
+    return F.when(F.size(found) > 6, F.array().cast("array<string>")).otherwise(found)
 
 
 def tables_column(html: Column | str) -> Column:
-    return _over(tables, "array<array<string>>")(html)
+    """Cells of every table row, as text."""
+    html = F.col(html) if isinstance(html, str) else html
+    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), strip))

@@ -148,13 +148,36 @@ def test_gates(spark):
     assert card["passed"]
 
 
+def test_html_columns(spark):
+    assert one(spark, "<h3>a</h3><h4>b</h4><h3> </h3>", html.headings_column) == "<h2>a</h2><h3>b</h3>"
+    assert one(spark, "<p>none</p>", html.headings_column) == "<p>none</p>" and one(spark, None, html.headings_column) is None
+    assert one(spark, '<img data-src="https://x.org/1.jpg" src="data:1"><img src="s.gif">', html.images_column) == ["https://x.org/1.jpg"]
+    assert one(spark, "".join(f'<img src="https://x.org/{i}.jpg">' for i in range(7)), html.images_column) == []
+    assert one(spark, "<table><tr><th>a</th><td> b <i>c</i></td></tr></table>", html.tables_column) == [["a", "b c"]]
+
+
+def test_clean_pages_against_another_reading(spark):
+    """Cleaning keeps allowed tags only, loses no text outside dropped elements, and leaves a clean page as it is."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html", html.clean_column("html").alias("done"), html.content_column("html").alias("c")).collect()
+    squeeze = lambda t: re.sub(r"\s+", "", unescape(re.sub(r"<[^>]+>", "", t)))
+    for r in pages:
+        assert {t.lower() for t in re.findall(r"</?([A-Za-z0-9]+)", r["done"])} <= html.ALLOWED
+        bare = re.sub(r"(?is)<!--.*?-->|<!DOCTYPE[^>]*>", "", r["html"])
+        for t in html.DROPPED:
+            bare = re.sub(rf"(?is)<{t}\b.*?(?:</{t}>|$)", "", bare)
+        assert squeeze(r["done"]) == squeeze(bare)
+        assert html.clean(r["done"]) == r["done"]
+        assert r["c"]["text"] == html.main_text(r["html"]) and r["c"]["cut"] == html.ends_cut(r["html"])
+        assert squeeze(r["c"]["text"]) == "" or squeeze(r["c"]["text"])[:20] in squeeze(bare)
+
+
 def test_html():
     dirty = '<div onclick="x()"><p class="a">One <script>bad()</script><a href="javascript:x" title="t">two</a><a href="/ok">3</a><b>open</p>'
     assert html.clean(dirty) == '<p>One <a title="t">two</a><a href="/ok">3</a><b>open</b></p>'
     assert html.clean(None) is None
-    assert html.normalise_headings("<h3>a</h3><h4>b</h4><h3> </h3>") == "<h2>a</h2><h3>b</h3>"
-    assert html.images('<img data-src="https://x.org/1.jpg" src="data:1"><img src="s.gif">') == ["https://x.org/1.jpg"]
-    assert html.tables("<table><tr><th>a</th><td> b <i>c</i></td></tr></table>") == [["a", "b c"]]
     assert not html.ends_cut("<p>x.</p><table><tr><td>260000</td></tr></table>") and html.ends_cut("<p>cut off</p>")
     page = "<nav><a href=/>menu</a></nav><article><p>" + "Long text. " * 30 + "</p></article><footer>foot</footer>"
     assert html.main_text(page) == ("Long text. " * 30).strip()
