@@ -62,7 +62,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick first look: only texts with one of these are searched.
-_LOOK = rf"[@\d]|[=:]|{_EDGE}(?=\p{{Lu}})(?:{_TITLES}|{_NAMES})"
+_LOOK = rf"[@\d=:]|AKIA|(?:sk|pk|ghp|xox[bp])[-_]|[a-fA-F]{{32}}|{_EDGE}(?=\p{{Lu}})(?:{_TITLES}|{_NAMES})"
 
 
 def _kind(match: Column) -> Column:

@@ -84,3 +84,22 @@ def test_blocks_in_different_tasks_fill_each_other(spark):
     got = packing.pack(low.unionAll(high), PATH, capacity=10, with_ids=False)
     fills = got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert fills.sum() == 10 * n and len(fills) == n and (fills == 10).all()
+
+
+def test_as_few_sequences_as_one_best_fit_over_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = packing.pack(docs.repartition(7), PATH, with_ids=False).select("sequence_id", "length").toPandas()
+    sizes = sorted((int(n) for n in got["length"]), reverse=True)
+    one = packing.best_fit([(n, []) for n in sizes], 1024)
+    least = -(-sum(sizes) // 1024)
+    # Bins that tasks closed nearly full waste at most what counts as nearly full.
+    assert least <= got["sequence_id"].nunique() <= len(one) + 1 + packing.NEARLY_FULL * len(one) // 1024
+
+
+def test_every_token_of_the_vocabulary_has_the_ids_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    texts = [whole.decode([i]) for i in range(0, whole.get_vocab_size(), 7)]
+    encoder = packing.Encoder(PATH)
+    assert encoder.fast is not None and encoder.encode(texts) == plain(texts)

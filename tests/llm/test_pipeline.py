@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from quillstream.llm import packing, quality, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,30 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_mixing_stage_gives_what_the_plan_takes(spark):
+    from quillstream.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["mixing sources"](spark, docs, SF)
+    words = F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)))
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(words.alias("n")).collect()}
+    assert got == {r["id"]: r["taken"] for r in mixing.plan(docs).filter("taken > 0").collect()}
+
+
+def test_stages_on_null_empty_repeated_and_no_rows(spark, tmp_path):
+    text = "A plain text of several words that is repeated here."
+    rows = [(1, None, None, None, 0), (2, "", "en", "s", 0), (3, text, "en", "s", 52), (3, text, "en", "s", 52), (4, text, "en", None, 52), (5, "word " * 30_000, "en", "s", 150_000), (None, "An own text.", "en", "s", 12)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__kept", F.lit("x"))
+    for name, docs in (("few", made), ("none", made.limit(0))):
+        now = docs
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{i}")
+            stage(spark, now, SF).write.parquet(path)
+            now = spark.read.parquet(path)
+            if i < 4:
+                assert now.columns == docs.columns
+            if i == 1 and name == "few":
+                assert sorted((r["doc_id"] or 0) for r in now.collect() if r["text"] == text) == [4]
+        assert (now.count() > 0) == (name == "few")

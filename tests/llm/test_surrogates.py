@@ -86,3 +86,52 @@ def test_native(spark):
     assert "Python" not in done._jdf.queryExecution().toString()
     left = done.filter(done.text.rlike(r"mail\d\.example\.com|\+1 \(\d{3}\) 555-")).count()
     assert done.count() == docs.count() and left == 0
+
+
+def test_every_entity_of_the_table_against_another_reading(spark):
+    """What ``regex`` finds with the same patterns is replaced, everything between stays, and replacements are a function of the entity."""
+    import regex
+
+    pattern = regex.compile(surrogates.PATTERN)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    after = {r["doc_id"]: r for r in surrogates.replace(docs, "k").collect()}
+    assert set(before) == set(after)
+    drawn = {}
+    for i, text in before.items():
+        spots = list(pattern.finditer(text)) if regex.search(surrogates._LOOK, text) else []
+        assert after[i]["pii_count"] == len(spots)
+        if not spots:
+            assert (after[i]["text"] or "") == text
+            continue
+        ends = [0, *(m.end() for m in spots)]
+        between = [regex.escape(text[a:b]) for a, b in zip(ends, [*(m.start() for m in spots), len(text)], strict=True)]
+        names = {m[0] for m in spots if regex.fullmatch(surrogates._WORD, m[0])}
+        for n in names:
+            between = [regex.sub(rf"(?<![\p{{L}}\p{{N}}_]){n}(?![\p{{L}}\p{{N}}_])", r"[\\p{L}]+", b) for b in between]
+        found = regex.fullmatch("(?s)" + "(.+?)".join(between), after[i]["text"])
+        assert found, i
+        for m, new in zip(spots, found.groups(), strict=True):
+            # Names depend on their kind too, and lazily matched groups are only told apart by their surroundings.
+            if m[0] not in names and "@" in m[0]:
+                assert drawn.setdefault(m[0].lower(), new.lower()) == new.lower() and new != m[0]
+
+
+def test_long_secrets_and_names_alone(spark):
+    token = "eyJ" + "aB3_" * 80
+    texts = [f"api_key={token} end", "f" * 200, "sk-" + "q1W" * 60, "Mary Smithson came. Then Mary left.", "Марина, Анна Петрова и Анна"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, "k").collect()}
+    assert "aB3_" not in got[0] and len(got[0]) == len(texts[0]) and got[0].endswith(" end")
+    assert "ffff" * 5 not in got[1] and len(got[1]) == 200 and "q1Wq1W" not in got[2]
+    assert "Mary" not in got[3] and got[3].split()[0] == got[3].split()[4] and "Анна" not in got[4] and got[4].startswith("Марина, ")
+
+
+def test_composed_given_names_keep_gender(spark):
+    names = [n.lower() for g in surrogates.GIVEN.values() for n in g]
+    forms = [(f"given_{g}_{s}", n.lower()) for (s, g), own in surrogates.GIVEN.items() for n in own]
+    got = surrogates.assign(spark.createDataFrame(forms, "kind string, form string"), "k").collect()
+    assert not {r["new"] for r in got if r["new"] in names and r["kind"].endswith("cyrillic")}
+    for r in got:
+        if r["kind"].startswith("given_f"):
+            assert r["new"].endswith("а" if r["kind"].endswith("cyrillic") else "a") or r["new"] in names
