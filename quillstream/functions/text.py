@@ -57,12 +57,12 @@ def _ranges(signs: list[str], gap: int) -> str:
 _SEVERAL_ABOUT, _SEVERAL_CLASS = _ranges(list(_SEVERAL), 24), _ranges(list(_SEVERAL), 1)
 
 
-def to_ascii(c: Column | str) -> Column:
-    """Dotless and dotted i as Turkish has them, every other sign by its decomposition, what has none goes.
+def to_ascii(c: Column | str, turkish: bool = True) -> Column:
+    """Dotless and dotted i as Turkish has them (unless told not to), every other sign by its decomposition, what has none goes.
 
     Signs that leave several letters (ligatures, fractions) are rare: only texts that hold one are taken apart.
     """
-    s = F.translate(col(c), "çşığöüÇŞİĞÖÜ", "csigoucsigou")
+    s = F.translate(col(c), "çşığöüÇŞİĞÖÜ", "csigoucsigou") if turkish else col(c)
     table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
     found = F.array_distinct(F.regexp_extract_all(s, F.lit(f"({_SEVERAL_CLASS})")))
     s = F.when(s.rlike(_SEVERAL_ABOUT), F.aggregate(found, s, lambda t, x: F.replace(t, x, F.try_element_at(table, x)))).otherwise(s)
@@ -114,8 +114,13 @@ def rewrite_image(url: Column | str, pattern: Column, to: Column) -> Column:
 
 
 def strip_dateline(c: Column | str) -> Column:
-    """'LONDON (Agency) — ' at the start of a text goes."""
-    return F.regexp_replace(col(c), r"^\p{Lu}[\p{Lu} .,'-]{1,40}(?:\([^)]{1,40}\))?\s*[—–-]\s+", "")
+    """'LONDON (Agency) — ' or 'LONDON, 3 May (Agency), ' goes at the start of a text or of its first paragraph; a bare dash is no dateline."""
+    return F.regexp_replace(col(c), r"^(<p[^>]*>)?\s*\p{Lu}[\p{L}\s/-]{1,40}(?:,\s*[\p{L}\p{N}_\s]+?)?\s*\([\p{L}\s/.-]{2,50}\)\s*[,–—-]\s*", "$1")
+
+
+def untranslated(translated: Column | str, original: Column | str) -> Column:
+    """Equal to the original (both missing included), or empty."""
+    return col(translated).eqNullSafe(col(original)) | (F.coalesce(col(translated), F.lit("")) == "")
 
 
 def strip_label(c: Column | str) -> Column:

@@ -89,13 +89,19 @@ def modified_date(published: Column, scraped: Column, updated: Column, minutes:
     return F.when(updated > scraped + F.expr(f"interval {minutes} minutes"), updated).otherwise(published)
 
 
-def budget_usd(text: str, rates: dict[str, float] | None = None) -> Column:
-    """Money in the text column, in dollars: the first pattern with a valid amount (over 0, at most 10^12) counts, million and billion multiply."""
+# How an amount stands with its currency, in order of precedence; '#' is an amount with an optional multiplier.
+MONEY = [("US?\\$\\s*#", "USD"), ("#\\s*USD", "USD"), ("USD\\s*#", "USD"), ("€\\s*#", "EUR"), ("#\\s*EUR(?:O)?", "EUR"), ("EUR\\s*#", "EUR"), ("£\\s*#", "GBP"), ("GBP\\s*#", "GBP"), ("CHF\\s*#", "CHF")]
+
+
+def budget_usd(text: Column | str, rates: dict[str, float] | None = None) -> Column:
+    """Money in a text, in dollars: the first way of writing whose first match is a valid amount (over 0, at most 10^12 before conversion) counts."""
     found = []
-    for code, rate in (rates or RATES).items():
-        for pattern, multiply in ((rf"{code} ?([0-9][0-9,.]*) ?billion", 1e9), (rf"{code} ?([0-9][0-9,.]*) ?million", 1e6), (rf"{code} ?([0-9][0-9,.]*)", 1.0)):
-            amount = F.expr(f"try_cast(regexp_replace(regexp_replace(regexp_extract(`{text}`, '{pattern}', 1), '[.,]+$', ''), ',', '') as double)") * (multiply * rate)
-            found.append(F.when((amount > 0) & (amount <= 1e12), F.bround(amount, 2)))
+    for form, currency in MONEY:
+        pattern = "(?i)" + form.replace("#", r"([0-9,.]+)\s*(million|billion|M|B)?")
+        word = F.lower(F.regexp_extract(col(text), pattern, 2))
+        times = F.when(word.isin("billion", "b"), 1e9).when(word.isin("million", "m"), 1e6).otherwise(1.0)
+        amount = F.nullif(F.replace(F.regexp_extract(col(text), pattern, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("double") * times
+        found.append(F.when((amount > 0) & (amount <= 1e12), F.bround(amount * (rates or RATES)[currency], 2)))
     return F.coalesce(*found)
 
 

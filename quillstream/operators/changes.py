@@ -70,6 +70,14 @@ def reserved(live: DataFrame, retired: DataFrame, key: str) -> DataFrame:
     return live.select(key).unionByName(retired.select(key)).distinct()
 
 
+def key_conflicts(gone: DataFrame, live: DataFrame, retired: DataFrame) -> DataFrame:
+    """(key, conflict): a key listed as gone may be live, retired by the history, or the stem of a live one with a hash behind it, in this order."""
+    one = lambda rows, name: rows.select(F.col("key").alias(name)).distinct()
+    joined = gone.join(one(live, "a"), F.col("key") == F.col("a"), "left").join(one(retired, "b"), F.col("key") == F.col("b"), "left")
+    joined = joined.join(one(live, "c"), F.regexp_replace("key", "-[0-9a-f]{6}$", "") == F.col("c"), "left")
+    return joined.select("key", F.when(F.col("a").isNotNull(), "live").when(F.col("b").isNotNull(), "retired").when(F.col("c").isNotNull(), "stem").otherwise("none").alias("conflict"))
+
+
 def purge(rows: DataFrame, deadline: str, now: Column) -> DataFrame:
     """Rows whose deadline has passed go; an unknown deadline stays."""
     return rows.filter(F.col(deadline).isNull() | (F.col(deadline) >= now))

@@ -118,14 +118,37 @@ def similar_to(rows: DataFrame, now: Column, tab: str | None, sectors: list[str]
     return near.filter("weight > 0").orderBy(F.desc("weight"), *newest_first()).limit(k)
 
 
+def spellings(key: Column) -> Column:
+    """A key as it came and, where it differs, percent-decoded."""
+    return F.array_distinct(F.filter(F.array(key, F.try_url_decode(F.replace(key, F.lit("+"), F.lit("%2B")))), lambda k: k.isNotNull()))
+
+
+def by_keys(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """(asked, row) for every spelling of the asked keys."""
+    return asked.withColumn("__key", F.explode(spellings(F.col("asked")))).join(rows, F.col("__key") == F.col(key)).drop("__key")
+
+
 def resolve_keys(asked: DataFrame, current: DataFrame, history: DataFrame, least_base: int = 8) -> DataFrame:
-    """(asked, key, how): a key of old is looked up in the history, else as base or base plus six signs; never itself, newest first."""
-    by_history = asked.join(history, F.col("asked") == F.col("old_key")).join(current, "item").select("asked", "key", "at", F.lit(1).alias("order"))
-    based = current.withColumn("base", F.regexp_replace("key", "-[0-9a-f]{6}$", ""))
-    by_base = asked.join(based, F.regexp_replace("asked", "-[0-9a-f]{6}$", "") == F.col("base")).filter(F.length("base") >= least_base).select("asked", "key", "at", F.lit(2).alias("order"))
-    found = by_history.unionByName(by_base).filter("asked <> key")
-    best = found.groupBy("asked").agg(F.min_by(F.struct("key", "order"), F.struct("order", -F.unix_micros(F.col("at").cast("timestamp")), "key")).alias("x"))
-    return asked.join(best, "asked", "left").select("asked", F.col("x.key").alias("key"), F.when(F.col("x.order") == 1, "history").when(F.col("x.order") == 2, "base").otherwise("none").alias("how"))
+    """(asked, key, how): where a key of old leads, never to itself.
+
+    In order: the history, by the key as it came or decoded; the newest key that is its base, or the base
+    plus six signs; the same for its ASCII form. A way whose newest key is the asked one leads nowhere.
+    """
+    from ..functions.text import to_ascii
+
+    raw = F.col("asked")
+    kept = history.join(current, "item").select("old_key", "key", "at")
+    by_history = by_keys(kept, "old_key", asked).select("asked", "key", "at", F.lit(1).alias("order"))
+    stem = F.when(F.col("key").rlike("(?s)^.+-.{6}$"), F.regexp_extract("key", "(?s)^(.+)-.{6}$", 1))
+    based = current.select("key", "at", F.explode(F.filter(F.array(F.col("key"), stem), lambda s: s.isNotNull())).alias("base"))
+    plain = F.regexp_replace(F.lower(to_ascii(F.element_at(spellings(raw), -1), turkish=False)), "[^a-z0-9-]", "")
+    bases = F.transform(F.array(raw, plain), lambda s: F.regexp_replace(s, "-[0-9a-f]{6}$", ""))
+    tries = asked.select("asked", F.posexplode(F.array_distinct(bases)).alias("i", "base")).filter(F.length("base") >= least_base)
+    by_base = tries.join(based, "base").select("asked", "key", "at", (F.col("i") + 2).alias("order"))
+    found = by_history.unionByName(by_base).groupBy("asked", "order").agg(F.max_by("key", F.struct("at", "key")).alias("key")).filter("asked <> key")
+    best = found.groupBy("asked").agg(F.min_by(F.struct("key", "order"), "order").alias("x"))
+    how = F.when(F.col("x.order") == 1, "history").when(F.col("x.order") == 2, "base").when(F.col("x.order") == 3, "folded").otherwise("none")
+    return asked.join(best, "asked", "left").select("asked", F.col("x.key").alias("key"), how.alias("how"))
 
 
 def category_label(tab: Column, tags: Column, generic: list[str], geographic: str) -> Column:

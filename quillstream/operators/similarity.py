@@ -121,3 +121,22 @@ def overlap(rows: DataFrame, targets: DataFrame, id_col: str, text_col: str, tar
     """(id, target, shared): how many distinct shingles of a target stand in a text; texts without any are left out."""
     wanted = shingles(targets, target_id, target_text, width).select(F.col("id").alias("target"), "shingle")
     return shingles(rows, id_col, text_col, width).join(wanted, "shingle").groupBy("id", "target").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def hash_matches(rows: DataFrame, id_col: str, hash_col: str, most_bits: int = 24) -> DataFrame:
+    """(a, b, bits) for 256-bit hexadecimal hashes that differ in at most ``most_bits`` bits, each pair of different hashes once and copies by their smallest id.
+
+    Of 16 words of 16 bits, at most 31 differing bits leave one word with at most one. Each hash is sent to
+    its words and to every word one bit away; pairs that meet there are compared whole, so none is lost.
+    """
+    if not 0 <= most_bits < 32:
+        raise ValueError("the words hold for at most 31 bits")
+    from ..functions.values import hamming_hex
+
+    nodes = rows.filter(F.length(hash_col) == 64).groupBy(F.lower(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    word = F.array(*(F.struct(F.lit(k).alias("k"), F.conv(F.substring("h", 1 + 4 * k, 4), 16, 10).cast("int").alias("w")) for k in range(16)))
+    own = nodes.select("id", "h", F.explode(word).alias("x")).select("id", "h", "x.k", "x.w")
+    flips = F.array(F.col("w"), *(F.col("w").bitwiseXOR(F.lit(1 << i)) for i in range(16)))
+    spread = own.select(F.col("id").alias("a"), F.col("h").alias("h_a"), "k", F.explode(flips).alias("w"))
+    met = spread.join(own, ["k", "w"]).filter("a < id").select("a", F.col("id").alias("b"), "h_a", "h").distinct()
+    return met.select("a", "b", hamming_hex("h_a", "h").cast("long").alias("bits")).filter(F.col("bits") <= most_bits)

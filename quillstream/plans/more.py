@@ -64,7 +64,7 @@ def search_articles(spark: SparkSession, d: str) -> DataFrame:
 
 def untranslated(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").withColumn("other", F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, "x"))
-    return rows.filter(F.col("other").eqNullSafe(F.col("p_name")) | (F.coalesce("other", F.lit("")) == "")).select("p_partkey")
+    return rows.filter(T.untranslated("other", "p_name")).select("p_partkey")
 
 
 def patched_orders(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import md5_mod
 from ..operators import metrics, reads, search
+from ..storage import settle
 from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_md5_mod, sql_stamp, stamp, table
 
 LIST_SQL = f"id, source, title, score, tab, {sql_stamp('published_at')} AS published_at"
@@ -95,11 +96,17 @@ def tag_counts_min3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sitemap_union(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda rows, prefix, name, block: rows.select(F.concat(F.lit(prefix), name).alias("url"), F.lit(block).alias("block"))
+    low = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("-"))
+    shown = settle(_published(spark, d).select("id", "tags"))
     blocks = [
-        table(spark, d, "region").select(F.concat(F.lit("/region/"), F.lower("r_name")).alias("url"), F.lit(0).alias("block")),
-        table(spark, d, "nation").select(F.concat(F.lit("/country/"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))).alias("url"), F.lit(1).alias("block")),
-        metrics.tag_counts(_published(spark, d)).select(F.concat(F.lit("/tag/"), F.col("tag")).alias("url"), F.lit(2).alias("block")),
-        _published(spark, d).select(F.concat(F.lit("/item/"), F.col("id").cast("string")).alias("url"), F.lit(3).alias("block")),
+        spark.createDataFrame([("/", 0), ("/about", 0)], "url string, block int"),
+        one(shown, "/item/", F.col("id").cast("string"), 1),
+        one(table(spark, d, "region"), "/region/", low("r_name"), 2),
+        one(table(spark, d, "nation"), "/sector/", low("n_name"), 3),
+        one(table(spark, d, "supplier"), "/author/", F.col("s_suppkey").cast("string"), 4),
+        one(metrics.tag_counts(shown), "/tag/", F.col("tag"), 5),
+        one(table(spark, d, "conversations").select("conv_id").distinct(), "/blog/", F.col("conv_id").cast("string"), 6),
     ]
     out = blocks[0]
     for b in blocks[1:]:
@@ -192,8 +199,8 @@ ORACLE = {
         SELECT {LIST_SQL}, weight FROM (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, {_NEWEST} LIMIT 5)""",
     "tag_counts_min3": f"{_WITH} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM p) GROUP BY tag HAVING count(*) >= 3",
     "sitemap_union": f"""{_WITH}, t AS (SELECT unnest(tags) AS tag FROM p)
-        SELECT '/region/' || lower(r_name) AS url, 0 AS block FROM region UNION ALL SELECT '/country/' || replace(lower(n_name), ' ', '-'), 1 FROM nation
-        UNION ALL SELECT '/tag/' || tag, 2 FROM t GROUP BY tag HAVING count(*) >= 3 UNION ALL SELECT '/item/' || id, 3 FROM p""",
+        SELECT '/' AS url, 0 AS block UNION ALL SELECT '/about', 0 UNION ALL SELECT '/item/' || id, 1 FROM p UNION ALL SELECT '/region/' || replace(lower(r_name), ' ', '-'), 2 FROM region UNION ALL SELECT '/sector/' || replace(lower(n_name), ' ', '-'), 3 FROM nation
+        UNION ALL SELECT '/author/' || s_suppkey, 4 FROM supplier UNION ALL SELECT '/tag/' || tag, 5 FROM t GROUP BY tag HAVING count(*) >= 3 UNION ALL SELECT DISTINCT '/blog/' || conv_id, 6 FROM conversations""",
     "suggest_blocks": """SELECT 'region' AS type, r_name AS label, 0 AS block FROM (SELECT r_name FROM region WHERE lower(r_name) LIKE '%an%' ORDER BY r_name LIMIT 2)
         UNION ALL SELECT 'nation', n_name, 1 FROM (SELECT n_name FROM nation WHERE lower(n_name) LIKE '%an%' ORDER BY n_name LIMIT 3)
         UNION ALL SELECT 'part', p_name, 2 FROM (SELECT DISTINCT p_name FROM part WHERE lower(p_name) LIKE '%an%' ORDER BY p_name LIMIT 4)""",

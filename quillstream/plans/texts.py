@@ -112,8 +112,9 @@ def keyword_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_extract(spark: SparkSession, d: str) -> DataFrame:
-    price, key = F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.col("o_orderkey") % 5
-    words = F.when(key == 0, F.concat(F.lit("Budget: USD "), price, F.lit("."))).when(key == 1, F.concat(F.lit("about EUR "), price, F.lit(" million"))).when(key == 2, F.concat(F.lit("GBP "), price, F.lit(" or USD ."))).when(key == 3, F.concat(F.lit("CHF "), price, F.lit(" billion"))).otherwise("none")
+    price, key = F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.col("o_orderkey") % 7
+    words = F.when(key == 0, F.concat(F.lit("Budget: USD "), price, F.lit(" in all"))).when(key == 1, F.concat(F.lit("about EUR "), price, F.lit(" million"))).when(key == 2, F.concat(F.lit("GBP "), price, F.lit(" or USD ."))).when(key == 3, F.concat(F.lit("CHF "), price, F.lit(" billion")))
+    words = words.when(key == 4, F.concat(F.lit("worth us$ "), price, F.lit("m"))).when(key == 5, "2,500.00 Million usd, or EUR 3").otherwise("none")
     return table(spark, d, "orders").withColumn("words", words).select("o_orderkey", F.round(V.budget_usd("words"), 2).alias("usd"))
 
 
@@ -148,7 +149,13 @@ def image_distance(spark: SparkSession, d: str) -> DataFrame:
     return near.select("vec_id", "other", V.hamming_hex("h", "h2").cast("long").alias("bits"))
 
 
-QUERIES = {f.__name__: f for f in (slug_base, slug_unique_allocation, word_count_gate, language_gate, truncation_gate, gate_funnel, funnel_totals, yield_alerts, exact_dedup_status, near_dup_window, near_duplicates, benchmark_overlap, hash_bucket_assign, rule_assignment, array_remap, category_label, keyword_category, budget_extract, date_parse_multi, reading_time, text_cleaning, image_variants, image_distance)}
+def image_matches(spark: SparkSession, d: str) -> DataFrame:
+    stem = F.md5((F.col("p_partkey") % 700).cast("string"))
+    h = F.concat(stem, F.substring(stem, 1, 30), F.lpad(F.conv((F.col("p_partkey") * 37 % 256).cast("string"), 10, 16), 2, "0"))
+    return similarity.hash_matches(table(spark, d, "part").select("p_partkey", h.alias("h")), "p_partkey", "h", 4)
+
+
+QUERIES = {f.__name__: f for f in (image_matches, slug_base, slug_unique_allocation, word_count_gate, language_gate, truncation_gate, gate_funnel, funnel_totals, yield_alerts, exact_dedup_status, near_dup_window, near_duplicates, benchmark_overlap, hash_bucket_assign, rule_assignment, array_remap, category_label, keyword_category, budget_extract, date_parse_multi, reading_time, text_cleaning, image_variants, image_distance)}
 
 _WITH = f"WITH {ARTICLES_SQL}"
 _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(translate({t}, 'çşığöüÇŞİĞÖÜ', 'csigoucsigou')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s\\x1c-\\x1f-]', '', 'g'), '[\\s\\x1c-\\x1f_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
@@ -179,6 +186,8 @@ _SIMILAR = f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', ex
     l AS (SELECT a, b, n::DOUBLE / (len(u.s) + len(v.s) - n) AS similarity FROM f JOIN c u ON u.id = a JOIN c v ON v.id = b WHERE n::DOUBLE / (len(u.s) + len(v.s) - n) >= 0.8)"""
 
 ORACLE = {
+    "image_matches": """WITH p AS (SELECT p_partkey % 700 AS stem, (p_partkey * 37) % 256 AS tail, min(p_partkey) AS id FROM part GROUP BY 1, 2)
+        SELECT a.id AS a, b.id AS b, bit_count(xor(a.tail, b.tail)::BIGINT)::BIGINT AS bits FROM p a JOIN p b ON a.stem = b.stem AND a.id < b.id WHERE bit_count(xor(a.tail, b.tail)::BIGINT) <= 4""",
     "slug_base": f"SELECT doc_id, {_SLUG.format(t='text')} AS slug FROM documents",
     "slug_unique_allocation": f"""WITH b AS (SELECT p_partkey, {_SLUG.format(t="p_name")} AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM b),
         t AS (SELECT DISTINCT CASE p_partkey % 15 WHEN 0 THEN base WHEN 5 THEN base || '-3' ELSE base || '-4' END AS key FROM b WHERE p_partkey % 5 = 0),
@@ -202,7 +211,7 @@ ORACLE = {
         array_to_string(list_filter(tags, lambda t: t IN ('disgusting', 'worthless', 'thanedble', 'aeronreth'))[1:3], '|') AS allowed FROM articles""",
     "category_label": f"{_WITH} SELECT id, CASE WHEN tab IN ('tab0', 'tab4') THEN coalesce(list_filter(tags, lambda t: t[1] NOT IN ('a', 'c'))[1], tab) ELSE tab END AS label FROM articles",
     "keyword_category": "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_name || ' ' || p_type), '\\b(?:{w})\\b') THEN '{n}'" for n, w in KEYWORDS) + " ELSE 'other' END AS category FROM part",
-    "budget_extract": "WITH p AS (SELECT o_orderkey, o_totalprice::DECIMAL(12,2)::DOUBLE AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN round(v, 2) WHEN 1 THEN CASE WHEN v * 1080000.0 <= 1e12 THEN round(v * 1080000.0, 2) END WHEN 2 THEN round(round_even(v * 1.27, 2), 2) WHEN 3 THEN CASE WHEN v * 1.12e9 <= 1e12 THEN round(v * 1.12e9, 2) ELSE round(round_even(v * 1.12, 2), 2) END END AS usd FROM p",
+    "budget_extract": "WITH p AS (SELECT o_orderkey, o_totalprice::DECIMAL(12,2)::DOUBLE AS v FROM orders) SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN v WHEN 1 THEN round(v * 1080000.0, 2) WHEN 2 THEN round_even(v * 1.27, 2) WHEN 3 THEN CASE WHEN v * 1e9 <= 1e12 THEN round(v * 1.12e9, 2) END WHEN 4 THEN v * 1e6 WHEN 5 THEN 2500000000.0 END AS usd FROM p",
     "date_parse_multi": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "reading_time": "SELECT doc_id, greatest(1, length(text) // 1500)::INTEGER AS minutes, CASE WHEN length(text) BETWEEN 135 AND 160 THEN 'ideal' WHEN length(text) BETWEEN 105 AND 170 THEN 'safe' ELSE 'out' END AS band, CASE WHEN len(string_split_regex(trim(text), '\\s+')) > 5 THEN array_to_string(string_split_regex(trim(text), '\\s+')[1:5], ' ') ELSE text END AS head FROM documents",
     "text_cleaning": """WITH m AS (SELECT doc_id, 'LONDON (Agency) — ' || text || ' -- done – now & <b>"x"</b> summary: y' AS made FROM documents)

@@ -21,8 +21,9 @@ def legacy_key_resolution(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.lower("p_type"))
     current = parts.select(F.col("p_partkey").alias("item"), F.concat(base, F.lit("-"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 6)).alias("key"), (_now() - F.make_interval(hours=F.col("p_partkey").cast("int"))).alias("at"))
     history = parts.filter("p_partkey % 10 = 0").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("old_key"), F.col("p_partkey").alias("item"))
-    asked = history.select(F.col("old_key").alias("asked")).unionByName(parts.filter("p_partkey % 100 = 7").select(base.alias("asked")).distinct()).unionByName(spark.createDataFrame([("nothing-here",)], "asked string"))
-    return reads.resolve_keys(asked, current, history)
+    asked = history.select(F.col("old_key").alias("asked")).unionByName(parts.filter("p_partkey % 100 = 7").select(base.alias("asked")).distinct()).unionByName(spark.createDataFrame([("nothing-here",), ("old%2D20",)], "asked string"))
+    accented = parts.filter("p_partkey % 100 = 9").select(F.concat(F.initcap(F.replace(base, F.lit("e"), F.lit("%C3%A9"))), F.lit("-0a1b2c")).alias("asked")).distinct()
+    return reads.resolve_keys(asked.unionByName(accented), current, history)
 
 
 def slug_history_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +95,11 @@ def registry_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tombstone_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("key")).distinct()
-    gone = table(spark, d, "part").filter("p_partkey % 40 = 0").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 80 == 0, "-0a1b2c").otherwise(F.when(F.col("p_partkey") % 3 == 0, "-x").otherwise(""))).alias("gone")).distinct()
-    same = live.select(F.col("key").alias("k1"))
-    stem = live.select(F.col("key").alias("k2"))
-    joined = gone.join(same, F.col("gone") == F.col("k1"), "left").join(stem, F.regexp_replace("gone", "-[0-9a-f]{6}$", "") == F.col("k2"), "left")
-    return joined.select("gone", F.when(F.col("k1").isNotNull(), "live").when(F.col("k2").isNotNull(), "stem").otherwise("none").alias("conflict"))
+    name, k = F.replace("p_name", F.lit(" "), F.lit("-")), F.col("p_partkey")
+    parts = table(spark, d, "part")
+    gone = parts.filter(k % 40 == 0).select(F.concat(name, F.when(k % 80 == 0, "-0a1b2c").when(k % 3 == 0, "-x").when(k % 7 == 0, "-old").otherwise("")).alias("key")).distinct()
+    retired = parts.filter(k % 7 == 0).select(F.concat(name, F.lit("-old")).alias("key"))
+    return changes.key_conflicts(gone, parts.select(name.alias("key")), retired).withColumnRenamed("key", "gone")
 
 
 def event_overview(spark: SparkSession, d: str) -> DataFrame:
@@ -200,10 +200,10 @@ ORACLE = {
     "page_tables": f"""WITH m AS (SELECT page_id, html || '<table><tr class="a"><th>Name</th><td> x <i>y</i></td></tr><tr><td>' || page_id || '</td></tr></table>' AS html FROM pages)
         SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>', 1), lambda c: {_STRIP.format('c')}), '|')), chr(10)) AS cells FROM m""",
     "legacy_key_resolution": f"""WITH c AS (SELECT p_partkey AS item, replace(p_name, ' ', '-') || '-' || lower(p_type) AS base, base || '-' || substr(md5(p_partkey::VARCHAR), 1, 6) AS key, TIMESTAMP '{NOW}' - to_hours(p_partkey::INTEGER) AS at_time FROM part),
-        a AS (SELECT 'old-' || item AS asked FROM c WHERE item % 10 = 0 UNION ALL SELECT DISTINCT base FROM c WHERE item % 100 = 7 UNION ALL SELECT 'nothing-here'),
-        f AS (SELECT asked, key, 1 AS o, at_time FROM a JOIN c ON asked = 'old-' || item WHERE item % 10 = 0 UNION ALL SELECT asked, key, 2, at_time FROM a JOIN c ON regexp_replace(asked, '-[0-9a-f]{{6}}$', '') = regexp_replace(key, '-[0-9a-f]{{6}}$', '') WHERE length(regexp_replace(key, '-[0-9a-f]{{6}}$', '')) >= 8),
-        b AS (SELECT * FROM f WHERE asked <> key QUALIFY row_number() OVER (PARTITION BY asked ORDER BY o, at_time DESC, key) = 1)
-        SELECT a.asked, key, coalesce(['history', 'base'][o], 'none') AS how FROM a LEFT JOIN b ON a.asked = b.asked""",
+        n AS (SELECT base, arg_max(key, (at_time, key)) AS key FROM c GROUP BY base), x AS (SELECT DISTINCT base FROM c WHERE item % 100 = 9),
+        a AS (SELECT 'old-' || item AS asked, key, 'history' AS how FROM c WHERE item % 10 = 0 UNION ALL SELECT 'old%2D20', key, 'history' FROM c WHERE item = 20
+              UNION ALL SELECT base, key, 'base' FROM n WHERE base IN (SELECT base FROM c WHERE item % 100 = 7) UNION ALL SELECT 'nothing-here', NULL, 'none')
+        SELECT asked, key, how FROM a UNION ALL SELECT upper(substr(replace(base, 'e', '%C3%A9'), 1, 1)) || lower(substr(replace(base, 'e', '%C3%A9'), 2)) || '-0a1b2c', key, 'folded' FROM x JOIN n USING (base)""",
     "slug_history_merge": """WITH r AS (SELECT o_orderkey, lower(o_orderstatus) || '-' || o_orderkey AS old, CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderpriority) || '-' || o_orderkey WHEN o_orderkey % 50 = 1 THEN 'was-' || (o_orderkey + 1) ELSE lower(o_orderstatus) || '-' || o_orderkey END AS new FROM orders),
         e AS (SELECT 'was-' || o_orderkey AS old_key, o_orderkey, 0 AS turn FROM r WHERE o_orderkey % 5 = 2 UNION ALL SELECT old, o_orderkey, 1 FROM r WHERE old <> new)
         SELECT old_key, o_orderkey FROM e WHERE old_key NOT IN (SELECT new FROM r) QUALIFY row_number() OVER (PARTITION BY old_key ORDER BY turn DESC, o_orderkey DESC) = 1""",
@@ -223,8 +223,8 @@ ORACLE = {
     "registry_drift": """WITH a AS (SELECT * FROM nation WHERE n_nationkey % 6 <> 0), b AS (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey % 7 <> 0)
         SELECT n_nationkey, 'only first' AS problem FROM a WHERE n_nationkey NOT IN (SELECT n_nationkey FROM b) UNION ALL SELECT n_nationkey, 'only second' FROM b WHERE n_nationkey NOT IN (SELECT n_nationkey FROM a)
         UNION ALL SELECT a.n_nationkey, 'differs in n_name' FROM a JOIN b USING (n_nationkey) WHERE a.n_name IS DISTINCT FROM b.n_name UNION ALL SELECT a.n_nationkey, 'differs in n_regionkey' FROM a JOIN b USING (n_nationkey) WHERE a.n_regionkey IS DISTINCT FROM b.n_regionkey""",
-    "tombstone_conflicts": """WITH l AS (SELECT DISTINCT replace(p_name, ' ', '-') AS key FROM part), g AS (SELECT DISTINCT replace(p_name, ' ', '-') || CASE WHEN p_partkey % 80 = 0 THEN '-0a1b2c' WHEN p_partkey % 3 = 0 THEN '-x' ELSE '' END AS gone FROM part WHERE p_partkey % 40 = 0)
-        SELECT gone, CASE WHEN gone IN (SELECT key FROM l) THEN 'live' WHEN regexp_replace(gone, '-[0-9a-f]{6}$', '') IN (SELECT key FROM l) THEN 'stem' ELSE 'none' END AS conflict FROM g""",
+    "tombstone_conflicts": """WITH l AS (SELECT DISTINCT replace(p_name, ' ', '-') AS key FROM part), g AS (SELECT DISTINCT replace(p_name, ' ', '-') || CASE WHEN p_partkey % 80 = 0 THEN '-0a1b2c' WHEN p_partkey % 3 = 0 THEN '-x' WHEN p_partkey % 7 = 0 THEN '-old' ELSE '' END AS gone FROM part WHERE p_partkey % 40 = 0)
+        SELECT gone, CASE WHEN gone IN (SELECT key FROM l) THEN 'live' WHEN gone IN (SELECT replace(p_name, ' ', '-') || '-old' FROM part WHERE p_partkey % 7 = 0) THEN 'retired' WHEN regexp_replace(gone, '-[0-9a-f]{6}$', '') IN (SELECT key FROM l) THEN 'stem' ELSE 'none' END AS conflict FROM g""",
     "event_overview": """WITH s AS (SELECT user_id, ts::DATE AS day, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM events GROUP BY 1, 2), o AS (SELECT count(DISTINCT user_id) AS users, count(*) AS sessions, sum(n)::BIGINT AS views, floor(avg(span) / 1000000)::BIGINT AS s FROM s)
         SELECT users, sessions, views, (s // 60) || 'm ' || (s % 60) || 's' AS mean_session FROM o""",
     "event_daily_active": "WITH u AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT day, users, greatest(4, round(users / greatest(1, max(users) OVER ()) * 100)::INTEGER)::INTEGER AS bar FROM u",

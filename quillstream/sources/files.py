@@ -42,10 +42,12 @@ def last_children(index: DataFrame, k: int, position: str = "position") -> DataF
 
 
 def read_notices(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Procurement notices of a JSON interface (an object of notices by id): one per id, open ones only."""
+    """Procurement notices of a JSON interface, an object of notices by id or a list of them: one per id, open ones only."""
     notice = "struct<id: string, noticetitle: string, bid_description: string, deadline: string, country: string>"
-    raw = spark.read.schema(f"procnotices map<string, {notice}>").option("multiLine", True).json(path)
-    rows = raw.select(F.explode(F.map_values("procnotices")).alias("n")).select("n.*").dropDuplicates(["id"])
+    raw = spark.read.schema("procnotices string").option("multiLine", True).json(path)
+    listed = F.ltrim("procnotices").startswith("[")
+    every = F.when(listed, F.from_json("procnotices", f"array<{notice}>")).otherwise(F.map_values(F.from_json("procnotices", f"map<string, {notice}>")))
+    rows = raw.select(F.explode(every).alias("n")).select("n.*").dropDuplicates(["id"])
     rows = rows.withColumn("deadline_at", parse_date("deadline")).filter(F.col("deadline_at") > now)
     return rows.select("id", F.coalesce(F.nullif("noticetitle", F.lit("")), "bid_description").alias("title"), "country", "deadline_at")
 

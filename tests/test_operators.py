@@ -287,3 +287,38 @@ def test_upkeep(spark):
     assert sorted(r["id"] for r in upkeep.until_few_new(rows, 2).collect()) == [10, 11, 12]
     assert upkeep.until_few_new(rows.limit(0), 2).count() == 0
     assert one(upkeep.or_original(F.lit("  "), F.lit("o"))) == "o"
+
+
+def test_hash_matches_against_all_pairs(spark):
+    from quillstream.operators import similarity
+
+    r = random.Random(9)
+    hashes = []
+    for _ in range(12):
+        h = r.getrandbits(256)
+        hashes += [h] + [h ^ sum(1 << b for b in r.sample(range(256), n)) for n in (1, 8, 20, 24, 25, 30)]
+    hashes.append(hashes[0])
+    rows = spark.createDataFrame([(i, f"{h:064x}") for i, h in enumerate(hashes)] + [(999, None), (1000, "ab")], "id int, h string")
+    want = {(i, j, (hashes[i] ^ hashes[j]).bit_count()) for i in range(len(hashes) - 1) for j in range(i + 1, len(hashes) - 1) if 0 < (hashes[i] ^ hashes[j]).bit_count() <= 24}
+    assert {(x["a"], x["b"], x["bits"]) for x in similarity.hash_matches(rows, "id", "h").collect()} == want
+
+
+def test_notices_in_both_forms(spark, tmp_path):
+    import json
+
+    notice = lambda i, d: {"id": i, "noticetitle": "", "bid_description": f"b{i}", "deadline": d, "country": "X"}
+    (tmp_path / "a.json").write_text(json.dumps({"procnotices": {"k1": notice("1", "2030-01-01"), "k2": notice("2", "2001-01-01")}}))
+    (tmp_path / "b.json").write_text(json.dumps({"procnotices": [notice("1", "2030-01-01"), notice("3", "2031-01-01")]}))
+    got = files.read_notices(spark, str(tmp_path), F.lit("2024-01-01").cast("timestamp")).collect()
+    assert {(r["id"], r["title"]) for r in got} == {("1", "b1"), ("3", "b3")}
+
+
+def test_sitemaps_and_manifests(spark, tmp_path):
+    (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc> https://x/1.xml </loc></sitemap><sitemap><loc>https://x/2.xml</loc></sitemap><sitemap><loc>https://x/3.xml</loc></sitemap></sitemapindex>")
+    index = files.read_sitemap_index(spark, str(tmp_path / "i.xml"))
+    assert [r["loc"] for r in files.last_children(index, 2).collect()] == ["https://x/3.xml", "https://x/2.xml"]
+    rows = spark.createDataFrame([("a,b", 3), ('q"x', 4)], "path string, bytes long")
+    files.write_manifest(rows, str(tmp_path / "m"))
+    assert {tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m")).collect()} == {("a,b", 3), ('q"x', 4)}
+    with pytest.raises(ValueError):
+        files.html_table(rows, [F.col("path")], most=1)
