@@ -221,23 +221,21 @@ Whole = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 class Trie:
     """Smoothed bigrams and trigrams of a shard's contexts."""
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, unigram: np.ndarray, discounts: tuple[float, float], whole: Whole):
-        """Training n-grams (u before v before w) as word numbers; unigram: probability of each word number; discounts of bigrams and trigrams; whole: counts of the parted words."""
+    def __init__(self, bi: np.ndarray, n2: np.ndarray, tri: np.ndarray, n3: np.ndarray, unigram: np.ndarray, discounts: tuple[float, float], whole: Whole):
+        """Distinct training n-grams with their counts: ``bi`` sorted, v * words + w; ``tri`` (place of its bigram in ``bi``) * words + u; unigram: probability of each word number; discounts of bigrams and trigrams; whole: counts of the parted words."""
         words = len(unigram)
-        vw, vu = v * words + w, v * words + u
-        del u, w
-        bi, n2 = np.unique(vw, return_counts=True)
         # Of parted words the counts over all parts stand for those of this part.
         parted, pair, pair_n, whole_total, whole_kinds = whole
         own = ~parted[bi // words]
-        bi, n2 = np.concatenate([bi[own], pair]), np.concatenate([n2[own], pair_n])
-        order = np.argsort(bi)
-        bi, n2 = bi[order], n2[order]
-        del own, order
-        bv, bw = bi // words, bi % words
-        rank = np.searchsorted(bi, vw).astype(np.int32)
-        relative = rank - np.searchsorted(bv, np.arange(words)).astype(np.int32)[v]
-        del vw, bi, v
+        both, n2 = np.concatenate([bi[own], pair]), np.concatenate([n2[own], pair_n])
+        order = np.argsort(both)
+        both, n2 = both[order], n2[order]
+        rank = np.searchsorted(both, bi)[tri // words]
+        bv, bw = both // words, both % words
+        v = bv[rank]
+        relative = rank - np.searchsorted(bv, np.arange(words))[v]
+        longer, context = np.unique(v * words + tri % words, return_inverse=True)
+        del own, order, both, v, bi
         self.successors = Children(bv, bw, words)
         d = discounts[0]
         total = np.where(parted, whole_total, np.bincount(bv, n2, words))
@@ -247,17 +245,13 @@ class Trie:
         self.p2 = Quantised(np.log10(p2))
         self.w2 = Quantised(np.log10(np.where(total > 0, weight, 1.0)))
         del bv, bw, n2
-        longer = np.unique(vu)
-        context = np.searchsorted(longer, vu)
-        del vu
         self.before = Children(longer // words, longer % words, words)
         span = int(relative.max()) + 1 if len(relative) else 1
-        context *= span
-        context += relative
-        del relative
-        tri, first, n3 = np.unique(context, return_index=True, return_counts=True)
-        lower = p2[rank[first]]
-        del context, rank, first, p2
+        tri = context * np.int64(span) + relative
+        del context, relative
+        order = np.argsort(tri)
+        tri, n3, lower = tri[order], n3[order], p2[rank[order]]
+        del order, rank, p2
         tc = tri // span
         self.longer = Children(tc, tri % span, len(longer))
         d = discounts[1]
@@ -636,19 +630,25 @@ def _in_blocks(find: Callable, *arrays: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+def _decoded(blob: bytes, common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(fingerprints of a blob's words, [u, v, w as places among them, text, train] of its tokens)."""
+    steps, told, u, v, w, text, flags = _unblob(blob, "<u8", "<u4", "<i4", "<i4", "<i4", "<u4", "u1")
+    v = _sums(v)
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    upto = np.cumsum(w, dtype=np.int64)
+    w = (upto - np.repeat(upto[first] - w[first], np.diff(np.r_[first, len(v)]))).astype(np.int32)
+    return np.sort(np.concatenate([_sums(steps), common[_sums(told)]])), [u, v, w, text, ~np.unpackbits(flags).astype(bool)[text]]
+
+
 def _ngrams_of(rows: list[tuple], common: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, list[np.ndarray]]:
     """((chunk, tokens) of a shard, its sorted words, [u, v, w, text, train] of its tokens)."""
     chunks, dictionaries, columns = [], [], []
     for kind, chunk, blob in rows:
         if kind == 1:
-            steps, told, u, v, w, text, flags = _unblob(blob, "<u8", "<u4", "<i4", "<i4", "<i4", "<u4", "u1")
-            v = _sums(v)
-            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            upto = np.cumsum(w, dtype=np.int64)
-            w = (upto - np.repeat(upto[first] - w[first], np.diff(np.r_[first, len(v)]))).astype(np.int32)
-            chunks.append((chunk, len(v)))
-            dictionaries.append(np.sort(np.concatenate([_sums(steps), common[_sums(told)]])))
-            columns.append([u, v, w, text, ~np.unpackbits(flags).astype(bool)[text]])
+            own, held = _decoded(blob, common)
+            chunks.append((chunk, len(held[0])))
+            dictionaries.append(own)
+            columns.append(held)
     if not chunks:
         return [], np.empty(0, np.uint64), []
     word = np.unique(np.concatenate(dictionaries))
@@ -658,21 +658,28 @@ def _ngrams_of(rows: list[tuple], common: np.ndarray) -> tuple[list[tuple[int, i
     return chunks, word, [np.concatenate([c[i] for c in columns]) for i in range(5)]
 
 
+def _repeats(keys: list[np.ndarray]) -> list[int]:
+    """How many distinct keys there are once and twice."""
+    k = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
+    return _ones_twos(np.diff(cut))
+
+
 def _count_shard(rows: list[tuple], common: np.ndarray, hot: Hot) -> list[int]:
-    """Numbers of bigrams seen once and twice, but for those of parted words, and of trigrams, in a shard."""
-    chunks, word, columns = _ngrams_of([r for r in rows if r[0] == 1], common)
+    """Numbers of bigrams seen once and twice, but for those of parted words, and of trigrams, in a shard.
+
+    N-grams are told apart by 64-bit fingerprints of their words' ones, so that sorting them is all there is to do.
+    """
+    two, three = [], []
+    for kind, _, blob in rows:
+        if kind == 1:
+            word, (u, v, w, _, train) = _decoded(blob, common)
+            first = _mixed(word)
+            pair = first[v[train]] * np.uint64(0x9E3779B97F4A7C15) + word[w[train]]
+            two.append(pair[_hot_places(word, hot)[v[train]] < 0])
+            three.append(_mixed(pair) + first[u[train]])
     rows.clear()
-    if not chunks:
-        return [0] * 4
-    u, v, w, _, train = columns
-    del columns
-    n = len(word)
-    u, vw = u[train], v[train].astype(np.int64) * n + w[train]
-    del v, w, train
-    bi, rank, n2 = np.unique(vw, return_inverse=True, return_counts=True)
-    del vw
-    _, n3 = np.unique(rank * np.int64(n) + u, return_counts=True)
-    return _ones_twos(n2[_hot_places(word, hot)[bi // n] < 0]) + _ones_twos(n3)
+    return _repeats(two) + _repeats(three)
 
 
 def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray, hot: Hot, hot_sums: np.ndarray, discounts: tuple[float, float]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -704,20 +711,25 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray,
     del pairs, pair_n
     unigram = (count + 1.0) / ((total + 1.0 * types) + 1.0)
     log_unigram = np.log10(unigram)
-    trie = Trie(v[train].astype(np.int64), u[train].astype(np.int64), w[train].astype(np.int64), unigram, discounts, whole).mapped()
-    del whole
+    # Distinct pairs and triples of all tokens; those with a training count make the trie, all are asked of it.
     pair, in_pair = np.unique(v.astype(np.int64) * n + w, return_inverse=True)
     in_pair = in_pair.astype(np.int32)
-    lower, rank, there = _in_blocks(lambda p: trie.bigrams(p // n, p % n, log_unigram), pair)
     triple, in_triple = np.unique(in_pair.astype(np.int64) * n + u, return_inverse=True)
     in_triple = in_triple.astype(np.int32)
+    n2, n3 = (np.bincount(at[train], minlength=len(of)) for at, of in ((in_pair, pair), (in_triple, triple)))
+    del in_pair, u, v, train
+    learned = n2 > 0
+    kept = triple[n3 > 0]
+    trie = Trie(pair[learned], n2[learned], (np.cumsum(learned) - 1)[kept // n] * n + kept % n, n3[n3 > 0], unigram, discounts, whole).mapped()
+    del whole, learned, kept, n2, n3
+    lower, rank, there = _in_blocks(lambda p: trie.bigrams(p // n, p % n, log_unigram), pair)
 
     def longer(t: np.ndarray) -> tuple[np.ndarray]:
         of = t // n
         return (trie.trigrams(t % n, pair[of] // n, lower[of], rank[of], there[of]),)
 
     (found,) = _in_blocks(longer, triple)
-    del pair, triple, in_pair
+    del pair, triple
     at = 0
     for chunk, size in chunks:
         own = slice(at, at + size)
@@ -755,7 +767,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 out = [(chunk, 0, blob) for _, chunk, blob in rows]
             else:
                 for chunk, who, s, b, k in _score_shard(rows, total, types, common, hot, hot_sums, discounts):
-                    out.append((chunk, 1, _blob(_steps(who.astype(np.uint32)), s.astype(np.float32), b, k)))
+                    out.append((chunk, 1, _blob(_steps(who.astype(np.uint32)), s, b, k)))
             for i in range(0, len(out), 64):
                 part = out[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], names=["chunk", "kind", "blob"])
@@ -766,7 +778,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             sums = [np.zeros(len(ids)) for _ in range(3)]
             for kind, blob in rows:
                 if kind:
-                    steps, *values = _unblob(blob, "<u4", "<f4", "<f8", "<u4")
+                    steps, *values = _unblob(blob, "<u4", "<f8", "<f8", "<u4")
                     who = _sums(steps)
                     for to, x in zip(sums, values, strict=True):
                         to[who] += x

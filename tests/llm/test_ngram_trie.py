@@ -1,6 +1,7 @@
 """N-gram trie scores: sequences, lookups and sums against direct computation."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -152,3 +153,18 @@ def test_defined_cases(spark):
     got = nt.score(docs).collect()
     assert len(got) == 3 and all(r["n_known"] == 3 for r in got)
     assert nt.score(docs.limit(0)).count() == 0
+
+
+def test_counted_columns_against_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    got = nt.score(spark.read.parquet(path)).select("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").toPandas()
+    con = duckdb.connect()
+    con.create_function("held", lambda i: zlib.crc32(str(i).encode()) % 7 == 2, ["BIGINT"], "BOOLEAN")
+    want = con.sql(f"""WITH d AS (SELECT doc_id AS id, held(doc_id) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), chr(10)) AS w FROM '{path}'),
+        t AS (SELECT id, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + 1 * (v + 1)))) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY id""").df()
+    got, want = (f.sort_values("id").reset_index(drop=True) for f in (got, want))
+    assert got[["id", "held_out", "n_tokens", "n_known", "train_tokens"]].astype("int64").equals(want[["id", "held_out", "n_tokens", "n_known", "train_tokens"]].astype("int64"))
+    assert np.allclose(got["base_score"], want["base_score"], rtol=1e-9)
