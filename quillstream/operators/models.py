@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import settle
+
 
 class TextModel(Protocol):
     """Answers a batch of prompts; None for one that failed. Must be safe to call again with the same prompts."""
@@ -61,6 +63,30 @@ def ask(rows: DataFrame, prompt: str, answer: str, model: TextModel, batch: int
     return rows.mapInPandas(run, schema)
 
 
+def ask_whole(rows: DataFrame, prompt: str, answer: str, model: TextModel, hash_col: str | None = None, tries: int = 3) -> DataFrame:
+    """Answers that end with a closing sign: what is cut off is asked again, at most ``tries`` times, and stays null if it never ends.
+
+    With ``hash_col`` rows whose prompt still has the hash they were answered under are not sent and keep their answer.
+    """
+    from .gates import ENDINGS
+
+    whole = F.right(F.rtrim(F.col(answer)), F.lit(1)).isin(*ENDINGS)
+    done = None
+    if hash_col is not None:
+        same = F.coalesce(F.md5(prompt) == F.col(hash_col), F.lit(False))
+        done, rows = rows.filter(same), rows.filter(~same)
+    rows = rows.drop(answer)
+    for turn in range(tries):
+        asked = settle(ask(rows, prompt, answer, model))
+        cut = ~F.coalesce(whole, F.lit(False)) & F.col(prompt).isNotNull()
+        kept = asked if turn == tries - 1 else asked.filter(~cut)
+        if turn == tries - 1:
+            kept = kept.withColumn(answer, F.when(~cut, F.col(answer)))
+        done = kept if done is None else done.unionByName(kept, allowMissingColumns=True)
+        rows = asked.filter(cut).drop(answer)
+    return done
+
+
 def ask_survivors(rows: DataFrame, cheap: Column, prompt: str, answer: str, model: TextModel, otherwise: str) -> DataFrame:
     """Two phases: only rows that pass the cheap filter are sent; the rest get the fixed answer."""
     sent = ask(rows.filter(cheap), prompt, answer, model)

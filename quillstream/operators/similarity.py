@@ -117,6 +117,24 @@ def near_before(rows: DataFrame, hours: int, id_col: str = "id", text_col: str =
     return best.select("id", F.col("x.id").alias("earlier_id"), F.col("x.similarity").alias("similarity"))
 
 
+def near_newest(batch: DataFrame, stored: DataFrame, now: Column, hours: int = 48, newest: int = 200, id_col: str = "id", text_col: str = "body", time_col: str = "published_at", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, duplicate_of, similarity) for rows of the batch that are near one of the candidates: the ``newest`` stored rows of the last ``hours``.
+
+    Rows of the batch that are stored already (updates) are not judged. The most similar candidate counts, of
+    equals the newest. At most ``newest`` rows are compared with, so each batch row meets a bounded table.
+    """
+    held = stored.filter(F.col(time_col) >= now - F.expr(f"interval {hours} hours")).orderBy(F.col(time_col).desc_nulls_last(), F.col(id_col).desc()).limit(newest)
+    fresh = batch.join(stored.select(id_col), id_col, "left_anti")
+    a = _sets(fresh, id_col, text_col, width).select("id", "s", "n")
+    b = _sets(held, id_col, text_col, width).select(F.col("id").alias("other"), F.col("s").alias("s_b"), F.col("n").alias("n_b"))
+    posts = a.select("id", "n", F.explode("s").alias("h")).join(b.select("other", "n_b", F.explode("s_b").alias("h")), "h")
+    shared = posts.groupBy("id", "other", "n", "n_b").agg(F.count(F.lit(1)).alias("both"))
+    near = shared.withColumn("similarity", F.col("both") / (F.col("n") + F.col("n_b") - F.col("both"))).filter(F.col("similarity") >= threshold)
+    near = near.join(held.select(F.col(id_col).alias("other"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("at")), "other")
+    best = near.groupBy("id").agg(F.max(F.struct("similarity", "at", "other")).alias("x"))
+    return best.select("id", F.col("x.other").alias("duplicate_of"), F.col("x.similarity").alias("similarity"))
+
+
 def overlap(rows: DataFrame, targets: DataFrame, id_col: str, text_col: str, target_id: str, target_text: str, width: int = 5) -> DataFrame:
     """(id, target, shared): how many distinct shingles of a target stand in a text; texts without any are left out."""
     wanted = shingles(targets, target_id, target_text, width).select(F.col("id").alias("target"), "shingle")

@@ -70,6 +70,14 @@ def near_dup_window(spark: SparkSession, d: str) -> DataFrame:
     return similarity.near_before(articles(spark, d), 48).select("id", "earlier_id", F.round("similarity", 6).alias("similarity"))
 
 
+def near_dup_newest(spark: SparkSession, d: str) -> DataFrame:
+    rows = articles(spark, d)
+    stored = rows.filter("id % 2 = 0 AND NOT is_suppressed")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    out = similarity.near_newest(rows.filter("id % 2 = 1 OR id % 10 = 0"), stored, now - F.expr("interval 96 hours"), 400)
+    return out.select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return similarity.near_pairs(articles(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -155,7 +163,7 @@ def image_matches(spark: SparkSession, d: str) -> DataFrame:
     return similarity.hash_matches(table(spark, d, "part").select("p_partkey", h.alias("h")), "p_partkey", "h", 4)
 
 
-QUERIES = {f.__name__: f for f in (image_matches, slug_base, slug_unique_allocation, word_count_gate, language_gate, truncation_gate, gate_funnel, funnel_totals, yield_alerts, exact_dedup_status, near_dup_window, near_duplicates, benchmark_overlap, hash_bucket_assign, rule_assignment, array_remap, category_label, keyword_category, budget_extract, date_parse_multi, reading_time, text_cleaning, image_variants, image_distance)}
+QUERIES = {f.__name__: f for f in (image_matches, slug_base, slug_unique_allocation, word_count_gate, language_gate, truncation_gate, gate_funnel, funnel_totals, yield_alerts, exact_dedup_status, near_dup_window, near_dup_newest, near_duplicates, benchmark_overlap, hash_bucket_assign, rule_assignment, array_remap, category_label, keyword_category, budget_extract, date_parse_multi, reading_time, text_cleaning, image_variants, image_distance)}
 
 _WITH = f"WITH {ARTICLES_SQL}"
 _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(translate({t}, 'çşığöüÇŞİĞÖÜ', 'csigoucsigou')), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_\\s\\x1c-\\x1f-]', '', 'g'), '[\\s\\x1c-\\x1f_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '')"
@@ -179,9 +187,9 @@ _JUDGED = f"""{_WITH}, j AS (SELECT *, CASE WHEN id <> min(id) OVER (PARTITION B
     WHEN least(10, greatest(1, coalesce(score, 5))) < 6 THEN 'low_score' WHEN {_truncated('body')} THEN 'truncated' WHEN lang = 'en' AND {_not_english('body')} THEN 'language' END AS reason FROM articles)"""
 _COUNTS = "count(*) AS scraped, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS dropped_{r}" for r in REASONS) + ", count(*) FILTER (reason IS NULL) AS published, round(avg(score) FILTER (reason IS NULL), 1) AS avg_score"
 _SH = """{n} AS (SELECT {id} AS id, {extra} list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {src}),
-    {n}s AS (SELECT id, {extra} list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM {n} WHERE len(w) >= 5)"""
+    {n}s AS MATERIALIZED (SELECT id, {extra} list_distinct(list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM {n} WHERE len(w) >= 5)"""
 _SIMILAR = f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', extra='published_at,')},
-    c AS (SELECT *, min(id) OVER (PARTITION BY list_sort(s)) AS rep FROM xs),
+    c AS MATERIALIZED (SELECT *, min(id) OVER (PARTITION BY list_sort(s)) AS rep FROM xs),
     p AS (SELECT id, unnest(s) AS g FROM c WHERE id = rep), f AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM p a JOIN p b USING (g) WHERE a.id < b.id GROUP BY 1, 2),
     l AS (SELECT a, b, n::DOUBLE / (len(u.s) + len(v.s) - n) AS similarity FROM f JOIN c u ON u.id = a JOIN c v ON v.id = b WHERE n::DOUBLE / (len(u.s) + len(v.s) - n) >= 0.8)"""
 
@@ -203,6 +211,11 @@ ORACLE = {
     "near_dup_window": f"""{_SIMILAR}, e AS (SELECT a, b, similarity FROM l UNION ALL SELECT b, a, similarity FROM l UNION ALL SELECT DISTINCT rep, rep, 1.0 FROM c)
         SELECT u.id, arg_max(v.id, (v.published_at, v.id)) AS earlier_id, round(arg_max(similarity, (v.published_at, v.id)), 6) AS similarity FROM e JOIN c u ON u.rep = a JOIN c v ON v.rep = b
         WHERE (v.published_at, v.id) < (u.published_at, u.id) AND v.published_at >= u.published_at - INTERVAL 48 HOUR GROUP BY u.id""",
+    "near_dup_newest": f"""{_WITH}, {_SH.format(n='x', id='id', t='body', src='articles', extra='published_at, is_suppressed,')},
+        c AS (SELECT * FROM articles WHERE id % 2 = 0 AND NOT is_suppressed AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 496 HOUR ORDER BY published_at DESC, id DESC LIMIT 200),
+        b AS (SELECT xs.id, unnest(s) AS g FROM xs WHERE (id % 2 = 1 OR id % 10 = 0) AND NOT (id % 2 = 0 AND NOT is_suppressed)), h AS (SELECT xs.id AS other, unnest(s) AS g FROM xs WHERE id IN (SELECT id FROM c)),
+        f AS (SELECT id, other, count(*) AS n FROM b JOIN h USING (g) GROUP BY 1, 2), m AS (SELECT f.id, other, n::DOUBLE / (len(u.s) + len(v.s) - n) AS similarity, v.published_at FROM f JOIN xs u ON u.id = f.id JOIN xs v ON v.id = other)
+        SELECT id, other AS duplicate_of, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, published_at DESC, other DESC) = 1""",
     "near_duplicates": f"{_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM l UNION ALL SELECT rep, id, 1.0 FROM c WHERE id <> rep",
     "benchmark_overlap": f"WITH {_SH.format(n='x', id='doc_id', t='text', src='documents', extra='')}, {_SH.format(n='y', id='item_id', t='text', src='benchmark', extra='')}, a AS (SELECT id, unnest(s) AS g FROM xs), b AS (SELECT id AS target, unnest(s) AS g FROM ys) SELECT id AS doc_id, target, count(*) AS shared FROM a JOIN b USING (g) GROUP BY 1, 2",
     "hash_bucket_assign": f"SELECT doc_id, md5(text) AS content_hash, {sql_md5_mod('doc_id::VARCHAR', 7)} AS bucket, {sql_md5_mod('doc_id::VARCHAR', 1000003)} AS wide FROM documents",

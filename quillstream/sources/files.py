@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_xml
 from ..functions.values import parse_date, rfc822
 
-ITEM = "title string, link string, guid string, pubDate string, date string, published string, updated string, description string"
+ITEM = "title string, link struct<_VALUE: string, _href: string>, guid string, pubDate string, date string, published string, updated string, description string"
 
 
-def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of RSS or Atom files with link, published_at; one per link. An undated entry is kept."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).schema(ITEM).load(path)
-    return feed_entries(raw)
+def read_feed(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Entries of RSS ('item') or Atom ('entry') files, both kinds where no tag is given, with link, published_at; one per link. An undated entry is kept."""
+    read = lambda tag: spark.read.format("xml").option("rowTag", tag).schema(ITEM).load(path)
+    return feed_entries(read(row_tag) if row_tag else read("item").unionByName(read("entry")))
 
 
 def feed_entries(raw: DataFrame) -> DataFrame:
-    link = F.coalesce(F.nullif(F.trim("link"), F.lit("")), F.trim("guid"))
+    """The link is the element's text, else its address, else the guid."""
+    own = [F.nullif(F.trim(c), F.lit("")) for c in (F.col("link._VALUE"), F.col("link._href"))]
+    link = F.coalesce(*own, F.trim("guid"))
     when = F.coalesce(*(parse_date(c) for c in ("pubDate", "date", "published", "updated")))
     return raw.select(link.alias("link"), F.trim("title").alias("title"), "description", when.alias("published_at")).filter(F.col("link").startswith("http")).dropDuplicates(["link"])
 

@@ -322,3 +322,39 @@ def test_sitemaps_and_manifests(spark, tmp_path):
     assert {tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m")).collect()} == {("a,b", 3), ('q"x', 4)}
     with pytest.raises(ValueError):
         files.html_table(rows, [F.col("path")], most=1)
+
+
+def test_feeds_of_both_kinds(spark, tmp_path):
+    (tmp_path / "rss.xml").write_text("<rss><channel><item><title>A</title><link>https://x/1</link></item><item><guid>https://x/2</guid></item></channel></rss>")
+    (tmp_path / "atom.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>C</title><link rel="alternate" href="https://x/3"/><updated>2024-03-05T10:00:00Z</updated></entry></feed>')
+    got = files.read_feed(spark, str(tmp_path)).collect()
+    assert {r["link"] for r in got} == {"https://x/1", "https://x/2", "https://x/3"}
+
+
+def test_answers_that_are_cut_are_asked_again(spark, tmp_path):
+    class Stutters:
+        """Ends an answer only from the second time on that it is asked."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def answer(self, prompts):
+            import os
+
+            out = []
+            for p in prompts:
+                path = os.path.join(self.folder, p)
+                out.append("whole." if os.path.exists(path) and p != "never" else "cut of")
+                open(path, "a").close()
+            return out
+
+    from quillstream.operators import models
+
+    rows = spark.createDataFrame([("a", None, None), ("never", None, None), ("known", "0f4137ed1502b5045d6083aa258b5c42", "old"), (None, None, None)], "p string, h string, y string")
+    got = {r["p"]: r["y"] for r in models.ask_whole(rows, "p", "y", Stutters(str(tmp_path)), "h").collect()}
+    import hashlib
+
+    known = hashlib.md5(b"known").hexdigest()
+    assert got["a"] == "whole." and got["never"] is None and got[None] is None
+    rows = spark.createDataFrame([("known", known, "old")], "p string, h string, y string")
+    assert models.ask_whole(rows, "p", "y", Stutters(str(tmp_path)), "h").first()["y"] == "old"
