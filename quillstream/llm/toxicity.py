@@ -15,6 +15,7 @@ any); rows that repeat a doc_id are scored one by one; further columns are ignor
 from __future__ import annotations
 
 from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ euer usted ustedes ti tus vosotros vuestro
 _PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 _SPACED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 _READ = bytes.maketrans(b"013457@$!", b"oieastasi")
+_CALLS = re.compile(rb"!+(?![a-z0-9])")
 _MASKS = b"*.-_#%&~^|+=/\\"
 _UPPER, _LETTERS, _DIGITS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), b"0123456789"
 NAMES = ["log_words", "base", "base_density", "learned", "learned_density", "near", "near_density", "densest", "capitals", "exclamations", "questions", "punctuation", "symbols", "digits", "masked", "masked_density", "second_density"]
@@ -87,7 +89,8 @@ def features(text: bytes | None, marks: WordMarks, reach: int = 5, window: int =
         near = int((np.minimum(at - where[to], where[to + 1] - at) <= reach).sum())
         densest = int((np.searchsorted(at, at + window) - np.arange(len(at))).max())
     in_base, in_learned = int((own & 1).sum()), int((own >> 1 & 1).sum())
-    opened = low.translate(_READ, _MASKS).translate(_SPACED).split()
+    # Marks of exclamation behind a word are no letters of it.
+    opened = _CALLS.sub(b" ", low).translate(_READ, _MASKS).translate(_SPACED).split()
     masked = max(0, sum(1 for m in map(marks.__getitem__, opened) if m & 3) - len(at))
     count = lambda chars: len(text) - len(text.translate(None, chars))
     letters = max(1, count(_LETTERS))
