@@ -71,9 +71,15 @@ def to_ascii(c: Column | str, turkish: bool = True) -> Column:
 
 def slug(c: Column | str, cut: int = 80, default: str | None = None) -> Column:
     """URL key: ASCII, lower, other signs than letters, digits, '_', '-' and blanks go, runs of blanks and '_' to '-' (dashes of the text stay), no dash at the ends, before and after the cut."""
-    s = F.lower(to_ascii(c))
-    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9_\s\x1c-\x1f-]", ""), r"[\s\x1c-\x1f_]+", "-")
-    s = F.regexp_replace(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, cut), "-+$", "")
+
+    def made(t: Column) -> Column:
+        s = F.regexp_replace(F.lower(to_ascii(t)), r"[^a-z0-9_\s\x1c-\x1f-]", "")
+        return F.regexp_replace(F.regexp_replace(s, r"[\s\x1c-\x1f_]+", "-"), "^-+", "")
+
+    # What follows the cut does not matter: where the beginning of a long text gives more than that, the rest is not read.
+    head = made(F.substring(col(c), 1, 4 * cut))
+    s = F.when(F.length(head) > cut, head).otherwise(F.regexp_replace(made(col(c)), "-+$", ""))
+    s = F.regexp_replace(F.substring(s, 1, cut), "-+$", "")
     return s if default is None else F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 

@@ -254,7 +254,7 @@ def test_slugs_follow_the_decomposition(spark):
         t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
         return re.sub(r"[\s_]+", "-", re.sub(r"[^\w\s-]", "", t)).strip("-")[:cut].strip("-")
 
-    texts = ["a - b", "Ærø ﬁeld ½ naïve™ ǅ", "Ştraße  __x", "—dash— ok…", "Ñandú Žižek Đorđe Łódź", "", "---", "x" * 79 + " y", "ﬀ①㎏ № ℡", "tab\tand\x1cmore", "日本 ｆｕｌｌ"]
+    texts = ["a - b", "Ærø ﬁeld ½ naïve™ ǅ", "Ştraße  __x", "—dash— ok…", "Ñandú Žižek Đorđe Łódź", "", "---", "x" * 79 + " y", "ﬀ①㎏ № ℡", "tab\tand\x1cmore", "日本 ｆｕｌｌ", "— " * 500 + "late words " * 50, "word_ " * 100, "é" * 319 + " - x", "a" * 80 + " " * 400 + "b", "ab " * 27 + "-" * 400]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.slug("t").alias("s")).collect()
     assert {r["i"]: r["s"] for r in rows} == {i: want(t) for i, t in enumerate(texts)}
 
