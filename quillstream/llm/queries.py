@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, nearest, ngram_trie, packing, quality, simhash, suffixes, surrogates, toxicity
+from . import exact_dedup, mixing, nearest, ngram_trie, packing, quality, simhash, suffixes, surrogates, toxicity, warc
+from .common import table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op13_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, read = table_path(spark, "warc"), table_path(spark, "captures")
+    warc.write(_table(spark, sf_dir, "pages"), archive)
+    warc.captures(spark, archive).drop("payload", "http_head").write.parquet(read)
+    rows = warc.resolve(spark.read.parquet(read))
+    return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "fault")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_ngram_trie_score": op2_ngram_trie_score,
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_warc_segments": op13_warc_segments,
 }
 
 ORACLE: dict[str, str] = {
@@ -80,4 +90,15 @@ ORACLE: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hexed,
+                     first_value(page_id) OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS first_id FROM p),
+        d AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+                  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, 1 + 10 * (i // 8)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31) + 1)::INTEGER, 1)),
+                  'string_agg', '') AS payload_digest FROM h)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, NULL::VARCHAR AS fault
+        FROM d""",
 }
