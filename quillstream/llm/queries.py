@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, nearest, ngram_trie, packing, quality, simhash, suffixes, surrogates, toxicity, warc
+from . import exact_dedup, hard_negatives, mixing, nearest, ngram_trie, packing, quality, simhash, suffixes, surrogates, toxicity, warc
 from .common import table_path
 
 
@@ -62,10 +62,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return hard_negatives.mine(rows.filter(finite).select("vec_id", flipped.alias("label"), whole.alias("v")), F.col("id") % 100 == 0)
+
+
 def op13_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, read = table_path(spark, "warc"), table_path(spark, "captures")
     warc.write(_table(spark, sf_dir, "pages"), archive)
-    warc.captures(spark, archive).drop("payload", "http_head").write.parquet(read)
+    warc.captures(spark, archive, with_payload=False).drop("http_head").write.parquet(read)
     rows = warc.resolve(spark.read.parquet(read))
     return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "fault")
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_warc_segments": op13_warc_segments,
 }
 
@@ -90,6 +99,18 @@ ORACLE: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT anchor_id, other AS negative_id, score AS negative_score FROM s WHERE NOT same)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, negative_id, positive_score, negative_score
+        FROM p JOIN n USING (anchor_id) WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY rank <= 5""",
     "op13_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hexed,

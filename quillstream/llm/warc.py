@@ -23,6 +23,8 @@ result; further columns are ignored, whatever their names. A broken record gives
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup
-from .common import body
+from .common import body, table_path
 
 #: Longest block of a record before it is cut into segments; bytes of a transfer chunk; targets with more than this share of all revisits are broadcast.
 SEGMENT_BYTES, CHUNK_BYTES, HOT_SHARE = 8_192, 4_096, 10_000
@@ -163,33 +165,44 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return list({k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines) if k.strip()}.items())
 
 
-_RECORDS = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("fault", pa.string())])
-_RECORDS_DDL = "fields map<string, string>, block binary, fault string"
+_RECORDS = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("segmented", pa.bool_()), ("block", pa.binary()), ("http_head", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fault", pa.string())])
+_RECORDS_DDL = "fields map<string, string>, segmented boolean, block binary, http_head string, payload binary, payload_bytes long, payload_digest string, fault string"
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(fields with lower-case names, block, fault) of every record of the archives under ``path``, which are compressed files."""
+def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Every record of the archives under ``path``, which are compressed files: fields with lower-case names; the block of
+    a segment; of an unsegmented record its HTTP head, payload (``with_payload``), size and digest; fault."""
     # Lines between separators, put together again: so the file comes as a stream and not as one cell.
     lines = spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
+    def row(head: bytes, block: bytes, fault: str | None) -> tuple:
+        fields = _fields(head)
+        names = dict(fields)
+        if fault or "warc-segment-number" in names:
+            return fields, "warc-segment-number" in names, block, None, None, None, None, fault
+        if names.get("warc-type") == "revisit":
+            return fields, False, None, None, None, None, None, None
+        shown, payload, size, digest, wrong = http_payload(block)
+        return fields, False, None, shown, payload if with_payload else None, size, digest, wrong
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, cutter, found, size = None, Cutter(), [], 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([_fields(h) for h, *_ in found], _RECORDS.field(0).type), pa.array([b for _, b, _ in found], pa.binary()), pa.array([f for *_, f in found], pa.string())], schema=_RECORDS)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(_RECORDS)], schema=_RECORDS)
 
         for part in batches:
-            for name, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if name != file:
-                    found += cutter.end()
-                    file = name
-                for got in cutter.feed(line + b"\r\n\r\n"):
-                    found.append(got)
+            for name, line in zip(part.column(0), part.column(1), strict=True):
+                if name.as_py() != file:
+                    found += [row(*got) for got in cutter.end()]
+                    file = name.as_py()
+                for got in cutter.feed(line.as_py() + b"\r\n\r\n"):
+                    found.append(row(*got))
                     size += len(got[1])
                 if len(found) >= 5_000 or size > 8 << 20:
                     yield batch()
                     found, size = [], 0
-        found += cutter.end()
+        found += [row(*got) for got in cutter.end()]
         if found:
             yield batch()
 
@@ -197,14 +210,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(rows: DataFrame) -> DataFrame:
-    """``records`` with continuations joined to their first segment; a fault where segments are missing or lengths do not add up.
+    """(fields, block, fault) of the segmented ``records``, continuations joined to their first segment; a fault where segments are missing or lengths do not add up.
 
     Segments meet by origin, equal ones in their task first: only what an origin's block needs is gathered.
     """
     field = lambda name: F.col("fields")[name]
     number = F.try_to_number(field("warc-segment-number"), F.lit("999999999")).cast("int")
-    whole = rows.filter(field("warc-segment-number").isNull())
-    parts = rows.filter(field("warc-segment-number").isNotNull()).select(
+    parts = rows.filter("segmented").select(
         F.coalesce(field("warc-segment-origin-id"), field("warc-record-id")).alias("origin"), number.alias("number"), field("warc-segment-total-length").try_cast("long").alias("total"), "fields", "block", "fault"
     )
     met = parts.groupBy("origin").agg(
@@ -220,7 +232,7 @@ def reassemble(rows: DataFrame) -> DataFrame:
     fault = F.coalesce("fault", F.when(gap, "segments").when(F.col("total").isNull() | (F.col("total") != F.col("least")) | (size != F.col("total")), "total length"))
     joined = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     made = met.select(F.coalesce("fields", F.create_map(F.lit("warc-record-id"), F.coalesce("origin", F.lit("")))).alias("fields"), joined.alias("block"), fault.alias("fault"), F.explode(F.array_repeat(F.lit(0), F.greatest(F.col("times"), F.lit(1)).cast("int"))))
-    return whole.unionByName(made.drop("col"))
+    return made.drop("col")
 
 
 def dechunk(data: bytes) -> bytes:
@@ -244,43 +256,48 @@ def dechunk(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def http_payload(block: bytes | None) -> tuple[str | None, bytes | None, str | None]:
-    """(HTTP head, payload, fault) of an HTTP response."""
+def http_payload(block: bytes | None) -> tuple[str | None, bytes | None, int | None, str | None, str | None]:
+    """(HTTP head, payload, its size, its digest, fault) of an HTTP response."""
     if block is None:
-        return None, None, "block"
+        return None, None, None, None, "block"
     head, found, data = block.partition(b"\r\n\r\n")
     if not found:
-        return None, None, "http head"
+        return None, None, None, None, "http head"
     shown = head.decode("latin-1")
     if re.search(rb"\r\ntransfer-encoding:[^\r\n]*\bchunked\b", head, re.IGNORECASE):
         try:
-            return shown, dechunk(data), None
+            data = dechunk(data)
         except ValueError:
-            return shown, None, "transfer framing"
-    return shown, data, None
+            return shown, None, None, None, "transfer framing"
+    return shown, data, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), None
 
 
-_PAYLOAD = pa.struct([("head", pa.string()), ("payload", pa.binary()), ("fault", pa.string())])
+_PAYLOAD = pa.struct([("http_head", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("wrong", pa.string())])
 
 
 def _decoded(blocks: pa.Array) -> pa.Array:
-    made = [http_payload(b) for b in blocks.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([m[k] for m in made], _PAYLOAD.field(k).type) for k in range(3)], fields=list(_PAYLOAD))
+    made = [http_payload(b.as_py()) for b in blocks]
+    return pa.StructArray.from_arrays([pa.array([m[k] for m in made], _PAYLOAD.field(k).type) for k in range(5)], fields=list(_PAYLOAD))
+
 
+def captures(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Responses and revisits of the archives: record_id, record_type, key, url, http_head, payload (``with_payload``),
+    payload_bytes, payload_digest (of a revisit: as stated), refers_to_record, fault.
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits of the archives: record_id, record_type, key, url, http_head, payload, payload_bytes, payload_digest (of a revisit: as stated), refers_to_record, fault."""
-    rows = reassemble(records(spark, path))
+    The archives are read once, into a table in the shared folder; segments meet from there.
+    """
+    records(spark, path, with_payload).write.parquet(kept := table_path(spark, "records"))
+    rows = spark.read.parquet(kept)
+    decode = F.arrow_udf(_decoded, "http_head string, payload binary, payload_bytes long, payload_digest string, wrong string")
+    joined = reassemble(rows).withColumn("made", decode("block")).select("fields", "made.http_head", F.col("made.payload") if with_payload else F.lit(None).cast("binary").alias("payload"), "made.payload_bytes", "made.payload_digest", F.coalesce("fault", "made.wrong").alias("fault"))
+    every = rows.filter("not segmented").select("fields", "http_head", "payload", "payload_bytes", "payload_digest", "fault").unionByName(joined)
     field = lambda name: F.col("fields")[name]
-    kind = F.coalesce(field("warc-type"), F.lit("unknown"))
-    base = rows.select(field("warc-record-id").alias("record_id"), kind.alias("record_type"), field("warc-capture-key").try_cast("long").alias("key"), field("warc-target-uri").alias("url"),
-                       F.regexp_replace(field("warc-payload-digest"), "(?i)^sha1:", "").alias("stated"), field("warc-refers-to").alias("refers_to_record"), "block", "fault")
-    full = base.filter(kind != "revisit").withColumn("made", F.arrow_udf(_decoded, "head string, payload binary, fault string")("block")).withColumn("own", base32_sha1(F.col("made.payload")))
-    wrong = F.when(F.col("stated").isNotNull() & (F.col("stated") != F.col("own")), "digest")
-    full = full.select("record_id", "record_type", "key", "url", F.col("made.head").alias("http_head"), F.col("made.payload").alias("payload"), F.octet_length("made.payload").cast("long").alias("payload_bytes"), F.col("own").alias("payload_digest"),
-                       F.lit(None).cast("string").alias("refers_to_record"), F.coalesce("fault", "made.fault", wrong).alias("fault"))
-    again = base.filter(kind == "revisit").select("record_id", "record_type", "key", "url", F.lit(None).cast("string").alias("http_head"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "refers_to_record", "fault")
-    return full.unionByName(again)
+    stated = F.regexp_replace(field("warc-payload-digest"), "(?i)^sha1:", "")
+    return every.select(
+        field("warc-record-id").alias("record_id"), F.coalesce(field("warc-type"), F.lit("unknown")).alias("record_type"), field("warc-capture-key").try_cast("long").alias("key"), field("warc-target-uri").alias("url"), "http_head",
+        *(["payload"] if with_payload else []), "payload_bytes", F.coalesce("payload_digest", stated).alias("payload_digest"), field("warc-refers-to").alias("refers_to_record"),
+        F.coalesce("fault", F.when(stated != F.col("payload_digest"), "digest")).alias("fault"),
+    )
 
 
 def resolve(found: DataFrame) -> DataFrame:
