@@ -1,8 +1,8 @@
 """The query catalogue: each query with its SQL oracle."""
 
-from . import further, more, reads, texts, traffic
+from . import further, more, pages, reads, texts, traffic
 
 QUERIES, ORACLE = {}, {}
-for part in (reads, texts, traffic, more, further):
+for part in (reads, texts, traffic, more, further, pages):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
