@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same bytes (op 11).
 
 The texts of a chunk of documents are laid end to end as bytes; tokens of both tokenizers are known by where
-they end. ``union1d`` of both arrays of ends cuts the bytes into elementary intervals; ``searchsorted`` names
+they end. The union of both arrays of ends (``union1d``) cuts the bytes into elementary intervals; ``searchsorted`` names
 the one token of each side that owns an interval, so every interval is one overlapping pair of tokens (a
 link), and every such pair has one interval. Ends that both sides share close groups; a document's last end
 is always shared, so nothing crosses documents. A group stands for the product of its tokens
@@ -35,7 +35,7 @@ from .common import table_path
 from .packing import Encoder
 
 #: Bytes of text that a chunk holds before it is closed.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _LOW = (1 << 32) - 1
 
 
@@ -112,6 +112,13 @@ def pair_of(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``np.union1d`` of two sorted arrays: a stable sort merges the two runs, where NumPy's own hashes all values."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+
+
 class Aligned:
     """Documents laid end to end: ends of tokens, elementary intervals with their owners, groups; ``*_of`` cut them by document."""
 
@@ -119,9 +126,10 @@ class Aligned:
         join = lambda k: np.concatenate([e[k] for e in encoded] or [np.empty(0, np.int64)])
         self.a, self.b = join(0), join(1)
         self.ends_a, self.ends_b = np.cumsum(pair.lengths_a[self.a]), np.cumsum(pair.lengths_b[self.b])
-        self.edges = np.union1d(self.ends_a, self.ends_b)
+        self.edges = union1d(self.ends_a, self.ends_b)
         self.owner_a, self.owner_b = np.searchsorted(self.ends_a, self.edges), np.searchsorted(self.ends_b, self.edges)
-        self.shared = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
+        last_a, last_b = self.ends_a[np.minimum(self.owner_a, len(self.ends_a) - 1)], self.ends_b[np.minimum(self.owner_b, len(self.ends_b) - 1)]
+        self.shared = self.edges[last_a == last_b]
         self.group_a, self.group_b = np.searchsorted(self.shared, self.ends_a), np.searchsorted(self.shared, self.ends_b)
         # First token, link and group of each document, and one past the last.
         self.n_a, self.n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
