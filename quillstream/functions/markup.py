@@ -30,40 +30,3 @@ def json_ld(html: Column | str) -> Column:
 
     every = F.filter(F.flatten(F.transform(scripts, lambda s: F.coalesce(nodes(s), F.array().cast(f"array<{node}>")))), lambda n: n.isNotNull())
     return F.coalesce(F.get(F.filter(every, lambda n: n["datePublished"].isNotNull()), F.lit(0)), F.get(every, F.lit(0)))
-
-
-def drop_noise_tail(html: Column | str, words: str = "related|read more|more on this|see also|recommended") -> Column:
-    """A heading of furniture goes with all that follows it."""
-    return F.regexp_replace(col(html), rf"(?is)<h([1-6])\b[^>]*>\s*(?:{words})[^<]*</h\1\s*>.*$", "")
-
-
-def drop_leading_bullets(html: Column | str) -> Column:
-    """A list that a body begins with goes."""
-    return F.regexp_replace(col(html), r"(?is)^\s*<ul\b.*?</ul>\s*", "")
-
-
-def drop_noise_images(html: Column | str, noise: str = "logo|icon|avatar|pixel|sprite|banner|/ads?/") -> Column:
-    """Furniture images go, with the figure around them."""
-    tag = rf'<img\b[^>]*src="[^"]*(?:{noise})[^"]*"[^>]*>'
-    return F.regexp_replace(F.regexp_replace(col(html), rf"(?is)<figure\b[^>]*>\s*{tag}.*?</figure>", ""), rf"(?is){tag}", "")
-
-
-def drop_embedded(html: Column | str, classes: str = "embedded-article|embed-card|related-article") -> Column:
-    """Blocks of other articles go, before a body is looked for."""
-    return F.regexp_replace(col(html), rf'(?is)<(div|section|aside|article)\b[^>]*(?:class|id)="[^"]*(?:{classes})[^"]*"[^>]*>.*?</\1\s*>', "")
-
-
-def drop_noise(html: Column | str, classes: str = "share|promo|newsletter|cookie|breadcrumb") -> Column:
-    """Structural furniture always goes, other blocks by class or id, the item's own header stays."""
-    plain = F.regexp_replace(col(html), r"(?is)<(nav|footer|aside|form|button|script|style|noscript|iframe)\b.*?</\1\s*>", "")
-    return F.regexp_replace(plain, rf'(?is)<(div|section|ul)\b[^>]*(?:class|id)="(?![^"]*(?:article|entry)-header)[^"]*(?:{classes})[^"]*"[^>]*>.*?</\1\s*>', "")
-
-
-def insert_headings(blocks: Column, headings: Column, at: Column, most: int = 3) -> Column:
-    """Paragraph blocks with headings put before the given places: places are held within the 2nd and the last block, one heading a place, at most ``most``; null under 3 blocks."""
-    n = F.size(blocks)
-    held = F.transform(at, lambda x: F.greatest(F.lit(2), F.least(x, n)))
-    wanted = F.slice(F.arrays_zip(held.alias("at"), headings.alias("h")), 1, most)
-    kept = F.filter(wanted, lambda x, i: ~F.exists(F.slice(held, F.lit(1), i), lambda y: y == x["at"]))
-    put = lambda b, i: F.concat(F.transform(F.filter(kept, lambda x: x["at"] == i + 1), lambda x: F.concat(F.lit("<h2>"), x["h"], F.lit("</h2>"))), F.array(b))
-    return F.when(n >= 3, F.array_join(F.flatten(F.transform(blocks, put)), "\n"))

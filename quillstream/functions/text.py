@@ -220,10 +220,14 @@ def remove_figures(c: Column | str, css: str = "injected") -> tuple[Column, Colu
     return F.regexp_replace(col(c), pattern, ""), F.regexp_count(col(c), F.lit(pattern))
 
 
+# What says nothing about a picture, as the whole of a text of one or two words; a number may have words behind it.
+FILLERS = r"photo|image|picture|img|banner|file photo|ap photo|reuters|afp|epa|getty|handout|archive|file|stock photo|stock|generic|illustration|logo|video|thumbnail|cover|hero|featured|foto|fotografia|imagem|imagen|légende|legenda|sans légende|sem legenda|arquivo|fichier|photo d'archive|destaque|\d+[\w\s]*"
+
+
 def generic_alt(c: Column | str) -> Column:
-    """Too short, or a filler of at most two words."""
-    c = F.trim(F.coalesce(col(c), F.lit("")))
-    return (F.length(c) < 5) | ((count_blank_separated(c) <= 2) & F.lower(c).rlike(r"^(?:image|photo|picture|logo|banner|foto|resim|img)\b"))
+    """Missing, under 5 signs, or a filler of at most two words."""
+    c = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+    return (F.length(c) < 5) | ((count_blank_separated(c) <= 2) & c.rlike(rf"(?iU)^(?:{FILLERS})$"))
 
 
 def contradicts(a: Column | str, b: Column | str, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -239,14 +243,6 @@ def image_stem(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"-\d+x\d+$", ""), "-scaled$", ""))
 
 
-def noise_image(c: Column | str, least: int = 400) -> Column:
-    """Icons, trackers and pictures whose name tells a small size."""
-    # Sizes of advertisements.
-    sizes = "(?:300x250|728x90|160x600|320x50|970x250|336x280|468x60|300x600|970x90|250x250)"
-    w, h = (F.expr(f"try_cast(nullif(regexp_extract(`{c}`, '-([0-9]+)x([0-9]+)[.][A-Za-z]+', {i}), '') as int)") for i in (1, 2))
-    return F.lower(col(c)).rlike(r"(?:logo|icon|avatar|pixel|sprite|banner|/ads?/)") | col(c).rlike(rf"-{sizes}[.]") | F.coalesce(F.least(w, h) < least, F.lit(False))
-
-
 def variant_widths(width: Column | str, ladder: tuple[int, ...] = (400, 800, 1200)) -> Column:
     w = col(width)
     below = F.filter(F.array(*map(F.lit, ladder)), lambda x: x < w)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
+from ..functions import pages as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import values as V
@@ -260,9 +261,20 @@ def slug_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ad_images(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    url = F.concat(F.lit("https://img.example/a/x"), F.when(k == 0, "-300x250.jpg").when(k == 1, "-970x250.png").when(k == 2, "-800x600.jpg").otherwise(".jpg"))
-    return table(spark, d, "part").select("p_partkey", url.alias("url")).select("p_partkey", T.noise_image("url").alias("noise"))
+    k = F.col("p_partkey") % 12
+    names = ["-300x250.jpg", "-970x250.png", "-800x600.jpg", ".jpg", "-320x100.webp", "-399x900.gif", "-300x250.jpg.bak", "-800x600-FollowUs.jpeg", "-1200x400.JPG", "-headshot.png", "-50x5000.jpg?w=1", "-728x90.tiff"]
+    url = F.concat(F.lit("https://img.example/a/x"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int")))
+    width, height = F.when(F.col("p_partkey") % 5 == 0, "320").when(F.col("p_partkey") % 5 == 1, "x"), F.when(F.col("p_partkey") % 3 == 0, " 50 ").otherwise("100")
+    return table(spark, d, "part").select("p_partkey", P.noise_image(url, width, height).alias("noise"))
+
+
+_ALTS = ["File Photo", "", "img", "LÉGENDE", "2024", "2024 report here", "12 cats", "photo of a cat", "stock market", "Handout", "  getty  ", "a photo", "photo d'archive", "images", "Sans légende"]
+
+
+def generic_alts(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array_join(F.slice(F.split("text", " "), F.pmod("doc_id", F.lit(20)).cast("int") + 1, 2), " ")
+    alt = F.when(F.col("doc_id") % 2 == 0, words).otherwise(F.element_at(F.array(*map(F.lit, _ALTS)), (F.col("doc_id") % 15 + 1).cast("int")))
+    return table(spark, d, "documents").select("doc_id", T.generic_alt(alt).alias("generic"))
 
 
 def new_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -295,20 +307,6 @@ def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(found).alias("r")).select("p_partkey", "r.*")
 
 
-def body_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("p_partkey").cast("string")
-    html = F.concat(F.lit("<ul><li>point</li></ul><nav>menu</nav><p>Text "), n, F.lit('</p><div class="promo-box">buy</div><figure><img src="/logo.png"><figcaption>x</figcaption></figure><img src="/a.jpg"><div class="embed-card">other</div><h3>Related stories</h3><p>tail</p>'))
-    done = M.drop_noise_tail(M.drop_noise_images(M.drop_noise(M.drop_embedded(M.drop_leading_bullets(html)))))
-    return table(spark, d, "part").select("p_partkey", done.alias("html"))
-
-
-def heading_insertion(spark: SparkSession, d: str) -> DataFrame:
-    k = F.pmod("p_partkey", F.lit(5)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), k + 1), lambda i: F.concat(F.lit("<p>"), i.cast("string"), F.lit("</p>")))
-    made = M.insert_headings(blocks, F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")), F.array(F.lit(1), F.lit(4), k, F.lit(9)))
-    return table(spark, d, "part").select("p_partkey", made.alias("html"), gates.keeps_tags_columns(F.array_join(blocks, "\n"), F.coalesce(made, F.lit(""))).alias("kept"))
-
-
 def log_report(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.when(F.col("event_type") == "view", "published").otherwise("dropped"), F.lit(" item score="), F.pmod("event_id", F.lit(10)).cast("string"))
     logs = table(spark, d, "events").filter("event_type <> 'click'").groupBy(F.concat(F.lit("log"), F.pmod("event_id", F.lit(13)).cast("string")).alias("file")).agg(F.array_join(F.collect_list(line), "\n").alias("value"))
@@ -317,8 +315,8 @@ def log_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     admin_list, point_lookup, featured_slot, stale_categories, phrase_filters, enabled_sources, label_decoration, author_fetch, vocabulary_listing, thin_tags, recent_runs, page_counts, page_numbers, members_order, search_count, search_fallback, search_fields, topic_tags, sector_label,
-    assistant_referrals, canonical_urls, redirects, reserved_keys, json_ld_node, alt_backfill, backfill_selection, rerun_truncated, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, new_urls, rss_channel,
-    range_chips, listing_until_few_new, listing_rows, body_cleaning, heading_insertion, log_report,
+    assistant_referrals, canonical_urls, redirects, reserved_keys, json_ld_node, alt_backfill, backfill_selection, rerun_truncated, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, generic_alts, new_urls, rss_channel,
+    range_chips, listing_until_few_new, listing_rows, log_report,
 )}
 
 _WITH = f"WITH {ARTICLES_SQL}, p AS (SELECT * FROM articles WHERE {PUBLISHED_SQL})"
@@ -379,7 +377,13 @@ ORACLE = {
     "simple_budget": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice::DECIMAL(12,2)::DOUBLE * 1000000, 2) WHEN 1 THEN o_totalprice::DECIMAL(12,2)::DOUBLE WHEN 2 THEN 1234567.0 END AS amount FROM orders",
     "text_forms": "SELECT doc_id, 'a, b --- c, d ' || doc_id AS strict, 'A bridge at dawn' AS caption, source || '/img/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '_large.jpg' ELSE '_small.jpg' END AS url FROM documents",
     "slug_variants": "WITH s AS (SELECT p_partkey, regexp_replace(replace(p_name, ' ', '-') || '---field-r-nandu-12-' || replace(lower(p_type), ' ', '-'), '^-+|-+$', '', 'g') AS s FROM part) SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE regexp_replace(substr(s, 1, 100), '-+$', '') END AS long, CASE WHEN p_partkey % 4 = 0 THEN 'tender' ELSE regexp_replace(substr(s, 1, 20), '-+$', '') END AS short FROM s",
-    "ad_images": "SELECT p_partkey, p_partkey % 4 < 2 AS noise FROM part",
+    "ad_images": rf"""WITH u AS (SELECT p_partkey, 'https://img.example/a/x' || p_partkey || ['-300x250.jpg', '-970x250.png', '-800x600.jpg', '.jpg', '-320x100.webp', '-399x900.gif', '-300x250.jpg.bak', '-800x600-FollowUs.jpeg', '-1200x400.JPG', '-headshot.png', '-50x5000.jpg?w=1', '-728x90.tiff'][p_partkey % 12 + 1] AS url,
+        CASE p_partkey % 5 WHEN 0 THEN '320' WHEN 1 THEN 'x' END || 'x' || CASE WHEN p_partkey % 3 = 0 THEN '50' ELSE '100' END AS given FROM part),
+        n AS (SELECT *, regexp_extract(lower(url), '-([0-9]{{2,4}}x[0-9]{{2,4}})[.](?:jpe?g|png|webp|gif)$', 1) AS told FROM u)
+        SELECT p_partkey, regexp_matches(lower(url), '{P.NOISE_ADDRESS}') OR told IN {P.AD_SIZES} OR coalesce(given IN {P.AD_SIZES}, false)
+               OR (told <> '' AND least(try_cast(split_part(told, 'x', 1) AS INT), try_cast(split_part(told, 'x', 2) AS INT)) < {P.LEAST_SIDE}) AS noise FROM n""",
+    "generic_alts": rf"""WITH a AS (SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN array_to_string(string_split(text, ' ')[doc_id % 20 + 1 : doc_id % 20 + 2], ' ') ELSE {[a for a in _ALTS]!r}[doc_id % 15 + 1] END, E' \n\t\r') AS alt FROM documents)
+        SELECT doc_id, length(alt) < 5 OR ({_BLANK.format('alt')} <= 2 AND regexp_full_match(lower(alt), '{T.FILLERS.replace(chr(39), chr(39) * 2)}')) AS generic FROM a""".replace(chr(34) + "photo d'archive" + chr(34), "'photo d''archive'"),
     "new_urls": f"WITH {ARTICLES_SQL} SELECT '/item/' || id AS url FROM articles WHERE id % 2 = 0 AND id % 3 = 0",
     "rss_channel": f"""{_WITH}, t AS (SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS n FROM p QUALIFY n <= 50)
         SELECT '<rss version="2.0"><channel><title>News &amp; more</title><link>https://x.example</link>' || string_agg('<item><title>' || {_XML.format('title')} || '</title><link>https://x.example/item/' || id || '</link><description>' || {_XML.format('title')} || '</description><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' GMT</pubDate></item>', '' ORDER BY n) || '</channel></rss>' AS xml FROM t""",
@@ -388,8 +392,5 @@ ORACLE = {
         h AS (SELECT id, spot[1] AS page, spot[2] AS position FROM f), g AS (SELECT p.page, count(h.id) AS n FROM (SELECT DISTINCT page FROM r) p LEFT JOIN h USING (page) GROUP BY p.page)
         SELECT page, position, id FROM h WHERE page <= coalesce((SELECT min(page) FROM g WHERE n < 10), 1e18) ORDER BY page, position LIMIT 400""",
     "listing_rows": "SELECT p_partkey, '/n/' || (p_partkey * 10 + k) AS href, p_name AS title, p_brand AS brand, NULL::VARCHAR AS closing FROM part, (VALUES (1), (2)) AS v(k)",
-    "body_cleaning": """SELECT p_partkey, '<p>Text ' || p_partkey || '</p><img src="/a.jpg">' AS html FROM part""",
-    "heading_insertion": r"""SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN '<p>1</p>' || chr(10) || '<h2>A</h2>' || chr(10) || '<p>2</p>' || chr(10) || '<h2>B</h2>' || chr(10) || '<p>3</p>' WHEN 3 THEN '<p>1</p>' || chr(10) || '<h2>A</h2>' || chr(10) || '<p>2</p>' || chr(10) || '<h2>C</h2>' || chr(10) || '<p>3</p>' || chr(10) || '<h2>B</h2>' || chr(10) || '<p>4</p>'
-        WHEN 4 THEN '<p>1</p>' || chr(10) || '<h2>A</h2>' || chr(10) || '<p>2</p>' || chr(10) || '<p>3</p>' || chr(10) || '<h2>B</h2>' || chr(10) || '<p>4</p>' || chr(10) || '<p>5</p>' END AS html, p_partkey % 5 >= 2 AS kept FROM part""",
     "log_report": "SELECT 'log' || (event_id % 13) AS file, count(*) FILTER (event_type = 'view') AS published, count(*) FILTER (event_type <> 'view') AS dropped, round(avg(event_id % 10), 2) AS mean_score, round(100.0 * published / count(*), 1)::DOUBLE AS percent FROM events WHERE event_type <> 'click' GROUP BY 1",
 }

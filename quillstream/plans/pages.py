@@ -70,7 +70,29 @@ def page_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return nested(spark, d).select("page_id", P.cleaned("html", F.col("found")).alias("html"))
 
 
-QUERIES = {f.__name__: f for f in (page_nodes, page_body, page_without_embedded, page_heading_levels, page_lead_list, page_furniture_images, page_inline_images, page_cleaned)}
+def _parted(spark: SparkSession, d: str) -> DataFrame:
+    return nested(spark, d).drop("found").withColumn("parts", tree.parts("html")).withColumn("body", P.body_runs(F.col("parts")))
+
+
+def page_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return _parted(spark, d).select("page_id", P.main_text(F.col("parts"), F.col("body"), ["div.none", "article"]).alias("text"), P.ends_cut(F.col("parts"), F.col("body")).alias("cut"))
+
+
+def heading_insertion(spark: SparkSession, d: str) -> DataFrame:
+    """Questions proposed for the pages' bodies, at places that repeat, are out of order, or lie outside."""
+    k = F.col("page_id").cast("int")
+    at = F.array(F.lit(9) + k % 7, k % 5, F.lit(2), k % 3 + 2, F.lit(100), F.when(k % 2 == 0, 4))
+    heads = F.array(*(F.lit(h) for h in ("A late one", "What first??", " Two? ", "Which?", "Last", "None")))
+    return nested(spark, d).select("page_id", P.put_headings("html", F.col("found"), heads, at).alias("html"))
+
+
+def body_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """The container without furniture, then cleaned: what a stored body goes through."""
+    body = nested(spark, d).select("page_id", P.without_noise("html", F.col("found"), P.container(F.col("found"))).alias("html"))
+    return tree.with_nodes(body).select("page_id", P.cleaned("html", F.col("found")).alias("html"))
+
+
+QUERIES = {f.__name__: f for f in (page_nodes, page_body, page_without_embedded, page_heading_levels, page_lead_list, page_furniture_images, page_inline_images, page_cleaned, page_main_text, heading_insertion, body_cleaning)}
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _names = lambda names: "(" + ", ".join(_quote(n) for n in sorted(names)) + ")"
@@ -147,6 +169,25 @@ _BODIES = f"""SELECT page_id, regexp_replace(string_agg(tok, '' ORDER BY i), '^<
 _LEADS = r"""SELECT page_id, i, stop FROM (SELECT * FROM el WHERE parent IS NOT DISTINCT FROM NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1) f
         WHERE name = 'ul' AND NOT EXISTS (FROM tok k WHERE k.page_id = f.page_id AND k.i < f.i AND k.tok NOT LIKE '<!%' AND trim(k.tok, E' \n\t\r') <> '')"""
 
+_READY = f"SELECT * FROM (WITH {tree_sql(MADE_SQL)}, {_CONTAINER}, gone AS (SELECT e.page_id, e.i, e.stop FROM el e JOIN box b ON b.page_id = e.page_id AND e.i > b.i AND e.stop <= b.stop WHERE {_NOISY}) {_without('gone', 'JOIN box b ON b.page_id = k.page_id AND k.i BETWEEN b.i AND b.stop')})"
+_RUNS = rf"""cuts AS (SELECT page_id, i, tok, kind, sum((kind <> 'text' AND name IN {_names(tree.CUTS)})::INT) OVER (PARTITION BY page_id ORDER BY i) AS run FROM tok),
+    hid AS (SELECT page_id, i, stop FROM el WHERE name IN {_names(tree.HIDDEN)}), link AS (SELECT page_id, i, stop FROM el WHERE name = 'a'),
+    words AS (SELECT c.page_id, c.i, c.run, replace(replace(replace(tok, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS tok, EXISTS (FROM link l WHERE l.page_id = c.page_id AND c.i BETWEEN l.i AND l.stop) AS linked
+              FROM cuts c WHERE kind = 'text' AND tok NOT LIKE '<%' AND NOT EXISTS (FROM hid h WHERE h.page_id = c.page_id AND c.i BETWEEN h.i AND h.stop)),
+    runs AS MATERIALIZED (SELECT page_id, run, min(i) AS i, trim(regexp_replace(string_agg(tok, '' ORDER BY i), '\s+', ' ', 'g')) AS text, coalesce(sum(length(trim(regexp_replace(tok, '\s+', ' ', 'g')))) FILTER (linked), 0) AS linked FROM words GROUP BY page_id, run HAVING text <> ''),
+    outside AS (SELECT page_id, i, stop FROM el WHERE name IN {_names(P.OUTSIDE)} OR regexp_matches(classes || ' ' || ident, '(?i){P.EMBEDDED}') OR regexp_matches(classes || ' ' || ident, '(?i)(?:^|[\s_-])(?:ads?|promo|sponsored)(?:$|[\s_-])')),
+    remain AS (SELECT *, greatest(length(text) - linked, 0) AS dense FROM runs r WHERE NOT EXISTS (FROM outside o WHERE o.page_id = r.page_id AND r.i BETWEEN o.i AND o.stop)),
+    marked AS MATERIALIZED (SELECT *, (lag(dense, 1, 0) OVER w + 2 * dense + lead(dense, 1, 0) OVER w) / 4 >= {P.DENSITY} AND linked <= {P.LINK_SHARE} * length(text) AS keep FROM remain WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    bounds AS (SELECT page_id, min(i) AS a, max(i) AS b FROM marked WHERE keep GROUP BY page_id),
+    lists AS (SELECT e.page_id, e.i, e.stop FROM el e JOIN bounds USING (page_id) WHERE e.name IN {_names(P.KEPT_WHOLE)} AND e.i > a AND e.stop < b),
+    main AS MATERIALIZED (SELECT * FROM marked m WHERE keep OR EXISTS (FROM lists l WHERE l.page_id = m.page_id AND m.i BETWEEN l.i AND l.stop)),
+    body AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM main GROUP BY page_id),
+    box AS (SELECT page_id, i, stop FROM el WHERE name = 'article' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1),
+    chosen AS (SELECT r.page_id, string_agg(text, chr(10) ORDER BY r.i) AS text FROM runs r JOIN box b ON b.page_id = r.page_id AND r.i BETWEEN b.i AND b.stop GROUP BY r.page_id),
+    whole AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM runs GROUP BY page_id),
+    final AS (SELECT * FROM main QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i DESC) = 1),
+    ended AS (SELECT f.page_id, coalesce(max_by(e.name, e.i), '') NOT IN {_names(P.NEVER_CUT)} AND right(f.text, 1) NOT IN ('.', '!', '?', '"', '”', '»', ')', ']', '…', ':') AS cut FROM final f LEFT JOIN el e ON e.page_id = f.page_id AND e.i < f.i AND f.i <= e.stop AND e.name IN {_names(tree.CUTS)} GROUP BY f.page_id, f.text)"""
+
 ORACLE = {
     "page_nodes": f"WITH {tree_sql(MADE_SQL)}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS node FROM el), a AS (SELECT c.page_id, c.i, count(*) AS depth FROM el c JOIN el o ON o.page_id = c.page_id AND o.i < c.i AND c.stop <= o.stop GROUP BY c.page_id, c.i) SELECT n.page_id, n.node, coalesce(p.node, -1) AS parent, coalesce(depth, 0) AS depth, n.name AS tag, nullif(n.classes, '') AS classes FROM n LEFT JOIN n p ON p.page_id = n.page_id AND p.i = n.parent LEFT JOIN a ON a.page_id = n.page_id AND a.i = n.i",
     "page_body": f"WITH {tree_sql(MADE_SQL)}, {_CONTAINER}, gone AS (SELECT e.page_id, e.i, e.stop FROM el e JOIN box b ON b.page_id = e.page_id AND e.i > b.i AND e.stop <= b.stop WHERE {_NOISY}) SELECT page_id, html AS body FROM ({_without('gone', 'JOIN box b ON b.page_id = k.page_id AND k.i BETWEEN b.i AND b.stop')})",
@@ -159,4 +200,12 @@ ORACLE = {
                 WHERE NOT noise AND src LIKE 'http%' AND coalesce(try_cast(w AS INT) NOT BETWEEN 1 AND 99, true) AND coalesce(try_cast(h AS INT) NOT BETWEEN 1 AND 99, true) AND NOT EXISTS (FROM gone g WHERE g.page_id = n.page_id AND n.i BETWEEN g.i AND g.stop) GROUP BY n.page_id, n.src)
         SELECT m.page_id, CASE WHEN count(o.i) > 6 THEN '' ELSE coalesce(string_agg(o.src, ' ' ORDER BY o.i), '') END AS images FROM made m LEFT JOIN own o USING (page_id) GROUP BY m.page_id""",
     "page_cleaned": f"WITH {tree_sql(MADE_SQL)}, {_HEADINGS}, {_IMAGES}, gone AS MATERIALIZED (SELECT * FROM {_EMBEDDED} UNION ALL FROM tails UNION ALL FROM dropped), {_LEVELS.format(gone='gone')} {_without('gone', _JOIN_NAMES, _RENAMED)}",
+    "page_main_text": f"WITH {tree_sql(MADE_SQL)}, {_RUNS} SELECT m.page_id, CASE WHEN length(coalesce(b.text, '')) >= {P.LEAST_BODY} THEN b.text WHEN length(coalesce(c.text, '')) > 0 THEN c.text ELSE coalesce(w.text, '') END AS text, coalesce(e.cut, false) AS cut FROM made m LEFT JOIN body b USING (page_id) LEFT JOIN chosen c USING (page_id) LEFT JOIN whole w USING (page_id) LEFT JOIN ended e USING (page_id)",
+    "heading_insertion": f"""WITH {tree_sql(MADE_SQL)}, para AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, count(*) OVER (PARTITION BY page_id) AS total FROM el WHERE name = 'p'),
+        wanted AS (SELECT page_id, unnest([9 + page_id % 7, page_id % 5, 2, page_id % 3 + 2, 100, CASE WHEN page_id % 2 = 0 THEN 4 END]) AS spot, unnest(['A late one', 'What first', 'Two', 'Which', 'Last', 'None']) AS h, unnest(range(6)) AS k FROM made),
+        held AS (SELECT w.page_id, greatest(2, least(spot, total - 1)) AS place, h, spot AS raw, k FROM wanted w JOIN (SELECT DISTINCT page_id, total FROM para) USING (page_id) WHERE spot IS NOT NULL AND total >= 3),
+        firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY raw, k) AS nth FROM (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY page_id, place ORDER BY raw, k) = 1) QUALIFY nth <= 3),
+        put AS (SELECT p.page_id, p.i, '<h2>' || h || '?</h2>' AS h FROM firsts f JOIN para p ON p.page_id = f.page_id AND p.n = f.place)
+        SELECT m.page_id, CASE WHEN count(p.i) > 0 THEN string_agg(coalesce(p.h, '') || k.tok, '' ORDER BY k.i) END AS html FROM made m LEFT JOIN tok k USING (page_id) LEFT JOIN put p ON p.page_id = k.page_id AND p.i = k.i GROUP BY m.page_id""",
+    "body_cleaning": f"WITH {tree_sql(_READY)}, {_HEADINGS}, {_IMAGES}, lead_ AS MATERIALIZED ({_LEADS}), gone AS MATERIALIZED (SELECT * FROM {_EMBEDDED} UNION ALL FROM tails UNION ALL FROM dropped UNION ALL FROM lead_), {_LEVELS.format(gone='gone')} {_without('gone', _JOIN_NAMES, _RENAMED)}",
 }

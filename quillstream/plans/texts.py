@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import changes, gates, metrics, reads, similarity
@@ -146,7 +147,7 @@ def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
 def image_variants(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 40).alias("width"), F.concat(F.lit("https://img.example/a/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-300x200.JPG?x=1")).alias("url"))
     widths = T.variant_widths("width")
-    return rows.select("p_partkey", F.array_join(F.transform(widths, lambda w: w.cast("string")), ",").alias("widths"), T.image_stem("url").alias("stem"), T.noise_image("url").alias("noise"))
+    return rows.select("p_partkey", F.array_join(F.transform(widths, lambda w: w.cast("string")), ",").alias("widths"), T.image_stem("url").alias("stem"), P.noise_image(F.col("url")).alias("noise"))
 
 
 def image_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -232,6 +233,6 @@ ORACLE = {
         replace(replace(replace(replace(replace(made, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
         trim(substr(regexp_replace(made, '<[^>]+>', '', 'g'), 1, 40)) AS excerpt, regexp_replace(made, '(?i)\\b(?:summary|özet|résumé|resumo)\\s*:\\s*', '', 'g') AS unlabelled FROM m""",
     "image_variants": """WITH w AS (SELECT p_partkey, p_size * 40 AS width, p_name FROM part)
-        SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append(list_filter([400, 800, 1200], lambda x: x < width), least(width, 1200)))), ',') AS widths, lower(replace(p_name, ' ', '_')) AS stem, true AS noise FROM w""",
+        SELECT p_partkey, array_to_string(list_sort(list_distinct(list_append(list_filter([400, 800, 1200], lambda x: x < width), least(width, 1200)))), ',') AS widths, lower(replace(p_name, ' ', '_')) AS stem, false AS noise FROM w""",
     "image_distance": "SELECT a.vec_id, b.vec_id AS other, (4 * len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0) <> (p[2] > 0))))::BIGINT AS bits FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }

@@ -19,12 +19,14 @@ the end closes there. A null page has no elements; broken markup never fails.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions.text import col
 
@@ -33,6 +35,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SCOPES = {"table", "td", "th", "caption", "button", "object", "template"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+#: What ends a run of text.
+CUTS = BLOCKS | {"html", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "option", "select", "title", "br"}
 #: Text in these is not seen.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe"}
 
@@ -54,14 +58,28 @@ def _attributes(raw: bytes) -> list[tuple[str, str]]:
     return list(found.items())
 
 
-def parse(page: bytes) -> list[list]:
+def parse(page: bytes, runs: list[tuple] | None = None) -> list[list]:
     """Elements in document order: node, parent, depth, tag, open, inner, stop, close (bytes: start tag, content, end tag,
-    behind it), visible signs within, those of them in links, text of a heading, attributes."""
+    behind it), visible signs within, those of them in links, text of a heading, attributes.
+
+    ``runs`` gets the visible text between any two tags of blocks: (innermost element that is no inline one, or -1;
+    place of its beginning; text; signs of it in links).
+    """
     made: list[list] = []
     stack: list[int] = []
     names: list[str] = []
     hidden = links = at = 0
     labels: dict[int, list[str]] = {}
+    held: list[str] = []
+    begun = held_links = 0
+
+    def flush() -> None:
+        nonlocal held_links
+        shown = " ".join("".join(held).split())
+        if shown:
+            runs.append((next((made[n][0] for n in reversed(stack) if made[n][3] in CUTS), -1), begun, shown, held_links))
+        held.clear()
+        held_links = 0
 
     def close(to: int, stop: int, end: int) -> None:
         """Close the open elements from place ``to`` of the stack; only the outermost has the end tag."""
@@ -87,12 +105,17 @@ def parse(page: bytes) -> list[list]:
         return None
 
     def text(begin: int, end: int) -> None:
-        if hidden or end <= begin or not stack:
+        nonlocal begun, held_links
+        if hidden or end <= begin:
             return
-        raw = page[begin:end]
-        if raw.isspace():
+        raw = unescape(page[begin:end].decode("utf-8", "replace"))
+        words = " ".join(raw.split())
+        if runs is not None:
+            begun = begun if held else begin
+            held.append(raw)
+            held_links += len(words) if links else 0
+        if not words or not stack:
             return
-        words = " ".join(unescape(raw.decode("utf-8", "replace")).split())
         own = made[stack[-1]]
         own[8] += len(words)
         own[9] += len(words) if links else 0
@@ -109,6 +132,8 @@ def parse(page: bytes) -> list[list]:
         if token[2] is None:
             continue
         name = token[2].decode("utf-8", "replace").lower()
+        if runs is not None and name in CUTS:
+            flush()
         if token[1]:
             place = nearest({name}, set())
             if place is not None:
@@ -132,19 +157,44 @@ def parse(page: bytes) -> list[list]:
             stop, at = (end.start(), end.end()) if end else (len(page), len(page))
             close(len(stack) - 1, stop, at)
     text(at, len(page))
+    if runs is not None:
+        flush()
     while stack:
         close(len(stack) - 1, len(page), len(page))
     return made
 
 
+_RUN = pa.struct([("node", pa.int32()), ("at", pa.int32()), ("text", pa.string()), ("linked", pa.int32())])
+PARTS_DDL = f"nodes {NODE_DDL}, runs array<struct<node: int, at: int, text: string, linked: int>>"
+
+
+def _lists(offsets: list[int], rows: list, kind: pa.StructType) -> pa.Array:
+    fields = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+
+def _arrow_parts(pages: pa.Array) -> pa.Array:
+    offsets, rows, run_offsets, runs = [0], [], [0], []
+    for page in pages:
+        raw = page.as_py()
+        rows += parse(raw.encode() if isinstance(raw, str) else raw, runs) if raw else []
+        offsets.append(len(rows))
+        run_offsets.append(len(runs))
+    return pa.StructArray.from_arrays([_lists(offsets, rows, _NODE), _lists(run_offsets, runs, _RUN)], names=["nodes", "runs"])
+
+
 def _arrow(pages: pa.Array) -> pa.Array:
     offsets, rows = [0], []
     for page in pages:
         raw = page.as_py()
         rows += parse(raw.encode() if isinstance(raw, str) else raw) if raw else []
         offsets.append(len(rows))
-    fields = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_NODE)]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_NODE)))
+    return _lists(offsets, rows, _NODE)
+
+
+def parts(html: Column | str) -> Column:
+    """(nodes, runs): elements and runs of text of a page, from one pass of the parser."""
+    return F.arrow_udf(_arrow_parts, PARTS_DDL)(col(html))
 
 
 def nodes(html: Column | str) -> Column:
@@ -152,6 +202,17 @@ def nodes(html: Column | str) -> Column:
     return F.arrow_udf(_arrow, NODE_DDL)(col(html))
 
 
+def with_nodes(pages: DataFrame, html: str = "html", name: str = "found") -> DataFrame:
+    """``pages`` with the elements as a column, as a stage of its own: for markup that expressions have just made, whose
+    bound values (``let``) the planner cannot hand to a function of a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(name, _arrow(batch.column(html)))
+
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField(name, DataType.fromDDL(NODE_DDL))]))
+
+
 def node_table(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of ``pages`` but the markup, and a row for each element."""
     kept = [f"`{c}`" for c in pages.columns if c != html]
@@ -159,6 +220,11 @@ def node_table(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*kept, "__n.*")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is worked out once and not wherever it stands, above all not once an element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def named(node: Column) -> Column:
     """Class and id of an element, as one text."""
     return F.concat_ws(" ", node["attrs"]["class"], node["attrs"]["id"])
@@ -186,7 +252,7 @@ def select_first(found: Column, selectors: list[str]) -> Column:
 
 def within(found: Column, outer: Column) -> Column:
     """The descendants of an element; of all elements where it is null none."""
-    return F.filter(found, lambda n: (n["open"] > outer["open"]) & (n["close"] <= outer["close"]))
+    return let(outer, lambda o: F.filter(found, lambda n: (n["open"] > o["open"]) & (n["close"] <= o["close"])))
 
 
 def nearest_above(found: Column, node: Column, *tags: str) -> Column:
@@ -197,7 +263,7 @@ def nearest_above(found: Column, node: Column, *tags: str) -> Column:
 
 def uncovered(found: Column, gone: Column) -> Column:
     """The elements that lie in none of the intervals ``gone`` (structs with open and close)."""
-    return F.filter(found, lambda n: ~F.exists(gone, lambda g: (g["open"] <= n["open"]) & (n["close"] <= g["close"])))
+    return let(gone, lambda all_: F.filter(found, lambda n: ~F.exists(all_, lambda g: (g["open"] <= n["open"]) & (n["close"] <= g["close"]))))
 
 
 def spans(found: Column) -> Column:
