@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ACCENTED, PLAIN, fold, turkish_lower
+from ..functions.text import ACCENTED, PLAIN, fold, let, turkish_lower
 
 TOKENS = r"[^\p{L}\p{N}]+"
 _FOLD = str.maketrans(ACCENTED, PLAIN)
@@ -76,6 +76,39 @@ def word_similarity(query: str, text: str) -> Column:
     return F.coalesce(F.array_max(share), F.lit(0.0))
 
 
+def trigrams_of(text: Column) -> Column:
+    """Trigrams of the words of a text in their order, repeats kept: a word has two blanks before it and one behind it."""
+    words = F.filter(F.split(F.lower(text), TOKENS), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: let(F.concat(F.lit("  "), w, F.lit(" ")), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))))
+
+
+def query_trigrams(text: str) -> list[str]:
+    """The distinct trigrams of a query."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return sorted({p[i : i + 3] for p in (f"  {w} " for w in words) for i in range(len(p) - 2)})
+
+
+def extent_similarity(query: str, trigrams: Column) -> Column:
+    """The largest likeness of the query's trigrams to those of a run of ``trigrams`` (a text's, in order): common ones by all distinct ones of both.
+
+    The best run begins and ends with a trigram of the query, so only such runs are compared.
+    """
+    own = query_trigrams(query)
+    if not own:
+        return F.lit(0.0)
+    wanted = F.array(*map(F.lit, own))
+
+    def best(tris: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tris), F.lit(1))), lambda i: F.array_contains(wanted, F.try_element_at(tris, i)))
+
+        def likeness(i: Column, j: Column) -> Column:
+            return let(F.array_distinct(F.slice(tris, i, j - i + 1)), lambda run: let(F.size(F.array_intersect(run, wanted)), lambda common: common / (len(own) + F.size(run) - common)))
+
+        return let(ends, lambda at: F.array_max(F.transform(at, lambda i: F.array_max(F.transform(F.filter(at, lambda j: j >= i), lambda j: likeness(i, j))))))
+
+    return F.coalesce(let(trigrams, best), F.lit(0.0))
+
+
 def plain(raw: str) -> list[list[str]]:
     """Every word must match as it is: no synonyms."""
     return [[w] for w in re.sub(r"[^\w\s-]", " ", lower_tr(raw)).split()]
@@ -100,19 +133,18 @@ def rank_by_frequency(groups: list[list[str]], fields: list[tuple[str | Column,
     return reduce(lambda a, b: a + b, (part(*f) for f in fields))
 
 
-def count(rows: DataFrame, groups: list[list[str]], *fields: str) -> DataFrame:
-    """One row: how many rows match, without paging."""
-    return rows.filter(matches(tokens(*fields), groups)).agg(F.count(F.lit(1)).alias("n"))
-
-
 def search(rows: DataFrame, raw: str, synonyms: dict[str, list[str]], tab: str | None = None, since: Column | None = None, fuzzy_from: int = 4, threshold: float = 0.3) -> DataFrame:
-    """Matching rows with their rank: boolean match over title and body, or a title like the query. Under 2 signs nothing is found."""
-    if len(raw.strip()) < 2:
-        return rows.limit(0).withColumn("rank", F.lit(0.0))
+    """Matching rows with their rank: boolean match over title and body, or a title like the query. Under 2 signs nothing is found.
+
+    Takes every text apart; ``search_index`` does not.
+    """
+    raw = raw.strip()
     groups = expand(raw, synonyms)
+    if len(raw) < 2 or not groups:
+        return rows.limit(0).withColumn("rank", F.lit(0.0))
     hit = matches(tokens("title", "body"), groups)
-    like = word_similarity(lower_tr(raw.strip()), "title")
-    if len(raw.strip()) >= fuzzy_from:
+    like = extent_similarity(lower_tr(raw), trigrams_of(turkish_lower("title")))
+    if len(raw) >= fuzzy_from:
         hit |= like > threshold
     if tab is not None:
         rows = rows.filter(F.col("tab") == tab)
@@ -121,6 +153,11 @@ def search(rows: DataFrame, raw: str, synonyms: dict[str, list[str]], tab: str |
     return rows.filter(hit).withColumn("rank", 2.0 * rank(groups, [("title", 1.0), ("body", 0.4)]) + 0.5 * like)
 
 
+def count(rows: DataFrame, raw: str, synonyms: dict[str, list[str]], **filters) -> DataFrame:
+    """One row: how many rows ``search`` finds with the same query and filters."""
+    return search(rows, raw, synonyms, **filters).agg(F.count(F.lit(1)).alias("n"))
+
+
 def suggest(blocks: list[tuple[str, DataFrame, str, list[Column], int]], query: str) -> DataFrame:
     """(type, label, block, position): for each (type, rows with distinct labels, label column, order, k) the first k labels that hold the query."""
     out = None

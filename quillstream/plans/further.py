@@ -14,7 +14,7 @@ from ..operators import changes, gates, reads, search, upkeep
 from ..sources import files
 from ..storage import table_path
 from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_md5_mod, sql_stamp, stamp, table
-from .reads import _TOK, LIST_SQL, _any, _list, _with_sectors
+from .reads import _TOK, LIST_SQL, _any, _list, _with_sectors, extent_sql
 
 
 def _now() -> Column:
@@ -103,7 +103,14 @@ def members_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_count(spark: SparkSession, d: str) -> DataFrame:
-    return search.count(_published(spark, d), search.plain("with er"), "title", "body")
+    rows = _published(spark, d)
+    since = _now() - F.expr("interval 20 days")
+    asked = [("With er", {}), ("thanedbl", {}), ("er", {}), ("thanedble", {"tab": "tab3"}), ("the that", {"tab": "tab3", "since": since}), ("x", {})]
+    out = None
+    for k, (raw, filters) in enumerate(asked):
+        own = search.count(rows, raw, {}, **filters).select(F.lit(k).alias("asked"), "n")
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +354,10 @@ ORACLE = {
     "page_counts": f"{_WITH} SELECT tab, ceil(count(*) / 12.0)::BIGINT AS pages FROM p GROUP BY tab",
     "page_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN greatest(1, p_partkey) ELSE 1 END::BIGINT AS param, CASE WHEN p_partkey % 5 = 0 AND p_partkey >= 2 THEN p_partkey END::BIGINT AS segment FROM part",
     "members_order": f"SELECT c_custkey, {sql_stamp(f'''(TIMESTAMP '{NOW}' - to_hours(((c_custkey * 37) % 9000)::INTEGER))''')} AS created_at FROM customer",
-    "search_count": f"{_WITH} SELECT count(*) AS n FROM p WHERE {_any([['with'], ['er']], _TOK.format(_BODY))}",
+    "search_count": f"{_WITH} " + " UNION ALL ".join(f"SELECT {k} AS asked, count(*) AS n FROM p WHERE {own}" for k, own in enumerate((
+        f"({_any([['with'], ['er']], _TOK.format(_BODY))} OR {extent_sql('with er', 'title')} > 0.3)", f"({_any([['thanedbl']], _TOK.format(_BODY))} OR {extent_sql('thanedbl', 'title')} > 0.3)", _any([['er']], _TOK.format(_BODY)),
+        f"tab = 'tab3' AND ({_any([['thanedble']], _TOK.format(_BODY))} OR {extent_sql('thanedble', 'title')} > 0.3)",
+        f"tab = 'tab3' AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY AND ({_any([['the'], ['that']], _TOK.format(_BODY))} OR {extent_sql('the that', 'title')} > 0.3)", "false"))),
     "search_fallback": f"{_WITH} SELECT id, 'good' AS mode FROM p WHERE {_any([['er'], ['with', 'from']], _TOK.format(_BODY))} UNION ALL SELECT id, 'broken' FROM p WHERE {_any([['with'], ['er']], _TOK.format(_BODY))}",
     "search_fields": f"""{_WITH}, f AS (SELECT *, substr(body, 1, 200) AS excerpt, array_to_string(tags, ' ') AS tag_text FROM p),
         n AS (SELECT id, title, body, excerpt, tag_text, {', '.join(f'{_TF.format(c)} AS n_{c}' for c in ('title', 'excerpt', 'tag_text', 'body'))} FROM f)

@@ -164,6 +164,18 @@ def _rank_sql(groups: list[list[str]], fields: list[tuple[str, float]]) -> str:
 _TRI = "list_distinct(list_transform(range(1, (length({0}) + 2)::BIGINT), lambda i: substr('  ' || lower({0}) || ' ', i, 3)))"
 _PART_TITLE = "list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
+
+
+def extent_sql(raw: str, title: str) -> str:
+    """The best likeness of a query's trigrams to any run of a title's, by trying all runs."""
+    own = search.query_trigrams(raw)
+    words = f"list_filter(string_split_regex(lower(translate({title}, 'İI', 'iı')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    tris = f"flatten(list_transform({words}, lambda w: list_transform(range(1, (length(w) + 2)::BIGINT), lambda i: substr('  ' || w || ' ', i, 3))))"
+    likeness = f"len(list_intersect(list_distinct(t[i:j]), {own!r}))::DOUBLE / ({len(own)} + len(list_distinct(t[i:j])) - len(list_intersect(list_distinct(t[i:j]), {own!r})))"
+    runs = f"list_max(list_transform(range(1, len(t) + 1), lambda i: list_max(list_transform(range(i, len(t) + 1), lambda j: {likeness}))))"
+    return f"coalesce(list_transform([{tris}], lambda t: {runs})[1], 0.0)"
+
+
 QUERIES = {f.__name__: f for f in (published_listing_page, listing_by_tab_page2, listing_by_tag, listing_catch_all_bucket, listing_exclude_ids, top_recent_with_fallback, top_viewed_window, next_item, latest_per_group, similar_items, similar_to_one, tag_counts_min3, sitemap_union, suggest_blocks, search_boolean, search_ranked, search_fuzzy_title, tag_search)}
 
 _WITH = f"WITH {ARTICLES_SQL}, p AS (SELECT * FROM articles WHERE {PUBLISHED_SQL})"

@@ -19,7 +19,7 @@ the end closes there. A null page has no elements; broken markup never fails.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from html import unescape
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..functions.text import col
+from ..functions.text import col, let
 
 #: Fixed values of HTML: elements without an end; blocks, which close a paragraph; items that close their predecessor, with what keeps them apart.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -220,11 +220,6 @@ def node_table(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*kept, "__n.*")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, where the value is worked out once and not wherever it stands, above all not once an element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def named(node: Column) -> Column:
     """Class and id of an element, as one text."""
     return F.concat_ws(" ", node["attrs"]["class"], node["attrs"]["id"])
