@@ -1,8 +1,8 @@
 """The query catalogue: each query with its SQL oracle."""
 
-from . import finding, further, more, pages, reads, texts, traffic
+from . import finding, further, gathering, more, pages, reads, texts, traffic
 
 QUERIES, ORACLE = {}, {}
-for part in (reads, texts, traffic, more, further, pages, finding):
+for part in (reads, texts, traffic, more, further, pages, finding, gathering):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
