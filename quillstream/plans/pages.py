@@ -143,6 +143,12 @@ def tree_sql(made: str) -> str:
     )
 
 
+def _unescaped(tok: str) -> str:
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
+        tok = f"replace({tok}, '&{name};', '{sign}')"
+    return tok
+
+
 def _without(gone: str, scope: str = "", tok: str = "tok") -> str:
     """The text of each page but for the tokens that lie in rows (page_id, i, stop) of ``gone``."""
     return f"SELECT m.page_id, coalesce(string_agg({tok}, '' ORDER BY k.i) FILTER (g.page_id IS NULL), '') AS html FROM made m LEFT JOIN tok k USING (page_id) {scope} LEFT JOIN (SELECT DISTINCT k.page_id, k.i FROM tok k JOIN {gone} g ON g.page_id = k.page_id AND k.i BETWEEN g.i AND g.stop) g ON g.page_id = k.page_id AND g.i = k.i GROUP BY m.page_id"
@@ -150,7 +156,7 @@ def _without(gone: str, scope: str = "", tok: str = "tok") -> str:
 
 _NOISY = rf"(name IN {_names(P.STRUCTURAL)} OR ((regexp_matches(classes, '(?i){P.NOISE}') OR regexp_matches(ident, '(?i){P.NOISE}')) AND NOT regexp_matches(classes, '(?i){P.OWN_HEADER}') AND NOT regexp_matches(ident, '(?i){P.OWN_HEADER}')))"
 _CONTAINER = "box AS (SELECT page_id, i, stop FROM (SELECT *, CASE WHEN list_contains(string_split(classes, ' '), 'article-content') THEN 1 WHEN name = 'article' THEN 2 END AS nth FROM el) WHERE nth IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY nth, i) = 1)"
-_INNER_TEXT = r"(SELECT coalesce(string_agg(trim(regexp_replace(replace(replace(k.tok, '&amp;', '&'), '&middot;', '·'), '\s+', ' ', 'g')), '' ORDER BY k.i), '') FROM tok k WHERE k.page_id = h.page_id AND k.i BETWEEN h.i AND h.stop AND k.kind = 'text' AND k.tok NOT LIKE '<%')"
+_INNER_TEXT = rf"(SELECT coalesce(string_agg(trim(regexp_replace({_unescaped('k.tok')}, '\s+', ' ', 'g')), '' ORDER BY k.i), '') FROM tok k WHERE k.page_id = h.page_id AND k.i BETWEEN h.i AND h.stop AND k.kind = 'text' AND k.tok NOT LIKE '<%')"
 _HEADINGS = rf"""heads AS MATERIALIZED (SELECT h.*, {_INNER_TEXT} AS label FROM el h WHERE name IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')),
     tails AS MATERIALIZED (SELECT h.page_id, h.i, h.stop FROM heads h WHERE label = ''
               UNION ALL SELECT h.page_id, h.i, CASE WHEN p.ended THEN p.stop - 1 ELSE p.stop END FROM heads h JOIN el p ON p.page_id = h.page_id AND p.i = h.parent WHERE regexp_matches(label, '(?i)^\s*({P.NOISE_HEADINGS.replace("'", "''")})(?:\W|$)'))"""
@@ -172,7 +178,7 @@ _LEADS = r"""SELECT page_id, i, stop FROM (SELECT * FROM el WHERE parent IS NOT
 _READY = f"SELECT * FROM (WITH {tree_sql(MADE_SQL)}, {_CONTAINER}, gone AS (SELECT e.page_id, e.i, e.stop FROM el e JOIN box b ON b.page_id = e.page_id AND e.i > b.i AND e.stop <= b.stop WHERE {_NOISY}) {_without('gone', 'JOIN box b ON b.page_id = k.page_id AND k.i BETWEEN b.i AND b.stop')})"
 _RUNS = rf"""cuts AS (SELECT page_id, i, tok, kind, sum((kind <> 'text' AND name IN {_names(tree.CUTS)})::INT) OVER (PARTITION BY page_id ORDER BY i) AS run FROM tok),
     hid AS (SELECT page_id, i, stop FROM el WHERE name IN {_names(tree.HIDDEN)}), link AS (SELECT page_id, i, stop FROM el WHERE name = 'a'),
-    words AS (SELECT c.page_id, c.i, c.run, replace(replace(replace(tok, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS tok, EXISTS (FROM link l WHERE l.page_id = c.page_id AND c.i BETWEEN l.i AND l.stop) AS linked
+    words AS (SELECT c.page_id, c.i, c.run, {_unescaped('tok')} AS tok, EXISTS (FROM link l WHERE l.page_id = c.page_id AND c.i BETWEEN l.i AND l.stop) AS linked
               FROM cuts c WHERE kind = 'text' AND tok NOT LIKE '<%' AND NOT EXISTS (FROM hid h WHERE h.page_id = c.page_id AND c.i BETWEEN h.i AND h.stop)),
     runs AS MATERIALIZED (SELECT page_id, run, min(i) AS i, trim(regexp_replace(string_agg(tok, '' ORDER BY i), '\s+', ' ', 'g')) AS text, coalesce(sum(length(trim(regexp_replace(tok, '\s+', ' ', 'g')))) FILTER (linked), 0) AS linked FROM words GROUP BY page_id, run HAVING text <> ''),
     outside AS (SELECT page_id, i, stop FROM el WHERE name IN {_names(P.OUTSIDE)} OR regexp_matches(classes || ' ' || ident, '(?i){P.EMBEDDED}') OR regexp_matches(classes || ' ' || ident, '(?i)(?:^|[\s_-])(?:ads?|promo|sponsored)(?:$|[\s_-])')),

@@ -43,7 +43,7 @@ def test_listing_keeps_each_address_once(spark):
     pages = spark.createDataFrame([(1, "s", "https://e.org/d/p.html", html), (2, "s", "https://e.org/d/p.html", html), (3, "t", "https://e.org/", html), (4, "s", None, html)], "k int, source string, url string, html string")
     table = spark.createDataFrame(own, rules.RULES_DDL)
     rows = sorted((r["k"], r["row"], r["link"]) for r in rules.listing(rules.read(pages, table), table, keys=("k",)).collect())
-    assert rows == [(k, n, u) for k in (1, 2) for n, u in ((1, "https://e.org/n/1"), (3, "https://e.org/d/n/2"))]
+    assert rows == [(k, n, u) for k in (1, 2) for n, u in ((1, "https://e.org/n/1"), (3, "https://e.org/d/n/2"))] + [(4, 2, "https://e.org/n/1")]
 
 
 def test_rewriting_is_idempotent(spark):
