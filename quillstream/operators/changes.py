@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,32 +90,43 @@ def write_if_changed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return made.filter(differs).select(*(F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def _cutter(c: str, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.substr(F.col(c), i, F.lit(n))
-
-
-def unreferenced(objects: DataFrame, path: str, texts: DataFrame, text: str, root: str, window: int = 8) -> DataFrame:
+def unreferenced(objects: DataFrame, path: str, texts: DataFrame, text: str, root: str, least: int = 4) -> DataFrame:
     """Objects that no text mentions: an anti-join on extracted paths, then on raw mentions anywhere in a run of path signs.
 
-    A path that stands in a run begins at one of its places, so runs are joined on all their windows of
-    ``window`` signs with the path's first ones, and the few that meet are compared whole. No text is
-    compared with every path. Paths shorter than a window are met by windows of their own length.
+    A path's fingerprint is its last 2^k bytes, k as large as its length allows: the end of a path tells it
+    from others where folders are shared. Of each run the windows of 2^k bytes, for the k that paths have, are
+    posted as (run's hash, place, window's hash): no more rows than bytes for each k, whatever a run's length.
+    Places where a fingerprint meets are compared whole, by bytes, with the run, which is fetched by its hash
+    and once. Paths under ``least`` bytes are compared with the runs that hold them at all.
     """
     from ..functions.text import object_paths
 
     named = texts.select(F.explode(object_paths(text, root)).alias(path)).distinct()
-    left = objects.join(named, path, "left_anti").withColumn("__n", F.least(F.length(path), F.lit(window)))
-    sizes = sorted(r[0] for r in left.select("__n").distinct().collect())  # at most ``window`` of them
-    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}/_.%~+@-]+"), F.lit(0)))).alias("__run")).distinct()
-    found = None
+    size = F.octet_length(F.col(path))
+    left = objects.join(named, path, "left_anti").withColumn("__n", F.when(size < least, size).otherwise(F.pow(F.lit(2), F.floor(F.log2(size))).cast("int")))
+    sizes = sorted(r[0] for r in left.select("__n").distinct().collect() if r[0])  # one for each power of two
+    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}/_.%~+@-]+"), F.lit(0)))).alias("__text")).distinct()
+    runs = runs.select(F.sha2("__text", 256).alias("__run"), F.col("__text").cast("binary").alias("__bytes"))
+    raw = F.col(path).cast("binary")
+    tails = left.filter("__n > 0").select(path, "__n", F.octet_length(raw).alias("__size"), F.xxhash64("__n", F.substr(raw, F.octet_length(raw) - F.col("__n") + 1, F.col("__n"))).alias("__h"))
+    places = None
     for n in sizes:
-        spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__run") - n + 1))
-        posts = runs.filter(F.length("__run") >= n).select("__run", F.explode(F.array_distinct(F.transform(spots, _cutter("__run", n)))).alias("__head"))
-        heads = left.filter(F.col("__n") == n).select(path, F.substring(path, 1, n).alias("__head"))
-        own = heads.join(posts, "__head").filter(F.contains("__run", F.col(path))).select(path)
-        found = own if found is None else found.unionByName(own)
+        own = runs.filter(F.octet_length("__bytes") >= n).select("__run", F.posexplode(_windows(n)).alias("__at", "__h"))
+        places = own if places is None else places.unionByName(own)
     left = left.drop("__n")
-    return left if found is None else left.join(found.distinct(), path, "left_anti")
+    if places is None:
+        return left
+    # Where the whole path would begin, from 1.
+    met = tails.join(places, "__h").select(path, "__size", "__run", (F.col("__at") + F.col("__n") - F.col("__size") + 1).alias("__begin")).filter("__begin > 0")
+    found = met.join(runs, "__run").filter(F.substr("__bytes", F.col("__begin"), F.col("__size")) == raw).select(path).distinct()
+    return left.join(found, path, "left_anti")
+
+
+def _windows(n: int) -> Column:
+    """The hashes of all windows of n bytes. The run is bound once: a row's field is copied whole each time it is read."""
+    from ..functions.text import let
+
+    return let(F.col("__bytes"), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.substr(b, i, F.lit(n)))))
 
 
 def registry_drift(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -82,14 +82,6 @@ def deletable(orphans: DataFrame, backup: DataFrame, path: str = "path", size: s
     return orphans.join(backup.select(path, F.col(size).alias("__held")), path).filter(F.col(size) == F.col("__held")).drop("__held")
 
 
-def no_regress(source: str, old: str, new: str, least_words: int = 60) -> Column:
-    """The new text, unless the source is cut off or short, or the new text is shorter than the old one."""
-    from .gates import truncated
-
-    usable = ~truncated(source) & (T.count_blank_separated(source) >= least_words) & (F.length(new) >= F.length(F.coalesce(F.col(old), F.lit(""))))
-    return F.when(F.coalesce(usable, F.lit(False)), F.col(new)).otherwise(F.col(old))
-
-
 def or_original(new: Column, original: Column) -> Column:
     """A missing or blank translation falls back to the original."""
     return F.coalesce(F.when(F.trim(new) != "", new), original)

@@ -198,11 +198,6 @@ def backfill_selection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(upkeep.needs(rules), ",").alias("needs"))
 
 
-def rerun_truncated(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").withColumns({"old": F.substring("text", 1, 400), "new": F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 300)).when(F.col("doc_id") % 3 == 1, F.col("text"))})
-    return rows.select("doc_id", F.length(upkeep.no_regress("text", "old", "new")).alias("length"))
-
-
 def _orphans(spark, d):
     return table(spark, d, "pages").filter("page_id % 3 <> 0").select(F.concat(F.lit("img/"), F.col("page_id").cast("string")).alias("path"), F.length("html").cast("long").alias("bytes"))
 
@@ -322,7 +317,7 @@ def log_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     admin_list, point_lookup, featured_slot, stale_categories, phrase_filters, enabled_sources, label_decoration, author_fetch, vocabulary_listing, thin_tags, recent_runs, page_counts, page_numbers, members_order, search_count, search_fallback, search_fields, topic_tags, sector_label,
-    assistant_referrals, canonical_urls, redirects, reserved_keys, json_ld_node, alt_backfill, backfill_selection, rerun_truncated, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, generic_alts, new_urls, rss_channel,
+    assistant_referrals, canonical_urls, redirects, reserved_keys, json_ld_node, alt_backfill, backfill_selection, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, generic_alts, new_urls, rss_channel,
     range_chips, listing_until_few_new, listing_rows, log_report,
 )}
 
@@ -376,7 +371,6 @@ ORACLE = {
     "alt_backfill": f"WITH {ARTICLES_SQL} SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'picture of ' || source END, title) AS image_alt FROM articles",
     "backfill_selection": f"""WITH {ARTICLES_SQL}, s AS (SELECT *, coalesce({PUBLISHED_SQL}, false) AS shown FROM articles) SELECT id, array_to_string(list_filter([CASE WHEN lang = 'de' THEN 'all' END, CASE WHEN shown AND len(regexp_extract_all(body, '(?i)<h2[ >]')) < 2 THEN 'headings' END, CASE WHEN shown AND length(body) NOT BETWEEN 105 AND 170 THEN 'meta' END,
         CASE WHEN score IS NULL THEN 'score' END, CASE WHEN len(tags) = 0 THEN 'tags' END, CASE WHEN tab = 'tab7' AND len(list_filter(tags, lambda t: suffix(t, 'ing'))) = 0 THEN 'topic' END, CASE WHEN score >= 5 AND lang <> 'en' THEN 'translate' END, CASE WHEN {_BLANK.format('body')} > 900 THEN 'trim' END], lambda x: x IS NOT NULL), ',') AS needs FROM s""",
-    "rerun_truncated": f"WITH t AS (SELECT doc_id, substr(text, 1, 400) AS old, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 300) WHEN 1 THEN text END AS new, NOT {_CUT} AND {_BLANK.format('text')} >= 60 AS usable FROM documents) SELECT doc_id, CASE WHEN coalesce(usable AND length(new) >= length(old), false) THEN length(new) ELSE length(old) END::INTEGER AS length FROM t",
     "orphan_summary": "WITH s AS (SELECT count(*) AS n, sum(length(html)) AS b FROM pages WHERE page_id % 3 <> 0) SELECT n, round(b / 1048576.0, 1)::DOUBLE AS megabytes, abs(n - 100) > 20 AS suspicious FROM s",
     "orphan_deletable": "SELECT 'img/' || page_id AS path, length(html)::BIGINT AS bytes FROM pages WHERE page_id % 3 <> 0 AND page_id % 2 = 0 AND page_id % 8 <> 0",
     "inline_images": "SELECT p_partkey, 'https://a/' || p_partkey || '.jpg https://d/z' || p_partkey || '.png' AS images FROM part",

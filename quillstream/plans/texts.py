@@ -39,13 +39,14 @@ def truncation_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark, d):
+    """Flags of each article; bodies are read for them where they lie, and only (id, hash, flags) meet to find copies."""
     rows = articles(spark, d)
-    firsts = rows.groupBy(F.md5("body").alias("h")).agg(F.min("id").alias("first"))
-    rows = rows.withColumn("h", F.md5("body")).join(firsts, "h")
-    return gates.run_gates(
-        rows,
-        [("duplicate", F.col("id") != F.col("first")), ("min_content", gates.min_content("body")), ("low_score", gates.low_score("score")), ("truncated", gates.truncated("body")), ("language", gates.not_english("body") & (F.col("lang") == "en"))],
-    )
+    flags = {"min_content": gates.min_content("body"), "low_score": gates.low_score("score"), "truncated": gates.truncated("body"), "language": gates.not_english("body") & (F.col("lang") == "en")}
+    slim = rows.select("id", "source", "lang", "score", F.md5("body").alias("h"), *(c.alias(f"__{n}") for n, c in flags.items()))
+    # Copies are told by their ids alone: a hash that many rows share is one row here.
+    firsts = slim.groupBy("h").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("__first"))
+    marked = slim.join(firsts, "id", "left")
+    return gates.run_gates(marked, [("duplicate", F.col("__first").isNull()), *((n, F.col(f"__{n}")) for n in flags)])
 
 
 def gate_funnel(spark: SparkSession, d: str) -> DataFrame:

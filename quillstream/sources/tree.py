@@ -271,19 +271,23 @@ def edited(html: Column | str, edits: Column, outer: Column | None = None) -> Co
 
     Intervals may nest; what lies in one that is replaced goes with it.
     """
-    raw = col(html).cast("binary")
-    begin = F.lit(0) if outer is None else outer["open"]
-    end = F.octet_length(raw) if outer is None else outer["close"]
-    cut = lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
-    start = F.struct(begin.cast("int").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, e: Column) -> Column:
-        after = F.struct(e["close"].cast("int").alias("at"), F.concat(state["parts"], F.array(cut(state["at"], e["open"]), e["put"])).alias("parts"))
-        return F.when(e["open"] < state["at"], state).otherwise(after)
-
     # Of edits that open at one place, the longest counts.
     ordered = F.array_sort(edits, lambda x, y: F.when(x["open"] < y["open"], -1).when(x["open"] > y["open"], 1).when(x["close"] > y["close"], -1).when(x["close"] < y["close"], 1).otherwise(0))
-    return F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), cut(s["at"], end)))
+
+    def put(raw: Column) -> Column:
+        begin = F.lit(0) if outer is None else outer["open"]
+        end = F.octet_length(raw) if outer is None else outer["close"]
+        cut = lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+        start = F.struct(begin.cast("int").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+        def step(state: Column, e: Column) -> Column:
+            after = F.struct(e["close"].cast("int").alias("at"), F.concat(state["parts"], F.array(cut(state["at"], e["open"]), e["put"])).alias("parts"))
+            return F.when(e["open"] < state["at"], state).otherwise(after)
+
+        return F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), cut(s["at"], end)))
+
+    # The page's bytes are bound once: a row's field is copied whole each time it is read.
+    return let(col(html).cast("binary"), put)
 
 
 def source_of(html: Column | str, node: Column) -> Column:
