@@ -55,15 +55,32 @@ def canonical(url: Column, allowed: list[str], page: str = "page") -> Column:
     return F.when(query == "", target).otherwise(F.concat(target, F.lit("?"), query))
 
 
-def redirect(url: Column, listing: str, filters: list[tuple[str, list[str], str]], gone: list[str], page: str = "page") -> Column:
-    """(status, target): 410 for what is gone; the first known filter of the listing moves into the path; a page parameter moves into the path; else null.
+def without_param(url: Column, name: str) -> Column:
+    """Path and query without a parameter; the others keep their places."""
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    rest = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != name)), "&")
+    return F.when(rest == "", path(url)).otherwise(F.concat(path(url), F.lit("?"), rest))
 
-    ``filters``: (parameter, known values, target prefix), in order of precedence.
+
+def redirect(url: Column, listing: str, filters: list[tuple], gone: list[str], page: str = "page", prefixes: list[str] | None = None) -> Column:
+    """(status, target): 410 for what is gone; the first known filter of its listing moves into the path; a page parameter moves into the path; else null.
+
+    ``filters``: (parameter, known values, target prefix), in order of precedence; known values None take any
+    slug. Further elements of a filter: whether the page goes along into the path, in one hop (else it is
+    dropped, the target being another set of rows), and its listing where that is another one. A page
+    parameter moves only on the root and under ``prefixes`` (None: everywhere). Left over on an address that
+    is paged already, it alone goes and other parameters stay.
     """
     p = path(url)
-    moves = [F.when((p == listing) & param(url, name).isin(values), F.concat(F.lit(f"{to}/"), param(url, name))) for name, values, to in filters]
-    already = p.rlike(rf"/{page}/\d+$")
-    by_page = F.when(param(url, page).isNotNull(), F.when(already, p).otherwise(paged(p, page_param(param(url, page)), page)))
+    moves = []
+    for name, values, to, *more in filters:
+        with_page, own = (*more, False, listing)[:2] if len(more) != 1 else (more[0], listing)
+        value = param(url, name)
+        known = value.isin(values) if values is not None else value.rlike("^[a-z0-9-]+$")
+        target = F.concat(F.lit(f"{to}/"), value)
+        moves.append(F.when((p == own) & known, paged(target, page_param(param(url, page)), page) if with_page else target))
+    within = F.lit(True) if prefixes is None else reduce(lambda a, b: a | b, ((p == x.rstrip("/")) & F.lit(not x.endswith("/")) | p.startswith(x.rstrip("/") + "/") for x in prefixes), p == "/")
+    by_page = F.when(param(url, page).isNotNull() & within, F.when(p.rlike(rf"/{page}/\d+$"), without_param(url, page)).otherwise(paged(p, page_param(param(url, page)), page)))
     target = F.coalesce(*moves, by_page)
     return F.when(p.isin(gone), F.struct(F.lit(410).alias("status"), F.lit(None).cast("string").alias("target"))).when(target.isNotNull(), F.struct(F.lit(308).alias("status"), target.alias("target")))
 

@@ -83,7 +83,8 @@ def latest_per_group(rows: DataFrame, group: str, order: list[Column], n: int =
 
 def _scored(weights: tuple[int, int, int], tags: Column, sectors: Column, tab: Column) -> Column:
     """What a candidate (columns tags, sectors, tab) shares with an item; a tag that the candidate repeats counts each time."""
-    count = lambda own, theirs: F.size(F.filter(theirs, lambda t: F.array_contains(own, t)))
+    none = F.array().cast("array<string>")
+    count = lambda own, theirs: F.size(F.filter(F.coalesce(theirs, none), lambda t: F.array_contains(F.coalesce(own, none), t)))
     return weights[0] * count(tags, F.col("tags")) + weights[1] * count(sectors, F.col("sectors")) + weights[2] * F.coalesce((F.col("tab") == tab).cast("int"), F.lit(0))
 
 
@@ -92,13 +93,17 @@ def similar(rows: DataFrame, now: Column, k: int = 5, newest: int = 50, days: in
 
     Candidates of a row are the ``newest`` of the last ``days`` in its tab or with one of its sectors. The
     newest of a union lie among the newest of each part, so each tab and each sector keeps its ``newest`` + 1
-    rows, and a row meets only those: the work is linear whatever the size of a tab.
+    rows, and a row meets only those: the work is linear whatever the size of a tab. A row with neither tab nor
+    sectors meets the ``newest`` of all.
     """
     fresh = rows.filter(F.col("published_at") >= now - F.expr(f"interval {days} days")).select("id", "published_at", "tab", "sectors", "tags")
-    spots = lambda r: F.explode(F.array_distinct(F.concat(F.when(r["tab"].isNotNull(), F.array(F.concat(F.lit("tab "), r["tab"]))).otherwise(F.array().cast("array<string>")), F.transform(r["sectors"], lambda x: F.concat(F.lit("sector "), x)))))
-    posts = fresh.select(spots(fresh).alias("spot"), "id", "published_at")
+    none = F.array().cast("array<string>")
+    own = lambda r: F.array_distinct(F.concat(F.when(r["tab"].isNotNull(), F.array(F.concat(F.lit("tab "), r["tab"]))).otherwise(none), F.transform(F.coalesce(r["sectors"], none), lambda x: F.concat(F.lit("sector "), x))))
+    posts = fresh.select(F.explode(own(fresh)).alias("spot"), "id", "published_at")
     lists = posts.withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy(*newest_first()))).filter(F.col("n") <= newest + 1).select("spot", F.col("id").alias("other_id"), F.col("published_at").alias("at"))
-    pairs = rows.select(spots(rows).alias("spot"), "id").join(lists, "spot").filter("id <> other_id").select("id", "other_id", "at").distinct()
+    of_all = fresh.orderBy(*newest_first()).limit(newest + 1).select(F.lit("all").alias("spot"), F.col("id").alias("other_id"), F.col("published_at").alias("at"))
+    asking = rows.select(F.explode(F.when(F.size(own(rows)) > 0, own(rows)).otherwise(F.array(F.lit("all")))).alias("spot"), "id")
+    pairs = asking.join(lists.unionByName(of_all), "spot").filter("id <> other_id").select("id", "other_id", "at").distinct()
     near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), F.desc("other_id")))).filter(F.col("n") <= newest)
     own = rows.select("id", *(F.col(c).alias(f"own_{c}") for c in ("tab", "sectors", "tags")))
     other = rows.select(F.col("id").alias("other_id"), "tab", "sectors", "tags")

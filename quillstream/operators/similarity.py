@@ -136,9 +136,18 @@ def near_newest(batch: DataFrame, stored: DataFrame, now: Column, hours: int = 4
 
 
 def overlap(rows: DataFrame, targets: DataFrame, id_col: str, text_col: str, target_id: str, target_text: str, width: int = 5) -> DataFrame:
-    """(id, target, shared): how many distinct shingles of a target stand in a text; texts without any are left out."""
+    """(id, target, shared): how many distinct shingles of a target stand in a text; texts without any are left out.
+
+    64-bit hashes of shingles meet the targets' hashes first, and only texts that hold one are taken apart again
+    as text: what is shuffled of the others is eight bytes a shingle, and nothing at all where the targets'
+    hashes are few enough to be sent to the tasks.
+    """
     wanted = shingles(targets, target_id, target_text, width).select(F.col("id").alias("target"), "shingle")
-    return shingles(rows, id_col, text_col, width).join(wanted, "shingle").groupBy("id", "target").agg(F.count(F.lit(1)).alias("shared"))
+    told = wanted.select(F.xxhash64("shingle").alias("h")).distinct()
+    hashes = _per_text(rows, id_col, text_col, width, lambda x: F.array_distinct(F.transform(x, lambda y: F.xxhash64(F.concat_ws(" ", *_fields(y, width))))), "s")
+    near = settle(hashes.select("id", F.explode("s").alias("h")).join(told, "h", "left_semi").select("id").distinct())
+    some = rows.join(near.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return shingles(some, id_col, text_col, width).join(wanted, "shingle").groupBy("id", "target").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def hash_matches(rows: DataFrame, id_col: str, hash_col: str, most_bits: int = 24) -> DataFrame:

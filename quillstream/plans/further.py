@@ -167,6 +167,21 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
     return _addresses(spark, d).select("p_partkey", to["status"].alias("status"), to["target"].alias("target"))
 
 
+#: Addresses by p_partkey % 12, with where they lead: filters with and without the page, prefixes, a parameter left over.
+_MOVED = [
+    ("/news?kind=energy&page=7", 308, "/kind/energy"), ("/lands?land=kenya&page={n}", 308, "/lands/kenya/page/{n}"), ("/lands?page=1&land=mali", 308, "/lands/mali"), ("/lands?land=No_Slug", None, None),
+    ("/tag/x?page={n}", 308, "/tag/x/page/{n}"), ("/tag?page={n}", None, None), ("/item/5?page={n}", None, None), ("/news/page/4?q=a&page={n}&kind=b", 308, "/news/page/4?q=a&kind=b"),
+    ("/news/page/4?page={n}", 308, "/news/page/4"), ("/news?zone=nowhere&page={n}", 308, "/news/page/{n}"), ("/?page={n}&q=x", 308, "/page/{n}"), ("/gone?page={n}", 410, None),
+]
+
+
+def redirect_rules(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("p_partkey") + 2).cast("string")
+    url = F.replace(F.element_at(F.array(*(F.lit("https://x.example" + u) for u, *_ in _MOVED)), (F.col("p_partkey") % 12 + 1).cast("int")), F.lit("{n}"), n)
+    to = U.redirect(url, "/news", [("kind", ["energy"], "/kind"), ("zone", ["east"], "/zone"), ("land", None, "/lands", True, "/lands")], ["/gone"], prefixes=["/news", "/lands", "/tag/"])
+    return table(spark, d, "part").select("p_partkey", to["status"].alias("status"), to["target"].alias("target"))
+
+
 def reserved_keys(spark: SparkSession, d: str) -> DataFrame:
     live = table(spark, d, "part").select(T.slug("p_name").alias("key"))
     retired = table(spark, d, "part").filter("p_partkey % 9 = 0").select(F.concat(T.slug("p_name"), F.lit("-old")).alias("key"))
@@ -317,7 +332,7 @@ def log_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     admin_list, point_lookup, featured_slot, stale_categories, phrase_filters, enabled_sources, label_decoration, author_fetch, vocabulary_listing, thin_tags, recent_runs, page_counts, page_numbers, members_order, search_count, search_fallback, search_fields, topic_tags, sector_label,
-    assistant_referrals, canonical_urls, redirects, reserved_keys, json_ld_node, alt_backfill, backfill_selection, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, generic_alts, new_urls, rss_channel,
+    assistant_referrals, canonical_urls, redirects, redirect_rules, reserved_keys, json_ld_node, alt_backfill, backfill_selection, orphan_summary, orphan_deletable, inline_images, reprocess, translation_fallback, photo_rotation, simple_budget, text_forms, slug_variants, ad_images, generic_alts, new_urls, rss_channel,
     range_chips, listing_until_few_new, listing_rows, log_report,
 )}
 
@@ -366,6 +381,7 @@ ORACLE = {
         WHEN 4 THEN '/?q=z' WHEN 5 THEN '/gone' WHEN 6 THEN '/item/' || p_partkey || '?q=a%20b' ELSE '/item/' || p_partkey END AS canonical FROM part""",
     "redirects": """SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN 410 WHEN 7 THEN NULL ELSE 308 END AS status, CASE p_partkey % 8 WHEN 0 THEN CASE WHEN p_partkey > 1 THEN '/news/page/' || p_partkey ELSE '/news' END WHEN 1 THEN '/kind/energy' WHEN 2 THEN '/zone/west'
         WHEN 3 THEN '/tag/a/page/' || p_partkey WHEN 4 THEN '/' WHEN 6 THEN '/item/' || p_partkey END AS target FROM part""",
+    "redirect_rules": "SELECT p_partkey, CASE p_partkey % 12 " + " ".join(f"WHEN {k} THEN {s or 'NULL'}" for k, (_, s, _t) in enumerate(_MOVED)) + " END::INTEGER AS status, CASE p_partkey % 12 " + " ".join(f"WHEN {k} THEN replace('{t}', '{{n}}', (p_partkey + 2)::VARCHAR)" for k, (_, _s, t) in enumerate(_MOVED) if t) + " END AS target FROM part",
     "reserved_keys": f"SELECT {_PLAIN_SLUG} AS key FROM part UNION SELECT {_PLAIN_SLUG} || '-old' FROM part WHERE p_partkey % 9 = 0",
     "json_ld_node": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'WebPage' WHEN 1 THEN 'NewsArticle' WHEN 2 THEN 'NewsArticle' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'page ' || p_partkey WHEN 1 THEN 'item ' || p_partkey WHEN 2 THEN 'item ' || p_partkey END AS headline, CASE WHEN p_partkey % 5 IN (1, 2) THEN '2024-01-02' END AS published FROM part",
     "alt_backfill": f"WITH {ARTICLES_SQL} SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'picture of ' || source END, title) AS image_alt FROM articles",

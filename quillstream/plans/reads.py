@@ -85,6 +85,13 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "other_id", F.col("weight").cast("long").alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
+def similar_bare(spark: SparkSession, d: str) -> DataFrame:
+    """Recommendations where some items have no tab, some no sectors, some neither, and most share a tag by their ids."""
+    rows = _with_sectors(_published(spark, d)).withColumns({"tab": F.when(F.col("id") % 2 == 0, F.col("tab")), "sectors": F.when(F.col("id") % 3 == 0, F.col("sectors")).when(F.col("id") % 3 == 1, F.array().cast("array<string>")), "tags": F.array(F.concat(F.lit("t"), (F.col("id") % 6).cast("string")), F.concat(F.lit("u"), (F.col("id") % 5).cast("string")))})
+    out = reads.similar(rows, F.lit(NOW).cast("timestamp_ntz"), days=20)
+    return out.select("id", "other_id", F.col("weight").cast("long").alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+
 def similar_to_one(spark: SparkSession, d: str) -> DataFrame:
     tags = ["andanandre", "anandanti", "ananeaing", "anandthat"]
     out = reads.similar_to(_with_sectors(_published(spark, d)), F.lit(NOW).cast("timestamp_ntz"), "tab2", ["sector1", "sector20"], tags, 40, days=20)
@@ -176,7 +183,7 @@ def extent_sql(raw: str, title: str) -> str:
     return f"coalesce(list_transform([{tris}], lambda t: {runs})[1], 0.0)"
 
 
-QUERIES = {f.__name__: f for f in (published_listing_page, listing_by_tab_page2, listing_by_tag, listing_catch_all_bucket, listing_exclude_ids, top_recent_with_fallback, top_viewed_window, next_item, latest_per_group, similar_items, similar_to_one, tag_counts_min3, sitemap_union, suggest_blocks, search_boolean, search_ranked, search_fuzzy_title, tag_search)}
+QUERIES = {f.__name__: f for f in (published_listing_page, listing_by_tab_page2, listing_by_tag, listing_catch_all_bucket, listing_exclude_ids, top_recent_with_fallback, top_viewed_window, next_item, latest_per_group, similar_items, similar_bare, similar_to_one, tag_counts_min3, sitemap_union, suggest_blocks, search_boolean, search_ranked, search_fuzzy_title, tag_search)}
 
 _WITH = f"WITH {ARTICLES_SQL}, p AS (SELECT * FROM articles WHERE {PUBLISHED_SQL})"
 _NEWEST = "published_at DESC NULLS LAST, id DESC"
@@ -205,6 +212,11 @@ ORACLE = {
             QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.published_at DESC, b.id DESC) <= 50),
         w AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(own_tags, t))) + 3 * len(list_filter(sectors, lambda t: list_contains(own_sectors, t))) + (tab = own_tab)::INTEGER)::BIGINT AS weight FROM c)
         SELECT id, other_id, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, published_at DESC, other_id DESC) AS rank FROM w WHERE weight > 0 QUALIFY rank <= 5""",
+    "similar_bare": f"""{_SECTORS}, m AS (SELECT id, published_at, CASE WHEN id % 2 = 0 THEN tab END AS tab, CASE WHEN id % 3 = 0 THEN sectors ELSE [] END AS sectors, ['t' || id % 6, 'u' || id % 5] AS tags FROM s), c AS (SELECT a.id, b.id AS other_id, b.published_at, a.tags AS own_tags, a.sectors AS own_sectors, a.tab AS own_tab, b.tags, b.sectors, b.tab
+            FROM m a JOIN m b ON a.id <> b.id AND (a.tab = b.tab OR list_has_any(a.sectors, b.sectors) OR (a.tab IS NULL AND len(a.sectors) = 0)) AND b.published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY
+            QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.published_at DESC, b.id DESC) <= 50),
+        w AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(own_tags, t))) + 3 * len(list_filter(sectors, lambda t: list_contains(own_sectors, t))) + coalesce((tab = own_tab)::INTEGER, 0))::BIGINT AS weight FROM c)
+        SELECT id, other_id, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, published_at DESC, other_id DESC) AS rank FROM w WHERE weight > 0 QUALIFY rank <= 5""",
     "similar_to_one": f"""{_SECTORS}, g AS (SELECT ['andanandre', 'anandanti', 'ananeaing', 'anandthat'] AS wanted, ['sector1', 'sector20'] AS own),
         c AS (SELECT s.*, wanted, own FROM s, g WHERE id <> 40 AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY AND (tab = 'tab2' OR list_has_any(sectors, own)) ORDER BY {_NEWEST} LIMIT 50),
         w AS (SELECT *, (2 * len(list_filter(tags, lambda t: list_contains(wanted, t))) + 3 * len(list_filter(sectors, lambda t: list_contains(own, t))) + (tab = 'tab2')::INTEGER)::BIGINT AS weight FROM c)
