@@ -13,12 +13,13 @@ Contexts of a frequent word are dealt to several shards by the word before it, s
 its share, however frequent a word is. A longer context stays whole; of the shorter one, the first scan also
 counts the successors over all parts, and answers each part the whole counts of the pairs that it holds. The
 second scan's shards are read twice: the discounts come from the counts of all shards, then each is scored.
-So the model is the same wherever contexts are kept; only the quantisation goes by the shard's values.
+So the model is the same wherever contexts are kept.
 
 The trie: a context word points to its successors and to the words before it; such a longer context points
 to its successors, given as ranks among the successors of the shorter one. Pointers and, shifted to be
 monotone, successors are Elias-Fano sequences; a lookup is a successor search in its context's range.
-Log probabilities and weights are quantised to 8 bits by quantiles.
+Log probabilities and weights are quantised to 8 bits on one grid for all shards, so scores do not depend on
+how many shards there are.
 
 Defined cases: a null text is the empty text (one end token); a null id trains; rows that repeat a doc_id
 are texts of their own; without training texts every probability is the add-one one; an empty table gives
@@ -42,6 +43,8 @@ from .suffixes import _POWERS, _mixed, _prefix
 
 #: Input bytes that a shard stands for; bytes of text that a task turns into n-grams in one go; bits of a quantised value.
 SHARD_BYTES, CHUNK_BYTES, BITS = 6 << 20, 12 << 20, 8
+#: Where the grid of the weights of shorter contexts begins (log10); smaller ones take its first step.
+WEIGHT_LOWEST = -8.0
 #: Most words whose contexts are dealt to several shards; words that travel by number; lookups made in one go.
 MOST_HOT, COMMON, LOOKUPS = 100_000, 1 << 16, 1 << 17
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -181,13 +184,16 @@ class Children:
 
 
 class Quantised:
-    """Values as 8-bit numbers of quantile bins, read back as the bins' means."""
+    """Logarithms of probabilities as 8-bit numbers on one grid for all shards, read back as the middle of their step.
 
-    def __init__(self, values: np.ndarray):
-        cuts = np.unique(np.quantile(values, np.arange(1, 1 << BITS) / (1 << BITS))) if len(values) else np.empty(0)
-        self.codes = np.searchsorted(cuts, values, "right").astype(np.uint8)
-        total, n = np.bincount(self.codes, values, 1 << BITS), np.bincount(self.codes, minlength=1 << BITS)
-        self.table = total / np.maximum(n, 1)
+    The grid goes from ``lowest`` to 0. It is told by the number of training tokens alone, so a value is
+    rounded alike wherever it lies, and scores do not depend on the number of shards.
+    """
+
+    def __init__(self, values: np.ndarray, lowest: float):
+        step = -lowest / (1 << BITS)
+        self.codes = np.clip((values - lowest) / step, 0, (1 << BITS) - 1).astype(np.uint8)
+        self.table = lowest + step * (np.arange(1 << BITS) + 0.5)
 
     def arrays(self) -> list[np.ndarray]:
         return [self.codes, self.table]
@@ -221,8 +227,8 @@ Whole = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 class Trie:
     """Smoothed bigrams and trigrams of a shard's contexts."""
 
-    def __init__(self, bi: np.ndarray, n2: np.ndarray, tri: np.ndarray, n3: np.ndarray, unigram: np.ndarray, discounts: tuple[float, float], whole: Whole):
-        """Distinct training n-grams with their counts: ``bi`` sorted, v * words + w; ``tri`` (place of its bigram in ``bi``) * words + u; unigram: probability of each word number; discounts of bigrams and trigrams; whole: counts of the parted words."""
+    def __init__(self, bi: np.ndarray, n2: np.ndarray, tri: np.ndarray, n3: np.ndarray, unigram: np.ndarray, discounts: tuple[float, float], whole: Whole, lowest: float):
+        """Distinct training n-grams with their counts: ``bi`` sorted, v * words + w; ``tri`` (place of its bigram in ``bi``) * words + u; unigram: probability of each word number; discounts of bigrams and trigrams; whole: counts of the parted words; lowest: where the grid of values begins."""
         words = len(unigram)
         # Of parted words the counts over all parts stand for those of this part.
         parted, pair, pair_n, whole_total, whole_kinds = whole
@@ -242,8 +248,8 @@ class Trie:
         kinds = np.where(parted, whole_kinds, np.bincount(bv, minlength=words))
         weight = d * kinds / np.maximum(total, 1)
         p2 = (n2 - d) / total[bv] + weight[bv] * unigram[bw]
-        self.p2 = Quantised(np.log10(p2))
-        self.w2 = Quantised(np.log10(np.where(total > 0, weight, 1.0)))
+        self.p2 = Quantised(np.log10(p2), lowest)
+        self.w2 = Quantised(np.log10(np.where(total > 0, weight, 1.0)), WEIGHT_LOWEST)
         del bv, bw, n2
         self.before = Children(longer // words, longer % words, words)
         span = int(relative.max()) + 1 if len(relative) else 1
@@ -257,8 +263,8 @@ class Trie:
         d = discounts[1]
         total, kinds = np.bincount(tc, n3, len(longer)), np.bincount(tc, minlength=len(longer))
         weight = d * kinds / np.maximum(total, 1)
-        self.p3 = Quantised(np.log10((n3 - d) / np.maximum(total[tc], 1) + weight[tc] * lower) if len(tri) else np.empty(0))
-        self.w3 = Quantised(np.log10(np.maximum(weight, 1e-300)))
+        self.p3 = Quantised(np.log10((n3 - d) / np.maximum(total[tc], 1) + weight[tc] * lower) if len(tri) else np.empty(0), lowest)
+        self.w3 = Quantised(np.log10(np.maximum(weight, 1e-300)), WEIGHT_LOWEST)
 
     _PARTS = (("successors", Children, 6), ("before", Children, 6), ("longer", Children, 6), ("p2", Quantised, 2), ("w2", Quantised, 2), ("p3", Quantised, 2), ("w3", Quantised, 2))
 
@@ -720,7 +726,7 @@ def _score_shard(rows: list[tuple], total: int, types: int, common: np.ndarray,
     del in_pair, u, v, train
     learned = n2 > 0
     kept = triple[n3 > 0]
-    trie = Trie(pair[learned], n2[learned], (np.cumsum(learned) - 1)[kept // n] * n + kept % n, n3[n3 > 0], unigram, discounts, whole).mapped()
+    trie = Trie(pair[learned], n2[learned], (np.cumsum(learned) - 1)[kept // n] * n + kept % n, n3[n3 > 0], unigram, discounts, whole, -4.0 - np.log10(total + types + 1.0)).mapped()
     del whole, learned, kept, n2, n3
     lower, rank, there = _in_blocks(lambda p: trie.bigrams(p // n, p % n, log_unigram), pair)
 

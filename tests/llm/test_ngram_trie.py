@@ -148,6 +148,14 @@ def test_placement_does_not_alter_the_model(spark, shards, parts, monkeypatch):
         assert abs(x - want[i]) < 0.02 * abs(want[i]) + 0.05, i
 
 
+def test_scores_do_not_depend_on_the_number_of_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, *others = ({r["id"]: r["score"] for r in nt.score(docs, shards=n).collect()} for n in (1, 5, 16))
+    assert len(one) == 200
+    for other in others:
+        assert max(abs(x - other[i]) / max(1, abs(x)) for i, x in one.items()) < 1e-9
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     got = nt.score(docs).collect()
