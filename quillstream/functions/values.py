@@ -15,8 +15,9 @@ RATES = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "CHF": 1.12}
 
 
 def parse_date(c: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The first format that fits; a leading weekday is dropped, a missing zone is the session's (UTC)."""
+    """The first format that fits; a leading weekday is dropped, a zone's name for UTC is read as its offset, a missing zone is the session's (UTC)."""
     text = F.regexp_replace(F.trim(col(c)), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
+    text = F.regexp_replace(text, r"\s(?:GMT|UTC|UT|Z)$", " +0000")
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
 
