@@ -427,6 +427,12 @@ def _unblob(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; ``np.unique`` would hash them, which takes many times as long as sorting numbers."""
+    a = np.sort(a)
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
+
+
 def _steps(a: np.ndarray) -> np.ndarray:
     """Differences of a sorted array, from 0."""
     return np.diff(a, prepend=a.dtype.type(0))
@@ -498,7 +504,7 @@ def word_counts(texts: DataFrame, shards: int, held_out: Callable[[int | None],
 
     def deal(key: np.ndarray, of: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of askers of each key, the askers key by key) for tokens of keys 0, 1, ..."""
-        asked = np.unique(of * np.int64(shards) + asks)
+        asked = _distinct(of * np.int64(shards) + asks)
         return np.bincount(asked // shards, minlength=key), asked % shards
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -574,7 +580,7 @@ def _homes(home: np.ndarray, n: np.ndarray, askers: np.ndarray) -> Iterator[tupl
 def _asked(number: np.ndarray, parts: list[list[np.ndarray]], keys: int) -> np.ndarray:
     """Sorted distinct asker * keys + key, from the keys' numbers and (askers of each, the askers) of every part."""
     of = np.repeat(number, np.concatenate([p[0] for p in parts]))
-    return np.unique(np.concatenate([p[1] for p in parts]).astype(np.int64) * keys + of)
+    return _distinct(np.concatenate([p[1] for p in parts]).astype(np.int64) * keys + of)
 
 
 def _numbers(word: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -657,7 +663,7 @@ def _ngrams_of(rows: list[tuple], common: np.ndarray) -> tuple[list[tuple[int, i
             columns.append(held)
     if not chunks:
         return [], np.empty(0, np.uint64), []
-    word = np.unique(np.concatenate(dictionaries))
+    word = _distinct(np.concatenate(dictionaries))
     for own, held in zip(dictionaries, columns, strict=True):
         place = np.searchsorted(word, own).astype(np.int32)
         held[:3] = (place[x] for x in held[:3])
