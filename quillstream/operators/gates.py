@@ -111,7 +111,10 @@ def yield_alert(stats: DataFrame, least: int = 5) -> DataFrame:
     return stats.filter((F.col("scraped") > least) & (F.col("published") == 0))
 
 
-def report_card(items: DataFrame, by: str = "source", words: int = 250) -> DataFrame:
-    """Passes if at least 4 items (all, where there are fewer) are long, dated and titled."""
-    good = (T.count_blank_separated("body") >= words) & F.col("published_at").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != "")
+def report_card(items: DataFrame, by: str = "source", words: int = 250, image_status: Column | None = None) -> DataFrame:
+    """Passes if at least 4 items (all, where there are fewer) are long (tags aside), dated and titled and, where the status of their picture's address is told, it begins with 2."""
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"<[^>]+>", " ")
+    good = (T.count_blank_separated(body) >= words) & F.col("published_at").isNotNull() & (F.trim(F.coalesce("title", F.lit(""))) != "")
+    if image_status is not None:
+        good &= F.coalesce(image_status.startswith("2"), F.lit(False))
     return items.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good")).withColumn("passed", F.col("good") >= F.least(F.lit(4), F.col("n")))

@@ -129,6 +129,17 @@ def first_free(items: Column, used: Column) -> Column:
     return F.get(F.filter(items, lambda x: ~F.array_contains(used, x)), F.lit(0))
 
 
+def fallback_photo(steps: list[Column], used: Column) -> Column:
+    """(url, step): the first picture not in use of the first step that has one; a step is the list that a search gave (null: it failed, or was not asked)."""
+    firsts = [F.get(F.filter(s, lambda x: ~F.array_contains(used, x) & (x != "")), F.lit(0)) for s in steps]
+    return F.coalesce(*(F.when(u.isNotNull(), F.struct(u.alias("url"), F.lit(k + 1).alias("step"))) for k, u in enumerate(firsts)))
+
+
+def rewrite_status(old: Column, new: Column) -> Column:
+    """What a backfill of addresses does with a row: nothing without an address or where the rule leaves it as it is, so that a second run changes nothing."""
+    return F.when(F.coalesce(old, F.lit("")) == "", "none").when(new.eqNullSafe(old), "skipped").otherwise("changed")
+
+
 def range_start(now: Column, chip: str) -> Column | None:
     """The start of a range that a reader picks; an unknown one is no filter."""
     days = {"24h": 1, "week": 7, "month": 30, "year": 365}.get(chip)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import gates, models, reads
-from ..sources import files
+from ..operators import gates, models, reads, upkeep
+from ..sources import files, registry, rules
 from ..storage import table_path
-from ..tables import ARTICLES_SQL, PUBLISHED_SQL, articles, sql_stamp, stamp, table
+from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_stamp, stamp, table
 
 RULES = [(r"\bthe\b", "THE"), (r"(\w)ing\b", "$1in"), (r"THE THE", "THE")]
 
@@ -122,7 +122,39 @@ def vocabulary_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_vocabulary(spark, path).select("term")
 
 
-QUERIES = {f.__name__: f for f in (text_trimming, contact_fields, storage_names, odd_dates, finalise_reasons, model_phases, whole_answers, best_attempts, feed_round_trip, sitemap_round_trip, delimited_round_trip, log_round_trip, vocabulary_round_trip)}
+def news_sitemap_xml(spark: SparkSession, d: str) -> DataFrame:
+    since = F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 48 hours")
+    return files.news_sitemap(reads.published(articles(spark, d)), "https://x.example", "X News", "en", since, most=20, title_size=30)
+
+
+def report_cards_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = articles(spark, d).withColumn("body", F.concat(F.lit("<p class='a b'>"), "body", F.lit("</p>")))
+    status = F.when(F.col("id") % 7 == 0, "404").when(F.col("id") % 7 == 1, "ERR").when(F.col("id") % 7 > 2, "200")
+    return gates.report_card(rows, image_status=status)
+
+
+def image_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of pictures rewritten by their source's rule: what a first and a second run change."""
+    k = F.col("p_partkey") % 5
+    source = F.element_at(F.array(F.lit("ecofin"), F.lit("business_in_cameroon"), F.lit("undp")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    url = F.concat(F.lit("https://i/"), F.col("p_partkey").cast("string"), F.when(k == 0, "_S.jpg").when(k == 1, "_Generic.jpg").when(k == 2, "_XL.jpg").when(k == 3, "_S.png"))
+    rows = table(spark, d, "part").select("p_partkey", source.alias("source"), url.alias("image"), url.alias("old"))
+    once = rules.rewritten(rows, registry.shipped(spark), "image").withColumn("first", upkeep.rewrite_status(F.col("old"), F.col("image"))).withColumn("old", F.col("image"))
+    twice = rules.rewritten(once, registry.shipped(spark), "image")
+    return twice.groupBy("source", "first", upkeep.rewrite_status(F.col("old"), F.col("image")).alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def photo_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Four steps: pictures for the title, for its region, articles' pictures for the title, for its region; some searches fail, some pictures are in use."""
+    k, key = F.col("id"), F.col("id").cast("string")
+    found = lambda salt, n, fails: F.when(k % fails != 0, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(f"{salt}/"), (k * 7 % 50 + i).cast("string"))))
+    steps = [found("photo", 2, 2), F.when(F.col("tab") != "tab1", found("region", 2, 3)), found("article", 1, 5), F.when(F.col("tab") != "tab1", F.array(F.concat(F.lit("last/"), key)))]
+    used = F.array(*(F.lit(f"{s}/{i}") for s in ("photo", "region", "article") for i in range(0, 60, 2)))
+    got = upkeep.fallback_photo(steps, used)
+    return articles(spark, d).select("id", got["url"].alias("url"), got["step"].alias("step"))
+
+
+QUERIES = {f.__name__: f for f in (text_trimming, contact_fields, storage_names, odd_dates, finalise_reasons, model_phases, whole_answers, best_attempts, feed_round_trip, sitemap_round_trip, delimited_round_trip, log_round_trip, vocabulary_round_trip, news_sitemap_xml, report_cards_images, image_backfill, photo_fallback)}
 
 _WITH = f"WITH {ARTICLES_SQL}"
 _ENDS = ", ".join("'" + c + "'" for c in gates.ENDINGS)
@@ -154,4 +186,14 @@ ORACLE = {
     "delimited_round_trip": "SELECT p_partkey::VARCHAR AS id, trim(p_name) AS name FROM part",
     "log_round_trip": "SELECT count(*) FILTER (event_type = 'view') AS published, count(*) FILTER (event_type <> 'view') AS dropped, count(*) FILTER (hour(ts) < 5) AS night, sum(10 + length(CASE WHEN event_type = 'view' THEN 'published item' ELSE 'dropped: ' || event_type END))::BIGINT AS bytes FROM events",
     "vocabulary_round_trip": "SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) > 1",
+    "news_sitemap_xml": f"""{_WITH}, n AS (SELECT * FROM articles WHERE {PUBLISHED_SQL} AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR ORDER BY published_at DESC, id DESC LIMIT 20)
+        SELECT '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:news="http://www.google.com/schemas/sitemap-news/0.9">' || coalesce(string_agg('<url><loc>https://x.example/item/' || id || '</loc><news:news><news:publication><news:name>X News</news:name><news:language>en</news:language></news:publication><news:publication_date>'
+               || strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00') || '</news:publication_date><news:title>' || replace(replace(replace(replace(replace(substr(title, 1, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&apos;') || '</news:title></news:news></url>', '' ORDER BY published_at DESC, id DESC), '') || '</urlset>' AS xml FROM n""",
+    "report_cards_images": f"{_WITH} SELECT source, count(*) AS n, count(*) FILTER (len(regexp_extract_all(regexp_replace(body, '<[^>]+>', ' ', 'g'), '\\S+')) >= 250 AND trim(title) <> '' AND id % 7 > 2) AS good, good >= least(4, n) AS passed FROM articles GROUP BY source",
+    "image_backfill": "SELECT ['ecofin', 'business_in_cameroon', 'undp'][p_partkey % 3 + 1] AS source, CASE WHEN p_partkey % 5 = 4 THEN 'none' WHEN (p_partkey % 3 = 0 AND p_partkey % 5 IN (0, 2)) OR (p_partkey % 3 = 1 AND p_partkey % 5 IN (0, 1)) THEN 'changed' ELSE 'skipped' END AS first, CASE WHEN p_partkey % 5 = 4 THEN 'none' ELSE 'skipped' END AS second, count(*) AS n FROM part GROUP BY ALL",
+    "photo_fallback": f"""{_WITH}, s AS (SELECT id, tab, id * 7 % 50 AS b FROM articles),
+        c AS (SELECT id, unnest([1, 1, 2, 2, 3, 4]) AS step, unnest([0, 1, 2, 3, 4, 5]) AS turn, unnest([CASE WHEN id % 2 <> 0 THEN 'photo/' || (b + 1) END, CASE WHEN id % 2 <> 0 THEN 'photo/' || (b + 2) END, CASE WHEN tab <> 'tab1' AND id % 3 <> 0 THEN 'region/' || (b + 1) END, CASE WHEN tab <> 'tab1' AND id % 3 <> 0 THEN 'region/' || (b + 2) END,
+              CASE WHEN id % 5 <> 0 THEN 'article/' || (b + 1) END, CASE WHEN tab <> 'tab1' THEN 'last/' || id END]) AS url FROM s),
+        f AS (SELECT *, split_part(url, '/', 2)::BIGINT % 2 = 0 AND step < 4 AS used FROM c)
+        SELECT s.id, arg_min(url, turn) FILTER (url IS NOT NULL AND NOT used) AS url, min(step) FILTER (url IS NOT NULL AND NOT used)::INTEGER AS step FROM s LEFT JOIN f USING (id) GROUP BY s.id""",
 }

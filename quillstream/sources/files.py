@@ -111,6 +111,18 @@ def feed_channel(rows: DataFrame, title: str, base: str, most: int = 50) -> Data
     return items.agg(F.concat(head, body, F.lit("</channel></rss>")).alias("xml"))
 
 
+def news_sitemap(rows: DataFrame, base: str, name: str, language: str, since: Column, most: int = 1000, title_size: int = 110) -> DataFrame:
+    """One row: a site map of news, the newest ``most`` of the rows since a moment, which bound it; titles are cut before they are escaped."""
+    from ..operators.reads import newest_first
+
+    newest = rows.filter(F.col("published_at") >= since).orderBy(*newest_first()).limit(most)
+    head = F.lit(f"<news:publication><news:name>{name}</news:name><news:language>{language}</news:language></news:publication>")
+    entry = F.concat(F.lit(f"<url><loc>{base}/item/"), F.col("id").cast("string"), F.lit("</loc><news:news>"), head, F.lit("<news:publication_date>"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("</news:publication_date><news:title>"), escape_xml(F.substring(F.coalesce("title", F.lit("")), 1, title_size)), F.lit("</news:title></news:news></url>"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("published_at", "id", entry.alias("entry"))), asc=False), lambda x: x["entry"]), "")
+    outer = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:news="http://www.google.com/schemas/sitemap-news/0.9">'
+    return newest.agg(F.concat(F.lit(outer), body, F.lit("</urlset>")).alias("xml"))
+
+
 def write_manifest(objects: DataFrame, path: str) -> None:
     """(path, bytes) of objects as CSV with a header."""
     objects.select("path", "bytes").write.csv(path, header=True)
