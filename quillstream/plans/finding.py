@@ -30,17 +30,21 @@ ASKED = [
     ("thanedbl the", 1, {}, "true"),
     ("Is and retition oun", 1, {}, "true"),
     ("thnd", 1, {"tab": "tab3"}, "tab = 'tab3'"),
-    ("eau de", 1, {"since": F.expr(f"TIMESTAMP_NTZ '{NOW}' - interval 20 days")}, f"published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY"),
+    ("eau de", 1, {"days": 20}, f"published_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY"),
     ("er", 1, {"tab": "tab5"}, "tab = 'tab5'"),
     (" x ", 1, {}, "false"),
 ]
 
 
+def _filters(tab: str | None = None, days: int | None = None) -> dict:
+    return {"tab": tab, "since": None if days is None else F.expr(f"TIMESTAMP_NTZ '{NOW}' - interval {days} days")}
+
+
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """A page of hits for each query, with places and ranks."""
     own, words, out = index(spark, d), search.synonym_table(SYNONYMS), None
     for k, (raw, number, filters, _) in enumerate(ASKED):
-        page = own.search(raw, words, number, **filters).withColumn("asked", F.lit(k)).select("asked", "id", F.round("rank", 6).alias("rank"), F.round("similarity", 6).alias("similarity"))
+        page = own.search(raw, words, number, **_filters(**filters)).withColumn("asked", F.lit(k)).select("asked", "id", F.round("rank", 6).alias("rank"), F.round("similarity", 6).alias("similarity"))
         out = page if out is None else out.unionAll(page)
     return out
 
@@ -48,7 +52,7 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
 def index_count(spark: SparkSession, d: str) -> DataFrame:
     own, words, out = index(spark, d), search.synonym_table(SYNONYMS), None
     for k, (raw, _, filters, _) in enumerate(ASKED):
-        n = own.count(raw, words, **filters).select(F.lit(k).alias("asked"), "n")
+        n = own.count(raw, words, **_filters(**filters)).select(F.lit(k).alias("asked"), "n")
         out = n if out is None else out.unionAll(n)
     return out
 
