@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
-from ..sources import tree
+from ..sources import html, tree
 from ..tables import table
 
 #: What is put behind <article> and before </article>, by page_id % 4: nested furniture, an own header, tails of lists, pictures.
@@ -113,16 +113,20 @@ def _expand(sql: str) -> str:
     return re.sub(r"last_of\(stack, ('[^']*'|name)\)", lambda m: _last(m[1]), sql)
 
 
-def tree_sql(made: str) -> str:
-    """CTEs: ``tok`` (page_id, i, tok, kind, name), ``el`` (page_id, i, stop, ended, parent, name, tok): elements by the numbers of their first and last token. A walk from token to token with a stack."""
-    scopes = "greatest(" + ", ".join(f"last_of(stack, {_quote(n)})" for n in sorted(tree.SCOPES)) + ")"
-    return _expand(
-        rf"""RECURSIVE made AS ({made}),
+#: CTEs ``made`` and ``tok``: the pages cut into tags, comments and texts.
+_TOKENS = rf"""RECURSIVE made AS ({{made}}),
     cut AS (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<![^>]*>|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<[^>]*>|[^<]+|<') AS t FROM made),
     raw AS (SELECT page_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM cut),
     tok AS MATERIALIZED (SELECT page_id, i, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS name,
         CASE WHEN NOT regexp_matches(tok, '^</?[a-zA-Z]') THEN 'text' WHEN tok LIKE '</%' THEN 'end'
-             WHEN regexp_matches(tok, '(?is)^<(script|style)\b.*</') THEN 'whole' WHEN name IN {_names(tree.VOID)} THEN 'whole' ELSE 'start' END AS kind FROM raw),
+             WHEN regexp_matches(tok, '(?is)^<(script|style)\b.*</') THEN 'whole' WHEN name IN {_names(tree.VOID)} THEN 'whole' ELSE 'start' END AS kind FROM raw)"""
+
+
+def tree_sql(made: str) -> str:
+    """CTEs: ``tok`` (page_id, i, tok, kind, name), ``el`` (page_id, i, stop, ended, parent, name, tok): elements by the numbers of their first and last token. A walk from token to token with a stack."""
+    scopes = "greatest(" + ", ".join(f"last_of(stack, {_quote(n)})" for n in sorted(tree.SCOPES)) + ")"
+    return _expand(
+        rf"""{_TOKENS.format(made=made)},
     walk AS (
         SELECT page_id, 0::BIGINT AS i, []::STRUCT(name VARCHAR, i BIGINT)[] AS stack, []::STRUCT(i BIGINT, stop BIGINT, ended BOOLEAN)[] AS closed, NULL::BIGINT AS parent FROM made
         UNION ALL
@@ -214,4 +218,12 @@ ORACLE = {
         put AS (SELECT p.page_id, p.i, '<h2>' || h || '?</h2>' AS h FROM firsts f JOIN para p ON p.page_id = f.page_id AND p.n = f.place)
         SELECT m.page_id, CASE WHEN count(p.i) > 0 THEN string_agg(coalesce(p.h, '') || k.tok, '' ORDER BY k.i) END AS html FROM made m LEFT JOIN tok k USING (page_id) LEFT JOIN put p ON p.page_id = k.page_id AND p.i = k.i GROUP BY m.page_id""",
     "body_cleaning": f"WITH {tree_sql(_READY)}, {_HEADINGS}, {_IMAGES}, lead_ AS MATERIALIZED ({_LEADS}), gone AS MATERIALIZED (SELECT * FROM {_EMBEDDED} UNION ALL FROM tails UNION ALL FROM dropped UNION ALL FROM lead_), {_LEVELS.format(gone='gone')} {_without('gone', _JOIN_NAMES, _RENAMED)}",
+    "html_sanitise": rf"""WITH {_TOKENS.format(made="SELECT page_id, html FROM pages")},
+    walk AS (SELECT page_id, 0::BIGINT AS i, []::VARCHAR[] AS stack, '' AS piece FROM made
+        UNION ALL SELECT page_id, i, CASE WHEN kind = 'start' AND name IN {_names(html.ALLOWED)} THEN list_append(stack, name) WHEN place > 0 THEN list_slice(stack, 1, place - 1) ELSE stack END,
+            CASE WHEN kind = 'text' AND tok NOT LIKE '<%' THEN replace(replace(replace({_unescaped('tok')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+                 WHEN kind IN ('start', 'whole') AND name IN {_names(html.ALLOWED)} THEN '<' || name || CASE WHEN name = 'a' AND tok LIKE '% href="%' THEN ' href="' || regexp_extract(tok, ' href="([^"]*)"', 1) || '"' ELSE '' END || '>'
+                 WHEN place > 0 THEN array_to_string(list_transform(list_reverse(list_slice(stack, place, len(stack))), lambda x: '</' || x || '>'), '') ELSE '' END
+        FROM (SELECT w.page_id, t.i, t.kind, t.name, t.tok, w.stack, CASE WHEN t.kind = 'end' AND list_contains(w.stack, t.name) THEN len(w.stack) + 1 - list_position(list_reverse(w.stack), t.name) ELSE 0 END AS place FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.i = w.i + 1))
+    SELECT page_id, string_agg(piece, '' ORDER BY i) || array_to_string(list_transform(list_reverse(max_by(stack, i)), lambda x: '</' || x || '>'), '') AS html FROM walk GROUP BY page_id""",
 }
