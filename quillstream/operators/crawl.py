@@ -31,7 +31,7 @@ def scan(pages: DataFrame, starts: DataFrame, least: int = 1, most_pages: int =
 
     A page is followed by the next one only if it gave at least ``least`` items that neither ``known`` (source,
     link) nor an earlier page of the walk holds; the page that stops the walk still counts. An item belongs to
-    the page where it stood first. A page that the mirror does not hold, or that was read before, ends the walk.
+    the page where it stood first. What is sent to all tasks has a row a source and page read. A page that the mirror does not hold, or that was read before, ends the walk.
     """
     frontier = settle(starts.select("source", F.col("url").alias("base"), "url", F.lit(1).alias("page")))
     seen = settle(known.select("source", "link").distinct()) if known is not None else None

@@ -226,4 +226,19 @@ ORACLE = {
                  WHEN place > 0 THEN array_to_string(list_transform(list_reverse(list_slice(stack, place, len(stack))), lambda x: '</' || x || '>'), '') ELSE '' END
         FROM (SELECT w.page_id, t.i, t.kind, t.name, t.tok, w.stack, CASE WHEN t.kind = 'end' AND list_contains(w.stack, t.name) THEN len(w.stack) + 1 - list_position(list_reverse(w.stack), t.name) ELSE 0 END AS place FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.i = w.i + 1))
     SELECT page_id, string_agg(piece, '' ORDER BY i) || array_to_string(list_transform(list_reverse(max_by(stack, i)), lambda x: '</' || x || '>'), '') AS html FROM walk GROUP BY page_id""",
+    "main_content": rf"""WITH {_TOKENS.format(made="SELECT page_id, html FROM pages")},
+    marked AS (SELECT *, name IN {_names(html.DROPPED | {"title"})} AS dropped, name IN {_names(html.FURNITURE)} OR (name = 'div' AND kind = 'start' AND regexp_matches(tok, '(?:class|id)="[^"]*\b(?:ad|ads|promo|share|related|cookie)\b')) AS furnished, name IN {_names(html.BLOCKS)} AS block FROM tok),
+    walk AS (SELECT page_id, 0::BIGINT AS i, 0 AS skip, 0 AS furn, 0 AS links, 'body' AS tag, 0 AS n, '' AS said FROM made
+        UNION ALL SELECT w.page_id, t.i,
+            CASE WHEN dropped AND kind = 'start' THEN skip + 1 WHEN dropped AND kind = 'end' THEN greatest(0, skip - 1) ELSE skip END,
+            CASE WHEN dropped THEN furn WHEN kind = 'start' AND furnished THEN furn + 1 WHEN kind = 'end' AND (t.name IN {_names(html.FURNITURE)} OR t.name = 'div') THEN greatest(0, furn - 1) ELSE furn END,
+            CASE WHEN t.name = 'a' AND kind = 'start' THEN links + 1 WHEN t.name = 'a' AND kind = 'end' THEN greatest(0, links - 1) ELSE links END,
+            CASE WHEN kind = 'start' AND NOT dropped AND (furnished OR block) THEN t.name ELSE tag END,
+            CASE WHEN NOT dropped AND kind IN ('start', 'end') AND (furnished OR block) THEN n + 1 ELSE n END,
+            CASE WHEN kind = 'text' AND tok NOT LIKE '<%' AND skip = 0 THEN {_unescaped('tok')} ELSE '' END
+        FROM walk w JOIN marked t ON t.page_id = w.page_id AND t.i = w.i + 1),
+    found AS (SELECT page_id, n, any_value(tag) AS tag, any_value(furn) > 0 AS furnished, trim(regexp_replace(string_agg(said, '' ORDER BY i), '\s+', ' ', 'g')) AS text, coalesce(sum(length(said)) FILTER (links > 0), 0) AS linked FROM walk WHERE said <> '' GROUP BY page_id, n HAVING trim(regexp_replace(string_agg(said, '' ORDER BY i), '\s+', ' ', 'g')) <> ''),
+    texts AS (SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY n) FILTER (NOT furnished AND linked * 2 < length(text)), '') AS body, string_agg(text, chr(10) ORDER BY n) AS every,
+              max_by(tag NOT IN ('td', 'tr', 'li', 'figcaption') AND right(text, 1) NOT IN ('.', '!', '?', '"', '”', '»', ')', ']', '…', ':'), n) FILTER (NOT furnished) AS cut FROM found GROUP BY page_id)
+    SELECT m.page_id, CASE WHEN length(coalesce(body, '')) >= 200 THEN body ELSE coalesce(every, '') END AS text, coalesce(cut, false) AS cut FROM made m LEFT JOIN texts USING (page_id)""",
 }
