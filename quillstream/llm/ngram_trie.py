@@ -21,7 +21,8 @@ monotone, successors are Elias-Fano sequences; a lookup is a successor search in
 Log probabilities and weights are quantised to 8 bits on one grid for all shards, so scores do not depend on
 how many shards there are.
 
-Defined cases: a null text is the empty text (one end token); a null id trains; rows that repeat a doc_id
+Defined cases: a null text is the empty text (one end token); a null id trains; a very long text is a chunk of
+its own and is read whole; rows that repeat a doc_id
 are texts of their own; without training texts every probability is the add-one one; an empty table gives
 an empty result; further columns are ignored.
 """

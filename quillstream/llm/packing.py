@@ -6,7 +6,7 @@ pieces of all others, however many, are packed over all tasks: only the numbers
 needed to tell best-fit bins (``plan_bins``), then pieces, numbered within their length, meet by bin.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat a doc_id are pieces of
-their own; a null doc_id is carried; an empty table gives an empty result; further columns are ignored.
+their own; a null doc_id is carried; a text of any length is encoded whole and cut into pieces; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ pair of blocks is compared in a task of its own; no comparison is dropped.
 
 Defined cases: null text is the empty text, whose fingerprint is zero and links like any other; rows that
 repeat a doc_id are one member; ids must be integers, a null id is carried but never names a component
-while another id is there; an empty table gives an empty result; further columns are ignored, or carried
+while another id is there; a text's words are read whole, however many; a bit that exactly half of the
+shingles set is 0; an empty table gives an empty result; further columns are ignored, or carried
 by ``drop_near_copies``.
 """
 

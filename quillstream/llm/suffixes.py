@@ -18,8 +18,9 @@ share theirs, so that they travel together as one short piece of text.
 4. Repeated runs become byte ranges of their texts, are merged per text and cut out.
 
 Texts are known by a digest, so copies and rows that repeat a doc_id get the same result. Defined cases: a
-null text is the empty text; texts shorter than ``LENGTH`` lose nothing; an empty table gives an empty
-result; further columns are ignored.
+null text is the empty text; texts shorter than ``LENGTH`` lose nothing; a text of any length is worked on in
+slices of 256 KB that overlap, so that every suffix begins in one; all places of a repeated string go, the
+first one too; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ by isotonic regression on the other; every document is then scored.
 
 Defined cases: a null text is the empty text and is scored like any other; labelled rows without their
 document or with a null label are not learned from, repeated labels of a document count once (toxic if
-any is); without both labels among the training rows every score is the share of toxic ones (0 without
+any is); a null doc_id is not held out; features are rates over the whole text, however long it is, and equal
+ones give equal scores; without both labels among the training rows every score is the share of toxic ones (0 without
 any); rows that repeat a doc_id are scored one by one; further columns are ignored.
 """
 
@@ -164,7 +165,7 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, fit_rows: int = FIT_ROWS, trees: int = 20, depth: int = 4) -> DataFrame:
     """(id, held_out, score) for every row of ``docs``; rows where ``held_out`` holds are not learned from."""
-    out = F.crc32(F.col("id").cast("string")) % 4 == 2 if held_out is None else held_out
+    out = F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2 if held_out is None else held_out, F.lit(False))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label is not null and id is not null").groupBy("id").agg(F.max("label").alias("label"))
     known = settle(known.filter(~out))
     share = min(1.0, fit_rows / max(1, known.count()))
