@@ -4,8 +4,8 @@ Each stage is (name, function of (spark, docs, sf_dir)) and returns a DataFrame;
 the columns of ``documents``.
 
 Defined cases are those of the operators: a null text counts as empty; a null language is a language of its
-own; rows that repeat a doc_id are documents of their own but for exact copies, of which one stays; very
-long texts are read whole; an empty table passes all stages; further columns are carried up to the packing.
+own; rows that repeat a doc_id fare as each operator says, of exact copies one stays; very long texts
+are read whole; an empty table passes all stages; further columns are carried up to the packing.
 """
 
 from __future__ import annotations
