@@ -13,7 +13,7 @@ share theirs, so that they travel together as one short piece of text.
    the counted anchors; leading bytes that fill several ranges are dealt among them by the hash.
 3. Each bucket sorts its suffixes by multikey quicksort, a part of 50 bytes at a time (compared by its
    fingerprint), going deeper only where suffixes are still equal, and compares the bytes of what is
-   equal to the end. No repeat crosses a bucket boundary, since equal suffixes share their anchor; what
+   equal to the end; a large bucket is sorted a class of its suffixes at a time. No repeat crosses a bucket boundary, since equal suffixes share their anchor; what
    crosses pieces, tasks and copies is compared there.
 4. Repeated runs become byte ranges of their texts, are merged per text and cut out.
 
@@ -38,6 +38,8 @@ from .common import body, settle, shards_for
 LENGTH, TOKEN, PART = 200, 64, 50
 #: Bits of the filter of repeated anchors; sampled anchors for the splitters; input bytes that a bucket stands for.
 FILTER_BITS, SAMPLE, BUCKET_BYTES = 1 << 26, 20_000, 2 << 20
+#: Suffixes that are sorted at a time, whose keys are made at a time; ranges in a batch; texts that are cut at a time.
+MOST_SORTED, STRETCH, OUT_ROWS, CUT_ROWS = 1 << 19, 1 << 13, 1 << 16, 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE = 1 << 18
@@ -235,59 +237,101 @@ def cut_pieces(docs: DataFrame, held: np.ndarray, splitters: np.ndarray, text_co
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "bucket int, piece binary, places binary")
 
 
-def equal_suffixes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the suffixes that start ``at`` share their first LENGTH bytes with another: multikey quicksort by parts."""
-    prefix = _prefix(data)
+def _part_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprints of the parts of the suffixes that start ``at``, a row a part."""
+    low = int(at.min())
+    prefix = _prefix(data[low : int(at.max()) + LENGTH])
     _, down = _POWERS.get(len(prefix))
+    return np.stack([(prefix[a + PART] - prefix[a]) * down[a] for a in (at - low + depth for depth in range(0, LENGTH, PART))])
+
+
+def _class_keys(data: np.ndarray, at: np.ndarray, classes: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``at``, part keys) of the suffixes of one class; equal suffixes are of one class. Made a stretch at a time."""
+    which, keys = [], []
+    for i in range(0, len(at), STRETCH):
+        part = _part_keys(data, at[i : i + STRETCH])
+        where = np.arange(part.shape[1])
+        if classes > 1:
+            whole = part[0]
+            for k in part[1:]:
+                whole = _mixed(whole) + k
+            where = np.flatnonzero(_mixed(whole) % np.uint64(classes) == own)
+        which.append(where + i)
+        keys.append(part[:, where])
+    return np.concatenate(which), np.concatenate(keys, axis=1)
+
+
+def equal_suffixes(data: np.ndarray, at: np.ndarray, most: int = MOST_SORTED) -> np.ndarray:
+    """Which of the suffixes that start ``at`` share their first LENGTH bytes with another: multikey quicksort by parts.
+
+    About ``most`` suffixes are sorted at a time: those of one class by all their bytes.
+    """
     out = np.zeros(len(at), dtype=bool)
-    active, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for depth in range(0, LENGTH, PART):
-        a = at[active] + depth
-        part = (prefix[a + PART] - prefix[a]) * down[a]
-        order = np.lexsort((part, group)) if depth else np.argsort(part, kind="stable")
-        active, group, part = active[order], group[order], part[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])]
-        group = np.cumsum(new)
-        alone = new & np.r_[new[1:], True]
-        active, group = active[~alone], group[~alone]
-        if not len(active):
-            return out
-    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    same = np.flatnonzero(group[1:] == group[:-1])
-    for i in range(0, len(same), 1 << 15):
-        pair = same[i : i + (1 << 15)]
-        true = (rows[at[active[pair]]] == rows[at[active[pair + 1]]]).all(axis=1)
-        out[active[pair[true]]] = True
-        out[active[pair[true] + 1]] = True
+    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(at) else None
+    classes = -(-len(at) // most)
+    for own in range(classes):
+        which, keys = _class_keys(data, at, classes, own)
+        active, group = np.arange(len(which)), np.zeros(len(which), np.int64)
+        for depth, key in enumerate(keys):
+            part = key[active]
+            order = np.lexsort((part, group)) if depth else np.argsort(part, kind="stable")
+            active, group, part = active[order], group[order], part[order]
+            new = np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])]
+            group = np.cumsum(new)
+            alone = new & np.r_[new[1:], True]
+            active, group = active[~alone], group[~alone]
+            if not len(active):
+                break
+        active = which[active]
+        same = np.flatnonzero(group[1:] == group[:-1])
+        for i in range(0, len(same), 1 << 15):
+            pair = same[i : i + (1 << 15)]
+            true = (rows[at[active[pair]]] == rows[at[active[pair + 1]]]).all(axis=1)
+            out[active[pair[true]]] = True
+            out[active[pair[true] + 1]] = True
     return out
 
 
+def _flat(held: list[pa.RecordBatch], i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beginnings, sizes, bytes) of a binary column of several batches."""
+    parts, sizes = [], []
+    for column in (b.column(i) for b in held):
+        ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = column.buffers()[2]
+        parts.append(np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, np.uint8))
+        sizes.append(np.diff(ends))
+    size = np.concatenate(sizes)
+    return np.cumsum(size) - size, size, np.concatenate(parts)
+
+
 def repeated_ranges(pieces: DataFrame, parts: int) -> DataFrame:
     """(ref, start, end): byte ranges of texts that are covered by repeats, not yet merged."""
     place = np.dtype([("ref", "V16"), ("at", "<i8")])
 
-    def resolve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        pieces = [p for b in held for p in b.column(1).to_pylist()]
-        places = [p for b in held for p in b.column(2).to_pylist()]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        base = np.cumsum(sizes) - sizes
+    def resolve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (base, sizes, data), (_, widths, all_places) = (_flat(held, i) for i in (1, 2))
         n = sizes - LENGTH + 1
-        own = np.repeat(np.arange(len(pieces)), n)
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        repeats = np.array([len(p) for p in places]) // 24
-        again = equal_suffixes(data, base[own] + inside) | (repeats[own] > 1)
-        edge = np.r_[True, own[1:] != own[:-1]]
-        begins = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
-        stops = np.flatnonzero(again & np.r_[edge[1:] | ~again[1:], True])
-        which = own[begins]
-        all_places = np.frombuffer(b"".join(places), place)
-        offset = np.cumsum(repeats) - repeats
-        times = repeats[which]
-        run = np.repeat(np.arange(len(begins)), times)
-        of = all_places[np.repeat(offset[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        ref = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(of), [None, pa.py_buffer(of["ref"].tobytes())]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([ref, pa.array(of["at"] + inside[begins][run]), pa.array(of["at"] + inside[stops][run] + LENGTH)], names=["ref", "start", "end"])
+        edge_at = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(base - edge_at, n)
+        repeats = widths // 24
+        again = equal_suffixes(data, at) | np.repeat(repeats > 1, n)
+        edge = np.zeros(len(at) + 1, dtype=bool)
+        edge[edge_at] = edge[-1] = True
+        begins = np.flatnonzero(again & (edge[:-1] | ~np.r_[False, again[:-1]]))
+        stops = np.flatnonzero(again & (edge[1:] | ~np.r_[again[1:], False]))
+        which = np.searchsorted(edge_at, begins, "right") - 1
+        first, last = at[begins] - base[which], at[stops] - base[which] + LENGTH
+        del at, again, edge
+        all_places = all_places.view(place)
+        offset, times = np.cumsum(repeats) - repeats, repeats[which]
+        told = np.cumsum(times)
+        cuts = np.searchsorted(told, np.arange(0, (told[-1] if len(told) else 0) + OUT_ROWS, OUT_ROWS), "right")
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = times[a:b]
+            run = np.repeat(np.arange(a, b), some)
+            of = all_places[np.repeat(offset[which[a:b]], some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)]
+            ref = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(of), [None, pa.py_buffer(of["ref"].tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([ref, pa.array(of["at"] + first[run]), pa.array(of["at"] + last[run])], names=["ref", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -297,12 +341,12 @@ def repeated_ranges(pieces: DataFrame, parts: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)] if len(buckets) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and buckets[a] != now:
-                    yield resolve(held)
+                    yield from resolve(held)
                     held = []
                 now = buckets[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield resolve(held)
+            yield from resolve(held)
 
     return pieces.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "ref binary, start long, end long")
 
@@ -329,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start: long, end: long>>" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, CUT_ROWS) for b in batches for i in range(0, b.num_rows, CUT_ROWS)):
             out: list[list] = [[] for _ in range(6)]
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = merge([(r["start"], r["end"]) for r in found or ()])

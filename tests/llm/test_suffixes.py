@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+
 from quillstream.llm import suffixes
 
 
@@ -79,3 +82,32 @@ def test_whole_table(spark):
     check(spark, [r["text"] for r in rows])
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeats(docs).count() == 0
+
+
+def test_a_large_bucket_is_sorted_by_classes(monkeypatch):
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 4000).astype(np.uint8)
+    data[3000:3500] = data[100:600]
+    at = np.arange(len(data) - 199)
+    want = suffixes.equal_suffixes(data, at)
+    assert np.flatnonzero(want).tolist() == [*range(100, 401), *range(3000, 3301)]
+    monkeypatch.setattr(suffixes, "STRETCH", 64)
+    assert (suffixes.equal_suffixes(data, at, 100) == want).all()
+    assert (suffixes.equal_suffixes(data, at[::-1].copy(), 1000) == want[::-1]).all()
+
+
+def test_memory_of_a_large_bucket():
+    data = np.random.default_rng(5).integers(0, 256, 3_000_000).astype(np.uint8)
+    at = np.arange(len(data) - 199)
+    tracemalloc.start()
+    found = suffixes.equal_suffixes(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found.any()
+    assert peak < 100 << 20
+
+
+def test_many_places_come_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "OUT_ROWS", 3)
+    monkeypatch.setattr(suffixes, "CUT_ROWS", 2)
+    check(spark, make(11))
