@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,10 @@ from pyspark.sql import types as T
 from ..storage import settle
 
 
+#: Calls whose prompts are held at a time.
+CALLS = 4
+
+
 class TextModel(Protocol):
     """Answers a batch of prompts; None for one that failed. Must be safe to call again with the same prompts."""
 
@@ -51,16 +56,22 @@ def ask(rows: DataFrame, prompt: str, answer: str, model: TextModel, batch: int
                     break
         return [None] * len(prompts)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sent = part.index[part[prompt].notna()]
-            out = pd.Series([None] * len(part), index=part.index, dtype=object)
-            for i in range(0, len(sent), batch):
-                own = sent[i : i + batch]
-                out.loc[own] = call(part.loc[own, prompt].tolist())
-            yield part.assign(**{answer: out})
-
-    return rows.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # Only the prompts of a few calls are Python objects at a time.
+            sent = np.flatnonzero(whole.column(prompt).is_valid().to_numpy(zero_copy_only=False))
+            cuts = [0, *sent[CALLS * batch :: CALLS * batch].tolist(), whole.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = whole.slice(a, b - a)
+                prompts = part.column(prompt).to_pylist()
+                asked, out = [k for k, p in enumerate(prompts) if p is not None], [None] * len(prompts)
+                for i in range(0, len(asked), batch):
+                    own = asked[i : i + batch]
+                    for k, got in zip(own, call([prompts[k] for k in own]), strict=True):
+                        out[k] = got
+                yield part.append_column(answer, pa.array(out, pa.string()))
+
+    return rows.mapInArrow(run, schema)
 
 
 def ask_whole(rows: DataFrame, prompt: str, answer: str, model: TextModel, hash_col: str | None = None, tries: int = 3) -> DataFrame:
