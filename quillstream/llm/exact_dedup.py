@@ -67,6 +67,15 @@ def hit_filter(hits: DataFrame) -> DataFrame:
     return bits.groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
+def probed(rows: DataFrame, words: DataFrame, digest: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: whether the filter ``words`` (of ``hit_filter``) lets the column ``digest`` pass."""
+    word, mask = free_names(rows, "word", "mask")
+    words = F.broadcast(words.select(F.col("word").alias(word), F.col("mask").alias(mask)))
+    at = _bit(F.col(digest))
+    set_ = F.call_function("shiftrightunsigned", F.col(mask), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn(word, F.shiftright(at, 6)).join(words, word, "left").withColumn(name, F.coalesce(set_, F.lit(False))).drop(word, mask)
+
+
 class Index:
     """The merged index of a table: ``keys`` (id, digest) of every row, ``groups`` (digest, keep_id,
     group_size) of copies, and ``collided`` (digest, body, keep_id, group_size) of texts that share a digest
@@ -91,11 +100,7 @@ class Index:
 
     def probed(self, rows: DataFrame, digest: str, name: str) -> DataFrame:
         """``rows`` with the column ``name``: whether the filter lets the digest pass. No shuffle; the filter's size is bounded."""
-        word, mask = free_names(rows, "word", "mask")
-        words = F.broadcast(self._words.select(F.col("word").alias(word), F.col("mask").alias(mask)))
-        at = _bit(F.col(digest))
-        set_ = F.call_function("shiftrightunsigned", F.col(mask), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return rows.withColumn(word, F.shiftright(at, 6)).join(words, word, "left").withColumn(name, F.coalesce(set_, F.lit(False))).drop(word, mask)
+        return probed(rows, self._words, digest, name)
 
     def told(self, rows: DataFrame, digest: str, keep_id: str, group_size: str) -> DataFrame:
         """``rows`` with the id that stays and the size of their group; null where a row is alone. Hot digests meet by broadcast: at most ``HOT_SHARE`` of them."""
