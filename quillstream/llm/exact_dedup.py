@@ -5,7 +5,7 @@
 * Compaction: runs of a level merge into the next; a digest keeps its smallest and largest identifier
   and its row count. Copies meet in their task before they are shuffled.
 * The merged level tells the hits (digests seen more than once). Their filter, one bit a digest in a table
-  of at most ``FILTER_BITS`` / 64 words, is sent to the tasks that read texts: what it clears is never
+  of at most ``filters.FILTER_BITS`` / 64 words, is sent to the tasks that read texts: what it clears is never
   shuffled, and a false hit costs only its own shuffle.
 * Hits receive byte verification: rows are grouped by digest *and* text, copies of a task first, so a text
   moves once a task however many copies there are. Texts that share a digest without being equal fall
@@ -24,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..filters import hit_filter, probed
 from .common import body, free_names, settle, table_path
 
-#: Bits of the filter of hits; digests with more than this share of the rows are broadcast.
-FILTER_BITS, HOT_SHARE = 1 << 24, 10_000
+#: Digests with more than this share of the rows are broadcast.
+HOT_SHARE = 10_000
 
 
 def sha256(text: Column) -> Column:
@@ -56,26 +57,6 @@ def compact(spark: SparkSession, runs: list[str], path: str, levelled: bool = Fa
     _write_run(merged, path)
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS).cast("long"))
-
-
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """(word, mask): the Bloom filter of the digests, at most ``FILTER_BITS`` / 64 rows."""
-    at = _bit(F.col("digest"))
-    bits = hits.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
-    return bits.groupBy("word").agg(F.bit_or("mask").alias("mask"))
-
-
-def probed(rows: DataFrame, words: DataFrame, digest: str, name: str) -> DataFrame:
-    """``rows`` with the column ``name``: whether the filter ``words`` (of ``hit_filter``) lets the column ``digest`` pass."""
-    word, mask = free_names(rows, "word", "mask")
-    words = F.broadcast(words.select(F.col("word").alias(word), F.col("mask").alias(mask)))
-    at = _bit(F.col(digest))
-    set_ = F.call_function("shiftrightunsigned", F.col(mask), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.withColumn(word, F.shiftright(at, 6)).join(words, word, "left").withColumn(name, F.coalesce(set_, F.lit(False))).drop(word, mask)
-
-
 class Index:
     """The merged index of a table: ``keys`` (id, digest) of every row, ``groups`` (digest, keep_id,
     group_size) of copies, and ``collided`` (digest, body, keep_id, group_size) of texts that share a digest

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..filters import hit_filter, probed
 from ..storage import settle
 
 TOKENS = r"[^\p{L}\p{N}]+"
+#: Bits of a shingle's hash that travel to find candidates; both sets are compared by all 64 afterwards.
+TOKEN_BITS = 40
 
 
 def _per_text(rows: DataFrame, id_col: str, text_col: str, width: int, make: Callable[[Column], Column], name: str) -> DataFrame:
@@ -47,19 +50,24 @@ def _sets(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return sets.filter(F.size("s") > 0).select("id", key.alias("class_key"), F.size("s").alias("n"), "s")
 
 
-def _class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) for classes a < b of (rep, n, s) whose sets reach the threshold.
+def _class_links(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) for classes a < b of (rep, n, s) whose sets reach the threshold; ``sets`` holds (id, s) of the representatives at least.
 
     Prefix filter: shingles are ordered from rare to frequent, and two sets over the threshold share one of
     the first (1 - threshold) * n + 1 of either. Only class numbers, sizes and places travel through that
     join; the place of a shared shingle bounds what two sets can share at most, and what is left is made
-    distinct before both sets are fetched, once for a pair.
+    distinct before both sets are fetched, once for a pair, of those that are in a pair.
+
+    Shingles travel as tokens of ``TOKEN_BITS``, distinct in a set. Shingles of a set that share a token only
+    lengthen its prefix, which loses no pair: n counts the shingles, and tokens are no more than those.
     """
-    posts = classes.select("rep", "n", F.explode("s").alias("h"))
-    freq = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    order = posts.join(freq, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"), F.count(F.lit(1)).alias("m"))
+    tokens = F.array_distinct(F.transform("s", lambda h: h.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))))
+    posts = classes.select("rep", "n", tokens.alias("s")).select("rep", "n", F.size("s").alias("t"), F.explode("s").alias("h"))
+    # One exchange tells the frequencies and keeps the rows beside them.
+    known = posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("df > 1")
+    order = known.groupBy("rep", "n", "t").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"), F.count(F.lit(1)).alias("m"))
     # Shingles of one set alone come first in the order and join with nothing: they only move the places.
-    alone = (F.col("n") - F.col("m")).cast("int")
+    alone = (F.col("t") - F.col("m")).cast("int")
     reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
     keys = order.select("rep", "n", F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), reach - alone))).alias("i", "x"), alone.alias("alone"))
     keys = keys.select("rep", "n", (F.col("i") + F.col("alone")).alias("i"), F.col("x.h").alias("h"))
@@ -68,7 +76,9 @@ def _class_links(classes: DataFrame, threshold: float) -> DataFrame:
     most = F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b"))
     first = keys.join(other, "h").filter("rep < rep_b AND n >= {0} * n_b AND n_b >= {0} * n".format(threshold))
     first = first.groupBy("rep", "rep_b", "n", "n_b").agg(F.max(most).alias("most")).filter(F.col("most") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-6)
-    pairs = first.select("rep", "rep_b").join(classes.select("rep", "s"), "rep").join(classes.select(F.col("rep").alias("rep_b"), F.col("s").alias("s_b")), "rep_b")
+    pairs = settle(first.select("rep", "rep_b"))
+    held = probed(sets.select("id", "s"), settle(hit_filter(pairs.select(F.explode(F.array("rep", "rep_b")).alias("digest")))), "id", "met").filter("met")
+    pairs = pairs.join(held.select(F.col("id").alias("rep"), "s"), "rep").join(held.select(F.col("id").alias("rep_b"), F.col("s").alias("s_b")), "rep_b")
     both = F.size(F.array_intersect("s", "s_b"))
     share = both / (F.size("s") + F.size("s_b") - both)
     return pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), share.alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -81,10 +91,15 @@ def near_classes(rows: DataFrame, id_col: str = "id", text_col: str = "body", wi
     class, so copies are never expanded into pairs and no link between different sets is lost.
     """
     sets = settle(_sets(rows, id_col, text_col, width))
-    reps = sets.groupBy("class_key").agg(F.min("id").alias("rep"))
-    members = settle(sets.select("id", "class_key").join(reps, "class_key").select("id", "rep"))
-    classes = sets.join(members.filter("id = rep"), "id", "left_semi").select(F.col("id").alias("rep"), "n", "s")
-    return members, _class_links(classes, threshold)
+    several = settle(sets.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("class_key", "rep"))
+    # Sets that the filter clears have no copy and stay where they lie.
+    marked = probed(sets, settle(hit_filter(several.select(F.col("class_key").alias("digest")))), "class_key", "copied")
+    single, copied = marked.filter("not copied"), marked.filter("copied")
+    met = settle(copied.select("id", "class_key").join(several, "class_key", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    members = single.select("id", F.col("id").alias("rep")).unionAll(met)
+    kept = copied.join(met.filter("id = rep"), "id", "left_semi")
+    classes = single.unionAll(kept).select(F.col("id").alias("rep"), "n", "s")
+    return members, _class_links(classes, sets, threshold)
 
 
 def near_pairs(rows: DataFrame, id_col: str = "id", text_col: str = "body", width: int = 5, threshold: float = 0.8) -> DataFrame:

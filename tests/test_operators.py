@@ -358,3 +358,14 @@ def test_answers_that_are_cut_are_asked_again(spark, tmp_path):
     assert got["a"] == "whole." and got["never"] is None and got[None] is None
     rows = spark.createDataFrame([("known", known, "old")], "p string, h string, y string")
     assert models.ask_whole(rows, "p", "y", Stutters(str(tmp_path)), "h").first()["y"] == "old"
+
+
+def test_tokens_that_collide_lose_no_link(spark, monkeypatch):
+    """Tokens of few bits fall together within and between texts; links and members stay those of whole hashes."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[k : k + 40]) for k in range(6)] + [" ".join(words[:40]), " ".join(reversed(words))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    want = {tuple(r) for r in similarity.near_pairs(rows).collect()}
+    assert (0, 6, 1.0) in want and len(want) > 5
+    monkeypatch.setattr(similarity, "TOKEN_BITS", 5)
+    assert {tuple(r) for r in similarity.near_pairs(rows).collect()} == want
