@@ -1,7 +1,7 @@
 """Search over an inverted index: postings, titles' trigrams and what a hit shows are written once; queries read only theirs.
 
-* ``postings`` (bucket, term, id, a term's frequency in each field), in directories by bucket of the term,
-  sorted by term: a query's plan names its terms' buckets, so other directories are not listed, and row
+* ``postings`` (bucket, term, id, a term's frequency in each field, a row for each field that holds it), in
+  directories by bucket of the term, sorted by term: a query's plan names its terms' buckets, so other directories are not listed, and row
   groups of other terms are skipped by their bounds. No text is taken apart when a query comes.
 * ``trigrams`` (bucket, trigram, id) of titles, laid out likewise.
 * ``items`` (id, tab, published_at, title).
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import turkish_lower
+from ..functions.text import let, turkish_lower
 from .search import TOKENS, expand, extent_similarity, groups_of, lower_tr, query_trigrams, trigrams_of
 
 #: Weights of the fields: title, excerpt, tags, body. Signs from which a query is matched by likeness, and how alike a title must be.
@@ -39,17 +39,30 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def _write(rows: DataFrame, by: str, path: str, buckets: int, spread: int) -> None:
-    """Rows by bucket of a term, each bucket in ``spread`` files, so that no frequent term makes one task's work."""
+    """Rows by bucket of a term, each bucket in ``spread`` parts or more: what is large is split and what is small united by its size, so that no frequent term makes one task's work."""
     made = rows.withColumn("bucket", _bucket(F.col(by), buckets)).withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(spread)))
-    made.repartition(buckets * spread, "bucket", "__salt").drop("__salt").sortWithinPartitions("bucket", by, "id").write.partitionBy("bucket").parquet(path)
+    made.hint("rebalance", "bucket", "__salt").drop("__salt").sortWithinPartitions("bucket", by, "id").write.partitionBy("bucket").parquet(path)
+
+
+def counted(terms: Column) -> Column:
+    """The distinct terms with how often each stands in the array: structs (term, n)."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i >= 0) & (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+
+    return let(F.sort_array(terms), runs)
 
 
 def build(rows: DataFrame, path: str, buckets: int = 64, spread: int = 2) -> SearchIndex:
-    """Write the index of ``rows`` (id, tab, published_at and the fields title, excerpt, tag_text, body; others are ignored) under ``path``."""
-    parts = F.array(*(F.struct(F.lit(k).alias("field"), terms_of(f).alias("terms")) for k, f in enumerate(WEIGHTS)))
-    said = rows.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.terms").alias("term"))
-    counted = said.groupBy("term", "id").agg(*(F.count_if(F.col("field") == k).cast("int").alias(f"{f}_tf") for k, f in enumerate(WEIGHTS)))
-    _write(counted, "term", f"{path}/postings", buckets, spread)
+    """Write the index of ``rows`` (id, tab, published_at and the fields title, excerpt, tag_text, body; others are ignored) under ``path``.
+
+    A text's terms are counted where it lies, so that they are shuffled once, to their buckets.
+    """
+    parts = F.array(*(F.struct(F.lit(k).alias("field"), counted(terms_of(f)).alias("terms")) for k, f in enumerate(WEIGHTS)))
+    said = rows.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.terms").alias("x"))
+    told = said.select(F.col("x.term").alias("term"), "id", *(F.when(F.col("field") == k, F.col("x.n")).otherwise(0).alias(f"{f}_tf") for k, f in enumerate(WEIGHTS)))
+    _write(told, "term", f"{path}/postings", buckets, spread)
     _write(rows.select("id", F.explode(F.array_distinct(trigrams_of(F.col("title")))).alias("trigram")), "trigram", f"{path}/trigrams", buckets, spread)
     rows.select("id", "tab", "published_at", "title").write.parquet(f"{path}/items")
     return SearchIndex(rows.sparkSession, path, buckets, rows.schema["id"].dataType.simpleString())

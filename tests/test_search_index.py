@@ -89,3 +89,22 @@ def test_dictionary_from_a_table(spark, monkeypatch):
 def test_empty_table(spark):
     none = search_index.build(spark.createDataFrame([], SCHEMA), table_path(spark, "index"), buckets=2)
     assert none.count("gold", {}).first()["n"] == 0
+
+
+def test_terms_are_counted_where_they_lie(spark):
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,), (["c"],)], "t array<string>")
+    got = [r[0] for r in rows.select(search_index.counted(F.col("t"))).collect()]
+    assert got == [[("a", 1), ("b", 2)], [], None, [("c", 1)]]
+
+
+def test_large_bucket_is_split(spark, tmp_path):
+    """A term of all rows fills one bucket: its size, not the number of buckets, says how many tasks write it."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4kb")
+    try:
+        text = F.concat(F.lit("same "), F.md5(F.col("id").cast("string")))
+        rows = spark.range(0, 4000, 1, 8).select("id", F.lit("t").alias("tab"), F.lit("2024-01-01").cast("timestamp_ntz").alias("published_at"), F.lit("x").alias("title"), F.lit("").alias("excerpt"), F.lit("").alias("tag_text"), text.alias("body"))
+        own = search_index.build(rows, str(tmp_path / "index"), buckets=1, spread=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "index/postings/bucket=0").glob("*.parquet"))) > 2
+    assert own.matched([["same"]]).count() == 4000
