@@ -113,6 +113,16 @@ def md5_mod(c: Column | str, n: int) -> Column:
     return reduce(lambda a, w: (a * 4294967296 + w) % n, words, F.lit(0).cast("long"))
 
 
+def hex_words(c: Column | str, digits: int = 64) -> Column:
+    """A hexadecimal hash as numbers of 8 digits each."""
+    return F.array(*(F.conv(F.substring(col(c), i, 8), 16, 10).cast("long") for i in range(1, digits, 8)))
+
+
+def differing_bits(a: Column, b: Column, digits: int = 64) -> Column:
+    """Bits that differ between two hashes as ``hex_words`` gives them."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(digits // 8)))
+
+
 def hamming_hex(a: Column | str, b: Column | str, digits: int = 64) -> Column:
     """Bits that differ between two hexadecimal hashes, 8 digits at a time."""
     word = lambda c, i: F.conv(F.substring(col(c), i, 8), 16, 10).cast("long")

@@ -94,10 +94,13 @@ def needs(rules: dict[str, Column]) -> Column:
 
 def dedupe_images(images: Column, most_bits: int = 24) -> Column:
     """An item's images (url, hash) without those whose URL, file stem or close hash came before; a null hash is close to none."""
-    from ..functions.values import hamming_hex
+    from ..functions.values import differing_bits, hex_words
 
-    same = lambda x, y: (x["url"] == y["url"]) | (T.image_stem(x["url"]) == T.image_stem(y["url"])) | F.coalesce(hamming_hex(x["hash"], y["hash"]) <= most_bits, F.lit(False))
-    return F.filter(images, lambda x, i: ~F.exists(F.slice(images, F.lit(1), i), lambda y: same(x, y)))
+    # Stems and the words of hashes are made once an image, not once a pair.
+    made = F.transform(images, lambda x: F.struct(x.alias("image"), T.image_stem(x["url"]).alias("stem"), hex_words(x["hash"]).alias("words")))
+    same = lambda x, y: (x["image"]["url"] == y["image"]["url"]) | (x["stem"] == y["stem"]) | F.coalesce(differing_bits(x["words"], y["words"]) <= most_bits, F.lit(False))
+    kept = T.let(made, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: same(x, y))))
+    return F.transform(kept, lambda x: x["image"])
 
 
 def reprocess(rows: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
