@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import clamp
+from ..storage import settle
 
 # Frequent function words of the English detector; signs a finished text ends with.
 ENGLISH = "the of and to in is that for was with on are by from this it be as at an or".split()
@@ -102,7 +103,8 @@ def funnel(judged: DataFrame, reasons: list[str], by: str = "source", score: str
 
 
 def with_total(stats: DataFrame, by: str = "source") -> DataFrame:
-    """The report's rows with a row of sums behind; its mean stays blank."""
+    """The report's rows with a row of sums behind; its mean stays blank. The report, a row a group, is made once for both."""
+    stats = settle(stats)
     sums = [F.sum(c).cast(t).alias(c) for c, t in stats.dtypes if c not in (by, "avg_score")]
     return stats.unionByName(stats.agg(*sums).withColumn(by, F.lit("total")), allowMissingColumns=True)
 
