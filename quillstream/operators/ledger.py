@@ -37,17 +37,21 @@ class Ledger:
 
     def pending(self, rows: DataFrame, key: str, rule: str, version: int, inputs: list[Column | str]) -> DataFrame:
         """``rows`` that the rule has not settled in this version for these inputs. Keys and hashes are compared, no inputs."""
+        return self._open(rows, key, rule, version, inputs).drop("__key", "__input")
+
+    def _open(self, rows: DataFrame, key: str, rule: str, version: int, inputs: list[Column | str]) -> DataFrame:
         done = self.rows().filter((F.col("rule") == rule) & (F.col("version") == version)).select(F.col("key").alias("__key"), F.col("input").alias("__input")).distinct()
         marked = rows.withColumns({"__key": F.col(key).cast("string"), "__input": input_hash(*inputs)})
-        return marked.join(done, ["__key", "__input"], "left_anti").drop("__key", "__input")
+        return marked.join(done, ["__key", "__input"], "left_anti")
 
     def run(self, rows: DataFrame, key: str, rule: str, version: int, inputs: list[Column | str], outcome: Callable[[DataFrame], Column], slices: int = 1) -> int:
         """Settle the pending rows, slice by slice; the number of rows settled is returned. A null outcome leaves a row pending."""
         settled = 0
         for n in range(slices):
             part = rows if slices == 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == n)
-            open_ = self.pending(part, key, rule, version, inputs)
-            made = settle(open_.select(F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"), F.lit(version).alias("version"), input_hash(*inputs).alias("input"), outcome(open_).alias("outcome")).filter("outcome is not null"))
+            open_ = self._open(part, key, rule, version, inputs)
+            # Null outcomes go after the rows are settled: a filter before would work out each outcome twice.
+            made = settle(open_.select(F.col("__key").alias("key"), F.lit(rule).alias("rule"), F.lit(version).alias("version"), F.col("__input").alias("input"), outcome(open_).alias("outcome"))).filter("outcome is not null")
             settled += made.count()
             made.write.mode("append").parquet(self.path)
         return settled
