@@ -13,7 +13,7 @@ from ..functions import values as V
 from ..operators import changes, gates, reads, search, upkeep
 from ..sources import files
 from ..storage import table_path
-from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, sql_md5_mod, sql_stamp, stamp, table
+from ..tables import ARTICLES_SQL, NOW, PUBLISHED_SQL, articles, spread, sql_md5_mod, sql_stamp, stamp, table
 from .reads import _TOK, LIST_SQL, _any, _list, _with_sectors, extent_sql
 
 
@@ -106,11 +106,7 @@ def search_count(spark: SparkSession, d: str) -> DataFrame:
     rows = _published(spark, d)
     since = _now() - F.expr("interval 20 days")
     asked = [("With er", {}), ("thanedbl", {}), ("er", {}), ("thanedble", {"tab": "tab3"}), ("the that", {"tab": "tab3", "since": since}), ("x", {})]
-    out = None
-    for k, (raw, filters) in enumerate(asked):
-        own = search.count(rows, raw, {}, **filters).select(F.lit(k).alias("asked"), "n")
-        out = own if out is None else out.unionAll(own)
-    return out
+    return search.counts(rows, asked, {})
 
 
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +229,7 @@ def inline_images(spark: SparkSession, d: str) -> DataFrame:
     image = lambda url, h: F.struct(url.alias("url"), h.alias("hash"))
     far, near = F.rpad(F.md5(n), 64, "0"), F.concat(F.lit("f"), F.substring(F.rpad(F.md5(n), 64, "0"), 2, 63))
     made = F.array(image(F.concat(F.lit("https://a/"), n, F.lit(".jpg")), far), image(F.concat(F.lit("https://b/"), n, F.lit("-300x200.jpg")), F.lit(None).cast("string")), image(F.lit("https://c/other.png"), near), image(F.concat(F.lit("https://d/z"), n, F.lit(".png")), F.lit("f" * 64)))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(upkeep.dedupe_images(made), lambda x: x["url"]), " ").alias("images"))
+    return spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", F.array_join(F.transform(upkeep.dedupe_images(made), lambda x: x["url"]), " ").alias("images"))
 
 
 def reprocess(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +270,7 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def slug_variants(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 4 == 0, "!!!").otherwise(F.concat("p_name", F.lit(" - ß ﬁeld & Ærø Ñandú ½ "), "p_type"))
-    return table(spark, d, "part").select("p_partkey", T.slug(name, 100).alias("long"), T.slug(name, 20, "tender").alias("short"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", T.slug(name, 100).alias("long"), T.slug(name, 20, "tender").alias("short"))
 
 
 def ad_images(spark: SparkSession, d: str) -> DataFrame:

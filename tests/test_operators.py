@@ -369,3 +369,42 @@ def test_tokens_that_collide_lose_no_link(spark, monkeypatch):
     assert (0, 6, 1.0) in want and len(want) > 5
     monkeypatch.setattr(similarity, "TOKEN_BITS", 5)
     assert {tuple(r) for r in similarity.near_pairs(rows).collect()} == want
+
+
+def test_narrow_tables_with_much_work_are_spread(spark):
+    """One small file is not one task's work, and a slug takes a short text apart once."""
+    from quillstream.plans import QUERIES
+
+    for name in ("inline_images", "slug_variants"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_counts_of_several_queries_read_texts_once(spark):
+    from quillstream.operators import search
+
+    rows = spark.createDataFrame([(1, "a", "Alpha beta", "gamma delta"), (2, "b", "alpha", "gamma"), (3, None, None, None)], "id long, tab string, title string, body string")
+    asked = [("alpha gamma", {}), ("gamma", {"tab": "a"}), ("x", {}), ("alphq", {}), ("", {})]
+    got = {r["asked"]: r["n"] for r in search.counts(rows, asked, {}).collect()}
+    assert got == {k: search.count(rows, raw, {}, **f).first()["n"] for k, (raw, f) in enumerate(asked)}
+    assert search.counts(spark.range(5).selectExpr("id", "'a' AS tab", "'t' AS title", "'b' AS body"), asked, {})._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+
+
+def test_total_makes_the_report_once(spark):
+    from quillstream.operators import gates
+
+    stats = spark.range(6).selectExpr("concat('s', id % 2) AS source", "id").groupBy("source").agg(F.count(F.lit(1)).alias("scraped"), F.avg("id").alias("avg_score"))
+    made = gates.with_total(stats)
+    assert {tuple(r) for r in made.collect()} == {("s0", 3, 2.0), ("s1", 3, 3.0), ("total", 6, None)}
+    assert "Range" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outcomes_are_worked_out_once(spark, tmp_path, monkeypatch):
+    from quillstream.operators import ledger
+
+    seen, settle = [], ledger.settle
+    monkeypatch.setattr(ledger, "settle", lambda df: (seen.append(df), settle(df))[1])
+    rows = spark.range(6).selectExpr("id", "concat('t', id) AS t")
+    book = ledger.Ledger(spark, str(tmp_path / "book"))
+    assert book.run(rows, "id", "r", 1, ["t"], lambda df: F.when(F.col("id") < 4, F.concat(F.lit("ok:xyzzy"), "t"))) == 4
+    assert book.rows().count() == 4 and book.pending(rows, "id", "r", 1, ["t"]).columns == ["id", "t"]
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("xyzzy") == 1
