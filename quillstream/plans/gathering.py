@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import registry, rules
+from ..storage import table_path
 from ..tables import table
 
 #: Sources of the tables' pages: list items of the navigation; all links under a pattern; one without rules.
@@ -19,9 +20,16 @@ def _sourced(spark: SparkSession, d: str, n: int) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", "html", F.concat(F.lit("s"), F.pmod("page_id", F.lit(n)).cast("string")).alias("source"))
 
 
+def _read(pages: DataFrame, own: DataFrame) -> DataFrame:
+    """What the rules find, as a table: rows and following pages both come from it, and a page is parsed once."""
+    path = table_path(pages.sparkSession, "found")
+    rules.read(pages, own).drop("steps").write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
 def registry_index(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame(OWN, rules.RULES_DDL)
-    found = rules.read(_sourced(spark, d, 3), own)
+    found = _read(_sourced(spark, d, 3), own)
     rows = rules.listing(found, own, keys=("page_id",)).select("page_id", "link", F.col("values")["title"].alias("title"))
     following = found.filter("row = 0 and values['next'] is not null").select("page_id", F.concat(F.lit("next "), F.col("values")["next"]).alias("link"), F.lit(None).cast("string").alias("title"))
     return rows.unionByName(following)
@@ -57,7 +65,7 @@ def tender_listings(spark: SparkSession, d: str) -> DataFrame:
     source = F.element_at(F.array(*map(F.lit, LAYOUTS)), (F.pmod("page_id", F.lit(6)) + 1).cast("int"))
     listings = table(spark, d, "pages").withColumn("source", source).select("page_id", "source", F.lit("https://n.example/list/1").alias("url"), made.alias("html"))
     shipped = registry.shipped(spark)
-    found = rules.read(listings, shipped)
+    found = _read(listings, shipped)
     value = lambda c: F.col("values")[c].alias(c)
     rows = rules.listing(found, shipped, keys=("page_id",)).select("page_id", "source", "link", *(value(c) for c in ("title", "deadline_at", "published_at", "institution", "country", "reference", "status", "document")))
     none = [F.lit(None).cast("string").alias(c) for c in ("title", "deadline_at", "published_at", "institution", "country", "reference", "status", "document")]

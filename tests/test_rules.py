@@ -1,5 +1,7 @@
 """Rules of sources: selectors, steps with provenance, what broken pages give, the registry that ships."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,38 @@ def test_selectors(selector, found):
     assert len(rules.Page(PAGE).select(selector)) == (found if selector != "*" else len(rules.Page(PAGE).nodes))
 
 
+def test_scopes_and_lists_of_elements_equal_a_test_of_all():
+    draw = random.Random(5)
+    marks = ["<ul class='a b'>", "<li class=x>", "<li>", "</li>", "</ul>", "<div id=l class='a a'>", "</div>", "<p lang=tr>", "<p>", "<br>", "<a href=/x>", "</a>", "<i/>", "text", "<table><tr><td>", "<td class=b>", "</table>", "<script>a<b></script>", "<SPAN ID=l>", "</span>"]
+    groups = ["li", "*", ".a", "#l", "[lang]", "ul li, .b, td", "ul > li + li", ".a.b", "[class]", "span#l, p:first-child", "li:not(:first-child), li", "DIV.a *"]
+    for _ in range(60):
+        page = rules.Page("".join(draw.choices(marks, k=40)))
+        for group in groups:
+            every = [n for n in page.nodes if any(page._chain(n[0], c) for c in rules.compiled(group))]
+            assert page.select(group) == [n[0] for n in every]
+            for scope in page.nodes:
+                assert page.select(group, scope[0]) == [n[0] for n in every if scope[4] <= n[4] and n[7] <= scope[7]]
+
+
+def test_work_grows_with_the_rows_of_a_listing(monkeypatch):
+    visits, parse = [], rules.tree.parse
+
+    class Nodes(list):
+        def __iter__(self):
+            visits.append(len(self))
+            return super().__iter__()
+
+    monkeypatch.setattr(rules.tree, "parse", lambda raw: Nodes(parse(raw)))
+    own = rules.Rules([r[1:] for r in registry.RULES if r[0] == "undp"], [r[1:] for r in registry.RULES if r[0] == "*"])
+
+    def work(n):
+        visits.clear()
+        assert len(own.found('<div class="procurement-item"><a href="/x">x</a><span class="closing">2024-03-01</span><i class="pub-date">2024-02-01</i></div>' * n)) == n + 1
+        return sum(visits)
+
+    assert work(200) < 2.2 * work(100)
+
+
 def test_texts():
     page = rules.Page(PAGE)
     assert page.take("li.y", "text", None) == "2" and page.take("li.y", "texts", None) == "2 two end" and page.take("li", "texts", None) == "1 2 two end 3"
@@ -59,3 +93,11 @@ def test_a_registry_has_a_bound(spark, monkeypatch):
     with pytest.raises(ValueError):
         rules.read(spark.createDataFrame([("s", "")], "source string, html string"), registry.shipped(spark))
     assert spark.createDataFrame(registry.RULES, rules.RULES_DDL).filter(F.col("kind") == "row").select("source").distinct().count() == 14
+
+
+@pytest.mark.parametrize("name", ["tender_listings", "registry_index"])
+def test_a_page_is_parsed_once_for_rows_and_following_pages(spark, name):
+    from quillstream.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "found" in plan and "MapInArrow" not in plan
