@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import table_path
+from ..tables import spread
+
 PAGE_SIZE, LEAST_SCORE = 12, 6
+#: Sets of tab and sectors with more than one of so many rows meet their candidates by broadcast; there are fewer than that.
+FREQUENT = 500
 LIST_COLUMNS = ["id", "source", "title", "score", "tab", "published_at"]
 
 
@@ -81,35 +87,53 @@ def latest_per_group(rows: DataFrame, group: str, order: list[Column], n: int =
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def _scored(weights: tuple[int, int, int], tags: Column, sectors: Column, tab: Column) -> Column:
-    """What a candidate (columns tags, sectors, tab) shares with an item; a tag that the candidate repeats counts each time."""
+def _scored(weights: tuple[int, int, int], tags: Column, sectors: Column, tab: Column, other: Callable[[str], Column] = F.col) -> Column:
+    """What a candidate (``other`` of tags, sectors, tab) shares with an item; a tag that the candidate repeats counts each time."""
     none = F.array().cast("array<string>")
     count = lambda own, theirs: F.size(F.filter(F.coalesce(theirs, none), lambda t: F.array_contains(F.coalesce(own, none), t)))
-    return weights[0] * count(tags, F.col("tags")) + weights[1] * count(sectors, F.col("sectors")) + weights[2] * F.coalesce((F.col("tab") == tab).cast("int"), F.lit(0))
+    return weights[0] * count(tags, other("tags")) + weights[1] * count(sectors, other("sectors")) + weights[2] * F.coalesce((other("tab") == tab).cast("int"), F.lit(0))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    path = table_path(rows.sparkSession, "similar")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def similar(rows: DataFrame, now: Column, k: int = 5, newest: int = 50, days: int = 60, weights: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:
     """(id, other_id, weight, rank): recommendations for every row, by shared tags, sectors and tab.
 
-    Candidates of a row are the ``newest`` of the last ``days`` in its tab or with one of its sectors. The
-    newest of a union lie among the newest of each part, so each tab and each sector keeps its ``newest`` + 1
-    rows, and a row meets only those: the work is linear whatever the size of a tab. A row with neither tab nor
-    sectors meets the ``newest`` of all.
+    Candidates of a row are the ``newest`` of the last ``days`` in its tab or with one of its sectors; a row with neither
+    tab nor sectors meets the ``newest`` of all. The newest of a union lie among the newest of each part, so each tab and
+    each sector keeps its ``newest`` + 1 rows (a row's own is passed over), and the union is made once for all rows that
+    have the same tab and sectors. A row scores its candidates where it lies: pairs are never shuffled. What many rows
+    share comes by broadcast (fewer than ``FREQUENT`` sets), the rest by a join in which no key has more than one of
+    ``FREQUENT`` rows.
     """
-    fresh = rows.filter(F.col("published_at") >= now - F.expr(f"interval {days} days")).select("id", "published_at", "tab", "sectors", "tags")
     none = F.array().cast("array<string>")
-    own = lambda r: F.array_distinct(F.concat(F.when(r["tab"].isNotNull(), F.array(F.concat(F.lit("tab "), r["tab"]))).otherwise(none), F.transform(F.coalesce(r["sectors"], none), lambda x: F.concat(F.lit("sector "), x))))
-    posts = fresh.select(F.explode(own(fresh)).alias("spot"), "id", "published_at")
-    lists = posts.withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy(*newest_first()))).filter(F.col("n") <= newest + 1).select("spot", F.col("id").alias("other_id"), F.col("published_at").alias("at"))
-    of_all = fresh.orderBy(*newest_first()).limit(newest + 1).select(F.lit("all").alias("spot"), F.col("id").alias("other_id"), F.col("published_at").alias("at"))
-    asking = rows.select(F.explode(F.when(F.size(own(rows)) > 0, own(rows)).otherwise(F.array(F.lit("all")))).alias("spot"), "id")
-    pairs = asking.join(lists.unionByName(of_all), "spot").filter("id <> other_id").select("id", "other_id", "at").distinct()
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), F.desc("other_id")))).filter(F.col("n") <= newest)
-    own = rows.select("id", *(F.col(c).alias(f"own_{c}") for c in ("tab", "sectors", "tags")))
-    other = rows.select(F.col("id").alias("other_id"), "tab", "sectors", "tags")
-    scored = near.join(own, "id").join(other, "other_id").withColumn("weight", _scored(weights, F.col("own_tags"), F.col("own_sectors"), F.col("own_tab"))).filter("weight > 0")
-    best = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc("at"), F.desc("other_id"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "other_id", "weight", "rank")
+    spots = F.array_distinct(F.concat(F.when(F.col("tab").isNotNull(), F.array(F.concat(F.lit("tab "), "tab"))).otherwise(none), F.transform(F.coalesce("sectors", none), lambda x: F.concat(F.lit("sector "), x))))
+    rows = _kept(spread(rows.select("id", "published_at", "tab", "sectors", "tags", F.array_sort(spots).alias("spots")).withColumn("asking", F.when(F.size("spots") > 0, F.col("spots")).otherwise(F.array(F.lit("all"))))))
+    fresh = rows.filter(F.col("published_at") >= now - F.expr(f"interval {days} days"))
+    posts = fresh.select(F.explode(F.concat("spots", F.array(F.lit("all")))).alias("spot"), "id", "published_at")
+    lists = posts.withColumn("n", F.row_number().over(Window.partitionBy("spot").orderBy(*newest_first()))).filter(F.col("n") <= newest + 1)
+    lists = _kept(lists.groupBy("spot").agg(F.collect_list(F.struct(F.col("published_at").alias("at"), F.col("id").alias("other_id"))).alias("near")))
+    sets = rows.groupBy("asking").agg(F.count(F.lit(1)).alias("n"))
+    union = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, newest + 1)
+    near = sets.select("asking", "n", F.explode("asking").alias("spot")).join(lists, "spot").groupBy("asking").agg(F.first("n").alias("n"), union.alias("near"))
+    listed = lists.select(F.explode("near.other_id").alias("other_id")).distinct()
+    told = rows.select(F.col("id").alias("other_id"), "tab", "sectors", "tags").join(listed, "other_id")
+    candidate = F.struct("at", "other_id", "tab", "sectors", "tags")
+    met = near.select("asking", "n", F.inline("near")).join(told, "other_id").groupBy("asking").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(candidate), asc=False).alias("candidates"))
+    met = _kept(met.join(rows.agg(F.count(F.lit(1)).alias("all_rows")), F.lit(True)).select("asking", "candidates", (F.col("n") * FREQUENT > F.col("all_rows")).alias("frequent")))
+    frequent, rest = (met.filter(c).drop("frequent") for c in ("frequent", "not frequent"))
+    asked = rows.select("id", "tab", "sectors", "tags", "asking")
+    pairs = asked.join(F.broadcast(frequent), "asking").unionByName(asked.join(F.broadcast(frequent.select("asking")), "asking", "left_anti").join(rest, "asking"))
+    others = F.slice(F.filter("candidates", lambda c: c["other_id"] != F.col("id")), 1, newest)
+    scored = F.transform(others, lambda c: F.struct(_scored(weights, F.col("tags"), F.col("sectors"), F.col("tab"), c.getField).alias("weight"), c["at"].alias("at"), c["other_id"].alias("other_id")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda c: c["weight"] > 0), asc=False), 1, k)
+    # An outer generator: for an inner one the optimizer would score all candidates once more, to see whether any is left.
+    found = pairs.select("id", F.posexplode_outer(best).alias("pos", "c")).filter("c is not null")
+    return found.select("id", "c.other_id", "c.weight", (F.col("pos") + 1).alias("rank"))
 
 
 def similar_to(rows: DataFrame, now: Column, tab: str | None, sectors: list[str], tags: list[str], own: int, k: int = 5, newest: int = 50, days: int = 60, weights: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:

@@ -408,3 +408,25 @@ def test_outcomes_are_worked_out_once(spark, tmp_path, monkeypatch):
     assert book.run(rows, "id", "r", 1, ["t"], lambda df: F.when(F.col("id") < 4, F.concat(F.lit("ok:xyzzy"), "t"))) == 4
     assert book.rows().count() == 4 and book.pending(rows, "id", "r", 1, ["t"]).columns == ["id", "t"]
     assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("xyzzy") == 1
+
+
+@pytest.mark.parametrize("frequent", [1, 9, 10**6])
+def test_recommendations_equal_a_comparison_of_all(spark, monkeypatch, frequent):
+    monkeypatch.setattr(reads, "FREQUENT", frequent)
+    draw, now = random.Random(3), dt.datetime(2024, 1, 31)
+    rows = []
+    for i in range(90):
+        at = None if i % 30 == 7 else now - dt.timedelta(days=draw.randrange(30))
+        sectors = draw.choice([None, [], ["x"], ["x", "y"], ["y", "x"], ["a", None], ["z", "z"]])
+        rows.append((i, at, draw.choice([None, None, "a", "b"]), sectors, draw.choice([None, [], ["p"], ["p", "q", "p"], ["q", "r"]])))
+    want = set()
+    for i, _, tab, sectors, tags in rows:
+        own, tags = {s for s in sectors or [] if s}, tags or []
+        near = [b for b in rows if b[0] != i and b[1] and b[1] >= now - dt.timedelta(days=20) and (tab is not None and b[2] == tab or own & set(b[3] or []) or tab is None and not sectors)]
+        near = sorted(near, key=lambda b: (b[1], b[0]), reverse=True)[:6]
+        scored = [(2 * sum(t in tags for t in b[4] or []) + 3 * sum(s in own for s in b[3] or []) + (tab is not None and b[2] == tab), b[1], b[0]) for b in near]
+        want |= {(i, x[2], x[0], n + 1) for n, x in enumerate(sorted((x for x in scored if x[0]), reverse=True)[:3])}
+    table = spark.createDataFrame(rows, "id long, published_at timestamp_ntz, tab string, sectors array<string>, tags array<string>")
+    found = reads.similar(table, F.lit("2024-01-31").cast("timestamp_ntz"), k=3, newest=6, days=20)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 150
+    assert "Window" not in found._jdf.queryExecution().toString()  # pairs are ranked where their row lies
